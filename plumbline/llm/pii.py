@@ -156,9 +156,12 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     """``docs`` with base spans of the text generalised to ``[kind]`` and disclosing terms removed."""
     found = find(docs, id_col, text_col)
     none = F.array().cast("array<struct<start:int,end:int>>")
-    edits = found.where(F.col("near").isNotNull()).select(
-        F.col("_id").alias("_i"), F.col("_text").alias("_x"), F.concat(*(F.transform(F.col(f"base.{k}"), lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k}]").alias("by"))) for k in KINDS)).alias("base")
-    ).dropDuplicates(["_i", "_x"])  # rows of equal id and text have equal spans
+
+    def edit(kind: str) -> Column:
+        return F.transform(F.col(f"base.{kind}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind}]").alias("by")))
+
+    edits = found.where(F.col("near").isNotNull()).select(F.col("_id").alias("_i"), F.col("_text").alias("_x"), F.concat(*map(edit, KINDS)).alias("base"))
+    edits = edits.dropDuplicates(["_i", "_x"])  # rows of equal id and text have equal spans
     terms = term_spans(docs, found, text_col, disclosure, min_texts)
     edits = edits.join(terms, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_text")), "left")
     edits = edits.select("_i", "_x", F.concat("base", F.transform(F.coalesce("terms", none), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("by")))).alias("_e"))
@@ -184,8 +187,12 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    shown = F.concat(*(F.transform(F.col(f"base.{k}"), lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"].cast("string"), s["end"].cast("string"))) for k in KINDS))
-    extra = F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["end"].cast("string")))
+
+    def shown_as(spans: str, kind: str) -> Column:
+        return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
+
+    shown = F.concat(*(shown_as(f"base.{k}", k) for k in KINDS))
+    extra = shown_as("terms", "term")
     return personal_data(docs).select(
         "doc_id",
         *(F.size(f"base.{k}").cast("long").alias(f"n_{k}") for k in KINDS),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from plumbline.llm.classifier import op10_quality_classifier
 from plumbline.llm.host_rules import OP6_SQL, op6_host_rules
 
-QUERIES = {"op6_host_rules": op6_host_rules}
+QUERIES = {
+    "op6_host_rules": op6_host_rules,
+    "op10_quality_classifier": op10_quality_classifier,
+}
 
 ORACLE_SQL = {"op6_host_rules": OP6_SQL}
