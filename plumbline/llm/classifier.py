@@ -90,7 +90,7 @@ def fit(labelled: DataFrame, bits: int = BITS) -> tuple[np.ndarray, float]:
         w, bias = fit_weights([rows[i] for i in at], np.array([labels[i] for i in at], np.float64), bits)
         yield pa.RecordBatch.from_pydict({"w": pa.array([w.tobytes()], pa.binary()), "bias": [bias]})
 
-    got = labelled.coalesce(1).mapInArrow(run, "w binary, bias double").first()
+    got = labelled.repartition(1).mapInArrow(run, "w binary, bias double").first()
     return np.frombuffer(bytes(got["w"]), np.float32).copy(), got["bias"]
 
 

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from plumbline.llm.classifier import op10_quality_classifier
+from plumbline.llm.decontamination import op2_decontamination
 from plumbline.llm.host_rules import OP6_SQL, op6_host_rules
+from plumbline.llm.mixing import op3_mixing
+from plumbline.llm.pii import op1_pii
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_decontamination": op2_decontamination,
+    "op3_mixing": op3_mixing,
     "op6_host_rules": op6_host_rules,
     "op10_quality_classifier": op10_quality_classifier,
 }
