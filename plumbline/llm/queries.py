@@ -6,6 +6,7 @@ from plumbline.llm.classifier import op10_quality_classifier
 from plumbline.llm.decontamination import op2_decontamination
 from plumbline.llm.host_rules import OP6_SQL, op6_host_rules
 from plumbline.llm.mixing import op3_mixing
+from plumbline.llm.ngram_join import op8_ngram_jaccard
 from plumbline.llm.pii import op1_pii
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
     "op6_host_rules": op6_host_rules,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
