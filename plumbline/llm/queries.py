@@ -5,17 +5,21 @@ from __future__ import annotations
 from plumbline.llm.classifier import op10_quality_classifier
 from plumbline.llm.decontamination import op2_decontamination
 from plumbline.llm.host_rules import OP6_SQL, op6_host_rules
+from plumbline.llm.licenses import OP9_SQL, op9_licenses
 from plumbline.llm.mixing import op3_mixing
 from plumbline.llm.ngram_join import op8_ngram_jaccard
 from plumbline.llm.pii import op1_pii
+from plumbline.llm.warc import op7_warc
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
     "op6_host_rules": op6_host_rules,
+    "op7_warc": op7_warc,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_licenses": op9_licenses,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL = {"op6_host_rules": OP6_SQL}
+ORACLE_SQL = {"op6_host_rules": OP6_SQL, "op9_licenses": OP9_SQL}
