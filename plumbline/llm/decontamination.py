@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import let, read, stored, words
 
 WINDOW = 5
+#: What a placeholder starts with; no stripped word does.
+SLOT = "\x01"
 #: Words in a window that must not be placeholders.
 MIN_LITERALS = 2
 #: Least share of an item's windows that a document holds, and of its slots that agree.
@@ -29,7 +31,7 @@ AGREEMENT = 0.8
 BROADCAST_WINDOWS = 250_000
 
 # Punctuation around words, and units of measure.
-PUNCTUATION = ".,;:!?\"'()[]{}<>*#%&|_~`/\\-"
+PUNCTUATION = ".,;:!?\"'()[]{}<>*#%&|_~`/\\$+-"
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t oz lb ml l s ms min h hr hrs sec secs second seconds minute minutes hour hours "
     "day days week weeks month months year years mph kph kmh km/h m/s percent dollars dollar cents euros euro usd eur "
@@ -37,53 +39,54 @@ UNITS = (
 ).split()
 
 
-def _template(word: Column, after_number: Column) -> Column:
-    first = F.substring(word, 1, 1)
-    return (
-        F.when(first.between("0", "9"), F.lit("\x01number"))
-        .when(F.substring(word, 1, 2).rlike("^[$+][0-9]"), F.lit("\x01number"))
-        .when(after_number & F.lower(word).isin(*UNITS), F.lit("\x01unit"))
-        .when(F.lower(first) != first, F.lit("\x01name"))
-        .otherwise(F.lower(word))
-    )
+def _template(tokens: Column) -> Column:
+    """The typed form of each word."""
+
+    def typed(word: Column, i: Column) -> Column:
+        first = F.substring(word, 1, 1)
+        low = F.lower(word)
+        after_number = F.substring(F.get(tokens, i - 1), 1, 1).between("0", "9")
+        return (
+            F.when(first.between("0", "9"), F.lit(f"{SLOT}number"))
+            .when(first != F.substring(low, 1, 1), F.lit(f"{SLOT}name"))
+            .when(low.isin(*UNITS) & after_number, F.lit(f"{SLOT}unit"))
+            .otherwise(low)
+        )
+
+    return F.transform(tokens, typed)
+
+
+def _tokens(text: Column) -> Column:
+    return F.filter(F.transform(words(text), lambda w: F.btrim(w, F.lit(PUNCTUATION))), lambda w: w != "")
 
 
 def windows(text: Column, size: int = WINDOW) -> Column:
-    """(key, at, kinds, slots) of each window: template hash, place, which words are slots, word hashes."""
-    # the stripped words of the text, none of them empty
-    stripped = F.filter(F.transform(words(text), lambda w: F.btrim(w, F.lit(PUNCTUATION))), lambda w: w != "")
+    """(key, at, slots) of each window: template hash, place and hashes of its words as they stand."""
 
     def of(tokens: Column) -> Column:
         n = F.size(tokens)
-        number = F.transform(tokens, lambda w: F.substring(w, 1, 1).between("0", "9"))
-        template = let(number, lambda d: F.zip_with(tokens, F.concat(F.array(F.lit(False)), d), lambda w, a: F.when(w.isNotNull(), _template(w, a))))
-        raw = F.transform(tokens, lambda w: F.xxhash64(w))
-
-        def at(t: Column, r: Column) -> Column:
-            keys = F.transform(t, lambda w: F.xxhash64(w))
-            slot = F.transform(t, lambda w: F.startswith(w, F.lit("\x01")).cast("int"))
 
-            def window(k: Column, s: Column) -> Column:
-                def one(i: Column) -> Column:
-                    return F.struct(
-                        F.xxhash64(F.slice(k, i, size)).alias("key"), i.alias("at"), F.slice(s, i, size).alias("kinds"), F.slice(r, i, size).alias("slots")
-                    )
+        def at(keys: Column, raw: Column) -> Column:
+            def one(i: Column) -> Column:
+                return F.struct(F.xxhash64(F.slice(keys, i, size)).alias("key"), i.alias("at"), F.slice(raw, i, size).alias("slots"))
 
-                every = F.transform(F.sequence(F.lit(1), n - (size - 1)), one)
-                return F.filter(every, lambda x: F.aggregate(x["kinds"], F.lit(0), lambda a, y: a + y) <= size - MIN_LITERALS)
+            return F.transform(F.sequence(F.lit(1), n - (size - 1)), one)
 
-            return let(keys, lambda k: let(slot, lambda s: window(k, s)))
-
-        none = F.array().cast("array<struct<key:bigint,at:int,kinds:array<int>,slots:array<bigint>>>")
-        return F.when(n < size, none).otherwise(let(F.slice(template, F.lit(1), n), lambda t: let(raw, lambda r: at(t, r))))
+        none = F.array().cast("array<struct<key:bigint,at:int,slots:array<bigint>>>")
+        keys = F.transform(_template(tokens), lambda w: F.xxhash64(w))
+        raw = F.transform(tokens, lambda w: F.xxhash64(w))
+        return F.when(n < size, none).otherwise(let(keys, lambda k: let(raw, lambda r: at(k, r))))
 
-    return let(stripped, of)
+    return let(_tokens(text), of)
 
 
 def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item, key, item_at, item_slots, kinds and n_windows (distinct keys of the item), stored."""
-    w = benchmark.select(F.col(item_col).alias("item"), F.explode(windows(F.col(text_col))).alias("w"))
-    w = w.select("item", "w.key", F.col("w.at").alias("item_at"), F.col("w.slots").alias("item_slots"), "w.kinds")
+    text = F.col(text_col)
+    typed = let(_tokens(text), lambda t: F.transform(_template(t), lambda w: F.startswith(w, F.lit(SLOT)).cast("int")))
+    w = benchmark.select(F.col(item_col).alias("item"), typed.alias("typed"), F.explode(windows(text)).alias("w"))
+    w = w.select("item", "w.key", F.col("w.at").alias("item_at"), F.col("w.slots").alias("item_slots"), F.slice("typed", F.col("w.at"), WINDOW).alias("kinds"))
+    w = w.where(F.aggregate("kinds", F.lit(0), lambda a, y: a + y) <= WINDOW - MIN_LITERALS)
     firsts = w.groupBy("item", "key").agg(F.min_by(F.struct("item_at", "item_slots", "kinds"), "item_at").alias("f")).select("item", "key", "f.*")
     sizes = firsts.groupBy("item").agg(F.count(F.lit(1)).alias("n_windows"))
     return stored(firsts.join(sizes, "item"), "benchmark-windows")
