@@ -140,14 +140,18 @@ def in_blocks(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.withColumn("block", F.pmod("place", F.col("n_blocks")))
 
 
-def mix(sizes: DataFrame, levels: int = LEVELS, seed: int = 0, share: float = SHARE, repeats: int = REPEATS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """``sizes`` (any columns with source, size, place) with source_size, target, taken and shards.
+def mix(
+    sizes: DataFrame, levels: int = LEVELS, seed: int = 0, share: float = SHARE, repeats: int = REPEATS, weights: tuple[int, ...] = WEIGHTS, rows: DataFrame | None = None
+) -> DataFrame:
+    """``sizes`` (source, size, place, ...) with source_size, target, taken and shards.
 
     ``shards`` holds the shard of each take, in order; the last may be a part of the document
     where the source's target ends in it. Within a shard, takes are ordered by ``local_order``.
+    With ``rows``, the mix is planned on ``sizes`` and dealt to ``rows``: the same rows, with more columns.
     """
     sources, blocks = plan(sizes, levels, seed, share, repeats, weights)
     blocks = stored(blocks, "mix-blocks")
+    sizes = sizes if rows is None else rows
     placed = in_blocks(sizes, sources)
     dealt = placed.join(blocks, ["rank", "block"], "left")
     uncut = F.coalesce("cut", F.lit(0)) == 0
@@ -169,8 +173,24 @@ def local_order(seed: int, shard: Column, place: Column, take: Column) -> Column
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """id, source, size in words and place, stored: all that planning needs of the documents."""
-    place = F.xxhash64(F.lit(seed), F.col(id_col))
-    return stored(docs.select(F.col(id_col), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), place.alias("place")), "mix-sizes")
+    return stored(measured(docs, id_col, text_col, seed).select(F.col(id_col), F.col(source_col).alias("source"), "size", "place"), "mix-sizes")
+
+
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """``docs`` with size in words and place."""
+    return docs.withColumns({"size": F.size(words(F.col(text_col))).cast("long"), "place": F.xxhash64(F.lit(seed), F.col(id_col))})
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int = LEVELS, seed: int = 0) -> DataFrame:
+    """A row for each take: the columns of ``docs``, take, shard, local_order and words; a part take has its first words as text."""
+    dealt = mix(sized(docs, id_col, text_col, seed=seed), levels, seed, rows=measured(docs, id_col, text_col, seed))
+    takes = dealt.select(*docs.columns, "size", "place", "taken", F.posexplode("shards").alias("take", "shard"))
+    takes = takes.withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("take") * F.col("size")))
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    part = F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), "")
+    return takes.withColumn(text_col, F.when(F.col("words") < F.col("size"), part).otherwise(F.col(text_col))).select(
+        *docs.columns, "take", "shard", local_order(seed, F.col("shard"), F.col("place"), F.col("take")).alias("local_order"), "words"
+    )
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from plumbline.llm.licenses import OP9_SQL, op9_licenses
 from plumbline.llm.mixing import op3_mixing
 from plumbline.llm.ngram_join import op8_ngram_jaccard
 from plumbline.llm.ngram_lm import op5_lm_scores
+from plumbline.llm.paragraph_dedup import op4_paragraph_dedup
 from plumbline.llm.pii import op1_pii
 from plumbline.llm.warc import op7_warc
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
+    "op4_paragraph_dedup": op4_paragraph_dedup,
     "op5_lm_scores": op5_lm_scores,
     "op6_host_rules": op6_host_rules,
     "op7_warc": op7_warc,
