@@ -30,11 +30,13 @@ from plumbline.llm.graph import components
 
 N = 4
 PERCENT = 85
-#: Counters of the frequency sketch (2**SKETCH_BITS), its slices, and bits of a parity sketch.
+#: Counters of the frequency sketch (2**SKETCH_BITS), its slices, and least and most bits of a parity sketch.
 SKETCH_BITS = 20
 SLICES = 64
 PARITY_BITS = 512
-#: Nodes in a block of the product.
+MOST_PARITY_BITS = 1 << 15
+#: Nodes that share an n-gram up to which they are paired at once, and nodes in a block of the product.
+FEW = 64
 BLOCK = 512
 
 _ODD = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -74,6 +76,29 @@ def fingerprint(s: np.ndarray) -> int:
     return int(mixed(sums.sum(keepdims=True)).view(np.int64)[0])
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Which of at least as many bits as elements an odd number of elements fall on, as 64-bit words."""
+    bits = PARITY_BITS
+    while bits < min(len(s), MOST_PARITY_BITS):
+        bits *= 2
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def folded(p: np.ndarray, words: int) -> np.ndarray:
+    """A parity sketch (or rows of them) of fewer words."""
+    while p.shape[-1] > words:
+        half = p.shape[-1] // 2
+        p = p[..., :half] ^ p[..., half:]
+    return p
+
+
+def least_difference(p: np.ndarray, q: np.ndarray) -> int:
+    """Elements in which two sets differ at least."""
+    words = min(len(p), len(q))
+    return int(np.bitwise_count(folded(p, words) ^ folded(q, words)).sum())
+
+
 def arrays(column: pa.Array) -> Iterator[np.ndarray]:
     """The lists of a column as numpy arrays."""
     values, offsets = np.asarray(column.flatten()), np.asarray(column.offsets)
@@ -135,8 +160,7 @@ def sketch(docs: DataFrame, levels: np.ndarray, n: int, percent: int) -> DataFra
                     nodes.append(None), parities.append(b""), prefixes.append(np.zeros(0, np.int64))
                     continue
                 nodes.append(fingerprint(s))
-                bits = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
-                parities.append(np.packbits(bits.astype(np.uint8)).tobytes())
+                parities.append(parity(s).tobytes())
                 keep = len(s) - -(-percent * len(s) // 100) + 1
                 rank = (level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(58)) | (s >> np.uint64(6))
                 first = np.argpartition(rank, keep - 1)[:keep] if keep < len(s) else np.arange(len(s))
@@ -192,19 +216,25 @@ class Forest:
         return a != b
 
 
-def bounded_pairs(sizes: np.ndarray, parity: np.ndarray, split: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+def bounded_pairs(sizes: np.ndarray, parities: list[np.ndarray], split: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each row, the later rows within the bounds; rows before ``split`` meet only those from it on, if split > 0."""
-    words = parity.view(np.uint64)
+    lengths = np.array([len(p) for p in parities])
+    # rows by sketch length; of linked sizes lengths differ by a factor of two at most
+    at_length = {w: np.stack([folded(p, w) for p in parities if len(p) >= w]) for w in np.unique(lengths)}
+    row_of = {w: np.cumsum(lengths >= w) - 1 for w in at_length}
     for i in range(split or len(sizes)):
         start = split or i + 1
         other = sizes[start:]
         least, most = np.minimum(other, sizes[i]), np.maximum(other, sizes[i])
-        ok = np.flatnonzero(100 * least >= percent * most)
-        if len(ok):
-            far = np.bitwise_count(words[start + ok] ^ words[i]).sum(axis=1)
-            ok = ok[far <= allowed_difference(other[ok], sizes[i], percent)]
-        if len(ok):
-            yield i, start + ok
+        ok = start + np.flatnonzero(100 * least >= percent * most)
+        near = []
+        for w in np.unique(np.minimum(lengths[ok], lengths[i])):
+            some = ok[np.minimum(lengths[ok], lengths[i]) == w]
+            table, row = at_length[w], row_of[w]
+            far = np.bitwise_count(table[row[some]] ^ table[row[i]]).sum(axis=1)
+            near.append(some[far <= allowed_difference(sizes[some], sizes[i], percent)])
+        if near and sum(map(len, near)):
+            yield i, np.sort(np.concatenate(near))
 
 
 def in_block_pairs(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -227,75 +257,108 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
     first = first.select(F.col("node").alias("_n"), F.col("_id").alias("_f"))
     same = (F.col("node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("_f"))
     nodes = stored(sets.join(first, same, "left_semi").select("node", "n_shingles", "parity", "prefix"), "ngram-nodes")
-    tokens = nodes.select(F.explode("prefix").alias("token"), "node")
+    tokens = nodes.select(F.explode("prefix").alias("token"), "node", F.col("n_shingles").cast("int").alias("size"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
     meeting = stored(tokens.join(shared, "token"), "ngram-meetings")
-    rows = meeting.join(nodes.select("node", "n_shingles", "parity"), "node").withColumn("place", F.xxhash64("node"))
+    sketches = nodes.select("node", "n_shingles", "parity")
+
+    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for t in runs(batches, 1):
+            token, node, size = (np.asarray(t.column(i)) for i in range(3))
+            bounds = edges_of(token)
+            count = np.diff(bounds)
+            # the k-th row of each group with the j-th, for all groups of enough rows at once
+            for k in range(int(count.max()) - 1):
+                first = bounds[:-1][count > k + 1] + k
+                for j in range(1, int(count.max()) - k):
+                    first = first[count[np.searchsorted(bounds, first, "right") - 1] > k + j] if j > 1 else first
+                    a, b = first, first + j
+                    ok = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+                    held.append(np.stack([np.minimum(node[a[ok]], node[b[ok]]), np.maximum(node[a[ok]], node[b[ok]])], axis=1))
+            if sum(map(len, held)) > 2_000_000:
+                held = [np.unique(np.concatenate(held), axis=0)]
+                if len(held[0]) > 1_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][:, 0]), pa.array(held[0][:, 1])], names=["a", "b"])
+                    held = []
+        if held:
+            pairs = np.unique(np.concatenate(held), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    few = meeting.where(F.col("count") <= FEW).select("token", "node", "size").repartition("token").sortWithinPartitions("token")
+    pairs = few.mapInArrow(pair_up, "a bigint, b bigint").distinct()
+    left = sketches.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("parity").alias("p_a"))
+    right = sketches.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("parity").alias("p_b"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = allowed_difference(np.asarray(b.column("n_a")), np.asarray(b.column("n_b")), percent).tolist()
+            ok = [
+                least_difference(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)) <= m
+                for p, q, m in zip(b.column("p_a"), b.column("p_b"), most, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], names=["a", "b"])
+
+    close = pairs.join(left, "a").join(right, "b").mapInArrow(near, "a bigint, b bigint")
+
+    # n-grams of many nodes: in blocks, where a forest of the near pairs says as much as all of them
+    rows = meeting.where(F.col("count") > FEW).select("token", "node", "count").join(sketches, "node").withColumn("place", F.xxhash64("node"))
     dealt = in_block_pairs(rows, ["token"], ["node", "n_shingles", "parity"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, 3):
             t = t.combine_chunks()
-            token, bi, bj, side = (np.asarray(t.column(i)) for i in range(4))
-            node, size = np.asarray(t.column(4)), np.asarray(t.column(5))
-            parity = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(len(node), PARITY_BITS // 8)
-            group = np.cumsum(np.concatenate([[0], (token[1:] != token[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]))
-            bounds = edges_of(group)
+            token, bi, bj, side, node, size = (np.asarray(t.column(i)) for i in range(6))
+            sketch = [np.frombuffer(p, np.uint64) for p in t.column(6).to_pylist()]
             a, b = [], []
-            two = np.flatnonzero((np.diff(bounds) == 2) & (bi[bounds[:-1]] == bj[bounds[:-1]]))
-            x = bounds[two]
-            y = x + 1
-            if len(x):  # most groups are pairs: all at once
-                least, most = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-                far = np.bitwise_count(parity[x].view(np.uint64) ^ parity[y].view(np.uint64)).sum(axis=1)
-                ok = (100 * least >= percent * most) & (far <= allowed_difference(size[x], size[y], percent))
-                a.append(node[x[ok]]), b.append(node[y[ok]])
-            for g in np.flatnonzero((np.diff(bounds) > 2) | (bi[bounds[:-1]] != bj[bounds[:-1]])):
-                lo, hi = bounds[g], bounds[g + 1]
+            for lo, hi in groups_of(token, bi, bj):
                 split = int((side[lo:hi] == 0).sum()) if bi[lo] != bj[lo] else 0
                 forest = Forest(hi - lo)
-                for i, others in bounded_pairs(size[lo:hi], parity[lo:hi], split, percent):
-                    new = [j for j in others.tolist() if forest.join(i, j)]
-                    if new:
-                        a.append(np.full(len(new), node[lo + i])), b.append(node[lo + np.array(new)])
+                for i, others in bounded_pairs(size[lo:hi], sketch[lo:hi], split, percent):
+                    for j in others.tolist():
+                        if forest.join(i, j):
+                            a.append(node[lo + i]), b.append(node[lo + j])
             if a:
-                pairs = np.unique(np.sort(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return close.unionByName(dealt.mapInArrow(meet, "a bigint, b bigint"))
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
 
+def groups_of(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of equal keys that have two rows or more."""
+    change = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    bounds = np.concatenate([[0], np.flatnonzero(change) + 1, [len(keys[0])]])
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if hi - lo > 1:
+            yield lo, hi
 
-def exact_edges(docs: DataFrame, sets: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the exact links in each block of each candidate group."""
+
+def exact_edges(texts: DataFrame, sets: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the exact links in each block of each candidate group, from texts (_id, _t)."""
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("count"))
     who = sets.where("node is not null").groupBy("node").agg(F.min("_id").alias("_id")).join(groups, "node").join(sizes, "component")
-    holders = docs.join(who.select(F.col("_id").alias("_w"), "node", "component", "count"), F.col("_id").eqNullSafe(F.col("_w")))
-    rows = holders.withColumn("place", F.xxhash64("node"))
-    dealt = in_block_pairs(rows, ["component"], ["node", "_h"])
+    holders = texts.join(who.select(F.col("_id").alias("_w"), "node", "component", "count"), F.col("_id").eqNullSafe(F.col("_w")))
+    dealt = in_block_pairs(holders.withColumn("place", F.xxhash64("node")), ["component"], ["node", "_t"])
+    # texts travel, being smaller than their hashes
+    dealt = dealt.select("component", "bi", "bj", "side", "node", word_hashes(F.col("_t")).alias("_h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, 3):
             t = t.combine_chunks()
             comp, bi, bj, side, node = (np.asarray(t.column(i)) for i in range(5))
-            column = t.column(5)
-            hashes = [h for chunk in column.chunks for h in arrays(chunk)]
-            group = np.cumsum(np.concatenate([[0], (comp[1:] != comp[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]))
-            bounds = edges_of(group)
+            hashes = [h for chunk in t.column(5).chunks for h in arrays(chunk)]
             a, b = [], []
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                if hi - lo < 2:
-                    continue
+            for lo, hi in groups_of(comp, bi, bj):
                 sets = [ngrams(h.view(np.uint64), n) for h in hashes[lo:hi]]
                 # an id that stands for several texts brings them all; a node's own is the one that counts
                 sets = [s if fingerprint(s) == v else s[:0] for s, v in zip(sets, node[lo:hi].tolist(), strict=True)]
                 size = np.array([len(s) for s in sets])
-                parity = np.stack([np.packbits((np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8)) for s in sets])
                 split = int((side[lo:hi] == 0).sum()) if bi[lo] != bj[lo] else 0
                 forest = Forest(hi - lo)
-                for i, others in bounded_pairs(size, parity, split, percent):
+                for i, others in bounded_pairs(size, [parity(s) for s in sets], split, percent):
                     for j in others.tolist():
                         if size[i] and forest.root(i) != forest.root(j):
-                            both = size[i] + size[j] - len(np.union1d(sets[i], sets[j]))
+                            both = int(np.isin(sets[i], sets[j], assume_unique=True).sum())
                             if 100 * both >= percent * (size[i] + size[j] - both):
                                 forest.join(i, j)
                                 a.append(node[lo + i]), b.append(node[lo + j])
@@ -309,10 +372,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """id_col, n_shingles, node (equal for equal sets) and component_id of every row of ``docs``."""
     if not math.isclose(percent, int(percent)) or not 50 < percent <= 100:
         raise ValueError("percent is a whole number over 50 and up to 100")
-    hashed = docs.select(F.col(id_col).alias("_id"), word_hashes(F.col(text_col)).alias("_h"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+    hashed = texts.select("_id", word_hashes(F.col("_t")).alias("_h"))
     sets = sketch(hashed, frequency_levels(hashed, n), n, percent)
     groups = stored(components(candidate_edges(sets, percent), "ngram-groups"), "ngram-candidates")
-    links = components(exact_edges(hashed, sets, groups, n, percent), "ngram-links")
+    links = components(exact_edges(texts, sets, groups, n, percent), "ngram-links")
     marked = sets.select("_id", "n_shingles", "node").join(links, "node", "left").withColumn("_c", F.coalesce("component", "node"))
     # an empty set is a component of its own
     lone = marked.where("_c is null").select("_id", "n_shingles", "node", F.col("_id").alias("component_id"))
