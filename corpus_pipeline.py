@@ -22,8 +22,11 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
-    scored = with_quality_scores(docs, train(docs, labels.where(fold() != 1)), keep=docs.columns)
-    return scored.where("predicted = 1").select(*docs.columns)
+    model = train(docs, labels.where(fold() != 1))
+    # the row travels as one column, so that none of its names can clash
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "text")
+    kept = with_quality_scores(packed, model, keep=["row"]).where("predicted = 1")
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard_components(docs)
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_k")).distinct()
     kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["_k"]), "left_semi")
-    return kept.withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).select(*docs.columns)
+    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ classes, and fits a linear support vector machine to the products by dual coordi
 
 Defined results: null and empty texts have no n-grams and score by the bias alone; labels that
 are null or neither 0 nor 1 are ignored; with labels of one class or none, every score is
-the smoothed share of class 1. Repeated rows are scored each. Copies of a label row count each.
+the smoothed share of class 1. Repeated rows are scored each; columns of the input named score or
+predicted give way to ours. Copies of a label row count each.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import let, read, words
 
@@ -91,6 +93,8 @@ def fit(labelled: DataFrame, bits: int = BITS) -> tuple[np.ndarray, float]:
         yield pa.RecordBatch.from_pydict({"w": pa.array([w.tobytes()], pa.binary()), "bias": [bias]})
 
     got = labelled.repartition(1).mapInArrow(run, "w binary, bias double").first()
+    if got is None:  # a table without partitions runs no task
+        return fit_weights([], np.zeros(0), bits)
     return np.frombuffer(bytes(got["w"]), np.float32).copy(), got["bias"]
 
 
@@ -111,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def with_quality_scores(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (or all columns but the text) with ``score`` in 0..1 and ``predicted``."""
     weights, bias = model
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted") and (keep or c != text_col)]
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS floats
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +132,7 @@ def with_quality_scores(docs: DataFrame, model: tuple[np.ndarray, float], text_c
             yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:-1], "score", "predicted"])
 
     kept = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", score double, predicted int"
+    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.select(*keep, ngram_ids(F.col(text_col)).alias("_ids")).mapInArrow(score, schema)
 
 

@@ -5,7 +5,8 @@ host's failure rates are shrunk towards an empirical beta prior, and the verdict
 is joined back to its documents.
 
 Defined results: a null or empty text has no words and fails; a null host is a host of its
-own; repeated rows are measured and returned each; an empty table gives an empty result.
+own; repeated rows are measured and returned each; columns of the input named like results give way
+to them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -70,6 +71,10 @@ HOST_RULES = {
 }
 
 
+#: Columns of the result besides those of the documents and the rates.
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_passes", "kept", "_w", "_host", *(f"rate_{x}" for x in HOST_RULES)]
+
+
 def judge_hosts(measured: DataFrame, host_col: str, max_rate: float = 0.5) -> DataFrame:
     """One row a host: shrunken failure rate of each rule, and whether the host passes.
 
@@ -101,6 +106,7 @@ def host_quality_rules(
 
     ``kept`` is false where the document fails a base rule or its host's verdict is against it.
     """
+    docs = docs.drop(*(c for c in RESULTS if c not in (text_col, host_col)))  # ours replace columns of the same name
     measured = stored(measure(docs, text_col).drop(text_col), "measures")
     measured = measured.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words")))
     hosts = judge_hosts(measured, host_col, max_rate)

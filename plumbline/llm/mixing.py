@@ -9,7 +9,7 @@ source its exact quota. Shards then take disjoint stretches of each source's per
 and order what they got by a hash of their own.
 
 Defined results: a null text has size 0; a null source is a source, last in order; a source
-without words has target 0; rows that repeat are documents of their own; an empty table gives
+without words has target 0; a document without words comes along with its block; rows that repeat are documents of their own; an empty table gives
 an empty result. All draws are hashes of ids and the seed, so reruns agree.
 """
 
@@ -177,19 +177,24 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """``docs`` with size in words and place."""
+    """``docs`` with size in words and place, in the place of columns of these names."""
     return docs.withColumns({"size": F.size(words(F.col(text_col))).cast("long"), "place": F.xxhash64(F.lit(seed), F.col(id_col))})
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int = LEVELS, seed: int = 0) -> DataFrame:
     """A row for each take: the columns of ``docs``, take, shard, local_order and words; a part take has its first words as text."""
-    dealt = mix(sized(docs, id_col, text_col, seed=seed), levels, seed, rows=measured(docs, id_col, text_col, seed))
-    takes = dealt.select(*docs.columns, "size", "place", "taken", F.posexplode("shards").alias("take", "shard"))
+    # the row travels as one column, so that none of its names can clash; those of the result replace it
+    whole = docs.withColumn("__doc", F.struct(*(docs[c] for c in docs.columns)))
+    packed = measured(whole, id_col, text_col, seed).select("source", "size", "place", F.col("__doc").alias("doc"))
+    dealt = mix(sized(docs, id_col, text_col, seed=seed), levels, seed, rows=packed)
+    takes = dealt.select("doc", "size", "place", "taken", F.posexplode("shards").alias("take", "shard"))
     takes = takes.withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("take") * F.col("size")))
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    text = F.col(f"doc.`{text_col}`")
+    pieces = F.regexp_extract_all(text, F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
     part = F.array_join(F.slice(pieces, F.lit(1), F.col("words").cast("int")), "")
-    return takes.withColumn(text_col, F.when(F.col("words") < F.col("size"), part).otherwise(F.col(text_col))).select(
-        *docs.columns, "take", "shard", local_order(seed, F.col("shard"), F.col("place"), F.col("take")).alias("local_order"), "words"
+    new = F.when(F.col("words") < F.col("size"), part).otherwise(text)
+    return takes.select(
+        *((new if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns if c not in ("take", "shard", "local_order", "words")), "take", "shard", local_order(seed, F.col("shard"), F.col("place"), F.col("take")).alias("local_order"), "words"
     )
 
 

@@ -180,9 +180,12 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 
         return F.aggregate(F.array_sort("_e"), zero, step, end)
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(edits, F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_x")), "left")
-    return joined.withColumn(text_col, F.when(F.col("_e").isNull(), F.col(text_col)).otherwise(let(text, rewrite))).select(*docs.columns)
+    # the row travels as one column, so that none of its names can clash
+    packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
+    text = F.coalesce(F.col(f"_row.`{text_col}`"), F.lit(""))
+    joined = packed.join(edits, F.col(f"_row.`{id_col}`").eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_x")), "left")
+    new = F.when(F.col("_e").isNull(), F.col(f"_row.`{text_col}`")).otherwise(let(text, rewrite))
+    return joined.select(*((new if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,7 +133,7 @@ def write_archives(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_bytes: int = ARCHIVE_BYTES, min_revisit_bytes: int = 0
 ) -> DataFrame:
     """Archives of all rows under ``folder`` (a URI that tasks can write to); returns the stored manifest (name, records, bytes)."""
-    rows = with_revisits(pages, id_col, payload_col, min_revisit_bytes)
+    rows = with_revisits(pages.select(id_col, url_col, payload_col), id_col, payload_col, min_revisit_bytes)
     rows = rows.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.when(F.col("_refers").isNull(), F.col("_payload")).alias("payload"), F.octet_length("_payload").alias("size"), "_sha1", F.col("_refers").cast("bigint").alias("refers"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
