@@ -153,7 +153,7 @@ RECURSIVE = PREFIX.replace("WITH e AS", "WITH RECURSIVE e AS")
 
 @query()
 def hold_runs(spark, sf_dir):
-    return held(spark, sf_dir).select("event_id", "hold_id")
+    return held(spark, sf_dir).select("event_id", F.col("hold_id").cast("bigint").alias("hold_id"))
 
 
 ORACLE_SQL["hold_runs"] = f"{RECURSIVE}, {HOLDS} SELECT event_id, hold_id::BIGINT AS hold_id FROM hx"
@@ -333,13 +333,13 @@ def predicted_shape(spark, sf_dir):
 GATES = [round(0.05 * i, 2) for i in range(20)]
 
 
-@query(f"""SELECT event_type, g AS gate, count(*) FILTER (vis >= g) AS kept, round(count(*) FILTER (vis >= g AND x <= 50) / nullif(count(*) FILTER (vis >= g), 0), 6) AS precision FROM e, unnest({GATES}) AS u(g) GROUP BY ALL""")
+@query(f"""SELECT event_type, g AS gate, count(*) FILTER (vis >= g) AS kept, round(count(*) FILTER (vis >= g AND x <= 50) / nullif(count(*) FILTER (vis >= g), 0), 6) AS precision FROM e, unnest({GATES}::DOUBLE[]) AS u(g) GROUP BY ALL""")
 def threshold_sweep(spark, sf_dir):
     return rounded(stats.gate_sweep(series(spark, sf_dir), ["event_type"], "x", "vis", 50.0, GATES), "precision", digits=6)
 
 
 @query(f"""SELECT event_type, coalesce(min(g) FILTER (p >= 0.55), 0.5) AS gate, count(*) FILTER (p >= 0.55) > 0 AS met FROM (
-  SELECT event_type, g, count(*) FILTER (vis >= g AND x <= 50) / nullif(count(*) FILTER (vis >= g), 0) AS p FROM e, unnest({GATES}) AS u(g) GROUP BY ALL) GROUP BY event_type""")
+  SELECT event_type, g, count(*) FILTER (vis >= g AND x <= 50) / nullif(count(*) FILTER (vis >= g), 0) AS p FROM e, unnest({GATES}::DOUBLE[]) AS u(g) GROUP BY ALL) GROUP BY event_type""")
 def recommended_gate(spark, sf_dir):
     return stats.recommended_gate(stats.gate_sweep(series(spark, sf_dir), ["event_type"], "x", "vis", 50.0, GATES), ["event_type"], target=0.55)
 
