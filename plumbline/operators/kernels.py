@@ -17,17 +17,25 @@ def _schema(df: DataFrame, extra: str) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + extra
 
 
-def remove_speed_outliers(df: DataFrame, keys: list[str], time: str, tie: str, x: str, y: str, valid: str, scale: float, max_speed: float) -> DataFrame:
-    """PP5: ``df`` with ``kept``: samples not faster than max_speed from the last kept one."""
+def _scale(part: pd.DataFrame, scale: float | str) -> float:
+    return float(part[scale].iloc[0]) if isinstance(scale, str) else scale
+
+
+def remove_speed_outliers(df: DataFrame, keys: list[str], time: str, tie: str, x: str, y: str, valid: str, scale: float | str, max_speed: float) -> DataFrame:
+    """PP5: ``df`` with ``kept``: samples not faster than max_speed from the last kept one.
+
+    ``scale`` is a number, or a column that holds one value for each series.
+    """
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values([time, tie])
         kept = np.zeros(len(part), bool)
+        size = _scale(part, scale)
         last = None
         for i, (t, px, py, ok) in enumerate(part[[time, x, y, valid]].itertuples(index=False)):
             if not ok:
                 continue
-            if last is not None and t > last[0] and math.hypot(px - last[1], py - last[2]) / (scale * (t - last[0])) > max_speed:
+            if last is not None and t > last[0] and math.hypot(px - last[1], py - last[2]) / (size * (t - last[0])) > max_speed:
                 continue
             kept[i] = True
             last = (t, px, py)
@@ -36,7 +44,7 @@ def remove_speed_outliers(df: DataFrame, keys: list[str], time: str, tie: str, x
     return df.groupBy(*keys).applyInPandas(fold, _schema(df, "kept boolean"))
 
 
-def one_euro(df: DataFrame, keys: list[str], time: str, tie: str, values: list[str], valid: str, scale: float, min_cutoff: float = 1.0, beta: float = 0.3, d_cutoff: float = 1.0, least_dt: float = 1e-3) -> DataFrame:
+def one_euro(df: DataFrame, keys: list[str], time: str, tie: str, values: list[str], valid: str, scale: float | str, min_cutoff: float = 1.0, beta: float = 0.3, d_cutoff: float = 1.0, least_dt: float = 1e-3) -> DataFrame:
     """PP7, PP8: ``df`` with the valid values smoothed by an adaptive low-pass, begun anew after every invalid row."""
 
     def alpha(cutoff: float, dt: float) -> float:
@@ -45,9 +53,10 @@ def one_euro(df: DataFrame, keys: list[str], time: str, tie: str, values: list[s
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values([time, tie])
         times, ok = part[time].to_numpy(float), part[valid].to_numpy(bool)
+        size = _scale(part, scale)
         smooth = {}
         for c in values:
-            raw = part[c].to_numpy(float) / scale
+            raw = part[c].to_numpy(float) / size
             out = raw.copy()
             speed, fresh = 0.0, True
             for i in range(len(raw)):
@@ -62,7 +71,7 @@ def one_euro(df: DataFrame, keys: list[str], time: str, tie: str, values: list[s
                 speed = a * (raw[i] - out[i - 1]) / dt + (1 - a) * speed
                 a = alpha(min_cutoff + beta * abs(speed), dt)
                 out[i] = a * raw[i] + (1 - a) * out[i - 1]
-            smooth[f"{c}_smooth"] = out * scale
+            smooth[f"{c}_smooth"] = out * size
         return part.assign(**smooth)
 
     return df.groupBy(*keys).applyInPandas(fold, _schema(df, ", ".join(f"`{c}_smooth` double" for c in values)))

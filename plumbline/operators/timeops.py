@@ -25,7 +25,7 @@ def gated(x: Column, visibility: Column, usable: Column, least: float = 0.5) ->
     return F.coalesce(usable & x.isNotNull() & (visibility >= least), F.lit(False))
 
 
-def window_motion(df: DataFrame, keys: list[str], time: str, x: str, y: str, known: str, scale: float, window_s: float) -> DataFrame:
+def window_motion(df: DataFrame, keys: list[str], time: str, x: str, y: str, known: str, scale: float | Column, window_s: float) -> DataFrame:
     """SIG2: ``step`` and ``speed`` against the last row at or before ``time - window_s``."""
     frame = over(keys, time, "UNBOUNDED PRECEDING", f"{window_s}D PRECEDING")
     df = df.withColumn("_then", F.expr(f"last_value(struct({time} AS t, {x} AS x, {y} AS y, {known} AS k)) {frame}"))
