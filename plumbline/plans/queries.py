@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as geo
 from plumbline.functions import text
-from plumbline.operators import kernels, people, runs, sampling, scoring, stats, timeops, upsert
+from plumbline.operators import comparison, kernels, people, reports, runs, sampling, scoring, stats, timeops, upsert
 from plumbline.streaming import live
 
 HALF_DAY, DAY = 43_200.0, 86_400.0
@@ -575,3 +575,63 @@ def live_form_events(spark, sf_dir):
     fault = F.when(F.col("x") > 70, "arch").when(F.col("x") < 30, "hips")
     s = series(spark, sf_dir).withColumns({"gate": F.col("ok"), "fault": fault}).withColumn("t", F.col("t") / DAY)
     return rounded(live.events(s, "user_id", "t", ["gate", "fault"], live.FormState, live.form_step), "t", "value", digits=6)
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors as labels of two joints, and the next vector as the pose."""
+    v = vectors(spark, sf_dir).withColumn("clip_id", F.floor(F.col("vec_id") / 50).cast("bigint"))
+    joints = F.explode(F.array(*(F.struct(F.lit(j).alias("joint"), F.col(x).alias("x"), F.col(y).alias("y")) for j, x, y in (("wrist", "a", "b"), ("ankle", "c", "d")))))
+    gt = v.select("clip_id", F.col("vec_id").alias("frame_idx"), joints.alias("p"), F.lit(2.0).alias("length")).select("clip_id", "frame_idx", "p.*", "length")
+    pose = v.select((F.col("vec_id") - 1).alias("frame_idx"), joints.alias("p"), F.abs("a").alias("score")).select("frame_idx", "p.*", "score")
+    return gt, pose
+
+
+GT = f"""{VECTORS}, j AS (SELECT vec_id, 'wrist' AS joint, a AS x, b AS y, abs(a) AS score FROM v UNION ALL SELECT vec_id, 'ankle', c, d, abs(a) FROM v),
+er AS (SELECT floor(g.vec_id / 50)::BIGINT AS clip_id, g.vec_id AS frame_idx, g.joint, p.score, p.x IS NOT NULL AS has_pred, sqrt((g.x - p.x) ** 2 + (g.y - p.y) ** 2) / 2 AS error FROM j g LEFT JOIN j p ON p.vec_id = g.vec_id + 1 AND p.joint = g.joint)"""
+
+
+@query(f", {GT} SELECT frame_idx, joint, has_pred, round(error, 5) AS error FROM er")
+def joint_errors(spark, sf_dir):
+    gt, pose = labelled(spark, sf_dir)
+    return rounded(comparison.joint_errors(gt, pose, ["frame_idx"], "length").select("frame_idx", "joint", "has_pred", "error"), "error", digits=5)
+
+
+@query(f""", {GT}, dl AS (SELECT *, CASE WHEN has_pred AND score >= 0.05 THEN error END AS d FROM er)
+SELECT joint, clip_id, round(avg(coalesce(d <= 0.05, false)::INT), 6) AS pck005, round(avg(coalesce(d <= 0.1, false)::INT), 6) AS pck01, round(avg((d IS NULL)::INT), 6) AS miss_rate, round(avg(d), 5) AS mean_error, round(median(d), 5) AS median_error,
+  count(DISTINCT frame_idx) AS n_frames, count(DISTINCT clip_id) AS n_clips FROM dl GROUP BY GROUPING SETS ((joint, clip_id), (joint), ())""")
+def model_metrics(spark, sf_dir):
+    gt, pose = labelled(spark, sf_dir)
+    found = comparison.metrics(comparison.joint_errors(gt, pose, ["frame_idx"], "length"), [["joint", "clip_id"], ["joint"], []], 0.05, (0.05, 0.1))
+    return rounded(rounded(found, "mean_error", "median_error", digits=5), "pck005", "pck01", "miss_rate", digits=6)
+
+
+@query(f""", {DURATIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - row_number() OVER (PARTITION BY user_id, vis > 0.8 ORDER BY t, event_id) AS run FROM d),
+s AS (SELECT user_id, vis > 0.8 AS c, run, sum(duration) AS q FROM r GROUP BY ALL)
+SELECT user_id, count(*) AS frames, count(*) FILTER (x > 50) AS second_person_frames, round(coalesce(sum(duration) FILTER (x > 50), 0), 3) AS second_person_time, count(*) FILTER (vis > 0.8) AS contact_frames, count(*) FILTER (ok) AS athlete_frames,
+  round((SELECT coalesce(max(q) FILTER (c), 0) FROM s WHERE s.user_id = d.user_id), 3) AS longest_contact, coalesce(sum(duration) FILTER (x > 50), 0) >= {DAY} AS trainer_present FROM d GROUP BY user_id""")
+def clip_report(spark, sf_dir):
+    s = series(spark, sf_dir).withColumns({"second": F.col("x") > 50, "touch": F.col("vis") > 0.8})
+    return rounded(reports.clip_report(s, KEYS, "t", "event_id", "second", "touch", "ok", DAY), "second_person_time", "longest_contact", digits=3)
+
+
+@query("""SELECT user_id, count(*) AS compared, count(*) FILTER ((vis > 0.5) <> (y > 25) AND (x > 50) = (y > 25)) AS fixed, count(*) FILTER ((vis > 0.5) = (y > 25) AND (x > 50) <> (y > 25)) AS broken FROM e WHERE x IS NOT NULL AND vis IS NOT NULL GROUP BY user_id""")
+def compare_readings(spark, sf_dir):
+    s = series(spark, sf_dir)
+    return reports.compare_readings(s, KEYS, F.col("vis") > 0.5, F.col("x") > 50, F.col("y") > 25)
+
+
+@query("SELECT user_id, CASE WHEN min(event_type) = max(event_type) THEN min(event_type) ELSE 'mixed' END AS skill FROM e WHERE event_type <> 'error' GROUP BY user_id")
+def clip_skills(spark, sf_dir):
+    return reports.clip_skills(series(spark, sf_dir), "user_id", "event_type", ("error",))
+
+
+@query("""SELECT user_id, count(*) AS total, count(*) FILTER (date_trunc('week', to_timestamp(t) AT TIME ZONE 'UTC') = date_trunc('week', (SELECT max(ts) FROM events))) AS this_week, round(max(x), 4) AS best FROM e GROUP BY user_id""")
+def session_progress(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    now = ev.agg(F.max("ts")).first()[0]  # one time
+    return rounded(reports.progress(ev, "user_id", "ts", "value", F.lit(now)).select("user_id", "total", "this_week", "best"), "best")
+
+
+@query()
+def clip_diagnostics(spark, sf_dir):
+    return reports.diagnostics(series(spark, sf_dir), KEYS, "t", "event_type")
