@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import geometry as geo
+
 # Weights of a person's score, and the limits of the choice.
 INVERSION, SUPPORT, CONTINUITY, VISIBILITY = 0.4, 0.2, 0.3, 0.1
 LEAST_SCORE = 0.35
@@ -121,3 +123,44 @@ def people_histogram(frames: DataFrame, clip: list[str], n_people: str) -> DataF
     """ORI13: clip and frames by number of people."""
     counts = frames.groupBy(*clip, n_people).agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(*clip).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(n_people, "n")))).alias("frames_by_people"))
+
+# Bones by their ends, and joints of the limbs.
+BONES = {f"{side}_{name}": (f"{side}_{a}", f"{side}_{b}") for side in ("left", "right") for name, a, b in (("upper_arm", "shoulder", "elbow"), ("forearm", "elbow", "wrist"), ("thigh", "hip", "knee"), ("shin", "knee", "ankle"))}
+TOLERANCE = 0.35
+
+
+def bone_length(bone: str) -> Column:
+    """ATH19: from a wide row with a point a joint."""
+    a, b = BONES[bone]
+    return F.hypot(F.col(f"{a}.x") - F.col(f"{b}.x"), F.col(f"{a}.y") - F.col(f"{b}.y"))
+
+
+def bone_outlier(limits: str) -> Column:
+    """ATH21: the first bone that is longer than its clip's p90 (a struct column) allows; null for none."""
+    found = F.lit(None).cast("string")
+    for bone in reversed(BONES):
+        full = F.col(f"{limits}.{bone}")
+        found = F.when((full > 0) & (bone_length(bone) > full * (1 + TOLERANCE)), F.lit(bone)).otherwise(found)
+    return found
+
+
+def counterpart_outlier() -> Column:
+    """ATH22: the first bone whose length differs from its counterpart's by more than the tolerance of the longer."""
+    found = F.lit(None).cast("string")
+    for bone in reversed([b for b in BONES if b.startswith("left_")]):
+        a, b = bone_length(bone), bone_length(bone.replace("left_", "right_"))
+        longer = F.greatest(a, b)
+        found = F.when(a.isNotNull() & b.isNotNull() & (longer > 0) & (F.abs(a - b) / longer > TOLERANCE), F.lit(bone)).otherwise(found)
+    return found
+
+
+def mixed_skeleton(athlete: DataFrame, others: DataFrame, frame: list[str]) -> DataFrame:
+    """ATH24, ATH25: frame and mixed: whether a limb joint of the athlete is nearer to another body than to its own line.
+
+    ``athlete`` has frame, limb joints (x, y) and the line (feet, head); ``others`` the other people's joints of the frame.
+    """
+    points = athlete.select(*frame, "joint", geo.point(F.col("x"), F.col("y")).alias("_p"), "feet", "head")
+    near = points.join(others.select(*frame, F.col("x").alias("o_x"), F.col("y").alias("o_y")), frame)
+    gap = near.groupBy(*frame, "joint", "_p", "feet", "head").agg(F.min(F.hypot(F.col("_p.x") - F.col("o_x"), F.col("_p.y") - F.col("o_y"))).alias("gap"))
+    closer = F.coalesce(F.col("gap") < geo.segment_distance(F.col("_p"), F.col("feet"), F.col("head")), F.lit(False))
+    return gap.groupBy(*frame).agg(F.bool_or(closer).alias("mixed"))
