@@ -82,7 +82,8 @@ def judge_hosts(measured: DataFrame, host_col: str, max_rate: float = 0.5) -> Da
     variance is what the hosts' rates vary beyond binomial noise (method of moments).
     """
     fails = [F.sum(F.expr(f"cast({rule} as long)")).alias(f"x_{name}") for name, rule in HOST_RULES.items()]
-    hosts = measured.groupBy(F.col(host_col).alias("_host")).agg(F.count(F.lit(1)).alias("n"), *fails)
+    # stored, so that the join back reads two plain exchanges and Spark can split a hot host's rows
+    hosts = stored(measured.groupBy(F.col(host_col).alias("_host")).agg(F.count(F.lit(1)).alias("n"), *fails), "hosts")
     moments = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")]
     for name in HOST_RULES:
         moments += [F.sum(f"x_{name}").alias(f"x_{name}"), F.sum(F.col(f"x_{name}") * F.col(f"x_{name}") / F.col("n")).alias(f"xx_{name}")]

@@ -254,11 +254,13 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): edges that connect all nodes which may be linked."""
     # one row a distinct set; copies add nothing
     first = sets.where("node is not null").groupBy("node").agg(F.min("_id").alias("_id"))
-    first = first.select(F.col("node").alias("_n"), F.col("_id").alias("_f"))
+    first = stored(first.select(F.col("node").alias("_n"), F.col("_id").alias("_f")), "ngram-first")
     same = (F.col("node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("_f"))
     nodes = stored(sets.join(first, same, "left_semi").select("node", "n_shingles", "parity", "prefix"), "ngram-nodes")
     tokens = nodes.select(F.explode("prefix").alias("token"), "node", F.col("n_shingles").cast("int").alias("size"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    # stored, as are other sums that are joined back: the join then reads two plain exchanges, whose hot keys Spark can split
+    shared = stored(shared, "ngram-shared")
     meeting = stored(tokens.join(shared, "token"), "ngram-meetings")
     sketches = nodes.select("node", "n_shingles", "parity")
 
@@ -380,7 +382,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marked = sets.select("_id", "n_shingles", "node").join(links, "node", "left").withColumn("_c", F.coalesce("component", "node"))
     # an empty set is a component of its own
     lone = marked.where("_c is null").select("_id", "n_shingles", "node", F.col("_id").alias("component_id"))
-    least = marked.where("_c is not null").groupBy("_c").agg(F.min("_id").alias("component_id"))
+    least = stored(marked.where("_c is not null").groupBy("_c").agg(F.min("_id").alias("component_id")), "ngram-least")
     linked = marked.where("_c is not null").join(least, "_c").select("_id", "n_shingles", "node", "component_id")
     return linked.unionByName(lone).withColumnRenamed("_id", id_col)
 

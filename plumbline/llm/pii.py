@@ -140,7 +140,8 @@ def term_spans(docs: DataFrame, found: DataFrame, text_col: str = "text", disclo
     information = F.log2(F.lit(n) / F.col("n_entity"))
     pmi = F.log2(F.col("n_both") * F.lit(n) / (F.col("n_entity") * F.col("n_term")))
     telling = pairs.where((information > 0) & (pmi >= disclosure * information)).select("entity", "term")
-    told = near.join(telling, ["entity", "term"])
+    # stored, so that the join reads two plain exchanges and Spark can split a hot pair's rows
+    told = near.join(stored(telling, "pii-telling"), ["entity", "term"])
     return told.groupBy("_id", "_text").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
 
 

@@ -48,7 +48,9 @@ def with_revisits(pages: DataFrame, id_col: str, payload_col: str, min_revisit_b
     hashed = pages.withColumn("_payload", payload).withColumn("_sha1", F.sha1("_payload"))
     large = F.octet_length("_payload") >= min_revisit_bytes
     firsts = hashed.where(large).groupBy("_sha1").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    joined = hashed.join(firsts.select(F.col("_sha1").alias("_s"), "_first"), F.col("_sha1") == F.col("_s"), "left").drop("_s")
+    # stored, so that the join reads two plain exchanges and Spark can split a hot payload's rows
+    firsts = stored(firsts.select(F.col("_sha1").alias("_s"), "_first"), "warc-firsts")
+    joined = hashed.join(firsts, F.col("_sha1") == F.col("_s"), "left").drop("_s")
     return joined.withColumn("_refers", F.when(~F.col("_first").eqNullSafe(F.col(id_col)), F.col("_first"))).drop("_first")
 
 
