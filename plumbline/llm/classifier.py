@@ -2,9 +2,11 @@
 
 A document is the set of its word unigrams and bigrams, hashed to ``2**BITS`` ids by Spark.
 The model multiplies each indicator by the log ratio of its smoothed frequencies in the two
-classes, and fits a linear support vector machine to the products by dual coordinate descent.
+classes, and fits a linear support vector machine to the products by dual coordinate descent. It
+has no bias: frequencies are taken within each class, so a text that says nothing scores 0.5 and
+short clean texts are not rejected for being short.
 
-Defined results: null and empty texts have no n-grams and score by the bias alone; labels that
+Defined results: null and empty texts have no n-grams and score 0.5; labels that
 are null or neither 0 nor 1 are ignored; with labels of one class or none, every score is
 the smoothed share of class 1. Repeated rows are scored each; columns of the input named score or
 predicted give way to ours. Copies of a label row count each.
@@ -26,11 +28,9 @@ from plumbline.llm.common import let, read, words
 BITS = 18
 #: Labelled rows that the model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 12_000
-#: Passes of dual coordinate descent, its upper bound on the dual variables, and the share of
-#: the plain mean weight in the interpolated model.
+#: Passes of dual coordinate descent, and its upper bound on the dual variables.
 PASSES = 12
-COST = 0.3
-INTERPOLATION = 0.25
+COST = 0.5
 SMOOTHING = 1.0
 #: Log odds by margin.
 SLOPE = 2.0
@@ -49,7 +49,7 @@ def ngram_ids(text: Column, bits: int = BITS) -> Column:
 
 
 def fit_weights(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights by n-gram id, and the bias, from the labelled sample."""
+    """Weights by n-gram id, and the log odds of a text without any (0, unless all labels are of one class)."""
     size = 1 << bits
     share = (labels.sum() + SMOOTHING) / (len(labels) + 2 * SMOOTHING) if len(labels) else 0.5
     if len(labels) == 0 or labels.min() == labels.max():
@@ -60,23 +60,21 @@ def fit_weights(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, se
     ratio = np.log(counts[1] / (labels.sum() + 2 * SMOOTHING)) - np.log(counts[0] / ((1 - labels).sum() + 2 * SMOOTHING))
     # by the root of a text's n-grams, so that long texts do not rule the margin
     xs = [ratio[ids] / np.sqrt(max(len(ids), 1)) for ids in rows]
-    square = [float(x @ x) + 1 for x in xs]
+    square = [float(x @ x) for x in xs]
     sign = 2.0 * labels - 1
-    alpha, w, bias = np.zeros(len(rows)), np.zeros(size), 0.0
+    alpha, w = np.zeros(len(rows)), np.zeros(size)
     order = np.random.default_rng(seed)
     for _ in range(PASSES):
         for i in order.permutation(len(rows)):
             ids, x = rows[i], xs[i]
-            margin = sign[i] * (w[ids] @ x + bias)
+            if not square[i]:
+                continue
+            margin = sign[i] * (w[ids] @ x)
             step = min(max(alpha[i] + (1 - margin) / square[i], 0.0), COST) - alpha[i]
             if step:
                 alpha[i] += step
                 w[ids] += step * sign[i] * x
-                bias += step * sign[i]
-    used = w != 0
-    mean = np.abs(w[used]).mean() if used.any() else 0.0
-    w = np.where(used, (1 - INTERPOLATION) * w + INTERPOLATION * mean * np.sign(w), 0.0)
-    return (w * ratio).astype(np.float32), float(bias)
+    return (w * ratio).astype(np.float32), 0.0
 
 
 def fit(labelled: DataFrame, bits: int = BITS) -> tuple[np.ndarray, float]:
