@@ -16,7 +16,7 @@ from plumbline.operators.stats import population_sd
 
 @dataclass(frozen=True)
 class Rules:
-    """What is scored, and how. The defaults are those of a handstand."""
+    """What is scored, and how. The defaults are those of an inverted balance."""
 
     groups: tuple = (
         ("stack", 0.25, ("off_shoulder", "off_hip", "off_knee", "off_ankle", "line_deviation", "body_angle")),
