@@ -136,3 +136,29 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = contaminated(docs, read(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id").drop("text_hash")
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_UNIT_LIST = ", ".join(map(_sql, UNITS))
+OP2_SQL = rf"""
+WITH src AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+tok AS (SELECT side, id, text, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: trim(w, {_sql(PUNCTUATION)})), lambda w: w <> '') AS ws FROM src),
+word AS (SELECT side, id, text, len(ws) AS n, i, ws[i] AS raw, CASE WHEN left(ws[i], 1) BETWEEN '0' AND '9' THEN chr(1) || 'number' WHEN left(ws[i], 1) <> left(lower(ws[i]), 1) THEN chr(1) || 'name'
+  WHEN lower(ws[i]) IN ({_UNIT_LIST}) AND i > 1 AND left(ws[i - 1], 1) BETWEEN '0' AND '9' THEN chr(1) || 'unit' ELSE lower(ws[i]) END AS typed FROM tok, unnest(range(1, len(ws) + 1)) AS r(i)),
+win AS (SELECT side, id, text, i AS pos, list(typed) OVER w AS key, list(raw) OVER w AS slots, n FROM word WINDOW w AS (PARTITION BY side, id, text ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+full_win AS (SELECT * FROM win WHERE pos <= n - {WINDOW - 1}),
+item AS (SELECT id AS item_id, key, min(pos) AS item_at, arg_min(slots, pos) AS item_slots FROM full_win WHERE side = 'i' AND len(list_filter(key, lambda k: left(k, 1) = chr(1))) <= {WINDOW - MIN_LITERALS} GROUP BY ALL),
+sized AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n_windows FROM item),
+hit AS (SELECT d.id AS doc_id, d.text, item_id, n_windows, sized.key, item_at, item_slots, d.pos, d.slots, d.pos - item_at AS shift FROM full_win d JOIN sized ON d.key = sized.key WHERE d.side = 'd'),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY doc_id, text, item_id, shift) AS c FROM hit),
+best AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY doc_id, text, item_id, key ORDER BY c DESC, shift) = 1),
+suspect AS (SELECT doc_id, text, item_id, n_windows, count(*) AS n_matched FROM best GROUP BY ALL HAVING count(*) >= {SIMILARITY} * n_windows),
+pair AS (SELECT DISTINCT doc_id, text, item_id, item_slots[k] AS a, slots[k] AS b FROM best, range(1, {WINDOW + 1}) AS r(k) WHERE left(key[k], 1) = chr(1)),
+judged AS (SELECT *, count(*) OVER (PARTITION BY doc_id, text, item_id, a) = 1 AND count(*) OVER (PARTITION BY doc_id, text, item_id, b) = 1 AS single FROM pair),
+slot AS (SELECT doc_id, text, item_id, count(*) AS n_slots, count(*) FILTER (single) AS n_agreeing, bool_and(a = b) AS verbatim FROM judged GROUP BY ALL)
+SELECT s.doc_id, s.item_id, s.n_windows, s.n_matched, coalesce(n_slots, 0)::INT AS n_slots, coalesce(n_agreeing, 0)::INT AS n_agreeing, coalesce(verbatim, true) AS verbatim
+FROM suspect s LEFT JOIN slot p ON s.doc_id = p.doc_id AND s.text = p.text AND s.item_id = p.item_id WHERE coalesce(n_agreeing, 0) >= {AGREEMENT} * coalesce(n_slots, 0)
+"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from plumbline.llm.classifier import op10_quality_classifier
-from plumbline.llm.decontamination import op2_decontamination
+from plumbline.llm.decontamination import OP2_SQL, op2_decontamination
 from plumbline.llm.host_rules import OP6_SQL, op6_host_rules
 from plumbline.llm.licenses import OP9_SQL, op9_licenses
 from plumbline.llm.mixing import op3_mixing
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL = {"op6_host_rules": OP6_SQL, "op9_licenses": OP9_SQL}
+ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op6_host_rules": OP6_SQL, "op9_licenses": OP9_SQL}

@@ -446,7 +446,8 @@ def test_classifier_tells_held_out_texts_apart(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     cur = con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in cur.description]
     show = lambda v: "null" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
