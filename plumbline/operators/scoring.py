@@ -165,3 +165,21 @@ def window_cut(frames: DataFrame, hold: str, wanted: int | Column, time: str, st
     """SHP3: hold ids outside the window, or of other holds, become -1."""
     inside = (F.col(hold) == wanted) & F.col(time).between(start, end)
     return frames.withColumn(hold, F.when(F.coalesce(inside, F.lit(False)), F.col(hold)).otherwise(-1))
+
+
+def frame_severities(features: DataFrame, reference: dict[str, tuple[float, float]], rules: Rules, facing: str = "facing_sign") -> DataFrame:
+    """SCO14, SCO15: ``features`` with severities (map by feature), severity (their greatest) and its band.
+
+    Only frames of a hold that are valid are measured; values along the picture are turned first.
+    """
+    pairs = []
+    for f in rules.features:
+        if f in rules.spreads or f not in reference:
+            continue
+        mean, sd = reference[f]
+        value = F.col(f) * F.col(facing) if f in rules.signed else F.col(f)
+        pairs.append(F.struct(F.lit(f).alias("key"), severity(value, F.lit(mean), F.lit(max(sd, rules.floor(f))), rules.cap).alias("value")))
+    measured = F.coalesce((F.col("hold_id") >= 0) & F.col("valid"), F.lit(False))
+    known = F.filter(F.array(*pairs), lambda p: measured & p["value"].isNotNull())
+    out = features.withColumn("severities", F.map_from_entries(known))
+    return out.withColumn("severity", F.array_max(F.map_values("severities"))).withColumn("band", band(F.col("severity")))

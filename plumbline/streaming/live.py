@@ -182,3 +182,48 @@ def events(
             yield table(key, found)
 
     return frames.groupBy(session).applyInPandasWithState(update, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+
+
+@dataclass
+class HintState:
+    """LIV14, LIV15: the last hint and when, when the inversion ended, and whether framing was not ok."""
+
+    last: str | None = None
+    last_at: float | None = None
+    inverted: bool = False
+    ended_at: float | None = None
+    was_off: bool = False
+
+
+def framing_hint(status: str | None, edges: list[str] | None, upright: bool) -> str | None:
+    """LIV16: what to say of a framing status."""
+    if status == "tooSmall":
+        return "come_closer"
+    if status == "multiplePeople":
+        return "only_you"
+    if status != "partlyOutOfFrame":
+        return None
+    if {"left", "right"} & set(edges or []):
+        return "move_to_middle"
+    return "raise_phone" if list(edges or []) == ["top"] and upright else "step_back"
+
+
+def hint_step(s: HintState, t: float, status: str | None, edges: list[str] | None, inverted: bool, in_line: bool, after_inversion: float = 1.5, gap: float = 4.0, repeat: float = 8.0) -> list[tuple[str, float]]:
+    """LIV14, LIV15: ready when framing becomes ok; hints spaced, the same one farther apart, none just after an inversion."""
+    if s.inverted and not inverted:
+        s.ended_at = t
+    s.inverted = inverted
+    if status is None:
+        return []
+    was_off, s.was_off = s.was_off, status != "ok"
+    if inverted:
+        return []
+    if status == "ok":
+        return [("ready", t)] if was_off else []
+    hint = framing_hint(status, edges, True)
+    if hint is None or in_line or (s.ended_at is not None and t - s.ended_at < after_inversion):
+        return []
+    if s.last_at is not None and t - s.last_at < (repeat if hint == s.last else gap):
+        return []
+    s.last, s.last_at = hint, t
+    return [(f"hint_{hint}", t)]

@@ -51,3 +51,15 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.sql("select * from live").collect()} == batch and batch
+
+
+def test_hints_are_spaced_and_ready_is_an_edge():
+    s = live.HintState()
+    off = ("tooSmall", [], False, False)
+    got = [(e, t) for i in range(20) for e, t in live.hint_step(s, float(i), *off)]
+    assert got == [("hint_come_closer", 0.0), ("hint_come_closer", 8.0), ("hint_come_closer", 16.0)]
+    assert live.hint_step(s, 20.0, "multiplePeople", [], False, False) == [("hint_only_you", 20.0)]
+    assert live.hint_step(s, 21.0, "ok", [], False, False) == [("ready", 21.0)] and live.hint_step(s, 22.0, "ok", [], False, False) == []
+    live.hint_step(s, 30.0, "tooSmall", [], True, False)
+    assert live.hint_step(s, 31.0, "tooSmall", [], False, False) == [] and live.hint_step(s, 33.0, "tooSmall", [], False, False)
+    assert [live.framing_hint("partlyOutOfFrame", e, True) for e in (["left"], ["top"], ["top", "bottom"], [])] == ["move_to_middle", "raise_phone", "step_back", "step_back"]
