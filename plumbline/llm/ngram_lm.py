@@ -1,16 +1,20 @@
-"""N-gram language model in an Elias-Fano trie.
+"""N-gram language model: exact n-gram counts, the frequent ones in an Elias-Fano trie.
 
-All training tokens are counted. Words whose share of them is at least ``FLOOR`` get an id; by
-that bound there are at most 1/FLOOR. N-grams of such words with at least that share
-make the levels of a trie: counts are sums over the whole corpus, and pruning by share behaves
-alike at every size. Probabilities interpolate absolutely discounted counts with the
-lower order down to smoothed unigrams, so pruned mass goes to back-off weights. A level
-keeps the words of its nodes and its pointers as Elias-Fano sequences, probabilities and
-back-off weights as one-byte codes. Words are monotone by adding the context's offset, and a
-lookup is a search for the successor of the word in its context's range.
+All training tokens are counted, and so are all pairs and triples of words; those that stand
+``LEAST`` times or more are in the model at every size of the corpus. Probabilities interpolate absolutely
+discounted counts with the lower order down to smoothed unigrams. The log-probability of a text is
+then a sum over its words, pairs and triples of values that do not depend on each other: a word gives
+its own probability and its back-off weight, a pair what it gains over its words and its own back-off
+weight, a triple what it gains over its pairs. Each value is a lookup by key.
 
-Words below the floor meet the vocabulary in a join; none of them is frequent, so no key of
-the join is hot.
+Values of words and n-grams whose share of all tokens is at least ``FLOOR`` (at most 1/FLOOR of each
+order) lie in a trie that every task has: a level keeps the words of its nodes and its pointers as
+Elias-Fano sequences and values as one-byte codes. Words are monotone by adding the context's offset,
+and a lookup is a search for the successor of the word in its context's range. The values of all
+others stay a table and meet the texts in a join; none of them is frequent, so no key of the join
+is hot. ``FLOOR`` says where a value is looked up, not whether it counts.
+
+Words and n-grams are known by 64-bit hashes.
 
 Defined results: a null or empty text is its end alone; an empty table gives an empty result;
 without training rows every count is 0 and the score is the base score; rows that repeat are scored
@@ -29,9 +33,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import SPACE_RUN, read, stored
+from plumbline.llm.ngram_join import mixed
 
-#: Least share of all tokens of words with an id and of n-grams in the trie.
+#: Least share of all tokens of words and n-grams in the trie; rarer ones are joined.
 FLOOR = 2.0**-20
+#: Least count of pairs and triples in the model.
+LEAST = 2
+#: Least back-off weight.
+LEAST_REST = 1e-6
+#: Tokens that a task counts at a time.
+CHUNK = 4_000_000
 DISCOUNT = 0.75
 ADDED = 0.5
 #: The end token as a word; no word is empty.
@@ -140,39 +151,24 @@ class Trie:
                 out[k] = EliasFano(tuple(int(v) for v in arrays[f"{kind}{k}.meta"]), *(arrays[f"{kind}{k}.{f}"] for f in EliasFano.FIELDS))
 
     @classmethod
-    def pack(cls, size: int, counts: np.ndarray, pairs: np.ndarray, triples: np.ndarray, total: float) -> bytes:
-        """From word counts, sorted (u, v, c) and (u, v, w, c) to the bytes of a trie.
+    def pack(cls, unigram: np.ndarray, rest: np.ndarray, pairs: np.ndarray, triples: np.ndarray, values: tuple[np.ndarray, np.ndarray]) -> bytes:
+        """From values of words, (u, v) and (u, v, w) with their values to the bytes of a trie.
 
-        Of triples only those whose leading and trailing pairs are there are kept.
+        The leading pair of each triple must be there.
         """
-        log_unigram = np.log10((counts + ADDED) / total)
+        size = len(unigram)
         key = pairs[:, 0] * size + pairs[:, 1]
-        lead, tail = triples[:, 0] * size + triples[:, 1], triples[:, 1] * size + triples[:, 2]
-
-        def place(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.minimum(np.searchsorted(key, x), max(len(key) - 1, 0))
-            return at, (key[at] == x) if len(key) else np.zeros(len(x), bool)
-
-        parent, has_lead = place(lead)
-        lower, has_tail = place(tail)
-        keep = has_lead & has_tail
-        triples, parent, lower = triples[keep], parent[keep], lower[keep]
-        weight2 = (pairs[:, 2] - DISCOUNT) / np.maximum(counts[pairs[:, 0]], 1)
-        rest2 = np.clip(1 - np.bincount(pairs[:, 0], weights=weight2, minlength=size), 1e-6, 1)
-        p2 = weight2 + rest2[pairs[:, 0]] * 10 ** log_unigram[pairs[:, 1]]
-        weight3 = (triples[:, 3] - DISCOUNT) / np.maximum(pairs[parent, 2], 1) if len(triples) else np.zeros(0)
-        rest3 = np.clip(1 - np.bincount(parent, weights=weight3, minlength=len(pairs)), 1e-6, 1)
-        p3 = weight3 + rest3[parent] * p2[lower] if len(triples) else np.zeros(0)
-        arrays: dict[str, np.ndarray] = {"unigram": log_unigram}
-        for k, parents, words, p, n_parents in ((1, pairs[:, 0], pairs[:, 1], p2, size), (2, parent, triples[:, 2], p3, len(pairs))):
+        order = np.argsort(key)
+        parent = np.searchsorted(key[order], triples[:, 0] * size + triples[:, 1])
+        order3 = np.argsort(parent * size + triples[:, 2])
+        arrays: dict[str, np.ndarray] = {"unigram": unigram, "rest": rest}
+        for k, parents, words, value, n_parents in ((1, pairs[order, 0], pairs[order, 1], values[0][order], size), (2, parent[order3], triples[order3, 2], values[1][order3], len(pairs))):
             starts = np.concatenate([[0], np.cumsum(np.bincount(parents, minlength=n_parents))])
-            for kind, values in (("words", parents * size + words), ("starts", starts)):
-                ef = EliasFano.build(values)
+            for kind, sequence in (("words", parents * size + words), ("starts", starts)):
+                ef = EliasFano.build(sequence)
                 arrays[f"{kind}{k}.meta"] = np.array([ef.n, ef.width, ef.top])
                 arrays |= {f"{kind}{k}.{f}": getattr(ef, f) for f in EliasFano.FIELDS}
-            arrays[f"p{k}"], arrays[f"p{k}.book"] = _coded(np.log10(p))
-        for k, rest in ((0, rest2), (1, rest3)):
-            arrays[f"rest{k}"], arrays[f"rest{k}.book"] = _coded(np.log10(rest))
+            arrays[f"x{k}"], arrays[f"x{k}.book"] = _coded(value)
         return cls.to_bytes(size, arrays)
 
     @staticmethod
@@ -215,38 +211,84 @@ class Trie:
         return self.a[f"{name}.book"][self.a[name][node]].astype(np.float64)
 
 
-def token_ids(texts: pa.Array, ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Ids of all tokens (-1 below the floor), ends of texts in them, and the words below the floor."""
-    flat, ends, rare = [], [], []
-    end = ids[b""]
-    for t in texts:
-        words = (t.as_py() or b"").lower().split()
-        own = [ids.get(w, -1) for w in words]
-        rare.append([w for w, i in zip(words, own, strict=True) if i < 0] if -1 in own else [])
-        flat += own
-        flat.append(end)
-        ends.append(len(flat))
-    return np.array(flat, np.int64), np.array(ends, np.int64), rare
+def token_hashes(text: Column) -> Column:
+    """Hashes of the words of a binary text, ASCII letters in lower case, and of the end."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    low = F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, upper, lower))
+    return F.transform(F.concat(F.array_remove(F.split(low, SPACE_RUN), END), F.array(F.lit(END))), lambda w: F.xxhash64(w))
+
+
+def keys(*hashes: np.ndarray) -> np.ndarray:
+    """Keys of n-grams of word hashes; n is part of the key."""
+    out = np.full(len(hashes[0]), len(hashes), np.uint64)
+    for h in hashes:
+        out = mixed(mixed(out * np.uint64(0x9E3779B97F4A7C15)) + h.view(np.uint64))
+    return out.view(np.int64)
+
+
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All word hashes of a column of lists, and the ends of the texts in them."""
+    offsets = np.asarray(column.offsets).astype(np.int64)
+    return np.ascontiguousarray(np.asarray(column.flatten())), offsets[1:] - offsets[0]
+
 
+def _grams(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The word before each token (the end, at a text's start) and its place; tokens after a text's first, and the word two before each."""
+    place = np.arange(len(flat)) - 1
+    begins = np.concatenate([[0], ends[:-1]])
+    place[begins] = ends[-1] - 1
+    before = flat[place]
+    inner = np.ones(len(flat), bool)
+    inner[begins] = False
+    two = np.flatnonzero(inner)
+    return before, place, two, before[two - 1]
 
-def _contexts(flat: np.ndarray, ends: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each token (the end, at a text's start) and the one before that (-1 there)."""
-    one = np.concatenate([[end], flat[:-1]])
-    two = np.concatenate([[-1], one[:-1]])
-    two[np.concatenate([[0], ends[:-1]]).astype(np.int64)] = -1
-    return one, two
 
+def _counted(held: list[tuple[np.ndarray, ...]], n: int) -> pa.RecordBatch:
+    """Distinct n-grams and counts, u null for pairs."""
+    columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+    _, first, c = np.unique(keys(*columns), return_index=True, return_counts=True)
+    columns = [pa.array(x[first]) for x in columns]
+    lead = [pa.nulls(len(first), pa.int64())] if n == 2 else []
+    return pa.RecordBatch.from_arrays([*lead, *columns, pa.array(c)], names=["u", "v", "w", "c"])
 
-def _counted(keys: list[np.ndarray]) -> pa.RecordBatch:
-    k, c = np.unique(np.concatenate(keys), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["k", "c"])
+
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """(u, v, w, c, key) of all pairs (u is null) and triples of _h that stand ``LEAST`` times or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, triples, n = [], [], 0
+        for b in batches:
+            flat, ends = tokens(b.column(0))
+            if not len(flat):
+                continue
+            before, _, two, first = _grams(flat, ends)
+            pairs.append((before, flat)), triples.append((first, before[two], flat[two]))
+            n += len(flat)
+            if n > CHUNK:
+                yield _counted(pairs, 2)
+                yield _counted(triples, 3)
+                pairs, triples, n = [], [], 0
+        if pairs:
+            yield _counted(pairs, 2)
+            yield _counted(triples, 3)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, v, w = (np.ascontiguousarray(b.column(i).fill_null(0).to_numpy(zero_copy_only=False)) for i in range(3))
+            key = np.where(np.asarray(b.column(0).is_null()), keys(v, w), keys(u, v, w))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key)], names=[*b.schema.names, "key"])
+
+    found = texts.mapInArrow(run, "u bigint, v bigint, w bigint, c bigint").groupBy("u", "v", "w").agg(F.sum("c").alias("c"))
+    return stored(found.where(F.col("c") >= LEAST).mapInArrow(keyed, "u bigint, v bigint, w bigint, c bigint, key bigint"), "lm-grams")
 
 
 class Model:
-    """What training leaves: the vocabulary table, totals, ids of frequent words and the trie."""
+    """What training leaves: totals, the table of values by key, hashes of frequent words and the trie."""
 
-    def __init__(self, vocabulary: DataFrame, total: int, distinct: int, ids: dict[bytes, int], trie: bytes) -> None:
-        self.vocabulary, self.total, self.distinct, self.ids, self.trie = vocabulary, total, distinct, ids, trie
+    def __init__(self, values: DataFrame, total: int, distinct: int, ids: np.ndarray, trie: bytes) -> None:
+        self.values, self.total, self.distinct, self.ids, self.trie = values, total, distinct, ids, trie
 
     @property
     def mass(self) -> float:
@@ -254,139 +296,128 @@ class Model:
 
 
 def train(texts: DataFrame, floor: float = FLOOR) -> Model:
-    """A model of the texts (one binary column _t)."""
-    spark = texts.sparkSession
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    t = F.coalesce(F.col("_t").cast("string"), F.lit(""))
-    low = F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, upper, lower))
-    words = F.concat(F.array_remove(F.split(low, SPACE_RUN), END), F.array(F.lit(END)))
-    vocabulary = stored(texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c")), "lm-vocabulary")
+    """A model of the texts (one binary column _t); ``floor`` sets what lies in the trie, not what counts."""
+    hashed = texts.select(token_hashes(F.col("_t")).alias("_h"))
+    vocabulary = stored(hashed.select(F.explode("_h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")), "lm-vocabulary")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     least = max(floor * total, 1)
-    # at most 1/floor words
-    frequent = vocabulary.where(F.col("c") >= least).orderBy(F.desc("c"), "word").select("word", "c").toPandas()
-    ids = {w.encode(): i for i, w in enumerate(frequent["word"])}
-    ids.setdefault(END.encode(), len(ids))
-    size, end = len(ids), ids[END.encode()]
-    counts = np.zeros(size, np.int64)
-    counts[: len(frequent)] = frequent["c"]
-    shared = spark.sparkContext.broadcast(ids)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in batches:
-            flat, ends, _ = token_ids(b.column(0), shared.value)
-            one, _ = _contexts(flat, ends, end)
-            ok = (one >= 0) & (flat >= 0)
-            held.append(one[ok] * size + flat[ok])
-            n += len(held[-1])
-            if n > 8_000_000:
-                yield _counted(held)
-                held, n = [], 0
-        if held:
-            yield _counted(held)
-
-    def sums(counted: DataFrame) -> np.ndarray:
-        """Sorted (key, count) of those at the floor: at most 1/floor rows."""
-        rows = counted.groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") >= max(least, 2)).toPandas().sort_values("k")
-        return rows[["k", "c"]].to_numpy(np.int64).reshape(-1, 2)
-
-    pair_counts = sums(texts.mapInArrow(pairs, "k bigint, c bigint"))
-    keys = spark.sparkContext.broadcast(pair_counts[:, 0])
-
-    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = keys.value
-        held, n = [np.zeros(0, np.int64)], 0
-        for b in batches:
-            flat, ends, _ = token_ids(b.column(0), shared.value)
-            one, two = _contexts(flat, ends, end)
-            key = np.where((one >= 0) & (flat >= 0), one * size + flat, -1)
-            at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-            pair = np.where((known[at] == key), at, -1) if len(known) else np.full(len(key), -1)
-            lead = np.concatenate([[-1], pair[:-1]])
-            ok = (lead >= 0) & (pair >= 0) & (two >= 0)
-            # a frequent pair and the word after it
-            held.append(lead[ok] * size + flat[ok])
-            n += len(held[-1])
-            if n > 8_000_000:
-                yield _counted(held)
-                held, n = [np.zeros(0, np.int64)], 0
-        yield _counted(held)
-
-    triple_counts = sums(texts.mapInArrow(triples, "k bigint, c bigint"))
-    p = np.stack([pair_counts[:, 0] // size, pair_counts[:, 0] % size, pair_counts[:, 1]], axis=1)
-    lead, last = triple_counts[:, 0] // size, triple_counts[:, 0] % size
-    q = np.stack([p[lead, 0], p[lead, 1], last, triple_counts[:, 1]], axis=1) if len(lead) else np.zeros((0, 4), np.int64)
     mass = total + ADDED * (distinct + 1)
-    return Model(vocabulary, int(total), int(distinct), ids, Trie.pack(size, counts, p, q, mass))
+    grams = gram_counts(hashed)
+    pairs, triples = grams.where("u is null").select("v", "w", "c", "key"), grams.where("u is not null")
+
+    def rest(c: str) -> Column:
+        return F.greatest(1 - F.coalesce("taken", F.lit(0.0)) / F.col(c), F.lit(LEAST_REST))
+
+    # sums and tables are stored before they are joined, so that Spark can split hot keys
+    taken = F.sum(F.col("c") - DISCOUNT).alias("taken")
+    after = stored(pairs.groupBy(F.col("v").alias("h")).agg(taken), "lm-rest")
+    words = vocabulary.join(after, "h", "left").select("h", "c", ((F.col("c") + ADDED) / F.lit(mass)).alias("p"), rest("c").alias("rest"))
+    words = stored(words, "lm-words")
+    after = stored(triples.groupBy(F.col("u").alias("v"), F.col("v").alias("w")).agg(taken), "lm-rest")
+    known = pairs.join(words.select(F.col("h").alias("v"), F.col("c").alias("c1"), F.col("rest").alias("rest1")), "v")
+    known = known.join(words.select(F.col("h").alias("w"), "p"), "w").join(after, ["v", "w"], "left")
+    p2 = (F.col("c") - DISCOUNT) / F.col("c1") + F.col("rest1") * F.col("p")
+    known = known.select("v", "w", "c", "key", p2.alias("p2"), F.log10(p2 / (F.col("rest1") * F.col("p"))).alias("gain"), rest("c").alias("rest2"))
+    known = stored(known, "lm-pairs")
+    three = triples.join(known.select(F.col("v").alias("u"), F.col("w").alias("v"), F.col("c").alias("c2"), "rest2"), ["u", "v"]).join(known.select("v", "w", "p2"), ["v", "w"])
+    p3 = (F.col("c") - DISCOUNT) / F.col("c2") + F.col("rest2") * F.col("p2")
+    three = stored(three.select("u", "v", "w", "c", "key", F.log10(p3 / (F.col("rest2") * F.col("p2"))).alias("x")), "lm-triples")
+    two = known.select("v", "w", "c", "key", (F.col("gain") + F.log10("rest2")).alias("x"))
+    one = words.select("h", "c", F.log10("p").alias("base"), F.log10("rest").alias("rest"))
+
+    # each of the three has at most 1/floor rows
+    frequent = F.col("c") >= least
+    own = one.where(frequent).drop("c").toPandas().sort_values("h")
+    own2, own3 = two.where(frequent).drop("c", "key").toPandas(), three.where(frequent).drop("c", "key").toPandas()
+    ids = own["h"].to_numpy(np.int64)
+    trie = Trie.pack(
+        own["base"].to_numpy(np.float64),
+        own["rest"].to_numpy(np.float64),
+        np.searchsorted(ids, own2[["v", "w"]].to_numpy(np.int64)),
+        np.searchsorted(ids, own3[["u", "v", "w"]].to_numpy(np.int64)),
+        (own2["x"].to_numpy(np.float64), own3["x"].to_numpy(np.float64)),
+    )
+    none = F.lit(None).cast("double")
+    values = one.where(~frequent).select(F.col("h").alias("key"), "base", (F.col("base") + F.col("rest")).alias("x"))
+    for grams in (two, three):
+        values = values.unionByName(grams.where(~frequent).select("key", none.alias("base"), "x"))
+    return Model(stored(values, "lm-values"), int(total), int(distinct), ids, trie)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "_t") -> DataFrame:
-    """``docs`` (the last column is the text, as binary) with n_tokens, n_known, base_score and score instead of the text."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.ids, model.trie))
-    end, mass = model.ids[END.encode()], model.mass
-    taken = (text_col, "n_tokens", "n_known", "base_score", "score", "base", "got", "rare", "_row")
+    """``docs`` (with a text, as binary) with n_tokens, n_known, base_score and score instead of the text."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.ids, model.trie))
+    taken = (text_col, "n_tokens", "n_known", "base_score", "score", "base", "got", "n_rare", "_text", "_h")
     kept = [f for f in docs.schema.fields if f.name not in taken]  # ours replace columns of the same name
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, data = shared.value
-        trie = Trie.mapped(data)
-        unigram = trie.a["unigram"]
+    def looked_up(trie: Trie, ids: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each token: the word's place (-1 if it is rare), its pair's and its triple's node; then what to join: places and keys."""
+        place = np.minimum(np.searchsorted(ids, flat), max(len(ids) - 1, 0))
+        own = np.where(ids[place] == flat, place, -1) if len(ids) else np.full(len(flat), -1)
+        before, place, two, first = _grams(flat, ends)
+        own_before = own[place]
+        pair, triple = np.full(len(flat), -1), np.full(len(flat), -1)
+        at = np.flatnonzero((own >= 0) & (own_before >= 0))
+        pair[at] = trie.find(1, own_before[at], own[at])
+        at = two[(pair[two - 1] >= 0) & (own[two] >= 0)]
+        triple[at] = trie.find(2, pair[at - 1], own[at])
+        rare, rare2, rare3 = np.flatnonzero(own < 0), np.flatnonzero(pair < 0), triple[two] < 0
+        joined = [flat[rare], keys(before[rare2], flat[rare2]), keys(first[rare3], before[two[rare3]], flat[two[rare3]])]
+        return own, pair, triple, np.concatenate([rare, rare2, two[rare3]]), np.concatenate(joined)
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 b = whole.slice(start, 1024)
-                flat, ends, rare = token_ids(b.column(b.num_columns - 1), ids)
-                one, two = _contexts(flat, ends, end)
-                known = flat >= 0
-                base = np.where(known, unigram[np.maximum(flat, 0)], 0.0)
-                # the pair before each token, the pair it makes, the triple it makes
-                pair = np.full(len(flat), -1, np.int64)
-                ok = np.flatnonzero(known & (one >= 0))
-                pair[ok] = trie.find(1, one[ok], flat[ok])
-                lead = np.where(two >= 0, np.concatenate([[-1], pair[:-1]]), -1)
-                triple = np.full(len(flat), -1, np.int64)
-                ok = np.flatnonzero((lead >= 0) & (pair >= 0))
-                triple[ok] = trie.find(2, lead[ok], flat[ok])
-                rest1 = np.where(one >= 0, trie.value("rest0", np.maximum(one, 0)), 0.0)
-                got = base + rest1
-                at = np.flatnonzero(pair >= 0)
-                got[at] = trie.value("p1", pair[at])
-                at = np.flatnonzero(lead >= 0)
-                got[at] += trie.value("rest1", lead[at])
-                at = np.flatnonzero(triple >= 0)
-                got[at] = trie.value("p2", triple[at])
-                begins = np.concatenate([[0], ends[:-1]])
-                lists = pa.array([w for x in rare for w in x], pa.binary()).cast(pa.string())
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in rare])]).astype(np.int32)
-                extra = [
-                    pa.array(ends - begins),
-                    pa.array(np.add.reduceat((known & (model_counts[np.maximum(flat, 0)] > 0)).astype(np.int64), begins)),
-                    pa.array(np.add.reduceat(base, begins)),
-                    pa.array(np.add.reduceat(got, begins)),
-                    pa.ListArray.from_arrays(pa.array(offsets), lists),
-                ]
-                yield pa.RecordBatch.from_arrays([b.column(i) for i in range(b.num_columns - 1)] + extra, names=[f.name for f in kept] + ["n_tokens", "n_known", "base", "got", "rare"])
-
-    # an end token without training texts has an id and no count
-    model_counts = np.ones(len(model.ids), np.int64)
-    if not model.total:
-        model_counts[end] = 0
-    new = "n_tokens bigint, n_known bigint, base double, got double, rare array<string>"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), new])
-    ordered = docs.select(*(f.name for f in kept), text_col)
-    part = stored(ordered.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "lm-parts")
-    rare = part.select("_row", F.explode("rare").alias("word")).join(model.vocabulary, "word", "left")
-    log = F.log10((F.coalesce("c", F.lit(0)) + F.lit(ADDED)) / F.lit(mass))
-    sums = rare.groupBy("_row").agg(F.sum(log).alias("x"), F.count("c").alias("k"))
-    joined = part.drop("rare").join(sums, "_row", "left")
-    names = [f.name for f in kept]
-    return joined.select(
-        *names,
+                yield b, *tokens(b.column(b.num_columns - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, data = shared.value
+        trie = Trie.mapped(data)
+        for b, flat, ends in slices(batches):
+            own, pair, triple, _, _ = looked_up(trie, ids, flat, ends)
+            base, got = np.zeros(len(flat)), np.zeros(len(flat))
+            at = np.flatnonzero(own >= 0)
+            base[at] = trie.a["unigram"][own[at]]
+            got[at] = base[at] + trie.a["rest"][own[at]]
+            for name, node in (("x1", pair), ("x2", triple)):
+                at = np.flatnonzero(node >= 0)
+                got[at] += trie.value(name, node[at])
+            begins = np.concatenate([[0], ends[:-1]])
+            known = np.add.reduceat((own >= 0).astype(np.int64), begins)
+            extra = [pa.array(ends - begins), pa.array(known), pa.array(np.add.reduceat(base, begins)), pa.array(np.add.reduceat(got, begins))]
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(b.num_columns - 1)] + extra, names=[*b.schema.names[:-1], "n_tokens", "n_known", "base", "got"])
+
+    def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, data = shared.value
+        trie = Trie.mapped(data)
+        for b, flat, ends in slices(batches):
+            *_, at, key = looked_up(trie, ids, flat, ends)
+            order = np.argsort(at, kind="stable")
+            text = b.column(0).take(pa.array(np.searchsorted(ends, at[order], "right")))
+            yield pa.RecordBatch.from_arrays([text, pa.array(key[order])], names=["_text", "key"])
+
+    # a score follows from the text alone, so the joined sums come back by the text's hash, over its copies
+    hashed = docs.select(*(f.name for f in kept), F.xxhash64(text_col).alias("_text"), token_hashes(F.col(text_col)).alias("_h"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "_text bigint, n_tokens bigint, n_known bigint, base double, got double"])
+    part = stored(hashed.mapInArrow(run, schema), "lm-parts")
+    found = hashed.select("_text", "_h").mapInArrow(lookups, "_text bigint, key bigint").join(model.values, "key")
+    sums = found.groupBy("_text").agg(F.sum("base").alias("base_rare"), F.sum("x").alias("x"), F.count("base").alias("n_rare"))
+    copies = part.groupBy("_text").agg(F.count(F.lit(1)).alias("copies"))
+    sums = stored(copies.join(sums, "_text", "left"), "lm-sums").select(
+        "_text",
+        F.coalesce(F.round(F.col("n_rare") / F.col("copies")).cast("bigint"), F.lit(0)).alias("n_rare"),
+        F.coalesce(F.col("base_rare") / F.col("copies"), F.lit(0.0)).alias("base_rare"),
+        F.coalesce(F.col("x") / F.col("copies"), F.lit(0.0)).alias("x"),
+    )
+    # words without a count
+    never = (F.col("n_tokens") - F.col("n_known") - F.col("n_rare")) * F.log10(F.lit(ADDED) / F.lit(model.mass))
+    return part.join(sums, "_text").select(
+        *(f.name for f in kept),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-        (F.col("base") + F.coalesce("x", F.lit(0.0))).alias("base_score"),
-        (F.col("got") + F.coalesce("x", F.lit(0.0))).alias("score"),
+        (F.col("n_known") + F.col("n_rare")).alias("n_known"),
+        (F.col("base") + F.col("base_rare") + never).alias("base_score"),
+        (F.col("got") + F.col("x") + never).alias("score"),
     )
 
 

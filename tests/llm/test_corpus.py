@@ -346,6 +346,22 @@ def test_language_model_equals_counted_probabilities(spark):
         assert got[i].score == pytest.approx(sum(math.log10(p3(*x)) for x in ctx), abs=0.05 * len(w))  # codes of one byte
 
 
+def test_the_floor_of_the_trie_prunes_nothing(spark):
+    r = random.Random(16)
+    vocabulary = [word(r) for _ in range(80)]
+    texts = [" ".join(r.choices(vocabulary, [1 / (i + 1) for i in range(80)], k=r.randint(0, 60))) for _ in range(200)]
+    texts += texts[:5] + ["never seen", ""]
+    docs = documents(spark, texts).select("doc_id", F.col("text").cast("binary").alias("_t"))
+    seen = docs.where("doc_id < 200").select("_t")
+    wanted, got = ({x.doc_id: x for x in ngram_lm.score(docs, ngram_lm.train(seen, floor)).collect()} for floor in (1e-9, 0.02))
+    nothing = {x.doc_id: x for x in ngram_lm.score(docs, ngram_lm.train(seen, 2.0)).collect()}
+    for x in wanted.values():
+        for y in (got[x.doc_id], nothing[x.doc_id]):
+            assert (y.n_tokens, y.n_known) == (x.n_tokens, x.n_known)
+            assert y.base_score == pytest.approx(x.base_score)
+            assert y.score == pytest.approx(x.score, abs=0.05 * x.n_tokens)
+
+
 @tables
 def test_language_model_beats_the_base_on_held_out_texts(spark):
     rows = [x for x in queries.QUERIES["op5_lm_scores"](spark, SF).collect() if x.held_out]
