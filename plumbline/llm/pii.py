@@ -1,11 +1,12 @@
 """Personal data: pattern spans, and terms that disclose them by corpus co-occurrence.
 
 Base spans are emails, IPv4 addresses, payment cards and phone numbers. Each distinct value
-is a protected entity. A term that stands near it discloses it as far as seeing the term tells
+is a protected entity. A term of the same document discloses it as far as seeing the term tells
 the entity: pointwise mutual information over the entity's information content, both from
 document counts over the whole corpus. Terms at or above the threshold, with enough distinct
-texts behind the estimate, are spans too. Sanitising generalises base spans to their kind and
-removes disclosing terms.
+texts behind the estimate, are spans wherever they stand in any text. Letters in a
+base span are no terms. Sanitising generalises base spans to their kind and removes
+disclosing terms.
 
 Defined results: a null or empty text has no spans; a null id is an id like another; rows of
 equal id and text get equal spans; copies of a text count as documents but as one witness of
@@ -30,11 +31,11 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{3,}"
 NOT_TERM = r"[^\p{L}]+"
 
-#: Code points on either side of an entity in which terms count as near it.
-REACH = 80
 #: Least share of an entity's information content that a term must tell, and distinct texts that show it.
 DISCLOSURE = 0.8
 MIN_TEXTS = 3
+#: Most disclosing terms that are broadcast; more are joined as Spark plans it.
+BROADCAST_TERMS = 200_000
 
 SPAN = "struct<start:int,end:int,value:string>"
 
@@ -89,83 +90,123 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _near_terms(text: Column, base: Column) -> Column:
-    """(entity, term, start, end) of the terms near each base span."""
+def _taken(base: Column) -> Column:
+    return F.concat(*(base[k] for k in KINDS))
 
-    def piece(entity: Column, start: Column, end: Column) -> Column:
-        """Terms of text[start:end], without those that its ends cut."""
-        found = spans(F.substring(text, start + 1, end - start), TERM)
-        whole = F.filter(found, lambda s: ((s["start"] > 0) | (start == 0)) & ((start + s["end"] < end) | (end >= F.length(text))))
-        return F.transform(whole, lambda s: F.struct(entity.alias("entity"), F.lower(s["value"]).alias("term"), (start + s["start"]).alias("start"), (start + s["end"]).alias("end")))
 
-    def around(kind: str) -> Column:
-        def of(s: Column) -> Column:
-            value = F.lower(s["value"]) if kind == "email" else s["value"] if kind == "ip" else _digits(s["value"])
-            return let(
-                F.concat(F.lit(f"{kind}:"), value),
-                lambda e: F.concat(
-                    piece(e, F.greatest(s["start"] - REACH, F.lit(0)), s["start"]),
-                    piece(e, s["end"], F.least(s["end"] + REACH, F.length(text))),
-                ),
-            )
+def _blanked(text: Column, base: Column) -> Column:
+    """The text with its base spans as so many spaces."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-        return F.flatten(F.transform(base[kind], of))
+    def blank(x: Column) -> Column:
+        return F.repeat(F.lit(" "), F.length(x))
 
-    every = F.concat(*(around(k) for k in KINDS))
-    taken = F.concat(*(base[k] for k in KINDS))
-    clear = F.filter(every, lambda t: ~F.exists(taken, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return F.array_distinct(clear)
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        span = F.substring(text, F.greatest(acc["at"], s["start"]) + 1, F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(F.when(s["start"] > acc["at"], gap).otherwise(""), blank(span))).alias("out"))
+
+    def end(acc: Column) -> Column:
+        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+
+    return let(_taken(base), lambda spans: F.when(F.size(spans) == 0, text).otherwise(F.aggregate(F.array_sort(spans), zero, step, end)))
+
+
+def _terms(text: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(F.lower(text), NOT_TERM)), lambda t: F.length(t) >= 3)
+
+
+def _entities(base: Column) -> Column:
+    def of(kind: str) -> Column:
+        def value(s: Column) -> Column:
+            return F.lower(s["value"]) if kind == "email" else s["value"] if kind == "ip" else _digits(s["value"])
+
+        return F.transform(base[kind], lambda s: F.concat(F.lit(f"{kind}:"), value(s)))
+
+    return F.array_distinct(F.concat(*(of(k) for k in KINDS)))
+
+
+def _places(text: Column, told: Column) -> Column:
+    """Spans of the terms of the text that are told."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    gaps = let(F.split(text, TERM, -1), lambda g: F.slice(g, 1, F.size(g) - 1))
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), gaps, lambda m, g: F.struct(m.alias("value"), F.length(g).alias("gap")))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["value"])
+        found = F.array(F.struct(start.alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(F.array_contains(told, F.lower(x["value"])), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One stored row a document: _id, _text (hash), base spans and the terms near them."""
+    """One stored row a document: _id, _text (hash), base spans and, if there are any, entities and terms."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), text.alias("_t"), let(text, base_spans).alias("base"))
-    some = F.size(F.concat(*(F.col(f"base.{k}") for k in KINDS))) > 0
-    near = F.when(some, _near_terms(F.col("_t"), F.col("base")))
-    return stored(found.select("_id", "_text", "base", near.alias("near")), "pii-spans")
-
-
-def term_spans(docs: DataFrame, found: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """_id, _text and the sorted spans of disclosing terms, for documents that have any."""
-    near = found.where("near is not null").select("_id", "_text", F.explode("near").alias("x")).select("_id", "_text", "x.*")
-    terms = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), NOT_TERM))
-    counts = docs.select(F.explode(terms).alias("term")).where(F.length("term") >= 3).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    # a row of each entity and text, with its number of copies
-    seen = near.select("_id", "_text", "entity", "term").distinct().groupBy("entity", "term", "_text").agg(F.count(F.lit(1)).alias("copies"))
-    both = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_both"))
-    entities = near.select("_id", "_text", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    some = F.size(_taken(F.col("base"))) > 0
+    terms = F.when(some, _terms(_blanked(F.col("_t"), F.col("base"))))
+    return stored(found.select("_id", "_text", "base", F.when(some, _entities(F.col("base"))).alias("entities"), terms.alias("terms")), "pii-spans")
+
+
+def telling_terms(docs: DataFrame, found: DataFrame, text_col: str, disclosure: float, min_texts: int) -> DataFrame:
+    """Terms that disclose an entity, stored."""
+    plain = let(F.coalesce(F.col(text_col), F.lit("")), lambda t: let(base_spans(t), lambda b: _terms(_blanked(t, b))))
+    counts = docs.select(F.explode(plain).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # copies of a text have equal entities and terms
+    texts = found.where("entities is not null").dropDuplicates(["_id", "_text"])
+    texts = texts.groupBy("_text").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    texts = stored(texts, "pii-texts")
+    entities = texts.select(F.explode("entities").alias("entity"), "copies").groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count(F.lit(1)).alias("texts"))
+    # a pair has no more texts than its entity
+    entities = stored(entities.where(F.col("texts") >= min_texts).drop("texts"), "pii-entities")
+    seen = texts.select(F.explode("entities").alias("entity"), "copies", "terms").join(entities.select("entity"), "entity")
+    both = seen.select("entity", "copies", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("n_both"))
+    both = stored(both.where(F.col("texts") >= min_texts), "pii-pairs")
     n = float(docs.count())
-    pairs = both.where(F.col("texts") >= min_texts).join(entities, "entity").join(counts, "term")
+    pairs = both.join(entities, "entity").join(stored(counts, "pii-terms"), "term")
     information = F.log2(F.lit(n) / F.col("n_entity"))
     pmi = F.log2(F.col("n_both") * F.lit(n) / (F.col("n_entity") * F.col("n_term")))
-    telling = pairs.where((information > 0) & (pmi >= disclosure * information)).select("entity", "term")
-    # stored, so that the join reads two plain exchanges and Spark can split a hot pair's rows
-    told = near.join(stored(telling, "pii-telling"), ["entity", "term"])
-    return told.groupBy("_id", "_text").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    return stored(pairs.where((information > 0) & (pmi >= disclosure * information)).select("term").distinct(), "pii-telling")
+
+
+def term_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame:
+    """_id, _text and the sorted spans of disclosing terms, for documents that have any."""
+    telling = telling_terms(docs, found, text_col, disclosure, min_texts)
+    if telling.count() <= BROADCAST_TERMS:
+        telling = F.broadcast(telling)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_text"), text.alias("_t"))
+    told = own.select("_id", "_text", F.explode(_terms(F.col("_t"))).alias("term")).join(telling, "term")
+    told = stored(told.groupBy(F.col("_id").alias("_i"), F.col("_text").alias("_x")).agg(F.collect_set("term").alias("told")), "pii-told")
+    # rows of equal id and text have equal spans
+    spans = own.join(told, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x"))).dropDuplicates(["_id", "_text"])
+    plain = let(base_spans(F.col("_t")), lambda b: _blanked(F.col("_t"), b))
+    places = spans.select("_id", "_text", let(plain, lambda t: _places(t, F.col("told"))).alias("terms"))
+    return stored(places.where(F.size("terms") > 0), "pii-places")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame:
     """``id_col``, base (struct of spans by kind) and terms (spans), one row for each row of ``docs``."""
     found = find(docs, id_col, text_col)
-    terms = term_spans(docs, found, text_col, disclosure, min_texts)
-    joined = found.join(terms.withColumnsRenamed({"_id": "_i", "_text": "_x"}), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x")), "left")
+    terms = term_spans(docs, found, id_col, text_col, disclosure, min_texts)
+    joined = found.drop("terms").join(terms.withColumnsRenamed({"_id": "_i", "_text": "_x"}), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_x")), "left")
     return joined.select(F.col("_id").alias(id_col), "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")).alias("terms"))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame:
     """``docs`` with base spans of the text generalised to ``[kind]`` and disclosing terms removed."""
     found = find(docs, id_col, text_col)
-    none = F.array().cast("array<struct<start:int,end:int>>")
 
     def edit(kind: str) -> Column:
         return F.transform(F.col(f"base.{kind}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind}]").alias("by")))
 
-    edits = found.where(F.col("near").isNotNull()).select(F.col("_id").alias("_i"), F.col("_text").alias("_x"), F.concat(*map(edit, KINDS)).alias("base"))
-    edits = edits.dropDuplicates(["_i", "_x"])  # rows of equal id and text have equal spans
-    terms = term_spans(docs, found, text_col, disclosure, min_texts)
-    edits = edits.join(terms, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_text")), "left")
-    edits = edits.select("_i", "_x", F.concat("base", F.transform(F.coalesce("terms", none), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("by")))).alias("_e"))
+    base = found.where(F.col("entities").isNotNull()).dropDuplicates(["_id", "_text"])  # rows of equal id and text have equal spans
+    terms = term_spans(docs, found, id_col, text_col, disclosure, min_texts)
+    gone = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("by")))
+    edits = base.select("_id", "_text", F.concat(*map(edit, KINDS)).alias("_e")).unionByName(terms.select("_id", "_text", gone.alias("_e")))
+    edits = edits.groupBy(F.col("_id").alias("_i"), F.col("_text").alias("_x")).agg(F.flatten(F.collect_list("_e")).alias("_e"))
 
     def rewrite(text: Column) -> Column:
         # of overlapping spans the first to start stays, and takes in what overlaps it

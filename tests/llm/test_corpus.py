@@ -137,6 +137,19 @@ def test_terms_that_go_with_an_entity_disclose_it(spark):
     assert all(clean[i] == texts[i] for i in range(8, 208))
 
 
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    r = random.Random(15)
+    texts = [f"Zorblatt {prose(r, 60)} zor@mail.com {prose(r, 20)}" for _ in range(8)]
+    texts += [f"{prose(r, 30)} zorblatt, {prose(r, 10)}"] + [prose(r, 40) for _ in range(200)]
+    docs = documents(spark, texts)
+    rows = {x.doc_id: x for x in pii.personal_data(docs).collect()}
+    assert all("zorblatt" in {texts[i][s.start : s.end].lower() for s in rows[i].terms} for i in range(9))
+    clean = {x.doc_id: x.text for x in pii.sanitised(docs).collect()}
+    assert all("zorblatt" not in clean[i].lower() for i in range(9)) and all("[email]" in clean[i] for i in range(8))
+    # words of chance may tell the address too
+    assert sum(clean[i] == texts[i] for i in range(9, 209)) > 150
+
+
 def test_questions_with_other_numbers_are_caught(spark):
     r = random.Random(2)
     item = "A train leaves Paris with 120 riders and after 3 hours it has gone 240 km how many km is that in 1 hour for 120 riders"
