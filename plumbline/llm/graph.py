@@ -7,32 +7,38 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import stored
 
+#: Rounds grow with the logarithm of the longest path; so many mean that something else is wrong.
+MAX_ROUNDS = 200
 
-def _to_smallest(edges: DataFrame, with_self: bool) -> DataFrame:
+
+def _to_smallest(edges: DataFrame, with_self: bool, name: str) -> DataFrame:
     """Every neighbour v of u joined to the smallest of u's neighbours (and u)."""
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
     if with_self:
         low = low.withColumn("m", F.least("u", "m"))
-    return edges.join(low, "u")
+    # stored, so that the join reads two plain exchanges and Spark can split the rows of a star's centre
+    return edges.join(stored(low, name), "u")
 
 
-def components(edges: DataFrame, name: str = "components", max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, name: str = "components", max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b); component is the smallest node reachable.
 
     Each round links larger neighbours to a node's smallest one (large star), then smaller
     ones to the smallest (small star); the edges end as one star a component. All state is in
-    stored tables; only counts reach the driver.
+    stored tables; only counts reach the driver. Rounds go on until nothing changes; if
+    ``max_rounds`` do not suffice, that is an error and no result.
     """
     state = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     seen = None
     for _ in range(max_rounds):
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_smallest(both, True).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _to_smallest(large, False)
+        large = _to_smallest(both, True, f"{name}-low").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.distinct(), f"{name}-large")
+        small = _to_smallest(large, False, f"{name}-low")
         down = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         state = stored(down.distinct(), name)
         mark = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
-            break
+            return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = mark
-    return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    raise RuntimeError(f"components of {name} did not settle in {max_rounds} rounds")

@@ -1,23 +1,27 @@
-"""N-gram language model: exact n-gram counts, the frequent ones in an Elias-Fano trie.
+"""N-gram language model: corpus counts by shard, answers by block, Elias-Fano tries in the blocks.
 
-All training tokens are counted, and so are all pairs and triples of words; those that stand
-``LEAST`` times or more are in the model at every size of the corpus. Probabilities interpolate absolutely
-discounted counts with the lower order down to smoothed unigrams. The log-probability of a text is
-then a sum over its words, pairs and triples of values that do not depend on each other: a word gives
-its own probability and its back-off weight, a pair what it gains over its words and its own back-off
-weight, a triple what it gains over its pairs. Each value is a lookup by key.
+Documents are cut into blocks of about ``BLOCK`` tokens. A block asks for the corpus counts of all its
+distinct words, pairs and triples: keys go to shards by their hash, each shard sums the training counts
+that the blocks brought and answers each block in the order of its question, so that what is asked is a
+run of sorted keys and what is answered a run of counts. Nothing is pruned and nothing is collected:
+blocks, shards and what they exchange grow with the input, while one block or one shard stays of one size.
 
-Values of words and n-grams whose share of all tokens is at least ``FLOOR`` (at most 1/FLOOR of each
-order) lie in a trie that every task has: a level keeps the words of its nodes and its pointers as
-Elias-Fano sequences and values as one-byte codes. Words are monotone by adding the context's offset,
-and a lookup is a search for the successor of the word in its context's range. The values of all
-others stay a table and meet the texts in a join; none of them is frequent, so no key of the join
-is hot. ``FLOOR`` says where a value is looked up, not whether it counts.
+A block then lays the part of the model that its texts can meet in a trie: each level keeps the words of
+its nodes and its pointers as Elias-Fano sequences and smoothed probabilities and back-off weights as
+one-byte codes, all of them views of one memory map. Words are monotone by adding the last value of the range
+before; a lookup takes a context's range from the pointers and searches it for the word's successor.
 
-Words and n-grams are known by 64-bit hashes.
+Probabilities are interpolated by Dirichlet priors: of a triple (c + S p2) / (c_context + S), of a pair
+likewise over the word's, which is (c + 0.5) / (N + 0.5 (V + 1)); they sum to one over all words. What was never
+counted backs off, by the weight S / (c_context + S). A text's first word has the end as its context.
+S of an order is set so that, of all training tokens, each left out once, as many are expected to be new after
+their context as are (n-grams counted once): sums over all shards, 25 of them an order.
+
+Words are known by 64-bit hashes; pairs and triples by as many bits as the number of tokens has and
+``SPARE_BITS`` more (64 at most), so that one lookup in 2**SPARE_BITS meets a stranger at most.
 
 Defined results: a null or empty text is its end alone; an empty table gives an empty result;
-without training rows every count is 0 and the score is the base score; rows that repeat are scored
+without training rows every count is 0 and the score is the base score up to its code; rows that repeat are scored
 each; a row with a null id trains.
 """
 
@@ -29,21 +33,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import SPACE_RUN, read, stored
 from plumbline.llm.ngram_join import mixed
 
-#: Least share of all tokens of words and n-grams in the trie; rarer ones are joined.
-FLOOR = 2.0**-20
-#: Least count of pairs and triples in the model.
-LEAST = 2
-#: Least back-off weight.
-LEAST_REST = 1e-6
-#: Tokens that a task counts at a time.
-CHUNK = 4_000_000
-DISCOUNT = 0.75
+#: Tokens in a block, beyond which a new one starts (a text is never cut), and tokens of the corpus for each shard.
+BLOCK = 2_000_000
+SHARD = 4_000_000
+SPARE_BITS = 20
+#: Weights of the lower order, in occurrences of the context, among which those of the model are chosen.
+STRENGTHS = 2.0 ** np.arange(-4, 21)
 ADDED = 0.5
 #: The end token as a word; no word is empty.
 END = ""
@@ -114,17 +117,20 @@ class EliasFano:
         place = word * 64 + self._within(~self.high[word], k - self.zeros[word])
         return np.where(h > 0, place - k, 0)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The place of the first value not below each x; n if there is none."""
+    def successor(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place of the first value not below each x in the range from begin to end; end if there is none."""
         h = np.minimum(x >> self.width, self.top + 1)
-        i, end = self._before(h), self._before(np.minimum(h, self.top) + 1)
+        i = np.clip(self._before(h), begin, end)
+        # values with the same high bits, by their low bits
+        stop = np.clip(self._before(np.minimum(h, self.top) + 1), i, end)
         low = x & ((1 << self.width) - 1)
-        left = np.flatnonzero(i < end)
+        left = np.flatnonzero(i < stop)
         while len(left):
-            step = self._lows(i[left]) < low[left]
-            left = left[step]
-            i[left] += 1
-            left = left[i[left] < end[left]]
+            middle = (i[left] + stop[left]) >> 1
+            below = self._lows(middle) < low[left]
+            i[left[below]] = middle[below] + 1
+            stop[left[~below]] = middle[~below]
+            left = left[i[left] < stop[left]]
         return i
 
 
@@ -141,38 +147,34 @@ def _coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trie:
-    """Levels of bigrams and trigrams over ``size`` words; level 0 is the words themselves."""
+    """Levels of words, pairs and triples: p1.. are log10 probabilities, b1 and b2 log10 back-off weights."""
 
-    def __init__(self, size: int, arrays: dict[str, np.ndarray]) -> None:
-        self.size, self.a = size, arrays
+    def __init__(self, arrays: dict[str, np.ndarray]) -> None:
+        self.a = arrays
         self.words, self.starts = {}, {}
-        for k in (1, 2):
+        for k in (2, 3):
             for kind, out in (("words", self.words), ("starts", self.starts)):
                 out[k] = EliasFano(tuple(int(v) for v in arrays[f"{kind}{k}.meta"]), *(arrays[f"{kind}{k}.{f}"] for f in EliasFano.FIELDS))
 
     @classmethod
-    def pack(cls, unigram: np.ndarray, rest: np.ndarray, pairs: np.ndarray, triples: np.ndarray, values: tuple[np.ndarray, np.ndarray]) -> bytes:
-        """From values of words, (u, v) and (u, v, w) with their values to the bytes of a trie.
-
-        The leading pair of each triple must be there.
-        """
-        size = len(unigram)
-        key = pairs[:, 0] * size + pairs[:, 1]
-        order = np.argsort(key)
-        parent = np.searchsorted(key[order], triples[:, 0] * size + triples[:, 1])
-        order3 = np.argsort(parent * size + triples[:, 2])
-        arrays: dict[str, np.ndarray] = {"unigram": unigram, "rest": rest}
-        for k, parents, words, value, n_parents in ((1, pairs[order, 0], pairs[order, 1], values[0][order], size), (2, parent[order3], triples[order3, 2], values[1][order3], len(pairs))):
-            starts = np.concatenate([[0], np.cumsum(np.bincount(parents, minlength=n_parents))])
-            for kind, sequence in (("words", parents * size + words), ("starts", starts)):
+    def pack(cls, children: dict[int, tuple[int, np.ndarray, np.ndarray]], values: dict[str, np.ndarray]) -> bytes:
+        """The bytes of a trie from the levels 2 and 3 as (nodes above, parents, words), by parent and word, and values by name."""
+        arrays: dict[str, np.ndarray] = {}
+        for k, (above, parents, words) in children.items():
+            starts = np.concatenate([[0], np.cumsum(np.bincount(parents, minlength=above))])
+            last = np.zeros(above, np.int64)
+            last[parents] = words  # of equal parents the last assignment stays: their greatest word
+            base = np.concatenate([[0], np.cumsum(last)[:-1]]) if above else last
+            for kind, sequence in (("words", words + base[parents]), ("starts", starts)):
                 ef = EliasFano.build(sequence)
                 arrays[f"{kind}{k}.meta"] = np.array([ef.n, ef.width, ef.top])
                 arrays |= {f"{kind}{k}.{f}": getattr(ef, f) for f in EliasFano.FIELDS}
-            arrays[f"x{k}"], arrays[f"x{k}.book"] = _coded(value)
-        return cls.to_bytes(size, arrays)
+        for name, x in values.items():
+            arrays[name], arrays[f"{name}.book"] = _coded(x)
+        return cls.to_bytes(arrays)
 
     @staticmethod
-    def to_bytes(size: int, arrays: dict[str, np.ndarray]) -> bytes:
+    def to_bytes(arrays: dict[str, np.ndarray]) -> bytes:
         """A line that says where each array starts, then the arrays, each on a multiple of 8 bytes."""
         entries, body, at = [], [], 0
         for name, x in arrays.items():
@@ -180,7 +182,7 @@ class Trie:
             entries.append([name, x.dtype.str, len(x), at])
             body.append(raw + bytes(-len(raw) % 8))
             at += len(body[-1])
-        head = json.dumps({"size": size, "arrays": entries}).encode()
+        head = json.dumps(entries).encode()
         head += b" " * (-(len(head) + 1) % 8) + b"\n"
         return head + b"".join(body)
 
@@ -190,21 +192,25 @@ class Trie:
         memory = mmap.mmap(-1, len(data))
         memory.write(data)
         start = data.index(b"\n") + 1
-        head = json.loads(data[:start])
-        arrays = {name: np.frombuffer(memory, kind, count, start + at) for name, kind, count, at in head["arrays"]}
-        return cls(head["size"], arrays)
+        entries = json.loads(data[:start])
+        return cls({name: np.frombuffer(memory, kind, count, start + at) for name, kind, count, at in entries})
 
     def find(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Nodes of a level for words after context nodes of the level above; -1 where there is none."""
-        words = self.words[level]
+        """Nodes of a level for words after context nodes of the level above (-1 is none); -1 where there is none."""
+        words, starts = self.words[level], self.starts[level]
         out = np.full(len(context), -1, np.int64)
-        if not words.n or not len(context):
+        known = np.flatnonzero(context >= 0)
+        if not words.n or not len(known):
             return out
-        target = context * self.size + word
-        at = words.successor(target)
-        inside = np.flatnonzero(at < words.n)
+        begin, end = starts.get(context[known]), starts.get(context[known] + 1)
+        some = begin < end
+        known, begin, end = known[some], begin[some], end[some]
+        base = np.where(begin > 0, words.get(np.maximum(begin - 1, 0)), 0)
+        target = base + word[known]
+        at = words.successor(target, begin, end)
+        inside = np.flatnonzero(at < end)
         hit = inside[words.get(at[inside]) == target[inside]]
-        out[hit] = at[hit]
+        out[known[hit]] = at[hit]
         return out
 
     def value(self, name: str, node: np.ndarray) -> np.ndarray:
@@ -212,7 +218,7 @@ class Trie:
 
 
 def token_hashes(text: Column) -> Column:
-    """Hashes of the words of a binary text, ASCII letters in lower case, and of the end."""
+    """Hashes of the words of a text, ASCII letters in lower case, and of the end."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     t = F.coalesce(text.cast("string"), F.lit(""))
     low = F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, upper, lower))
@@ -223,210 +229,231 @@ def keys(*hashes: np.ndarray) -> np.ndarray:
     """Keys of n-grams of word hashes; n is part of the key."""
     out = np.full(len(hashes[0]), len(hashes), np.uint64)
     for h in hashes:
-        out = mixed(mixed(out * np.uint64(0x9E3779B97F4A7C15)) + h.view(np.uint64))
-    return out.view(np.int64)
+        out = mixed(mixed(out * np.uint64(0x9E3779B97F4A7C15)) + h)
+    return out
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All word hashes of a column of lists, and the ends of the texts in them."""
-    offsets = np.asarray(column.offsets).astype(np.int64)
-    return np.ascontiguousarray(np.asarray(column.flatten())), offsets[1:] - offsets[0]
+def steps(x: np.ndarray) -> np.ndarray:
+    """The first of sorted numbers, then the differences."""
+    return np.diff(x, prepend=x[:1] * x.dtype.type(0))
 
 
-def _grams(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The word before each token (the end, at a text's start) and its place; tokens after a text's first, and the word two before each."""
-    place = np.arange(len(flat)) - 1
-    begins = np.concatenate([[0], ends[:-1]])
-    place[begins] = ends[-1] - 1
-    before = flat[place]
-    inner = np.ones(len(flat), bool)
-    inner[begins] = False
-    two = np.flatnonzero(inner)
-    return before, place, two, before[two - 1]
+class Grams:
+    """The distinct pairs and triples of a block's tokens, and where the tokens find theirs."""
 
+    def __init__(self, vocabulary: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
+        self.size, end = len(vocabulary), ids[ends[-1] - 1]
+        self.begins = np.concatenate([[0], ends[:-1]])
+        before = np.concatenate([[end], ids[:-1]]).astype(np.int64)
+        before[self.begins] = end
+        self.pair, self.pair_of = np.unique(before * self.size + ids, return_inverse=True)
+        inner = np.ones(len(ids), bool)
+        inner[self.begins] = False
+        #: tokens after a text's first; each ends a triple that starts with the pair before
+        self.inner = np.flatnonzero(inner)
+        self.triple, self.triple_of = np.unique(self.pair_of[self.inner - 1] * self.size + ids[self.inner], return_inverse=True)
+        self.v, self.w = np.divmod(self.pair, self.size)
+        self.lead, self.last = np.divmod(self.triple, self.size)
+        self.tail = np.zeros(len(self.triple), np.int64)  # the pair that ends each triple
+        self.tail[self.triple_of] = self.pair_of[self.inner]
+        self.vocabulary = vocabulary
 
-def _counted(held: list[tuple[np.ndarray, ...]], n: int) -> pa.RecordBatch:
-    """Distinct n-grams and counts, u null for pairs."""
-    columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-    _, first, c = np.unique(keys(*columns), return_index=True, return_counts=True)
-    columns = [pa.array(x[first]) for x in columns]
-    lead = [pa.nulls(len(first), pa.int64())] if n == 2 else []
-    return pa.RecordBatch.from_arrays([*lead, *columns, pa.array(c)], names=["u", "v", "w", "c"])
+    def keys(self, n: int) -> np.ndarray:
+        h = self.vocabulary
+        if n == 1:
+            return h
+        return keys(h[self.v], h[self.w]) if n == 2 else keys(h[self.v[self.lead]], h[self.w[self.lead]], h[self.last])
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """(u, v, w, c, key) of all pairs (u is null) and triples of _h that stand ``LEAST`` times or more."""
+def in_blocks(docs: DataFrame, text_col: str, train_col: str) -> DataFrame:
+    """Stored rows of block, rows (the other columns), trains, tokens, ends, ids and vocabulary (sorted word hashes)."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, train_col)]
+    hashed = docs.select(F.struct(*kept).alias("row"), F.coalesce(train_col, F.lit(False)).alias("train"), token_hashes(F.col(text_col)).alias("_h"))
+
+    def block(number: int, rows: list[pa.Array], trains: list[pa.Array], flat: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        vocabulary, ids = np.unique(np.concatenate(flat), return_inverse=True)
+        whole, flags = pa.concat_arrays(rows), pa.concat_arrays(trains)
+        around = pa.array([0, len(whole)], pa.int32())
+        ends = np.cumsum(np.concatenate(sizes))
+        columns = [pa.array([number]), pa.ListArray.from_arrays(around, whole), pa.ListArray.from_arrays(around, flags), pa.array([len(ids)]), pa.array([packed(ends)]), pa.array([packed(ids.astype(np.uint32))]), pa.array([packed(steps(vocabulary))])]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "rows", "trains", "tokens", "ends", "ids", "vocabulary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, triples, n = [], [], 0
-        for b in batches:
-            flat, ends = tokens(b.column(0))
-            if not len(flat):
-                continue
-            before, _, two, first = _grams(flat, ends)
-            pairs.append((before, flat)), triples.append((first, before[two], flat[two]))
-            n += len(flat)
-            if n > CHUNK:
-                yield _counted(pairs, 2)
-                yield _counted(triples, 3)
-                pairs, triples, n = [], [], 0
-        if pairs:
-            yield _counted(pairs, 2)
-            yield _counted(triples, 3)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            u, v, w = (np.ascontiguousarray(b.column(i).fill_null(0).to_numpy(zero_copy_only=False)) for i in range(3))
-            key = np.where(np.asarray(b.column(0).is_null()), keys(v, w), keys(u, v, w))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key)], names=[*b.schema.names, "key"])
+        number = TaskContext.get().partitionId() << 32
+        held, n = ([], [], [], []), 0
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                b = whole.slice(start, 256)
+                offsets = np.asarray(b.column(2).offsets).astype(np.int64)
+                held[0].append(b.column(0)), held[1].append(b.column(1))
+                held[2].append(np.array(b.column(2).flatten()).view(np.uint64)), held[3].append(np.diff(offsets))
+                n += int(offsets[-1] - offsets[0])
+                if n >= BLOCK:
+                    yield block(number, *held)
+                    number, held, n = number + 1, ([], [], [], []), 0
+        if n:
+            yield block(number, *held)
 
-    found = texts.mapInArrow(run, "u bigint, v bigint, w bigint, c bigint").groupBy("u", "v", "w").agg(F.sum("c").alias("c"))
-    return stored(found.where(F.col("c") >= LEAST).mapInArrow(keyed, "u bigint, v bigint, w bigint, c bigint, key bigint"), "lm-grams")
+    row_type = hashed.schema["row"].dataType.simpleString()
+    return stored(hashed.mapInArrow(run, f"block bigint, rows array<{row_type}>, trains array<boolean>, tokens bigint, ends binary, ids binary, vocabulary binary"), "lm-blocks")
 
 
-class Model:
-    """What training leaves: totals, the table of values by key, hashes of frequent words and the trie."""
+def _block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.cumsum(unpacked(row["vocabulary"], np.uint64)), unpacked(row["ids"], np.uint32).astype(np.int64), unpacked(row["ends"], np.int64)
 
-    def __init__(self, values: DataFrame, total: int, distinct: int, ids: np.ndarray, trie: bytes) -> None:
-        self.values, self.total, self.distinct, self.ids, self.trie = values, total, distinct, ids, trie
 
-    @property
-    def mass(self) -> float:
-        return self.total + ADDED * (self.distinct + 1)
+def key_bits(tokens: int) -> int:
+    return min(64, max(1, tokens).bit_length() + SPARE_BITS)
 
 
-def train(texts: DataFrame, floor: float = FLOOR) -> Model:
-    """A model of the texts (one binary column _t); ``floor`` sets what lies in the trie, not what counts."""
-    hashed = texts.select(token_hashes(F.col("_t")).alias("_h"))
-    vocabulary = stored(hashed.select(F.explode("_h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")), "lm-vocabulary")
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(floor * total, 1)
-    mass = total + ADDED * (distinct + 1)
-    grams = gram_counts(hashed)
-    pairs, triples = grams.where("u is null").select("v", "w", "c", "key"), grams.where("u is not null")
-
-    def rest(c: str) -> Column:
-        return F.greatest(1 - F.coalesce("taken", F.lit(0.0)) / F.col(c), F.lit(LEAST_REST))
-
-    # sums and tables are stored before they are joined, so that Spark can split hot keys
-    taken = F.sum(F.col("c") - DISCOUNT).alias("taken")
-    after = stored(pairs.groupBy(F.col("v").alias("h")).agg(taken), "lm-rest")
-    words = vocabulary.join(after, "h", "left").select("h", "c", ((F.col("c") + ADDED) / F.lit(mass)).alias("p"), rest("c").alias("rest"))
-    words = stored(words, "lm-words")
-    after = stored(triples.groupBy(F.col("u").alias("v"), F.col("v").alias("w")).agg(taken), "lm-rest")
-    known = pairs.join(words.select(F.col("h").alias("v"), F.col("c").alias("c1"), F.col("rest").alias("rest1")), "v")
-    known = known.join(words.select(F.col("h").alias("w"), "p"), "w").join(after, ["v", "w"], "left")
-    p2 = (F.col("c") - DISCOUNT) / F.col("c1") + F.col("rest1") * F.col("p")
-    known = known.select("v", "w", "c", "key", p2.alias("p2"), F.log10(p2 / (F.col("rest1") * F.col("p"))).alias("gain"), rest("c").alias("rest2"))
-    known = stored(known, "lm-pairs")
-    three = triples.join(known.select(F.col("v").alias("u"), F.col("w").alias("v"), F.col("c").alias("c2"), "rest2"), ["u", "v"]).join(known.select("v", "w", "p2"), ["v", "w"])
-    p3 = (F.col("c") - DISCOUNT) / F.col("c2") + F.col("rest2") * F.col("p2")
-    three = stored(three.select("u", "v", "w", "c", "key", F.log10(p3 / (F.col("rest2") * F.col("p2"))).alias("x")), "lm-triples")
-    two = known.select("v", "w", "c", "key", (F.col("gain") + F.log10("rest2")).alias("x"))
-    one = words.select("h", "c", F.log10("p").alias("base"), F.log10("rest").alias("rest"))
-
-    # each of the three has at most 1/floor rows
-    frequent = F.col("c") >= least
-    own = one.where(frequent).drop("c").toPandas().sort_values("h")
-    own2, own3 = two.where(frequent).drop("c", "key").toPandas(), three.where(frequent).drop("c", "key").toPandas()
-    ids = own["h"].to_numpy(np.int64)
-    trie = Trie.pack(
-        own["base"].to_numpy(np.float64),
-        own["rest"].to_numpy(np.float64),
-        np.searchsorted(ids, own2[["v", "w"]].to_numpy(np.int64)),
-        np.searchsorted(ids, own3[["u", "v", "w"]].to_numpy(np.int64)),
-        (own2["x"].to_numpy(np.float64), own3["x"].to_numpy(np.float64)),
-    )
-    none = F.lit(None).cast("double")
-    values = one.where(~frequent).select(F.col("h").alias("key"), "base", (F.col("base") + F.col("rest")).alias("x"))
-    for grams in (two, three):
-        values = values.unionByName(grams.where(~frequent).select("key", none.alias("base"), "x"))
-    return Model(stored(values, "lm-values"), int(total), int(distinct), ids, trie)
-
-
-def score(docs: DataFrame, model: Model, text_col: str = "_t") -> DataFrame:
-    """``docs`` (with a text, as binary) with n_tokens, n_known, base_score and score instead of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.ids, model.trie))
-    taken = (text_col, "n_tokens", "n_known", "base_score", "score", "base", "got", "n_rare", "_text", "_h")
-    kept = [f for f in docs.schema.fields if f.name not in taken]  # ours replace columns of the same name
-
-    def looked_up(trie: Trie, ids: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of each token: the word's place (-1 if it is rare), its pair's and its triple's node; then what to join: places and keys."""
-        place = np.minimum(np.searchsorted(ids, flat), max(len(ids) - 1, 0))
-        own = np.where(ids[place] == flat, place, -1) if len(ids) else np.full(len(flat), -1)
-        before, place, two, first = _grams(flat, ends)
-        own_before = own[place]
-        pair, triple = np.full(len(flat), -1), np.full(len(flat), -1)
-        at = np.flatnonzero((own >= 0) & (own_before >= 0))
-        pair[at] = trie.find(1, own_before[at], own[at])
-        at = two[(pair[two - 1] >= 0) & (own[two] >= 0)]
-        triple[at] = trie.find(2, pair[at - 1], own[at])
-        rare, rare2, rare3 = np.flatnonzero(own < 0), np.flatnonzero(pair < 0), triple[two] < 0
-        joined = [flat[rare], keys(before[rare2], flat[rare2]), keys(first[rare3], before[two[rare3]], flat[two[rare3]])]
-        return own, pair, triple, np.concatenate([rare, rare2, two[rare3]]), np.concatenate(joined)
-
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                b = whole.slice(start, 1024)
-                yield b, *tokens(b.column(b.num_columns - 1))
+def counted(blocks: DataFrame, tokens: int) -> DataFrame:
+    """Stored answers: block, n, shard, counts of the n-grams of the block in the order of their keys; once a shard, what its counts sum to."""
+    shards = max(1, -(-tokens // SHARD))
+    bits = key_bits(tokens)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, data = shared.value
-        trie = Trie.mapped(data)
-        for b, flat, ends in slices(batches):
-            own, pair, triple, _, _ = looked_up(trie, ids, flat, ends)
-            base, got = np.zeros(len(flat)), np.zeros(len(flat))
-            at = np.flatnonzero(own >= 0)
-            base[at] = trie.a["unigram"][own[at]]
-            got[at] = base[at] + trie.a["rest"][own[at]]
-            for name, node in (("x1", pair), ("x2", triple)):
-                at = np.flatnonzero(node >= 0)
-                got[at] += trie.value(name, node[at])
-            begins = np.concatenate([[0], ends[:-1]])
-            known = np.add.reduceat((own >= 0).astype(np.int64), begins)
-            extra = [pa.array(ends - begins), pa.array(known), pa.array(np.add.reduceat(base, begins)), pa.array(np.add.reduceat(got, begins))]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(b.num_columns - 1)] + extra, names=[*b.schema.names[:-1], "n_tokens", "n_known", "base", "got"])
-
-    def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, data = shared.value
-        trie = Trie.mapped(data)
-        for b, flat, ends in slices(batches):
-            *_, at, key = looked_up(trie, ids, flat, ends)
-            order = np.argsort(at, kind="stable")
-            text = b.column(0).take(pa.array(np.searchsorted(ends, at[order], "right")))
-            yield pa.RecordBatch.from_arrays([text, pa.array(key[order])], names=["_text", "key"])
-
-    # a score follows from the text alone, so the joined sums come back by the text's hash, over its copies
-    hashed = docs.select(*(f.name for f in kept), F.xxhash64(text_col).alias("_text"), token_hashes(F.col(text_col)).alias("_h"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "_text bigint, n_tokens bigint, n_known bigint, base double, got double"])
-    part = stored(hashed.mapInArrow(run, schema), "lm-parts")
-    found = hashed.select("_text", "_h").mapInArrow(lookups, "_text bigint, key bigint").join(model.values, "key")
-    sums = found.groupBy("_text").agg(F.sum("base").alias("base_rare"), F.sum("x").alias("x"), F.count("base").alias("n_rare"))
-    copies = part.groupBy("_text").agg(F.count(F.lit(1)).alias("copies"))
-    sums = stored(copies.join(sums, "_text", "left"), "lm-sums").select(
-        "_text",
-        F.coalesce(F.round(F.col("n_rare") / F.col("copies")).cast("bigint"), F.lit(0)).alias("n_rare"),
-        F.coalesce(F.col("base_rare") / F.col("copies"), F.lit(0.0)).alias("base_rare"),
-        F.coalesce(F.col("x") / F.col("copies"), F.lit(0.0)).alias("x"),
-    )
-    # words without a count
-    never = (F.col("n_tokens") - F.col("n_known") - F.col("n_rare")) * F.log10(F.lit(ADDED) / F.lit(model.mass))
-    return part.join(sums, "_text").select(
-        *(f.name for f in kept),
-        "n_tokens",
-        (F.col("n_known") + F.col("n_rare")).alias("n_known"),
-        (F.col("base") + F.col("base_rare") + never).alias("base_score"),
-        (F.col("got") + F.col("x") + never).alias("score"),
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i].as_py() for c in ("block", "ends", "ids", "vocabulary")}
+                vocabulary, ids, ends = _block(row)
+                trains = np.repeat(np.asarray(b.column("trains")[i].values), np.diff(ends, prepend=0))
+                grams = Grams(vocabulary, ids, ends)
+                for n, of, trained in ((1, ids, trains), (2, grams.pair_of, trains), (3, grams.triple_of, trains[grams.inner])):
+                    width = 64 if n == 1 else bits
+                    key = grams.keys(n) >> np.uint64(64 - width)
+                    count = np.bincount(of[trained], minlength=len(key)).astype(np.uint32)
+                    order = np.argsort(key)
+                    key, count = key[order], count[order]
+                    cuts = [*np.searchsorted(key, np.array([(s << width) // shards for s in range(shards)], np.uint64)).tolist(), len(key)]
+                    parts = [(s, lo, hi) for s, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if lo < hi]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "block": pa.array([row["block"]] * len(parts), pa.int64()),
+                            "n": pa.array([n] * len(parts), pa.int32()),
+                            "shard": pa.array([s for s, _, _ in parts], pa.int32()),
+                            "keys": pa.array([packed(steps(key[lo:hi])) for _, lo, hi in parts], pa.binary()),
+                            "counts": pa.array([packed(count[lo:hi]) for _, lo, hi in parts], pa.binary()),
+                        }
+                    )
+
+    def answer(asked: pa.Table) -> pa.Table:
+        # a shard is a range of hashes: of one size, whatever is frequent, since a block asks for a key once
+        key = [np.cumsum(unpacked(k.as_py(), np.uint64)) for k in asked.column("keys")]
+        distinct, of = np.unique(np.concatenate(key), return_inverse=True)
+        counts = np.concatenate([unpacked(c.as_py(), np.uint32) for c in asked.column("counts")])
+        total = np.bincount(of, weights=counts, minlength=len(distinct)).astype(np.uint64)
+        found = np.split(total[of], np.cumsum([len(k) for k in key])[:-1])
+        c = total[total > 0].astype(np.float64)
+        times = np.bincount(np.minimum(c, 1 << 16).astype(np.int64)) if len(c) else np.zeros(1)
+        c = np.arange(1, len(times))
+        new = [float((times[1:] * c * s / (c - 1 + s)).sum()) for s in STRENGTHS]
+        rest = [0] * (len(key) - 1)
+        columns = [asked.column("block"), asked.column("n"), asked.column("shard"), pa.array([packed(x) for x in found], pa.binary())]
+        columns += [pa.array([int(total.sum()), *rest], pa.int64()), pa.array([int((total > 0).sum()), *rest], pa.int64())]
+        columns += [pa.array([int((total == 1).sum()), *rest], pa.int64()), pa.array([new, *([None] * len(rest))], pa.list_(pa.float64()))]
+        return pa.Table.from_arrays(columns, names=["block", "n", "shard", "counts", "total", "distinct", "once", "new"])
+
+    asked = blocks.select("block", "trains", "ends", "ids", "vocabulary").mapInArrow(ask, "block bigint, n int, shard int, keys binary, counts binary")
+    return stored(asked.groupBy("n", "shard").applyInArrow(answer, "block bigint, n int, shard int, counts binary, total bigint, distinct bigint, once bigint, new array<double>"), "lm-answers")
+
+
+def fitted(answers: DataFrame) -> tuple[int, int, tuple[float, float]]:
+    """Training tokens, their distinct words and the weights of the lower order for pairs and for triples."""
+    sums = {r["n"]: r for r in answers.groupBy("n").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct"), F.sum("once").alias("once")).collect()}  # 3 rows
+    new = answers.where("new is not null").select("n", F.posexplode("new")).groupBy("n", "pos").agg(F.sum("col").alias("new")).collect()  # len(STRENGTHS) rows an order
+    if not sums:
+        return 0, 0, (1.0, 1.0)
+
+    def weight(n: int) -> float:
+        expected = np.array([r["new"] for r in sorted((r for r in new if r["n"] == n - 1), key=lambda r: r["pos"])])
+        return float(2.0 ** np.interp(sums[n]["once"] if n in sums else 0, expected, np.log2(STRENGTHS)))
+
+    return sums[1]["total"], sums[1]["distinct"], (weight(2), weight(3))
+
+
+def model_slice(grams: Grams, counts: list[np.ndarray], mass: float, strengths: tuple[float, float]) -> bytes:
+    """The trie of what of a block's n-grams was counted, by the counts of its words, pairs and triples."""
+    s2, s3 = strengths
+    one, two, three = (c.astype(np.float64) for c in counts)
+    p1 = (one + ADDED) / mass
+    p2 = (two + s2 * p1[grams.w]) / (one[grams.v] + s2)
+    p3 = (three + s3 * p2[grams.tail]) / (two[grams.lead] + s3)
+    pairs, triples = np.flatnonzero(two > 0), np.flatnonzero(three > 0)
+    node = np.cumsum(two > 0) - 1
+    return Trie.pack(
+        {2: (grams.size, grams.v[pairs], grams.w[pairs]), 3: (len(pairs), node[grams.lead[triples]], grams.last[triples])},
+        {"p1": np.log10(p1), "b1": np.log10(s2 / (one + s2)), "p2": np.log10(p2[pairs]), "b2": np.log10(s3 / (two[pairs] + s3)), "p3": np.log10(p3[triples])},
     )
 
 
+def token_scores(trie: Trie, grams: Grams) -> np.ndarray:
+    """log10 probability of each token of a block; each distinct pair and triple is looked up once."""
+    pair = trie.find(2, grams.v, grams.w)
+    of_pair = trie.value("b1", grams.v) + trie.value("p1", grams.w)
+    seen = np.flatnonzero(pair >= 0)
+    of_pair[seen] = trie.value("p2", pair[seen])
+    triple = trie.find(3, pair[grams.lead], grams.last)
+    rest = np.zeros(len(pair))
+    rest[seen] = trie.value("b2", pair[seen])
+    of_triple = rest[grams.lead] + of_pair[grams.tail]
+    seen = np.flatnonzero(triple >= 0)
+    of_triple[seen] = trie.value("p3", triple[seen])
+    out = of_pair[grams.pair_of]
+    out[grams.inner] = of_triple[grams.triple_of]
+    return out
+
+
+def with_lm_scores(docs: DataFrame, train: Column, text_col: str = "text") -> DataFrame:
+    """``docs`` with n_tokens, n_known, train_tokens, base_score and score instead of the text, by a model of the rows where ``train`` holds.
+
+    Other columns travel with the blocks of texts; ours replace columns of the same names.
+    """
+    added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    kept = [f for f in docs.schema.fields if f.name not in (*added, text_col)]
+    blocks = in_blocks(docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text_col).alias("_text_"), train.alias("_train_")), "_text_", "_train_")
+    tokens = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    answers = counted(blocks, tokens)
+    total, distinct, strengths = fitted(answers)
+    mass = total + ADDED * (distinct + 1)
+
+    def scored(block: pa.Table, answers: pa.Table) -> pa.Table:
+        vocabulary, ids, ends = _block(block.select(["ends", "ids", "vocabulary"]).to_pylist()[0])
+        grams = Grams(vocabulary, ids, ends)
+        n, shard = (np.asarray(answers.column(c)) for c in ("n", "shard"))
+        counts = []
+        for k in (1, 2, 3):
+            parts = np.flatnonzero(n == k)[np.argsort(shard[n == k])]
+            answered = [unpacked(answers.column("counts")[int(i)].as_py(), np.uint64) for i in parts]
+            key = grams.keys(k) >> np.uint64(0 if k == 1 else 64 - key_bits(tokens))
+            count = np.zeros(len(key), np.int64)
+            if answered:
+                count[np.argsort(key)] = np.concatenate(answered)
+            counts.append(count)
+        trie = Trie.mapped(model_slice(grams, counts, mass, strengths))
+        base = np.log10((counts[0] + ADDED) / mass)[ids]
+        sums = [np.add.reduceat(x, grams.begins) for x in ((counts[0] > 0)[ids].astype(np.int64), base, token_scores(trie, grams))]
+        rows = block.column("rows").combine_chunks().flatten()
+        columns = [pa.array(np.diff(ends, prepend=0)), pa.array(sums[0]), pa.array(np.full(len(ends), total, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+        return pa.Table.from_arrays([*(rows.field(i) for i in range(len(kept))), *columns], names=[*(f.name for f in kept), *added])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"])
+    return blocks.drop("trains", "tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False))
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", held_out().alias("held_out"), F.col("text").cast("binary").alias("_t"))
-    model = train(docs.where(~F.col("held_out")).select("_t"))
-    columns = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("bigint").alias("train_tokens"), "base_score", "score"]
-    return score(docs, model).select(*columns)
+    docs = read(spark, sf_dir, "documents").select("doc_id", held_out().alias("held_out"), "text")
+    return with_lm_scores(docs, ~F.col("held_out"))

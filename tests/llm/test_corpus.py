@@ -66,8 +66,8 @@ def test_odd_rows_do_not_crash_and_all_come_back(spark):
     assert paragraph_dedup.without_repeats(docs).columns == docs.columns
     labels = spark.createDataFrame([(1, 1), (8, 0), (None, 1), (5, None), (3, 7)], "doc_id long, quality int")
     assert classifier.with_quality_scores(docs, classifier.train(docs, labels)).count() == n
-    model = ngram_lm.train(docs.select(F.col("text").cast("binary").alias("_t")))
-    assert ngram_lm.score(docs.drop("_t").select("doc_id", F.col("text").cast("binary").alias("_t")), model).count() == n
+    scored = ngram_lm.with_lm_scores(docs, F.col("doc_id") < 7)
+    assert scored.count() == n and scored.where("score is null or score > 0").count() == 0
 
 
 def test_empty_tables_give_empty_results(spark):
@@ -77,7 +77,7 @@ def test_empty_tables_give_empty_results(spark):
         pii.personal_data(docs), pii.sanitised(docs), host_rules.host_quality_rules(docs), ngram_join.jaccard_components(docs), decontamination.contaminated(docs, bench), decontamination.decontaminated(docs, bench),
         mixing.mix(mixing.sized(docs)), mixing.mixed_documents(docs), licenses.scan_licenses(docs.withColumn("path", F.col("source"))), paragraph_dedup.repeated_paragraphs(docs),
         classifier.with_quality_scores(docs, classifier.train(docs, spark.createDataFrame([], "doc_id long, quality int"))),
-        ngram_lm.score(docs.select("doc_id", F.col("text").cast("binary").alias("_t")), ngram_lm.train(docs.select(F.col("text").cast("binary").alias("_t")))),
+        ngram_lm.with_lm_scores(docs, F.lit(True)),
     ):
         assert df.count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
@@ -249,6 +249,7 @@ def test_near_paragraphs_join_a_cluster(spark):
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)]
+    edges += [(5000, 5000 + i) for i in range(1, 400)] + [(7000 - i, 7001 - i) for i in range(700)]
     up = {}
 
     def root(x):
@@ -260,7 +261,10 @@ def test_components(spark):
         if a != b:
             a, b = sorted((root(a), root(b)))
             up[b] = a
-    got = {x.node: x.component for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    table = spark.createDataFrame(edges, "a long, b long")
+    with pytest.raises(RuntimeError, match="settle"):
+        graph.components(table, max_rounds=2)
+    got = {x.node: x.component for x in graph.components(table).collect()}
     assert got == {x: root(x) for x in got} and set(got) == {x for e in edges if e[0] != e[1] for x in e}
 
 
@@ -320,59 +324,58 @@ def test_elias_fano():
         ef = ngram_lm.EliasFano.build(v)
         assert (ef.get(np.arange(n)) == v).all()
         x = r.integers(0, top + 10, 4000)
-        assert (ef.successor(x) == np.searchsorted(v, x)).all()
-
-
-def test_language_model_equals_counted_probabilities(spark):
+        assert (ef.successor(x, np.zeros(4000, np.int64), np.full(4000, n)) == np.searchsorted(v, x)).all()
+        begin = r.integers(0, n + 1, 4000)
+        end = begin + r.integers(0, n + 1 - begin)
+        assert (ef.successor(x, begin, end) == np.clip(np.searchsorted(v, x), begin, end)).all()
+
+
+def test_trie_finds_what_a_dictionary_does():
+    r = np.random.default_rng(2)
+    size = 500
+    v = np.minimum((r.pareto(1.0, 6000)).astype(np.int64), size - 1)  # some contexts have most of the words
+    pairs = np.unique(v * size + r.integers(0, size, 6000))
+    triples = np.unique(r.integers(0, len(pairs), 9000) * size + r.integers(0, size, 9000))
+    values = {k: -r.random(m) for k, m in (("p1", size), ("b1", size), ("p2", len(pairs)), ("b2", len(pairs)), ("p3", len(triples)))}
+    trie = ngram_lm.Trie.mapped(ngram_lm.Trie.pack({2: (size, *np.divmod(pairs, size)), 3: (len(pairs), *np.divmod(triples, size))}, values))
+    for level, known, above in ((2, pairs, size), (3, triples, len(pairs))):
+        node = {int(k): i for i, k in enumerate(known)}
+        asked = np.concatenate([known, r.integers(0, above * size, 9000)])
+        assert trie.find(level, *np.divmod(asked, size)).tolist() == [node.get(int(k), -1) for k in asked]
+        assert trie.find(level, np.full(3, -1), np.arange(3)).tolist() == [-1] * 3
+    for name, x in values.items():
+        assert np.abs(trie.value(name, np.arange(len(x))) - x).max() < 0.02
+
+
+@pytest.mark.parametrize("block, shard", [(2_000_000, 4_000_000), (300, 700)])
+def test_language_model_equals_counted_probabilities(spark, monkeypatch, block, shard):
+    monkeypatch.setattr(ngram_lm, "BLOCK", block)
+    monkeypatch.setattr(ngram_lm, "SHARD", shard)
     r = random.Random(6)
     vocabulary = [word(r) for _ in range(60)]
     texts = [" ".join(r.choices(vocabulary, [1 / (i + 1) for i in range(60)], k=r.randint(0, 60))).upper() for _ in range(300)]
-    docs = documents(spark, texts).select("doc_id", F.col("text").cast("binary").alias("_t"))
-    model = ngram_lm.train(docs.select("_t"), floor=1e-9)
-    unseen = spark.createDataFrame([(900, "never seen " + texts[0]), (901, "")], "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("_t"))
-    got = {x.doc_id: x for x in ngram_lm.score(docs.unionByName(unseen), model).collect()}
-    token = {i: t.encode().lower().split() + [b""] for i, t in enumerate(texts)} | {900: ("never seen " + texts[0]).encode().lower().split() + [b""], 901: [b""]}
+    unseen = ["never seen " + texts[0], "", texts[7] + " É never"]
+    got = {x.doc_id: x for x in ngram_lm.with_lm_scores(documents(spark, texts + unseen), F.col("doc_id") < 300).collect()}
+    token = [t.replace("É", "é").lower().replace("é", "É").encode().split() + [b""] for t in texts + unseen]
     c1, c2, c3 = collections.Counter(), collections.Counter(), collections.Counter()
-    for i in range(300):
-        w = token[i]
+    for w in token[:300]:
         c1.update(w), c2.update(zip([b""] + w[:-1], w)), c3.update(zip([b""] + w[:-2], w[:-1], w[1:]) if len(w) > 1 else [])
-    c2 = {k: v for k, v in c2.items() if v >= 2}
-    c3 = {k: v for k, v in c3.items() if v >= 2 and k[:2] in c2 and k[1:] in c2}
     n, v = sum(c1.values()), len(c1)
+
+    def weight(context, once):
+        grid = [2.0**k for k in range(-4, 21)]
+        return 2 ** np.interp(once, [sum(c * s / (c - 1 + s) for c in context.values()) for s in grid], np.log2(grid))
+
+    s2, s3 = weight(c1, sum(c == 1 for c in c2.values())), weight(c2, sum(c == 1 for c in c3.values()))
     p1 = lambda w: (c1[w] + 0.5) / (n + 0.5 * (v + 1))
-    rest2, rest3 = collections.defaultdict(lambda: 1.0), collections.defaultdict(lambda: 1.0)
-    for (a, _), k in c2.items():
-        rest2[a] -= (k - 0.75) / c1[a]
-    for (a, b, _), k in c3.items():
-        rest3[a, b] -= (k - 0.75) / c2[a, b]
-    p2 = lambda a, w: ((c2[a, w] - 0.75) / c1[a] if (a, w) in c2 else 0) + rest2[a] * p1(w)
-
-    def p3(a, b, w):
-        if a is None or (a, b) not in c2:
-            return p2(b, w)
-        return ((c3[a, b, w] - 0.75) / c2[a, b] if (a, b, w) in c3 else 0) + rest3[a, b] * p2(b, w)
-
-    for i, w in token.items():
-        ctx = [(None if k == 0 else b"" if k == 1 else w[k - 2], b"" if k == 0 else w[k - 1], x) for k, x in enumerate(w)]
+    p2 = lambda a, w: (c2[a, w] + s2 * p1(w)) / (c1[a] + s2)
+    p3 = lambda a, b, w: (c3[a, b, w] + s3 * p2(b, w)) / (c2[a, b] + s3)
+    assert sum(p3(vocabulary[0].encode(), vocabulary[1].encode(), w) for w in c1) == pytest.approx(1 - p1(b"never") * s2 / (c1[vocabulary[1].encode()] + s2) * s3 / (c2[vocabulary[0].encode(), vocabulary[1].encode()] + s3))
+    for i, w in enumerate(token):
         assert got[i].base_score == pytest.approx(sum(math.log10(p1(x)) for x in w))
-        assert got[i].n_known == sum(c1[x] > 0 for x in w) and got[i].n_tokens == len(w)
-        assert got[i].score == pytest.approx(sum(math.log10(p3(*x)) for x in ctx), abs=0.05 * len(w))  # codes of one byte
-
-
-def test_the_floor_of_the_trie_prunes_nothing(spark):
-    r = random.Random(16)
-    vocabulary = [word(r) for _ in range(80)]
-    texts = [" ".join(r.choices(vocabulary, [1 / (i + 1) for i in range(80)], k=r.randint(0, 60))) for _ in range(200)]
-    texts += texts[:5] + ["never seen", ""]
-    docs = documents(spark, texts).select("doc_id", F.col("text").cast("binary").alias("_t"))
-    seen = docs.where("doc_id < 200").select("_t")
-    wanted, got = ({x.doc_id: x for x in ngram_lm.score(docs, ngram_lm.train(seen, floor)).collect()} for floor in (1e-9, 0.02))
-    nothing = {x.doc_id: x for x in ngram_lm.score(docs, ngram_lm.train(seen, 2.0)).collect()}
-    for x in wanted.values():
-        for y in (got[x.doc_id], nothing[x.doc_id]):
-            assert (y.n_tokens, y.n_known) == (x.n_tokens, x.n_known)
-            assert y.base_score == pytest.approx(x.base_score)
-            assert y.score == pytest.approx(x.score, abs=0.05 * x.n_tokens)
+        assert (got[i].n_known, got[i].n_tokens, got[i].train_tokens) == (sum(c1[x] > 0 for x in w), len(w), n)
+        score = sum(math.log10(p2(b"", x) if k == 0 else p3(b"" if k == 1 else w[k - 2], w[k - 1], x)) for k, x in enumerate(w))
+        assert got[i].score == pytest.approx(score, abs=0.02 * len(w))  # codes of one byte
 
 
 @tables
