@@ -42,7 +42,7 @@ from plumbline.llm.common import SPACE_RUN, read, stored
 from plumbline.llm.ngram_join import mixed
 
 #: Tokens in a block, beyond which a new one starts (a text is never cut), and tokens of the corpus for each shard.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 SHARD = 4_000_000
 SPARE_BITS = 20
 #: Weights of the lower order, in occurrences of the context, among which those of the model are chosen.
@@ -52,6 +52,10 @@ ADDED = 0.5
 END = ""
 CODES = 256
 
+_EACH, _TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: The places of the set bits of each byte, in order.
+_SET_BITS = np.array([sorted(range(8), key=lambda bit: (not byte >> bit & 1, bit)) for byte in range(256)], np.uint64)
+
 
 class EliasFano:
     """A monotone sequence: low bits packed, high bits in unary with counts by word."""
@@ -86,15 +90,15 @@ class EliasFano:
 
     @staticmethod
     def _within(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Places of the rank-th set bits of words."""
-        place = np.zeros(len(word), np.int64)
-        for s in (32, 16, 8, 4, 2, 1):
-            below = np.bitwise_count(word & np.uint64((1 << s) - 1)).astype(np.int64)
-            go = rank >= below
-            rank = rank - np.where(go, below, 0)
-            word = np.where(go, word >> np.uint64(s), word)
-            place += np.where(go, s, 0)
-        return place
+        """Places of the rank-th set bits of words: the byte by sums over bytes, the bit by a table."""
+        rank = rank.astype(np.uint64)
+        sums = word - ((word >> np.uint64(1)) & np.uint64(0x5555555555555555))
+        sums = (sums & np.uint64(0x3333333333333333)) + ((sums >> np.uint64(2)) & np.uint64(0x3333333333333333))
+        sums = ((sums + (sums >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _EACH  # of each byte and those below
+        shift = np.bitwise_count(((rank * _EACH | _TOP) - sums) & _TOP).astype(np.uint64) << np.uint64(3)
+        below = ((sums << np.uint64(8)) >> shift) & np.uint64(0xFF)
+        byte = (word >> shift) & np.uint64(0xFF)
+        return (shift + _SET_BITS[byte, rank - below]).astype(np.int64)
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -139,7 +143,7 @@ def _coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     book = np.zeros(CODES, np.float32)
     if not len(x):
         return np.zeros(0, np.uint8), book
-    cuts = np.unique(np.quantile(x, np.linspace(0, 1, CODES + 1)[1:-1]))
+    cuts = np.unique(np.sort(x)[np.arange(1, CODES) * len(x) // CODES])
     code = np.searchsorted(cuts, x, "left").astype(np.uint8)
     filled = np.bincount(code, minlength=CODES)
     book[:] = np.bincount(code, weights=x, minlength=CODES) / np.maximum(filled, 1)
@@ -202,10 +206,14 @@ class Trie:
         known = np.flatnonzero(context >= 0)
         if not words.n or not len(known):
             return out
-        begin, end = starts.get(context[known]), starts.get(context[known] + 1)
-        some = begin < end
-        known, begin, end = known[some], begin[some], end[some]
+        # a run of equal contexts reads its range once
+        fresh = np.diff(context[known], prepend=-1) != 0
+        first = context[known[fresh]]
+        begin, end = starts.get(first), starts.get(first + 1)
         base = np.where(begin > 0, words.get(np.maximum(begin - 1, 0)), 0)
+        of = np.cumsum(fresh) - 1
+        of = of[some := (begin < end)[of]]
+        known, begin, end, base = known[some], begin[of], end[of], base[of]
         target = base + word[known]
         at = words.successor(target, begin, end)
         inside = np.flatnonzero(at < end)

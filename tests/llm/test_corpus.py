@@ -347,7 +347,7 @@ def test_trie_finds_what_a_dictionary_does():
         assert np.abs(trie.value(name, np.arange(len(x))) - x).max() < 0.02
 
 
-@pytest.mark.parametrize("block, shard", [(2_000_000, 4_000_000), (300, 700)])
+@pytest.mark.parametrize("block, shard", [(1_000_000, 4_000_000), (300, 700)])
 def test_language_model_equals_counted_probabilities(spark, monkeypatch, block, shard):
     monkeypatch.setattr(ngram_lm, "BLOCK", block)
     monkeypatch.setattr(ngram_lm, "SHARD", shard)
