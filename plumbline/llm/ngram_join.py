@@ -1,13 +1,15 @@
 """N-gram Jaccard self-join as a blocked sparse product of documents by n-grams.
 
-A document is the set of its n-gram hashes; equal sets are one node. The product is never
-formed whole. Each node keeps a prefix of its n-grams, rarest first, long enough that two
-linked nodes must share one (size-derived bound). Nodes that share a prefix n-gram meet in
-blocks, where pairs beyond the bounds on sizes and on the symmetric difference (a parity
-sketch never overstates it) are discarded. What is left connects candidate groups. A node's whole
-set then goes to its group's blocks once, where overlaps are counted exactly. A link between nodes
-already connected in a block need not be counted, so a block returns a spanning forest
-of its exact links; their components are those of all links.
+A document is the set of its n-gram hashes; equal sets are one node. The product of the incidence
+matrix with its transpose is formed by blocks, and only where it can matter: each node keeps a prefix of its
+n-grams, rarest first, long enough that two linked nodes must share one (size-derived bound); nodes
+that share one meet, and pairs beyond the bounds on sizes and on the symmetric difference (a parity
+sketch never overstates it) are discarded. What is left connects candidate groups. In a block, overlap
+counts are accumulated over the columns that two rows or more have, and links are read off exactly.
+
+A group of any size is dealt to blocks of ``BLOCK`` rows, its least node to each of them. Most rows are linked
+with that one there and then; only the others meet the rest of the group, block by block. A link between nodes
+already connected need not be found, so a block returns a spanning forest; its components are those of all links.
 
 Defined results: no words (null, empty) means an empty set and no links, the document is its own
 component; fewer words than n are one n-gram; documents of equal sets are linked; rows of equal
@@ -18,7 +20,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,10 @@ MOST_PARITY_BITS = 1 << 15
 #: Nodes that share an n-gram up to which they are paired at once, and nodes in a block of the product.
 FEW = 64
 BLOCK = 512
+#: N-grams in a block at which a group is dealt to more of them.
+ENTRIES = 1 << 21
+#: Columns of the incidence matrix that are multiplied at a time.
+COLUMNS = 4096
 
 _ODD = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -198,56 +204,113 @@ def edges_of(n: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(n[1:] != n[:-1]) + 1, [len(n)]])
 
 
-class Forest:
-    """Union-find over the rows of a block."""
-
-    def __init__(self, size: int) -> None:
-        self.up = list(range(size))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def bounded_pairs(sizes: np.ndarray, parities: list[np.ndarray], split: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row, the later rows within the bounds; rows before ``split`` meet only those from it on, if split > 0."""
+def sketches_apart(sizes: np.ndarray, parities: list[np.ndarray], rows: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of the first ``rows`` rows with all rows are within the bounds on sizes and differences."""
+    ok = np.zeros((len(rows), len(sizes)), bool)
     lengths = np.array([len(p) for p in parities])
     # rows by sketch length; of linked sizes lengths differ by a factor of two at most
     at_length = {w: np.stack([folded(p, w) for p in parities if len(p) >= w]) for w in np.unique(lengths)}
     row_of = {w: np.cumsum(lengths >= w) - 1 for w in at_length}
-    for i in range(split or len(sizes)):
-        start = split or i + 1
-        other = sizes[start:]
-        least, most = np.minimum(other, sizes[i]), np.maximum(other, sizes[i])
-        ok = start + np.flatnonzero(100 * least >= percent * most)
-        near = []
-        for w in np.unique(np.minimum(lengths[ok], lengths[i])):
-            some = ok[np.minimum(lengths[ok], lengths[i]) == w]
-            table, row = at_length[w], row_of[w]
-            far = np.bitwise_count(table[row[some]] ^ table[row[i]]).sum(axis=1)
-            near.append(some[far <= allowed_difference(sizes[some], sizes[i], percent)])
-        if near and sum(map(len, near)):
-            yield i, np.sort(np.concatenate(near))
-
-
-def in_block_pairs(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """``rows`` dealt to pairs of blocks: keys, bi, bj, side and columns, sorted within partitions.
-
-    ``rows`` has ``count`` (rows of its keys) and ``place`` (a hash). A group of one block meets
-    itself; of more, every block meets every other. No task holds more than two blocks.
+    for k, i in enumerate(rows.tolist()):
+        near = np.flatnonzero(100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+        for w in np.unique(np.minimum(lengths[near], lengths[i])):
+            some = near[np.minimum(lengths[near], lengths[i]) == w]
+            far = np.bitwise_count(at_length[w][row_of[w][some]] ^ at_length[w][row_of[w][i]]).sum(axis=1)
+            ok[k, some] = far <= allowed_difference(sizes[some], sizes[i], percent)
+    return ok
+
+
+def overlaps(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Elements that sets share, ``rows`` by all: incidence times its transpose, ``COLUMNS`` shared elements at a time."""
+    lengths = np.array([len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), lengths)
+    column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[column]  # what one row has adds to no overlap
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(rows), len(sets)), np.int64)
+    whole = len(rows) == len(sets)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [start, start + COLUMNS])
+        incidence = np.zeros((len(sets), COLUMNS), np.float32)
+        incidence[row[lo:hi], column[lo:hi] - start] = 1
+        total += ((incidence if whole else incidence[rows]) @ incidence.T).astype(np.int64)
+    return total
+
+
+def forest_edges(linked: np.ndarray, rows: np.ndarray) -> tuple[list[int], list[int], np.ndarray]:
+    """A spanning forest of a block of links, ``rows`` by all, and a label of each row's tree."""
+    label, a, b = np.arange(linked.shape[1]), [], []
+    for k, i in enumerate(rows.tolist()):
+        near = np.flatnonzero(linked[k])
+        trees, first = np.unique(label[near], return_index=True)
+        for tree, j in zip(trees.tolist(), near[first].tolist(), strict=True):
+            if tree != label[i]:
+                a.append(i), b.append(j)
+                label[label == tree] = label[i]
+    return a, b, label
+
+
+def linked_in_groups(rows: DataFrame, key: str, columns: list[str], link: Callable[[dict[str, pa.Array], np.ndarray], np.ndarray], name: str) -> DataFrame:
+    """(a, b): a spanning forest of the links within each group of ``rows`` (key, node, lead, count, blocks, columns), stored.
+
+    ``link`` takes the columns of a block (and node) and the places of some of its rows, and says which of all rows they are
+    linked with. ``lead`` is a node of the group, ``count`` its number of rows and ``blocks`` into how many it is dealt. Rows that
+    are linked with the lead in their block are done; if there are more blocks, others meet all of them: rows dealt grow
+    with the group and with those left over.
     """
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    placed = rows.withColumn("_k", blocks).withColumn("_b", F.pmod("place", F.col("_k")).cast("int"))
-    spread = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    spread = spread.select(*keys, F.least("_b", "_o").alias("bi"), F.greatest("_b", "_o").alias("bj"), F.when(F.col("_b") <= F.col("_o"), 0).otherwise(1).alias("side"), *columns)
-    return spread.repartition(*keys, "bi", "bj").sortWithinPartitions(*keys, "bi", "bj", "side")
+    hashed, blocks = F.xxhash64("node"), F.col("blocks")
+    own = F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(hashed, blocks).cast("int")))
+    first = rows.select(key, F.explode(own).alias("block"), "node", "lead", "blocks", *columns)
+
+    def compare(t: pa.Table, lo: int, hi: int, some: np.ndarray) -> tuple[list[int], list[int], np.ndarray]:
+        part = t.slice(lo, hi - lo)
+        return forest_edges(link({c: part.column(c).combine_chunks() for c in ("node", *columns)}, some), some)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, 2):
+            keyed, block, node, lead, n_blocks = (np.asarray(t.column(i)) for i in range(5))
+            a, b, group, left = [], [], [], []
+            for lo, hi in groups_of(keyed, block):
+                x, y, tree = compare(t, lo, hi, np.arange(hi - lo))
+                a += node[lo + np.array(x, int)].tolist()
+                b += node[lo + np.array(y, int)].tolist()
+                if n_blocks[lo] > 1:
+                    rest = np.flatnonzero(tree != tree[np.argmax(node[lo:hi] == lead[lo])])
+                    group += [keyed[lo].item()] * len(rest)
+                    left += node[lo + rest].tolist()
+            edges = pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["group", "a", "b"])
+            yield edges
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(left, pa.int64()), pa.nulls(len(left), pa.int64())], names=["group", "a", "b"])
+
+    dealt = first.repartition(key, "block").sortWithinPartitions(key, "block")
+    found = stored(dealt.mapInArrow(meet, "group bigint, a bigint, b bigint"), name)
+    edges = found.where("group is null").select("a", "b")
+    left = found.where("group is not null").select(F.col("group").alias(key), F.col("a").alias("node"))
+    counts = stored(left.groupBy(key).agg(F.count(F.lit(1)).alias("n_left")), f"{name}-left")
+    if counts.isEmpty():
+        return edges
+    # what is left over, in blocks (side 0), with all blocks of its group (side 1)
+    again = rows.join(counts, key).withColumn("own", F.pmod(hashed, blocks).cast("int"))
+    left_blocks = F.ceil(F.col("n_left") * blocks / F.col("count")).cast("int")
+    every = again.withColumn("part", F.explode(F.sequence(F.lit(0), left_blocks - 1))).withColumn("side", F.lit(1))
+    some = again.join(left, [key, "node"], "left_semi").withColumn("part", F.pmod(hashed, left_blocks).cast("int"))
+    some = some.drop("own").withColumn("own", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("side", F.lit(0))
+    both = some.select(key, "part", "own", "side", "node", *columns).unionByName(every.select(key, "part", "own", "side", "node", *columns))
+
+    def meet_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, 3):
+            keyed, part, own, side, node = (np.asarray(t.column(i)) for i in range(5))
+            a, b = [], []
+            for lo, hi in groups_of(keyed, part, own):
+                x, y, _ = compare(t, lo, hi, np.flatnonzero(side[lo:hi] == 0))
+                a += node[lo + np.array(x, int)].tolist()
+                b += node[lo + np.array(y, int)].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = both.repartition(key, "part", "own").sortWithinPartitions(key, "part", "own", "side")
+    return edges.unionByName(stored(dealt.mapInArrow(meet_again, "a bigint, b bigint").where("a <> b").distinct(), f"{name}-again"))
 
 
 def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
@@ -258,7 +321,7 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
     same = (F.col("node") == F.col("_n")) & F.col("_id").eqNullSafe(F.col("_f"))
     nodes = stored(sets.join(first, same, "left_semi").select("node", "n_shingles", "parity", "prefix"), "ngram-nodes")
     tokens = nodes.select(F.explode("prefix").alias("token"), "node", F.col("n_shingles").cast("int").alias("size"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("lead")).where("count > 1")
     # stored, as are other sums that are joined back: the join then reads two plain exchanges, whose hot keys Spark can split
     shared = stored(shared, "ngram-shared")
     meeting = stored(tokens.join(shared, "token"), "ngram-meetings")
@@ -304,26 +367,12 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
     close = pairs.join(left, "a").join(right, "b").mapInArrow(near, "a bigint, b bigint")
 
     # n-grams of many nodes: in blocks, where a forest of the near pairs says as much as all of them
-    rows = meeting.where(F.col("count") > FEW).select("token", "node", "count").join(sketches, "node").withColumn("place", F.xxhash64("node"))
-    dealt = in_block_pairs(rows, ["token"], ["node", "n_shingles", "parity"])
+    rows = meeting.where(F.col("count") > FEW).select("token", "node", "lead", "count", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")).join(sketches, "node")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, 3):
-            t = t.combine_chunks()
-            token, bi, bj, side, node, size = (np.asarray(t.column(i)) for i in range(6))
-            sketch = [np.frombuffer(p, np.uint64) for p in t.column(6).to_pylist()]
-            a, b = [], []
-            for lo, hi in groups_of(token, bi, bj):
-                split = int((side[lo:hi] == 0).sum()) if bi[lo] != bj[lo] else 0
-                forest = Forest(hi - lo)
-                for i, others in bounded_pairs(size[lo:hi], sketch[lo:hi], split, percent):
-                    for j in others.tolist():
-                        if forest.join(i, j):
-                            a.append(node[lo + i]), b.append(node[lo + j])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def within_bounds(t: dict[str, pa.Array], some: np.ndarray) -> np.ndarray:
+        return sketches_apart(np.asarray(t["n_shingles"]), [np.frombuffer(p, np.uint64) for p in t["parity"].to_pylist()], some, percent)
 
-    return close.unionByName(dealt.mapInArrow(meet, "a bigint, b bigint"))
+    return close.unionByName(linked_in_groups(rows, "token", ["n_shingles", "parity"], within_bounds, "ngram-near"))
 
 
 def groups_of(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -336,38 +385,34 @@ def groups_of(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def exact_edges(texts: DataFrame, sets: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the exact links in each block of each candidate group, from texts (_id, _t)."""
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("count"))
-    who = sets.where("node is not null").groupBy("node").agg(F.min("_id").alias("_id")).join(groups, "node").join(sizes, "component")
-    holders = texts.join(who.select(F.col("_id").alias("_w"), "node", "component", "count"), F.col("_id").eqNullSafe(F.col("_w")))
-    dealt = in_block_pairs(holders.withColumn("place", F.xxhash64("node")), ["component"], ["node", "_t"])
-    # texts travel, being smaller than their hashes
-    dealt = dealt.select("component", "bi", "bj", "side", "node", word_hashes(F.col("_t")).alias("_h"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, 3):
-            t = t.combine_chunks()
-            comp, bi, bj, side, node = (np.asarray(t.column(i)) for i in range(5))
-            hashes = [h for chunk in t.column(5).chunks for h in arrays(chunk)]
-            a, b = [], []
-            for lo, hi in groups_of(comp, bi, bj):
-                sets = [ngrams(h.view(np.uint64), n) for h in hashes[lo:hi]]
-                # an id that stands for several texts brings them all; a node's own is the one that counts
-                sets = [s if fingerprint(s) == v else s[:0] for s, v in zip(sets, node[lo:hi].tolist(), strict=True)]
-                size = np.array([len(s) for s in sets])
-                split = int((side[lo:hi] == 0).sum()) if bi[lo] != bj[lo] else 0
-                forest = Forest(hi - lo)
-                for i, others in bounded_pairs(size, [parity(s) for s in sets], split, percent):
-                    for j in others.tolist():
-                        if size[i] and forest.root(i) != forest.root(j):
-                            both = int(np.isin(sets[i], sets[j], assume_unique=True).sum())
-                            if 100 * both >= percent * (size[i] + size[j] - both):
-                                forest.join(i, j)
-                                a.append(node[lo + i]), b.append(node[lo + j])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    """(a, b): a spanning forest of the exact links in each candidate group (node, component), from texts (_id, _t)."""
+    # one row a node; blocks are bounded in rows and in n-grams
+    whole = sets.where("node is not null").groupBy("node").agg(F.min("_id").alias("_id"), F.first("n_shingles").alias("size")).join(groups, "node")
+    sizes = whole.groupBy("component").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("entries"))
+    sizes = stored(sizes.withColumn("blocks", F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(F.col("entries") / ENTRIES)).cast("int")).drop("entries"), "ngram-group-sizes")
+    who = whole.join(sizes, "component")
+    holders = texts.join(who.select(F.col("_id").alias("_w"), "node", "component", "count", "blocks"), F.col("_id").eqNullSafe(F.col("_w")))
+    # an id that stands for several texts brings them all; a node's own is the one that counts. Texts travel, being smaller than their hashes
+    rows = stored(holders.select("component", "node", F.col("component").alias("lead"), "count", "blocks", F.col("_t").alias("text")), "ngram-texts")
+
+    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = [ngrams(h.view(np.uint64), n) for h in arrays(b.column(5))]
+            own = [len(g) > 0 and fingerprint(g) == v for g, v in zip(grams, b.column(1).to_pylist(), strict=True)]
+            kept = b.filter(pa.array(own, pa.bool_()))
+            ids = pa.array([g.view(np.int64) for g, ok in zip(grams, own, strict=True) if ok], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(kept.column(i) for i in range(5)), ids], names=["component", "node", "lead", "count", "blocks", "grams"])
+
+    hashed = rows.select("component", "node", "lead", "count", "blocks", word_hashes(F.col("text")).alias("_h"))
+    incidence = hashed.mapInArrow(matching, "component bigint, node bigint, lead bigint, count bigint, blocks int, grams array<bigint>")
+
+    def similar(t: dict[str, pa.Array], some: np.ndarray) -> np.ndarray:
+        own = list(arrays(t["grams"]))
+        size = np.array([len(x) for x in own])
+        both = overlaps(own, some)
+        return 100 * both >= percent * (size[some][:, None] + size - both)
+
+    return linked_in_groups(incidence, "component", ["grams"], similar, "ngram-exact")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:

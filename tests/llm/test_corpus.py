@@ -290,10 +290,10 @@ def loop_components(texts):
     return {i: (len(sets[i]), root(i)) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("few, block", [(64, 512), (3, 7)])
-def test_ngram_join_equals_all_pairs(spark, monkeypatch, few, block):
-    monkeypatch.setattr(ngram_join, "FEW", few)
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+@pytest.mark.parametrize("few, block, entries, columns", [(64, 512, 1 << 21, 4096), (3, 7, 1 << 21, 50), (3, 512, 900, 4096)])
+def test_ngram_join_equals_all_pairs(spark, monkeypatch, few, block, entries, columns):
+    for name, value in (("FEW", few), ("BLOCK", block), ("ENTRIES", entries), ("COLUMNS", columns)):
+        monkeypatch.setattr(ngram_join, name, value)
     r = random.Random(21)
     texts = [None, "", "One two", "one TWO", "É b c d", "é b c d"]
     shared = prose(r, 30)
@@ -309,6 +309,39 @@ def test_ngram_join_equals_all_pairs(spark, monkeypatch, few, block):
     assert got == loop_components(texts)
 
 
+def test_overlaps_equal_intersections(monkeypatch):
+    monkeypatch.setattr(ngram_join, "COLUMNS", 16)
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 300, n)) for n in (1, 40, 90, 200, 3, 60)]
+    some = np.array([1, 3])
+    got = ngram_join.overlaps(sets, some)
+    assert all(got[k, j] == len(np.intersect1d(sets[i], x)) for k, i in enumerate(some) for j, x in enumerate(sets) if i != j)
+    assert ngram_join.overlaps([np.array([5]), np.array([7])], np.arange(2)).tolist() == [[0, 0], [0, 0]]
+
+
+def test_a_group_of_near_copies_is_not_paired_block_by_block(spark, monkeypatch):
+    """Copies that are linked with the lead are compared in one block each, however many there are; the others are still found."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 50)
+    r = random.Random(31)
+    base = prose(r, 60).split()
+    copies = [" ".join([*base[:59], f"{word(r)}{i}"]) for i in range(1500)]
+    folder = ngram_join_folder(spark).removeprefix("file://")
+
+    def leftovers():
+        return [d for _, names, _ in os.walk(folder) for d in names if "-again" in d]
+
+    before = leftovers()
+    got = collections.Counter(x.component_id for x in ngram_join.jaccard_components(documents(spark, [*copies, prose(r, 60)])).collect())
+    assert got == {0: 1500, 1500: 1} and leftovers() == before
+    for i in range(0, 300):
+        copy = list(base)
+        copy[r.randrange(60)] = f"{word(r)}{i}"
+        copies[i] = " ".join(copy)
+    texts = copies[:500]
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(documents(spark, texts)).collect()} == loop_components(texts)
+    assert len(leftovers()) > len(before)
+
+
 def test_parity_never_overstates_the_difference():
     r = np.random.default_rng(0)
     for n in (10, 400, 3000):
