@@ -234,7 +234,48 @@ def test_repeated_passages_are_found_wherever_they_stand(spark):
     kept = collections.Counter(x.cluster_id for x in got if not x.removed)
     assert set(kept.values()) == {1}
     gone = {x.doc_id: x.text for x in paragraph_dedup.without_repeats(docs).collect()}
-    assert all(len(gone[i].split()) <= len(texts[i].split()) for i in gone) and sum(map(len, gone.values())) < sum(map(len, texts))
+    assert all(len(gone[i].split()) <= len(texts[i].split()) for i in gone)
+    # all but the ends of a removed passage goes: less than a stretch at each
+    for k, ids in holders.items():
+        for i in sorted(ids)[1:]:
+            assert len(texts[i].split()) - len(gone[i].split()) >= len(passages[k].split()) - 2 * (paragraph_dedup.STRETCH - 1)
+
+
+def near_pairs(texts):
+    """Pairs of whole texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    return [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+
+
+def test_near_paragraphs_are_found_at_every_length(spark):
+    r = random.Random(77)
+    texts, length = [], {}
+    for n in (20, 25, 30, 40, 60, 100):
+        for k in range(14):
+            base = prose(r, n).split()
+            for copy in range(3):
+                own = list(base)
+                if copy:
+                    own[(0, n - 1, r.randrange(n))[(k + copy) % 3]] = f"other{len(texts)}"
+                length[len(texts)] = n
+                texts.append(" ".join(own))
+    wanted = near_pairs(texts)
+    cluster = {x.doc_id: x.cluster_id for x in paragraph_dedup.repeated_paragraphs(documents(spark, texts)).collect() if x.unit == "line"}
+    for n in set(length.values()):
+        pairs = [(i, j) for i, j in wanted if length[i] == n]
+        assert len(pairs) > 10 and sum(i in cluster and cluster.get(i) == cluster.get(j) for i, j in pairs) >= 0.9 * len(pairs), n
+    # nothing else is linked: clusters hold together by near pairs
+    linked = {i for p in wanted for i in p}
+    assert set(cluster) <= linked
+
+
+def test_two_texts_of_one_id_are_two_documents(spark):
+    r = random.Random(78)
+    passage, own, other = prose(r, 60), prose(r, 120), prose(r, 90)
+    docs = spark.createDataFrame([(1, f"{prose(r, 30)} {passage}"), (2, f"{other} {passage}"), (2, own)], "doc_id long, text string")
+    left = paragraph_dedup.without_repeats(docs).collect()
+    assert own in [x.text for x in left]
+    assert any(x.text.startswith(other[:200]) and len(x.text.split()) < 120 for x in left)
 
 
 def test_near_paragraphs_join_a_cluster(spark):
