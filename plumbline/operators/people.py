@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as geo
+from plumbline.operators.matching import without_twins
 
 # Weights of a person's score, and the limits of the choice.
 INVERSION, SUPPORT, CONTINUITY, VISIBILITY = 0.4, 0.2, 0.3, 0.1
@@ -56,38 +58,44 @@ def same_body_pairs(joints: DataFrame, persons: DataFrame, frame: list[str], per
     return both.where(close & (F.col("n") >= SHARED_JOINTS)).select(*frame, "a", "b")
 
 
-def choose_athlete(persons: DataFrame, clip: list[str], frame: str, person: str) -> DataFrame:
+def choose_athlete(persons: DataFrame, clip: list[str], frame: str, person: str, joints: DataFrame | None = None) -> DataFrame:
     """ATH14-18: clip, frame, the chosen person (null for nobody) and its score.
 
-    The choice depends on where the athlete was, so a clip is swept forwards and
+    With the persons' ``joints``, detections of one body are collapsed first (ATH9, ATH10). The choice depends on where the athlete was, so a clip is swept forwards and
     backwards in one task; per frame the better of the two counts.
     """
+    if joints is not None:
+        pairs = same_body_pairs(joints, persons, [*clip, frame], person)
+        persons = without_twins(persons, pairs, [*clip, frame], person)
     lines = persons.withColumn("line", F.max("wrist_y").over(Window.partitionBy(*clip, frame)))
     lines = lines.withColumn("still", INVERSION * F.col("inverted").cast("double") + SUPPORT * support_score(F.col("wrist_y"), F.col("line"), F.col("length")) + VISIBILITY * F.coalesce("visibility", F.lit(0.0)))
 
-    def sweep(frames: list[tuple[int, pd.DataFrame]]) -> dict[int, tuple[float | None, float]]:
+    def sweep(frames: list[tuple[int, dict[str, np.ndarray]]]) -> dict[int, tuple[float | None, float]]:
         hip, out = None, {}
         for number, group in frames:
-            scores = []
-            for r in group.itertuples():
-                near = 1.0
-                if hip is not None and math.isfinite(r.hip_x) and math.isfinite(r.hip_y):
-                    near = min(max(1 - math.hypot(r.hip_x - hip[0], r.hip_y - hip[1]) / r.length, 0.0), 1.0)
-                scores.append(r.still + CONTINUITY * near)
-            order = sorted(range(len(scores)), key=lambda i: (-scores[i], getattr(group.iloc[i], person)))
+            near = np.ones(len(group["who"]))
+            x, y = group["x"], group["y"]
+            known = np.isfinite(x) & np.isfinite(y)
+            if hip is not None:
+                near[known] = np.clip(1 - np.hypot(x[known] - hip[0], y[known] - hip[1]) / group["length"][known], 0.0, 1.0)
+            scores = group["still"] + CONTINUITY * near
+            order = np.lexsort((group["who"], -scores))
             best = order[0]
             second = scores[order[1]] if len(order) > 1 else -math.inf
             if scores[best] < LEAST_SCORE or scores[best] - second <= MARGIN:
-                out[number] = (None, scores[best])
+                out[number] = (None, float(scores[best]))
                 continue
-            row = group.iloc[best]
-            out[number] = (row[person], scores[best])
-            if math.isfinite(row.hip_x) and math.isfinite(row.hip_y):
-                hip = (row.hip_x, row.hip_y)
+            out[number] = (int(group["who"][best]), float(scores[best]))
+            if known[best]:
+                hip = (x[best], y[best])
         return out
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        frames = [(n, g.sort_values(person)) for n, g in part.sort_values(frame).groupby(frame, sort=True)]
+        part = part.sort_values([frame, person])
+        columns = {"who": part[person].to_numpy(), **{k: part[c].to_numpy(float) for k, c in (("x", "hip_x"), ("y", "hip_y"), ("length", "length"), ("still", "still"))}}
+        numbers, starts = np.unique(part[frame].to_numpy(), return_index=True)
+        ends = np.append(starts[1:], len(part))
+        frames = [(n, {k: c[a:b] for k, c in columns.items()}) for n, a, b in zip(numbers, starts, ends, strict=True)]
         there, back = sweep(frames), sweep(frames[::-1])
         rows = []
         for n, _ in frames:

@@ -101,7 +101,59 @@ def replace_table(df: DataFrame, path: str) -> None:
     jvm = spark.sparkContext._jvm
     here, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
     fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(here):
-        fs.delete(here, True)
+    # the old one stands aside until the new one is there, so a crash leaves one of them whole
+    aside = jvm.org.apache.hadoop.fs.Path(f"{beside}.old")
+    there = fs.exists(here)
+    if there and not fs.rename(here, aside):
+        raise OSError(f"{path} could not be set aside")
     if not fs.rename(new, here):
+        if there:
+            fs.rename(aside, here)
         raise OSError(f"{beside} could not become {path}")
+    if there:
+        fs.delete(aside, True)
+
+
+def list_clips(spark: SparkSession, folder: str, suffix: str = "parquet", wanted: DataFrame | None = None) -> DataFrame:
+    """SRC8, SRC15: clip_id and path of the files of a folder with a suffix, all or those of ``wanted`` (clip_id)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").load(folder).select("path")
+    clips = files.select(F.regexp_extract("path", rf"([^/]*)\.{suffix}$", 1).alias("clip_id"), "path")
+    return clips if wanted is None else clips.join(wanted.select("clip_id"), "clip_id", "left_semi")
+
+
+def append_rows(df: DataFrame, path: str) -> None:
+    """SRC19: rows added to a table; what is there stays as it is."""
+    df.write.mode("append").parquet(path)
+
+
+# The shape of a labelling tool's export.
+EXPORT = "array<struct<image:string, joint:string, x:double, y:double, visible:string, annotated_at:string>>"
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """SRC20: a row a label from JSON files that hold a list of tasks, or an object with such a list under ``tasks``."""
+    text = spark.read.option("wholetext", True).text(path)
+    tasks = F.from_json(F.coalesce(F.get_json_object("value", "$.tasks"), "value"), EXPORT)
+    return text.select(F.explode(tasks).alias("t")).select("t.*")
+
+
+def read_hold_table(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
+    """SRC21, SRC23: a CSV of holds; cells of ``numbers`` that are no numbers are null, and rows without clip or hold are left out."""
+    raw = spark.read.option("header", True).csv(path)
+    typed = require(raw, ["clip_id", "hold_id", *numbers], path).withColumns({"hold_id": F.col("hold_id").try_cast("bigint"), **{c: F.col(c).try_cast("double") for c in numbers}})
+    return typed.where(F.col("clip_id").isNotNull() & F.col("hold_id").isNotNull())
+
+
+def read_reference(spark: SparkSession, path: str, features: list[str]) -> DataFrame:
+    """SRC24: feature, mean, sd and n from a reference's JSON; a feature that is missing, not finite or without spread ends the query."""
+    stats = ", ".join(f"`{f}`: struct<mean: double, sd: double, n: bigint>" for f in features)
+    one = spark.read.option("wholetext", True).text(path).select(F.from_json("value", f"struct<features: struct<{stats}>>").alias("r"))
+    rows = one.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"r.features.`{f}`").alias("s")) for f in features))).alias("x")).select("x.feature", "x.s.*")
+    good = F.coalesce(finite(F.col("mean")).isNotNull() & (finite(F.col("sd")) > 0) & (F.col("n") > 0), F.lit(False))
+    told = F.concat(F.lit("the reference has no usable values for "), F.col("feature"))
+    return rows.withColumn("mean", F.when(good, F.col("mean")).otherwise(F.raise_error(told).cast("double")))
+
+
+def fixture_json(*columns: str) -> Column:
+    """STR12: the columns as one JSON object, in the order given; what is not finite is null."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})

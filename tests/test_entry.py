@@ -19,9 +19,7 @@ def rows(names, table):
 
 
 def own():
-    from plumbline.plans.queries import ORACLE_SQL
-
-    return sorted(ORACLE_SQL)
+    return sorted(entry._own()[1])
 
 
 @pytest.fixture(scope="module")
