@@ -11,15 +11,6 @@ from plumbline.llm.common import stored
 MAX_ROUNDS = 200
 
 
-def _to_smallest(edges: DataFrame, with_self: bool, name: str) -> DataFrame:
-    """Every neighbour v of u joined to the smallest of u's neighbours (and u)."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    if with_self:
-        low = low.withColumn("m", F.least("u", "m"))
-    # stored, so that the join reads two plain exchanges and Spark can split the rows of a star's centre
-    return edges.join(stored(low, name), "u")
-
-
 def components(edges: DataFrame, name: str = "components", max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b); component is the smallest node reachable.
 
@@ -32,9 +23,11 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = MAX
     seen = None
     for _ in range(max_rounds):
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_smallest(both, True, f"{name}-low").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.distinct(), f"{name}-large")
-        small = _to_smallest(large, False, f"{name}-low")
+        # stored, so that the join reads two plain exchanges and Spark can split the rows of a star's centre
+        low = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), f"{name}-low")
+        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # a node has few smaller neighbours by now
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         down = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         state = stored(down.distinct(), name)
         mark = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -142,7 +142,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     leads = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").drop("last")
     # sums are stored before they are joined back, so that Spark can split hot keys
     candidates = keyed.join(stored(leads, "paragraph-leads"), "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    groups = stored(components(stored(candidates, "paragraph-candidates"), "paragraph-groups"), "paragraph-group")
+    groups = stored(components(candidates, "paragraph-groups"), "paragraph-group")
     # the words of the lines that are compared, read once more where they first stand
     first = stored(lines.groupBy("node").agg(F.min(F.struct("_id", "_x", "at", "n")).alias("f")), "paragraph-firsts")
     spots = first.join(groups, "node").groupBy(F.col("f._id").alias("_i"), F.col("f._x").alias("_y")).agg(F.collect_list(F.struct("node", "component", F.col("f.at").alias("at"), F.col("f.n").alias("n"))).alias("spots"))
