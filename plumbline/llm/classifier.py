@@ -28,9 +28,12 @@ from plumbline.llm.common import let, read, words
 BITS = 18
 #: Labelled rows that the model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 12_000
-#: Passes of dual coordinate descent, and its upper bound on the dual variables.
+#: Passes of dual coordinate descent.
 PASSES = 12
-COST = 0.5
+#: Upper bounds on the dual variables, of which an inner fold of the sample (every ``INNER``-th row by hash) takes the best;
+#: the middle one where a fold is too small to tell.
+COSTS = (0.125, 0.25, 0.5, 1.0, 2.0)
+INNER, LEAST_INNER = 5, 100
 SMOOTHING = 1.0
 #: Log odds by margin.
 SLOPE = 2.0
@@ -48,7 +51,7 @@ def ngram_ids(text: Column, bits: int = BITS) -> Column:
     return let(F.transform(words(text), lambda w: F.xxhash64(w)), ids)
 
 
-def fit_weights(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit_weights(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, seed: int = 7, cost: float = COSTS[len(COSTS) // 2]) -> tuple[np.ndarray, float]:
     """Weights by n-gram id, and the log odds of a text without any (0, unless all labels are of one class)."""
     size = 1 << bits
     share = (labels.sum() + SMOOTHING) / (len(labels) + 2 * SMOOTHING) if len(labels) else 0.5
@@ -70,13 +73,26 @@ def fit_weights(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, se
             if not square[i]:
                 continue
             margin = sign[i] * (w[ids] @ x)
-            step = min(max(alpha[i] + (1 - margin) / square[i], 0.0), COST) - alpha[i]
+            step = min(max(alpha[i] + (1 - margin) / square[i], 0.0), cost) - alpha[i]
             if step:
                 alpha[i] += step
                 w[ids] += step * sign[i] * x
     return (w * ratio).astype(np.float32), 0.0
 
 
+def best_cost(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> float:
+    """The cost whose weights, fitted without the inner fold, tell its classes apart best: the mean of the shares of each class that are right; the least on a tie."""
+    inner = np.arange(len(rows)) % INNER == 0
+    if inner.sum() < LEAST_INNER or len(np.unique(labels[inner])) < 2:
+        return COSTS[len(COSTS) // 2]
+    right = []
+    for cost in COSTS:
+        w, bias = fit_weights([rows[i] for i in np.flatnonzero(~inner)], labels[~inner], bits, cost=cost)
+        found = np.array([bias + w[rows[i]].sum() >= 0 for i in np.flatnonzero(inner)])
+        right.append(np.mean([(found[labels[inner] == y] == y).mean() for y in (0, 1)]))
+    return COSTS[int(np.argmax(right))]
+
+
 def fit(labelled: DataFrame, bits: int = BITS) -> tuple[np.ndarray, float]:
     """(weights, bias) from rows (ids, label): one task fits the bounded sample."""
 
@@ -87,7 +103,8 @@ def fit(labelled: DataFrame, bits: int = BITS) -> tuple[np.ndarray, float]:
             labels += b.column("label").to_pylist()
             keys += b.column("key").to_pylist()
         at = sorted(range(len(rows)), key=lambda i: (keys[i], len(rows[i])))
-        w, bias = fit_weights([rows[i] for i in at], np.array([labels[i] for i in at], np.float64), bits)
+        rows, truth = [rows[i] for i in at], np.array([labels[i] for i in at], np.float64)
+        w, bias = fit_weights(rows, truth, bits, cost=best_cost(rows, truth, bits))
         yield pa.RecordBatch.from_pydict({"w": pa.array([w.tobytes()], pa.binary()), "bias": [bias]})
 
     got = labelled.repartition(1).mapInArrow(run, "w binary, bias double").first()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -29,13 +30,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Folders of our own, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; one of our own only in a local session that names none."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^,\]]*)?\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
+        folder = _OWN[context.applicationId]
     return folder.rstrip("/")
 
 

@@ -61,27 +61,34 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ).select("*", "_w.n_words", "_w.n_repeat_words").drop("_w")
 
 
-#: Rules by which hosts are judged, over the measures above.
-HOST_RULES = {
-    "short": "n_words < 20",
-    "repeats": "100 * n_repeat_words > 30 * n_words",
-    "symbols": "10 * n_symbols > word_chars",
-    "dup_lines": "n_dup_lines > 0 and 10 * n_dup_lines > n_words",
-    "long_words": "word_chars > 40 * n_words",
-}
+MIN_WORDS, MAX_REPEAT_PCT = 20, 30
+
+
+def host_rules(min_words: int = MIN_WORDS, max_repeat_pct: int = MAX_REPEAT_PCT) -> dict[str, str]:
+    """Rules by which hosts are judged, over the measures above."""
+    return {
+        "short": f"n_words < {min_words}",
+        "repeats": f"100 * n_repeat_words > {max_repeat_pct} * n_words",
+        "symbols": "10 * n_symbols > word_chars",
+        "dup_lines": "n_dup_lines > 0 and 10 * n_dup_lines > n_words",
+        "long_words": "word_chars > 40 * n_words",
+    }
+
+
+HOST_RULES = host_rules()
 
 
 #: Columns of the result besides those of the documents and the rates.
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_passes", "kept", "_w", "_host", *(f"rate_{x}" for x in HOST_RULES)]
 
 
-def judge_hosts(measured: DataFrame, host_col: str, max_rate: float = 0.5) -> DataFrame:
+def judge_hosts(measured: DataFrame, host_col: str, max_rate: float = 0.5, rules: dict[str, str] = HOST_RULES) -> DataFrame:
     """One row a host: shrunken failure rate of each rule, and whether the host passes.
 
     The prior of a rule is the beta distribution whose mean is the corpus rate and whose
     variance is what the hosts' rates vary beyond binomial noise (method of moments).
     """
-    fails = [F.sum(F.expr(f"cast({rule} as long)")).alias(f"x_{name}") for name, rule in HOST_RULES.items()]
+    fails = [F.sum(F.expr(f"cast({rule} as long)")).alias(f"x_{name}") for name, rule in rules.items()]
     # stored, so that the join back reads two plain exchanges and Spark can split a hot host's rows
     hosts = stored(measured.groupBy(F.col(host_col).alias("_host")).agg(F.count(F.lit(1)).alias("n"), *fails), "hosts")
     moments = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")]
@@ -101,7 +108,7 @@ def judge_hosts(measured: DataFrame, host_col: str, max_rate: float = 0.5) -> Da
 
 
 def host_quality_rules(
-    docs: DataFrame, text_col: str = "text", host_col: str = "source", min_words: int = 20, max_repeat_pct: int = 30, max_rate: float = 0.5
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", min_words: int = MIN_WORDS, max_repeat_pct: int = MAX_REPEAT_PCT, max_rate: float = 0.5
 ) -> DataFrame:
     """``docs`` without the text, with the measures, base_failed, host_passes and kept.
 
@@ -110,7 +117,7 @@ def host_quality_rules(
     docs = docs.drop(*(c for c in RESULTS if c not in (text_col, host_col)))  # ours replace columns of the same name
     measured = stored(measure(docs, text_col).drop(text_col), "measures")
     measured = measured.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words")))
-    hosts = judge_hosts(measured, host_col, max_rate)
+    hosts = judge_hosts(measured, host_col, max_rate, host_rules(min_words, max_repeat_pct))
     joined = measured.join(hosts, measured[host_col].eqNullSafe(hosts["_host"]), "left").drop("_host")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_passes", F.lit(True)))
 

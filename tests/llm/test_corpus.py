@@ -99,6 +99,56 @@ def test_pipeline_stages_take_odd_rows(spark):
         out.collect()
 
 
+def test_pipeline_stages_take_empty_tables(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from plumbline.llm.common import shared_folder
+
+    def session(master, conf=None):
+        context = SimpleNamespace(getConf=lambda: conf or {}, master=master, applicationId=master)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+
+    assert shared_folder(session("local[4]")) == shared_folder(session("local[4]")) and shared_folder(session("yarn", {"spark.checkpoint.dir": "hdfs:///c/"})) == "hdfs:///c"
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError, match="share"):
+            shared_folder(session(master))
+
+
+def loop_dual(rows, labels, cost):
+    """The hinge loss dual of ratio-scaled indicators, solved by many more passes over dense vectors."""
+    size = 1 << 6
+    counts = [np.ones(size), np.ones(size)]
+    for ids, y in zip(rows, labels):
+        counts[int(y)][ids] += 1
+    ratio = np.log(counts[1] / (labels.sum() + 2)) - np.log(counts[0] / ((1 - labels).sum() + 2))
+    x = np.zeros((len(rows), size))
+    for i, ids in enumerate(rows):
+        x[i, ids] = ratio[ids] / np.sqrt(len(ids))
+    y = 2 * labels - 1
+    a = np.zeros(len(rows))
+    for _ in range(3000):
+        for i in range(len(rows)):
+            a[i] = np.clip(a[i] + (1 - y[i] * x[i] @ (x.T @ (a * y))) / (x[i] @ x[i]), 0, cost)
+    return x @ (x.T @ (a * y)), x, ratio
+
+
+def test_dual_coordinate_descent_reaches_the_optimum(monkeypatch):
+    monkeypatch.setattr(classifier, "PASSES", 400)
+    r = np.random.default_rng(5)
+    rows = [np.unique(r.integers(0, 40, 9) + 24 * (i % 2)) for i in range(40)]
+    labels = np.array([i % 2 if i % 7 else 1 - i % 2 for i in range(40)], float)
+    want, x, ratio = loop_dual(rows, labels, 0.5)
+    w, bias = classifier.fit_weights(rows, labels, 6, cost=0.5)
+    got = np.array([w[ids].sum() / np.sqrt(len(ids)) for ids in rows])
+    assert bias == 0 and np.abs(got - want).max() < 0.02
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
