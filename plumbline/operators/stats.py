@@ -124,8 +124,9 @@ def bootstrap_ratio(df: DataFrame, cluster: str, numerator: str, denominator: st
     u = lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.col(cluster), i), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     steps = [float(x) for x in np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(12)])]
     drawn = sums.select(*by, "num", "den", cluster, F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("draw"))
-    times = F.size(F.filter(F.array(*map(F.lit, steps)), lambda s: s < u(F.col("draw"))))
-    ratios = drawn.withColumn("k", times).groupBy(*by, "draw").agg(F.sum(F.col("k") * F.col("num")).alias("n"), F.sum(F.col("k") * F.col("den")).alias("d"))
+    # a sum of comparisons with one uniform number stays in generated code
+    times = sum(((F.col("u") > s).cast("int") for s in steps[1:]), (F.col("u") > steps[0]).cast("int"))
+    ratios = drawn.withColumn("u", u(F.col("draw"))).withColumn("k", times).groupBy(*by, "draw").agg(F.sum(F.col("k") * F.col("num")).alias("n"), F.sum(F.col("k") * F.col("den")).alias("d"))
     ratios = ratios.withColumn("r", F.try_divide("n", "d"))
     plain = sums.groupBy(*by).agg(F.try_divide(F.sum("num"), F.sum("den")).alias("ratio")) if by else sums.agg(F.try_divide(F.sum("num"), F.sum("den")).alias("ratio"))
     ends = [quantile("r", 0.025).alias("low"), quantile("r", 0.975).alias("high")]
