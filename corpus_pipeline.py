@@ -1,6 +1,11 @@
 """A corpus pipeline: quality, near duplicates, benchmark leaks, personal data and the mix.
 
 Each stage reads all that the one before kept, and its result is written before the next reads it.
+
+Defined results of every stage: nulls in any column, empty and very long texts and extra columns pass through unless a stage's
+rule rejects them; an empty table gives an empty one. Rows that repeat are judged alike: only the near-duplicate stage makes one of
+rows of equal id and text. A null id is an id like another, but is never the least of a group; a text without words is no near
+duplicate, holds no benchmark item and no personal data, and comes along with its block in the mix.
 """
 
 from __future__ import annotations
