@@ -1,19 +1,24 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become typed placeholders where they are numbers, units of a number, or names
-(capitalised words); the rest is lower-cased and stripped of punctuation. A document is suspect
-of an item when it holds most of the item's template windows. It is contaminated when the
-slots agree too: what fills a placeholder of the item is filled throughout by one value, and no
-two by the same, so a question asked again with other numbers is caught and a chance meeting of
-windows is not.
+(capitalised words); the rest is lower-cased and stripped of punctuation. Each window has two
+keys: that of its template and that of its lower-cased words, so a copy in another case meets
+its item too. A document is suspect of an item when it holds most of the item's windows by either
+key. It is contaminated when the slots agree too: what fills a placeholder of the item is filled
+throughout by one value, so a question asked again with other numbers is caught and a chance
+meeting of windows is not. ``verbatim`` says that the fillings are the item's own, case aside.
 
 Defined results: null and empty texts hold no windows; items of fewer words than a window are
-too short to identify and match nothing; windows of placeholders alone say nothing and do not
-count; rows of equal id and text are one document; empty tables give an empty result.
+too short to identify and match nothing; windows of fewer than ``MIN_LITERALS`` literals say
+nothing by their template and do not count, but where they are most of an item's windows all count,
+and these by their words; rows of equal id and text are one document; empty tables give an empty
+result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +29,10 @@ WINDOW = 5
 SLOT = "\x01"
 #: Words in a window that must not be placeholders.
 MIN_LITERALS = 2
-#: Least share of an item's windows that a document holds, and of its slots that agree.
+#: Least share of an item's windows that a document holds, and of its slots that are filled by one value.
 SIMILARITY = 0.8
 AGREEMENT = 0.8
-#: Item windows up to which they are sent to every task; beyond, both sides are dealt by window.
+#: Keys of item windows up to which they are sent to every task; beyond, both sides are dealt by window.
 BROADCAST_WINDOWS = 250_000
 
 # Punctuation around words, and units of measure.
@@ -39,57 +44,70 @@ UNITS = (
 ).split()
 
 
-def _template(tokens: Column) -> Column:
-    """The typed form of each word."""
+def _tokens(text: Column) -> Column:
+    return F.filter(F.transform(words(text), lambda w: F.btrim(w, F.lit(PUNCTUATION))), lambda w: w != "")
+
+
+def _slot(kind: str) -> Column:
+    return F.xxhash64(F.lit(f"{SLOT}{kind}"))
+
+
+def _template(tokens: Column, lows: Column, hashes: Column) -> Column:
+    """The hash of each word's typed form."""
 
     def typed(word: Column, i: Column) -> Column:
-        first = F.substring(word, 1, 1)
-        low = F.lower(word)
+        first, low = F.substring(word, 1, 1), F.get(lows, i)
         after_number = F.substring(F.get(tokens, i - 1), 1, 1).between("0", "9")
         return (
-            F.when(first.between("0", "9"), F.lit(f"{SLOT}number"))
-            .when(first != F.substring(low, 1, 1), F.lit(f"{SLOT}name"))
-            .when(low.isin(*UNITS) & after_number, F.lit(f"{SLOT}unit"))
-            .otherwise(low)
+            F.when(first.between("0", "9"), _slot("number"))
+            .when(first != F.substring(low, 1, 1), _slot("name"))
+            .when(after_number & low.isin(*UNITS), _slot("unit"))
+            .otherwise(F.get(hashes, i))
         )
 
     return F.transform(tokens, typed)
 
 
-def _tokens(text: Column) -> Column:
-    return F.filter(F.transform(words(text), lambda w: F.btrim(w, F.lit(PUNCTUATION))), lambda w: w != "")
+def _typed(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the hashes of a text's typed words and of its lower-cased words."""
 
+    def of(tokens: Column) -> Column:
+        lows = F.transform(tokens, lambda w: F.lower(w))
+        return let(lows, lambda low: let(F.transform(low, lambda w: F.xxhash64(w)), lambda h: let(_template(tokens, low, h), lambda k: body(k, h))))
 
-def windows(text: Column, size: int = WINDOW) -> Column:
-    """(key, at, slots) of each window: template hash, place and hashes of its words as they stand."""
+    return let(_tokens(text), of)
 
-    def of(tokens: Column) -> Column:
-        n = F.size(tokens)
 
-        def at(keys: Column, raw: Column) -> Column:
-            def one(i: Column) -> Column:
-                return F.struct(F.xxhash64(F.slice(keys, i, size)).alias("key"), i.alias("at"), F.slice(raw, i, size).alias("slots"))
+def windows(text: Column, size: int = WINDOW) -> Column:
+    """(key, literal, at, slots) of each window: hashes of template and words, place, and hashes of its lower-cased words."""
 
-            return F.transform(F.sequence(F.lit(1), n - (size - 1)), one)
+    def of(keys: Column, low: Column) -> Column:
+        def one(i: Column) -> Column:
+            return F.struct(F.xxhash64(F.slice(keys, i, size)).alias("key"), F.xxhash64(F.slice(low, i, size), F.lit(SLOT)).alias("literal"), i.alias("at"), F.slice(low, i, size).alias("slots"))
 
-        none = F.array().cast("array<struct<key:bigint,at:int,slots:array<bigint>>>")
-        keys = F.transform(_template(tokens), lambda w: F.xxhash64(w))
-        raw = F.transform(tokens, lambda w: F.xxhash64(w))
-        return F.when(n < size, none).otherwise(let(keys, lambda k: let(raw, lambda r: at(k, r))))
+        none = F.array().cast("array<struct<key:bigint,literal:bigint,at:int,slots:array<bigint>>>")
+        n = F.size(keys)
+        return F.when(n < size, none).otherwise(F.transform(F.sequence(F.lit(1), n - (size - 1)), one))
 
-    return let(_tokens(text), of)
+    return _typed(text, of)
 
 
 def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, key, item_at, item_slots, kinds and n_windows (distinct keys of the item), stored."""
+    """probe, item, key, item_at, item_slots, kinds and n_windows (distinct keys of the item), stored; a row for each key that finds a window."""
     text = F.col(text_col)
-    typed = let(_tokens(text), lambda t: F.transform(_template(t), lambda w: F.startswith(w, F.lit(SLOT)).cast("int")))
+    slot_keys = [_slot(kind) for kind in ("number", "name", "unit")]
+    typed = _typed(text, lambda keys, _: F.transform(keys, lambda k: k.isin(*slot_keys).cast("int")))
     w = benchmark.select(F.col(item_col).alias("item"), typed.alias("typed"), F.explode(windows(text)).alias("w"))
-    w = w.select("item", "w.key", F.col("w.at").alias("item_at"), F.col("w.slots").alias("item_slots"), F.slice("typed", F.col("w.at"), WINDOW).alias("kinds"))
-    w = w.where(F.aggregate("kinds", F.lit(0), lambda a, y: a + y) <= WINDOW - MIN_LITERALS)
-    firsts = w.groupBy("item", "key").agg(F.min_by(F.struct("item_at", "item_slots", "kinds"), "item_at").alias("f")).select("item", "key", "f.*")
-    sizes = firsts.groupBy("item").agg(F.count(F.lit(1)).alias("n_windows"))
-    return stored(firsts.join(sizes, "item"), "benchmark-windows")
+    w = w.select("item", "w.key", "w.literal", F.col("w.at").alias("item_at"), F.col("w.slots").alias("item_slots"), F.slice("typed", F.col("w.at"), WINDOW).alias("kinds"))
+    w = w.withColumn("telling", F.aggregate("kinds", F.lit(0), lambda a, y: a + y) <= WINDOW - MIN_LITERALS)
+    # windows that do not tell count by their words alone, where they are most of an item
+    w = w.withColumn("key", F.when(F.col("telling"), F.col("key")).otherwise(F.col("literal")))
+    firsts = w.groupBy("item", "key").agg(F.min_by(F.struct("item_at", "item_slots", "kinds", "literal", "telling"), "item_at").alias("f")).select("item", "key", "f.*")
+    sizes = firsts.groupBy("item").agg(F.count(F.when(F.col("telling"), 1)).alias("n_telling"), F.count(F.lit(1)).alias("n_all"))
+    all_count = 2 * F.col("n_telling") < F.col("n_all")
+    counted = firsts.join(sizes, "item").where(F.col("telling") | all_count).withColumn("n_windows", F.when(all_count, F.col("n_all")).otherwise(F.col("n_telling")))
+    probes = F.explode(F.array_distinct(F.array("key", "literal")))
+    return stored(counted.select(probes.alias("probe"), "item", "key", "item_at", "item_slots", "kinds", "n_windows"), "benchmark-windows")
 
 
 def contaminated(
@@ -99,8 +117,8 @@ def contaminated(
     items = item_windows(benchmark, item_col)
     n_items = items.count()
     held = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.explode(windows(F.col(text_col))).alias("w"))
-    held = held.select("id", "text_hash", "w.key", F.col("w.at").alias("at"), F.col("w.slots").alias("slots"))
-    hits = held.join(F.broadcast(items) if n_items <= BROADCAST_WINDOWS else items, "key")
+    held = held.select("id", "text_hash", F.explode(F.array("w.key", "w.literal")).alias("probe"), F.col("w.at").alias("at"), F.col("w.slots").alias("slots"))
+    hits = held.join(F.broadcast(items) if n_items <= BROADCAST_WINDOWS else items, "probe").drop("probe")
     # of an item window's places in a document, the one in line with most others
     hits = hits.withColumn("shift", F.col("at") - F.col("item_at"))
     lines = hits.groupBy("id", "text_hash", "item", "n_windows", "shift").agg(
@@ -117,9 +135,7 @@ def contaminated(
         return F.filter(F.zip_with(x["kinds"], pairs, lambda k, p: F.when(k == 1, p)), lambda p: p.isNotNull())
 
     filled = suspects.withColumn("pairs", F.array_distinct(F.flatten(F.transform("xs", fillings))))
-    single = F.filter(
-        "pairs", lambda p: (F.size(F.filter("pairs", lambda q: q["a"] == p["a"])) == 1) & (F.size(F.filter("pairs", lambda q: q["b"] == p["b"])) == 1)
-    )
+    single = F.filter("pairs", lambda p: F.size(F.filter("pairs", lambda q: q["a"] == p["a"])) == 1)
     checked = filled.select(
         "id", "text_hash", F.col("item").alias(item_col), "n_windows", "n_matched", F.size("pairs").alias("n_slots"), F.size(single).alias("n_agreeing"), F.forall("pairs", lambda p: p["a"] == p["b"]).alias("verbatim")
     )
@@ -148,16 +164,19 @@ WITH src AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SEL
 tok AS (SELECT side, id, text, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: trim(w, {_sql(PUNCTUATION)})), lambda w: w <> '') AS ws FROM src),
 word AS (SELECT side, id, text, len(ws) AS n, i, ws[i] AS raw, CASE WHEN left(ws[i], 1) BETWEEN '0' AND '9' THEN chr(1) || 'number' WHEN left(ws[i], 1) <> left(lower(ws[i]), 1) THEN chr(1) || 'name'
   WHEN lower(ws[i]) IN ({_UNIT_LIST}) AND i > 1 AND left(ws[i - 1], 1) BETWEEN '0' AND '9' THEN chr(1) || 'unit' ELSE lower(ws[i]) END AS typed FROM tok, unnest(range(1, len(ws) + 1)) AS r(i)),
-win AS (SELECT side, id, text, i AS pos, list(typed) OVER w AS key, list(raw) OVER w AS slots, n FROM word WINDOW w AS (PARTITION BY side, id, text ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
-full_win AS (SELECT * FROM win WHERE pos <= n - {WINDOW - 1}),
-item AS (SELECT id AS item_id, key, min(pos) AS item_at, arg_min(slots, pos) AS item_slots FROM full_win WHERE side = 'i' AND len(list_filter(key, lambda k: left(k, 1) = chr(1))) <= {WINDOW - MIN_LITERALS} GROUP BY ALL),
-sized AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n_windows FROM item),
-hit AS (SELECT d.id AS doc_id, d.text, item_id, n_windows, sized.key, item_at, item_slots, d.pos, d.slots, d.pos - item_at AS shift FROM full_win d JOIN sized ON d.key = sized.key WHERE d.side = 'd'),
+win AS (SELECT side, id, text, i AS pos, list(typed) OVER w AS key, list(lower(raw)) OVER w AS slots, n FROM word WINDOW w AS (PARTITION BY side, id, text ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+full_win AS (SELECT *, len(list_filter(key, lambda k: left(k, 1) = chr(1))) <= {WINDOW - MIN_LITERALS} AS telling FROM win WHERE pos <= n - {WINDOW - 1}),
+told AS (SELECT id AS item_id, telling, CASE WHEN telling THEN key ELSE slots END AS key, key AS typed, pos, slots FROM full_win WHERE side = 'i'),
+item AS (SELECT item_id, telling, key, min(pos) AS item_at, arg_min(slots, pos) AS item_slots, arg_min(typed, pos) AS typed FROM told GROUP BY ALL),
+tally AS (SELECT item_id, count(*) FILTER (telling) AS n_telling, count(*) AS n_all FROM item GROUP BY item_id),
+sized AS (SELECT item.*, CASE WHEN 2 * n_telling < n_all THEN n_all ELSE n_telling END AS n_windows FROM item JOIN tally USING (item_id) WHERE telling OR 2 * n_telling < n_all),
+hit AS (SELECT d.id AS doc_id, d.text, item_id, n_windows, sized.key, typed, item_at, item_slots, d.pos, d.slots, d.pos - item_at AS shift FROM full_win d JOIN sized ON d.key = sized.key WHERE d.side = 'd'
+  UNION SELECT d.id AS doc_id, d.text, item_id, n_windows, sized.key, typed, item_at, item_slots, d.pos, d.slots, d.pos - item_at AS shift FROM full_win d JOIN sized ON d.slots = sized.item_slots WHERE d.side = 'd'),
 ranked AS (SELECT *, count(*) OVER (PARTITION BY doc_id, text, item_id, shift) AS c FROM hit),
 best AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY doc_id, text, item_id, key ORDER BY c DESC, shift) = 1),
 suspect AS (SELECT doc_id, text, item_id, n_windows, count(*) AS n_matched FROM best GROUP BY ALL HAVING count(*) >= {SIMILARITY} * n_windows),
-pair AS (SELECT DISTINCT doc_id, text, item_id, item_slots[k] AS a, slots[k] AS b FROM best, range(1, {WINDOW + 1}) AS r(k) WHERE left(key[k], 1) = chr(1)),
-judged AS (SELECT *, count(*) OVER (PARTITION BY doc_id, text, item_id, a) = 1 AND count(*) OVER (PARTITION BY doc_id, text, item_id, b) = 1 AS single FROM pair),
+pair AS (SELECT DISTINCT doc_id, text, item_id, item_slots[k] AS a, slots[k] AS b FROM best, range(1, {WINDOW + 1}) AS r(k) WHERE left(typed[k], 1) = chr(1)),
+judged AS (SELECT *, count(*) OVER (PARTITION BY doc_id, text, item_id, a) = 1 AS single FROM pair),
 slot AS (SELECT doc_id, text, item_id, count(*) AS n_slots, count(*) FILTER (single) AS n_agreeing, bool_and(a = b) AS verbatim FROM judged GROUP BY ALL)
 SELECT s.doc_id, s.item_id, s.n_windows, s.n_matched, coalesce(n_slots, 0)::INT AS n_slots, coalesce(n_agreeing, 0)::INT AS n_agreeing, coalesce(verbatim, true) AS verbatim
 FROM suspect s LEFT JOIN slot p ON s.doc_id = p.doc_id AND s.text = p.text AND s.item_id = p.item_id WHERE coalesce(n_agreeing, 0) >= {AGREEMENT} * coalesce(n_slots, 0)

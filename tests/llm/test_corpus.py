@@ -213,7 +213,22 @@ def test_questions_with_other_numbers_are_caught(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = {x.id: x for x in decontamination.contaminated(documents(spark, texts), bench).collect()}
     assert 0 in got and not got[0].verbatim and got[4].verbatim and 2 not in got
-    assert {x.doc_id for x in decontamination.decontaminated(documents(spark, texts), bench).collect()}.isdisjoint({0, 4})
+    assert (got[1].n_slots, got[1].n_agreeing) == (10, 8), "120 is asked as 77 and as 120: two fillings of ten"
+    assert got[3].verbatim, "a copy in lower case"
+    assert {x.doc_id for x in decontamination.decontaminated(documents(spark, texts), bench).collect()} == {2}
+
+
+def test_copies_of_any_case_and_of_items_full_of_slots_are_caught(spark, monkeypatch):
+    r = random.Random(12)
+    plain = prose(r, 40)
+    slots = "Ada Bell 12 met Cid Dorn 34 near Elm Fort 56 Gale Hull 78"
+    texts = [prose(r, 20) + " " + plain.upper() + " " + prose(r, 20), prose(r, 9) + " " + slots.lower(), slots, "Abe Cole 13 met Dan Eddy 35 near Fox Gulf 57 Hale Ives 79", prose(r, 60), plain + " " + slots]
+    bench = spark.createDataFrame([(1, plain), (2, slots)], "item_id long, text string")
+    find = lambda: {(x.id, x.item_id, x.verbatim) for x in decontamination.contaminated(documents(spark, texts), bench).collect()}
+    want = {(0, 1, True), (1, 2, True), (2, 2, True), (5, 1, True), (5, 2, True)}
+    assert find() == want
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    assert find() == want
 
 
 def loop_targets(sizes, weights, share, repeats):
