@@ -571,6 +571,25 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     assert got[6] == got[7] == (None, "none", None)
 
 
+def wrapped(text, width, mark=""):
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+def test_whole_licences_and_wrapped_headers_are_recognised(spark):
+    r = random.Random(8)
+    body = {name: [t for n, t, h in licenses.ALL_TEMPLATES if n == name and not h and len(t) > 120] for name in ("MIT", "GPL-3.0", "Apache-2.0")}
+    mit = "MIT License\n\nCopyright (c) 2020 " + prose(r, 2) + "\n\n" + "\n\n".join(wrapped(t, 70) for t in body["MIT"])
+    apache = "  Apache License\n  Version 2.0, January 2004\n  http://www.apache.org/licenses/\n\n" + "\n\n".join(wrapped(prose(r, 60), 70) for _ in range(20))
+    header = "# " + prose(r, 6) + "\n#\n" + wrapped(body["GPL-3.0"][0], 60, "# ") + "\n#\n\n" + wrapped(prose(r, 200), 70)
+    rows = [(1, mit, "a/LICENSE"), (2, prose(r, 30), "a/b/c.py"), (3, apache, "d/LICENSE"), (4, prose(r, 30), "d/e.py"), (5, header, "f/g.py"), (6, prose(r, 30), "f/h.py")]
+    got = {x.doc_id: (x.license, x.origin) for x in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    assert got[1] == ("MIT", "file") and got[2] == ("MIT", "inherited")
+    assert got[3] == ("Apache-2.0", "file") and got[4] == ("Apache-2.0", "inherited")
+    assert got[5] == ("GPL-3.0", "header") and got[6] == (None, "none")
+
+
 def test_host_verdicts_shrink_small_hosts(spark):
     r = random.Random(5)
     texts, hosts = [], []
