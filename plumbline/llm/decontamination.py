@@ -78,27 +78,29 @@ def _typed(text: Column, body: Callable[[Column, Column], Column]) -> Column:
     return let(_tokens(text), of)
 
 
-def windows(text: Column, size: int = WINDOW) -> Column:
-    """(key, literal, at, slots) of each window: hashes of template and words, place, and hashes of its lower-cased words."""
+def windows(texts: DataFrame, text: Column, keep: list[str], size: int = WINDOW) -> DataFrame:
+    """``keep``, keys and lows (hashes of all the text's words as typed and in lower case), and at, key and literal of each window.
 
-    def of(keys: Column, low: Column) -> Column:
-        def one(i: Column) -> Column:
-            return F.struct(F.xxhash64(F.slice(keys, i, size)).alias("key"), F.xxhash64(F.slice(low, i, size), F.lit(SLOT)).alias("literal"), i.alias("at"), F.slice(low, i, size).alias("slots"))
+    The arrays are those of the whole text: rows must not be shuffled or stored with them. Only the
+    words are made by interpreted functions, the windows are made in generated code.
+    """
+    both = _typed(text, lambda keys, low: F.struct(keys.alias("keys"), low.alias("lows")))
+    hashed = texts.select(*keep, both.alias("x")).select(*keep, "x.keys", "x.lows").where(F.size("lows") >= size)
+    placed = hashed.select("*", F.explode(F.sequence(F.lit(1), F.size("lows") - (size - 1))).alias("at"))
 
-        none = F.array().cast("array<struct<key:bigint,literal:bigint,at:int,slots:array<bigint>>>")
-        n = F.size(keys)
-        return F.when(n < size, none).otherwise(F.transform(F.sequence(F.lit(1), n - (size - 1)), one))
+    def of(column: str, *seed: Column) -> Column:
+        return F.xxhash64(*(F.get(column, F.col("at") + (j - 1)) for j in range(size)), *seed)
 
-    return _typed(text, of)
+    return placed.select("*", of("keys").alias("key"), of("lows", F.lit(SLOT)).alias("literal"))
 
 
 def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """probe, item, key, item_at, item_slots, kinds and n_windows (distinct keys of the item), stored; a row for each key that finds a window."""
     text = F.col(text_col)
     slot_keys = [_slot(kind) for kind in ("number", "name", "unit")]
-    typed = _typed(text, lambda keys, _: F.transform(keys, lambda k: k.isin(*slot_keys).cast("int")))
-    w = benchmark.select(F.col(item_col).alias("item"), typed.alias("typed"), F.explode(windows(text)).alias("w"))
-    w = w.select("item", "w.key", "w.literal", F.col("w.at").alias("item_at"), F.col("w.slots").alias("item_slots"), F.slice("typed", F.col("w.at"), WINDOW).alias("kinds"))
+    w = windows(benchmark.select(F.col(item_col).alias("item"), text.alias("_text")), F.col("_text"), ["item"])
+    kinds = F.array(*(F.get("keys", F.col("at") + (j - 1)).isin(*slot_keys).cast("int") for j in range(WINDOW)))
+    w = w.select("item", "key", "literal", F.col("at").alias("item_at"), F.slice("lows", F.col("at"), WINDOW).alias("item_slots"), kinds.alias("kinds"))
     w = w.withColumn("telling", F.aggregate("kinds", F.lit(0), lambda a, y: a + y) <= WINDOW - MIN_LITERALS)
     # windows that do not tell count by their words alone, where they are most of an item
     w = w.withColumn("key", F.when(F.col("telling"), F.col("key")).otherwise(F.col("literal")))
@@ -116,9 +118,16 @@ def contaminated(
     """A row for each contaminated document and item: id, text_hash, item, n_windows, n_matched, n_slots, n_agreeing, verbatim."""
     items = item_windows(benchmark, item_col)
     n_items = items.count()
-    held = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.explode(windows(F.col(text_col))).alias("w"))
-    held = held.select("id", "text_hash", F.explode(F.array("w.key", "w.literal")).alias("probe"), F.col("w.at").alias("at"), F.col("w.slots").alias("slots"))
-    hits = held.join(F.broadcast(items) if n_items <= BROADCAST_WINDOWS else items, "probe").drop("probe")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    held = windows(texts, F.col("_text"), ["id", "text_hash"])
+    held = held.select("id", "text_hash", "at", "lows", F.explode(F.array("key", "literal")).alias("probe"))
+    slots = F.slice("lows", F.col("at"), WINDOW).alias("slots")
+    of_item = ["item", "key", "item_at", "item_slots", "kinds", "n_windows"]
+    if n_items <= BROADCAST_WINDOWS:
+        hits = held.join(F.broadcast(items), "probe").select("id", "text_hash", "at", slots, *of_item)
+    else:
+        # what is dealt by window holds the window's words only
+        hits = held.select("id", "text_hash", "at", slots, "probe").join(items.hint("merge"), "probe").select("id", "text_hash", "at", "slots", *of_item)
     # of an item window's places in a document, the one in line with most others
     hits = hits.withColumn("shift", F.col("at") - F.col("item_at"))
     lines = hits.groupBy("id", "text_hash", "item", "n_windows", "shift").agg(
