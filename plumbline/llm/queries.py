@@ -11,6 +11,7 @@ from plumbline.llm.ngram_join import op8_ngram_jaccard
 from plumbline.llm.ngram_lm import op5_lm_scores
 from plumbline.llm.paragraph_dedup import op4_paragraph_dedup
 from plumbline.llm.pii import op1_pii
+from plumbline.llm.target_sampling import OP13_SQL, op13_target_sampling
 from plumbline.llm.warc import op7_warc
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_licenses": op9_licenses,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_target_sampling": op13_target_sampling,
 }
 
-ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op6_host_rules": OP6_SQL, "op9_licenses": OP9_SQL}
+ORACLE_SQL = {"op2_decontamination": OP2_SQL, "op6_host_rules": OP6_SQL, "op9_licenses": OP9_SQL, "op13_target_sampling": OP13_SQL}
