@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from plumbline.llm.classifier import op10_quality_classifier
+from plumbline.llm.conversation_repair import op11_conversation_repair
 from plumbline.llm.decontamination import OP2_SQL, op2_decontamination
+from plumbline.llm.hamming_search import op12_hamming_search
 from plumbline.llm.host_rules import OP6_SQL, op6_host_rules
 from plumbline.llm.licenses import OP9_SQL, op9_licenses
 from plumbline.llm.mixing import op3_mixing
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_licenses": op9_licenses,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_hamming_search": op12_hamming_search,
     "op13_target_sampling": op13_target_sampling,
 }
 
