@@ -182,7 +182,7 @@ def neighbours(vectors: DataFrame, asks: Column, id_col: str = "vec_id", vector_
     shared = spark.sparkContext.broadcast(coder)
 
     blocks, query_blocks = -(-n // BLOCK_ROWS), -(-n_queries // QUERY_ROWS)
-    dealt = lambda df, key, many, others, name: df.select(key, "v", (F.pmod(F.xxhash64(key), F.lit(many))).alias(name), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("other"))
+    dealt = lambda df, key, many, others, name: df.select(key, "v", F.pmod(F.xxhash64(key), F.lit(many)).cast("int").alias(name), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("other"))
     left = dealt(index, "vec_id", blocks, query_blocks, "block").select("block", F.col("other").alias("ask"), "vec_id", "v")
     right = dealt(queries, "query", query_blocks, blocks, "ask").select(F.col("other").alias("block"), "ask", "query", "v")
 

@@ -1,6 +1,7 @@
 """Multi-index hashing: probing is exact within its radius, and recall against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import hamming_search as hs
@@ -44,7 +45,18 @@ def test_probing_finds_every_code_within_the_radius():
         assert len(index.nearest(codes[60] ^ 255, 0, 30)) >= 30
 
 
-def test_recall_on_vectors_of_all_lengths(spark, monkeypatch):
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_recall_on_vectors_of_all_lengths(spark, monkeypatch, coalesced):
+    # blocks of both sides must meet though they lie in other partitions
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    try:
+        check_recall(spark, monkeypatch)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def check_recall(spark, monkeypatch):
     monkeypatch.setattr(hs, "BLOCK_ROWS", 700)
     monkeypatch.setattr(hs, "QUERY_ROWS", 40)
     rng = np.random.default_rng(1)
