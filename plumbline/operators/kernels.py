@@ -18,7 +18,10 @@ def _schema(df: DataFrame, extra: str) -> str:
 
 
 def _scale(part: pd.DataFrame, scale: float | str) -> float:
-    return float(part[scale].iloc[0]) if isinstance(scale, str) else scale
+    if isinstance(scale, str):
+        value = part[scale].iloc[0]
+        return math.nan if value is None else float(value)
+    return scale
 
 
 def remove_speed_outliers(df: DataFrame, keys: list[str], time: str, tie: str, x: str, y: str, valid: str, scale: float | str, max_speed: float) -> DataFrame:

@@ -33,24 +33,32 @@ def body_length(df: DataFrame, keys: list[str], spans: list[str], least_rows: in
     return parts.select(*keys, F.when(reason == "", total).alias("body_length"), reason.alias("reason"))
 
 
-def stability(df: DataFrame, keys: list[str], time: str, forward: str, angles: list[str], back: float = 0.03, front: float = 0.06) -> DataFrame:
-    """AGG2: median, sway, range, speed and share outside the base of ``forward``, and the angles' SDs."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    kept = df.where(F.col(forward).isNotNull()).withColumns({"_dx": F.col(forward) - F.lag(forward).over(w), "_dt": F.col(time) - F.lag(time).over(w)})
+def with_steps(df: DataFrame, keys: list[str], time: str, forward: str) -> DataFrame:
+    """``df`` with _dx and _dt, the way and the time from the last row before that knows ``forward``."""
+    before = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
+    known = F.last(F.when(F.col(forward).isNotNull(), F.struct(F.col(time).alias("t"), F.col(forward).alias("x"))), ignorenulls=True).over(before)
+    return df.withColumn("_b", known).withColumns({"_dx": F.col(forward) - F.col("_b.x"), "_dt": F.when(F.col(forward).isNotNull(), F.col(time) - F.col("_b.t"))}).drop("_b")
+
+
+def stability_columns(forward: str, angles: list[str], back: float = 0.03, front: float = 0.06) -> list[Column]:
+    """AGG2 as aggregates over rows of ``with_steps``: median, sway, range, speed and share outside the base of ``forward``, and the angles' SDs."""
     speed = F.when(F.col("_dt") > 0, F.col("_dx") / F.col("_dt"))
     two = F.count(forward) >= 2
-    share = lambda c: 100.0 * F.count(F.when(c, 1)) / F.count(forward)
-    balance = kept.groupBy(*keys).agg(
+    share = lambda c: F.when(F.count(forward) > 0, 100.0 * F.count(F.when(c, 1)) / F.count(forward))
+    return [
         F.median(forward).alias("forward_median"),
         population_sd(forward).alias("sway_sd"),
         F.when(two, quantile(forward, 0.95) - quantile(forward, 0.05)).alias("sway_range"),
         F.sqrt(F.avg(speed * speed)).alias("speed_rms"),
         share(F.col(forward) > front).alias("pct_over"),
         share(F.col(forward) < -back).alias("pct_under"),
-    )
-    if not angles:
-        return balance
-    return df.groupBy(*keys).agg(*(population_sd(a).alias(f"{a}_sd") for a in angles)).join(balance, keys, "left")
+        *(population_sd(a).alias(f"{a}_sd") for a in angles),
+    ]
+
+
+def stability(df: DataFrame, keys: list[str], time: str, forward: str, angles: list[str], back: float = 0.03, front: float = 0.06) -> DataFrame:
+    """AGG2: a row a key of ``stability_columns``."""
+    return with_steps(df, keys, time, forward).groupBy(*keys).agg(*stability_columns(forward, angles, back, front))
 
 
 def vote(df: DataFrame, keys: list[str], choice: str) -> DataFrame:

@@ -48,27 +48,36 @@ def clip_lengths(gated: DataFrame) -> DataFrame:
 
 
 def clean(keypoints: DataFrame) -> DataFrame:
-    """PP9, PP10: keypoints with x, y cleaned, valid, filled, x_raw, y_raw and body_length.
+    """PP9, PP10: keypoints with x, y cleaned, valid, filled, x_raw, y_raw and body_length; gated and outlier say what was lost where.
 
     Clips without a body length keep their raw values, all invalid.
     """
     gated = gate(keypoints)
-    rows = gated.join(clip_lengths(gated).select("clip_id", "body_length"), CLIP, "left").withColumns({"x_raw": F.col("x"), "y_raw": F.col("y"), "t": F.col("t_ms") / 1000.0})
-    unusable = rows.where("body_length is null").withColumns({"valid": F.lit(False), "filled": F.lit(False)}).drop("t")
+    rows = gated.join(clip_lengths(gated).select("clip_id", "body_length"), CLIP, "left")
+    rows = rows.withColumns({"x_raw": F.col("x"), "y_raw": F.col("y"), "gated": F.col("valid"), "valid": F.col("valid") & F.col("body_length").isNotNull(), "t": F.col("t_ms") / 1000.0})
     series = ["clip_id", "joint"]
-    kept = kernels.remove_speed_outliers(rows.where("body_length is not null"), series, "t", "frame_idx", "x", "y", "valid", "body_length", MAX_SPEED)
-    filled = timeops.fill_gaps(kept.withColumn("valid", F.col("kept")).drop("kept"), series, "t", "frame_idx", ["x", "y"], "valid", MAX_GAP_S)
+    kept = kernels.remove_speed_outliers(rows, series, "t", "frame_idx", "x", "y", "valid", "body_length", MAX_SPEED)
+    kept = kept.withColumns({"outlier": F.col("valid") & ~F.col("kept"), "valid": F.col("kept")}).drop("kept")
+    filled = timeops.fill_gaps(kept, series, "t", "frame_idx", ["x", "y"], "valid", MAX_GAP_S)
     smooth = kernels.one_euro(filled, series, "t", "frame_idx", ["x", "y"], "valid", "body_length")
     good = F.col("valid")
     smooth = smooth.withColumns({"x": F.when(good, F.col("x_smooth")).otherwise(F.col("x")), "y": F.when(good, F.col("y_smooth")).otherwise(F.col("y"))})
-    return smooth.drop("x_smooth", "y_smooth", "t").unionByName(unusable)
+    return smooth.drop("x_smooth", "y_smooth", "t")
 
 
 def clean_counts(cleaned: DataFrame) -> DataFrame:
-    """PP13: per clip, samples, those lost, filled and valid, and frames that look like a hold."""
-    return cleaned.groupBy("clip_id").agg(
-        F.count(F.lit(1)).alias("samples"), F.count(F.when(F.col("valid"), 1)).alias("valid"), F.count(F.when(F.col("filled"), 1)).alias("filled"), F.count(F.when(~F.col("valid"), 1)).alias("lost")
-    )
+    """PP13: per clip, samples by what became of them (measured, filled, gated_out, outliers, unusable: these sum to the samples), and what of the frames that look like a hold was measured."""
+    lost = lambda c: F.count(F.when(~F.col("filled") & c, 1))
+    no_length = F.col("body_length").isNull()
+    low, high = (F.avg(F.when(F.col("gated") & F.col("joint").endswith(p), F.col("y_raw"))) for p in ("wrist", "ankle"))
+    kept = F.col("valid") & ~F.col("filled")
+    frames = cleaned.groupBy("clip_id", "frame_idx").agg(
+        F.count(F.lit(1)).alias("samples"), F.count(F.when(kept, 1)).alias("measured"), F.count(F.when(F.col("filled"), 1)).alias("filled"), lost(~F.col("gated")).alias("gated_out"),
+        lost(F.col("outlier")).alias("outliers"), lost(F.col("gated") & no_length).alias("unusable"), geo.is_inverted(low, high).alias("_up"),
+    )
+    up = lambda c: F.sum(F.when(F.col("_up"), F.col(c)).otherwise(0))
+    sums = [F.sum(c).alias(c) for c in ("samples", "measured", "filled", "gated_out", "outliers", "unusable")]
+    return frames.groupBy("clip_id").agg(*sums, F.count(F.when(F.col("_up"), 1)).alias("hold_like_frames"), up("samples").alias("hold_like_samples"), up("measured").alias("hold_like_measured"))
 
 
 def _all(columns: list[Column]) -> Column:
@@ -153,13 +162,13 @@ def body_features(frames: DataFrame) -> DataFrame:
 def hold_summary(features: DataFrame) -> DataFrame:
     """AGG1-4: a row a hold: extent, medians and spreads of the features, balance, and the predicted shape."""
     names = [f for f in ("off_shoulder", "off_hip", "off_knee", "off_ankle", "line_deviation", "body_angle", "shoulder_angle", "hip_angle", "knee_angle", "elbow_angle", "banana", "head", "leg_separation", "hand_width")]
-    holds = features.where("hold_id >= 0").withColumn("t", F.col("t_ms") / 1000.0)
     key = ["clip_id", "hold_id"]
-    extent = holds.groupBy(*key).agg(F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms"), F.count(F.lit(1)).alias("frames"), F.count(F.when(F.col("valid"), 1)).alias("valid_frames"))
-    good = holds.where("valid")
-    spreads = good.groupBy(*key).agg(*(c for f in names for c in stats.spread(f)))
-    steady = stats.stability(good, key, "t", "com_forward", ["hip_angle", "shoulder_angle"])
-    out = extent.join(spreads, key, "left").join(steady, key, "left")
+    holds = features.where("hold_id >= 0").withColumn("t", F.col("t_ms") / 1000.0)
+    extent = [F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms"), F.count(F.lit(1)).alias("frames"), F.count(F.when(F.col("valid"), 1)).alias("valid_frames")]
+    # values of frames that are not valid take no part, so that one aggregation serves all
+    use = holds.withColumns({f: F.when(F.col("valid"), F.col(f)) for f in (*names, "com_forward")})
+    steps = stats.with_steps(use, key, "t", "com_forward")
+    out = steps.groupBy(*key).agg(*extent, *(c for f in names for c in stats.spread(f)), *stats.stability_columns("com_forward", ["hip_angle", "shoulder_angle"]))
     return out.withColumn("shape", geo.predicted_shape(F.col("leg_separation_median"), F.col("knee_angle_median"), F.col("hip_angle_median")))
 
 

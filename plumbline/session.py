@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "plumbline") -> SparkSession:
@@ -20,3 +20,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "plu
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once for several uses: a checkpoint in the folder that ``spark.checkpoint.dir`` names, or where none is named (a local session) a cache that is made anew when lost."""
+    context = df.sparkSession.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    context.setCheckpointDir(folder)
+    return df.checkpoint()
