@@ -465,7 +465,7 @@ def in_bin_order(spark, sf_dir):
 
 @query("""SELECT doc_id, stratum FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(doc_id::VARCHAR)) AS r FROM (
   SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'trainer_contact' WHEN quality = 0 THEN 'clean_trainer' ELSE 'clean_no_trainer' END AS stratum FROM documents d JOIN labels USING (doc_id)))
-WHERE r <= CASE stratum WHEN 'clean_no_trainer' THEN 60 WHEN 'trainer_contact' THEN 25 ELSE 15 END""")
+WHERE r <= CASE stratum WHEN 'clean_no_trainer' THEN 60 WHEN 'clean_trainer' THEN 25 ELSE 15 END""")
 def stratum_quota_sample(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
     d = d.withColumn("stratum", sampling.stratum(F.lit(True), F.col("toxic") == 1, F.col("quality") == 0))
