@@ -253,3 +253,12 @@ def claimed_near_side(left: Column, right: Column, margin: float = VISIBILITY_MA
 def near_side_from_depth(left_z: Column, right_z: Column, margin: float = 0.05) -> Column:
     """AGG33: the side with the smaller depth by the margin."""
     return F.when(right_z - left_z >= margin, "left").when(left_z - right_z >= margin, "right")
+
+
+def live_banana(shoulder: Column, hip: Column, ankle: Column, nose: Column) -> Column:
+    """LIV12: struct of magnitude and signed bend of one frame, scaled by its own trunk and legs; null where a midpoint is missing, signed null without a nose."""
+    flip = lambda p: point(p["x"], -p["y"])
+    size = distance(shoulder, hip) + distance(hip, ankle)
+    a, b, c = flip(shoulder), flip(hip), flip(ankle)
+    bend = line_side(a, c, b) / F.when(size > MIN_SEGMENT_L, size)
+    return F.when(bend.isNotNull(), F.struct(F.abs(bend).alias("magnitude"), (bend * facing_sign(a, c, flip(nose))).alias("signed")))

@@ -64,7 +64,7 @@ def append_note(notes: Column, word: str) -> Column:
 
 def split_list(value: Column) -> Column:
     """STR13: the entries of a semicolon list, trimmed, none empty."""
-    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def segment_times(start_ms: Column, end_ms: Column) -> Column:

@@ -89,11 +89,12 @@ def choose_orientation(upright: Column, rotated: Column) -> Column:
     return F.coalesce(rotated > upright, F.lit(False))
 
 
-def unusable_clips(frames: DataFrame, spans: list[str], score: str, gates: list[float], least_rows: int = 10) -> DataFrame:
-    """BAK14: gate and the clips that have no body length at it."""
-    out = None
-    for g in gates:
-        kept = frames.withColumns({s: F.when(F.col(score) >= g, F.col(s)) for s in spans})
-        n = stats.body_length(kept, ["clip_id"], spans, least_rows).agg(F.lit(g).alias("gate"), F.count(F.when(F.col("reason") != "", 1)).alias("unusable"))
-        out = n if out is None else out.unionByName(n)
-    return out
+def unusable_clips(frames: DataFrame, spans: list[str], score: str, gates: list[float], least_rows: int = 10, q: float = 0.9, least: float = 1.0) -> DataFrame:
+    """BAK14: gate and the clips that have no body length at it, all gates in one pass over the frames."""
+    gated = lambda s, g: F.when(F.col(score) >= g, F.col(s))
+    columns = [c for i, g in enumerate(gates) for j, s in enumerate(spans) for c in (F.count(gated(s, g)).alias(f"n_{i}_{j}"), stats.quantile(gated(s, g), q).alias(f"q_{i}_{j}"))]
+    clips = frames.groupBy("clip_id").agg(*columns)
+    few = lambda i: F.least(*(F.col(f"n_{i}_{j}") for j in range(len(spans))), F.lit(1 << 62)) < least_rows
+    short = lambda i: sum((F.col(f"q_{i}_{j}") for j in range(1, len(spans))), F.col(f"q_{i}_0")) < least
+    counts = clips.agg(*(F.count_if(few(i) | F.coalesce(short(i), F.lit(True))).alias(f"u_{i}") for i in range(len(gates))))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(g).alias("gate"), F.col(f"u_{i}").alias("unusable")) for i, g in enumerate(gates)))))

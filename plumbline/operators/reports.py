@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import runs, timeops
-from plumbline.operators.stats import quantile
+from plumbline.operators.orders import exact_quantiles
 
 
 def clip_report(frames: DataFrame, keys: list[str], time: str, tie: str, second: str, contact: str, detected: str, present_s: float = 0.5) -> DataFrame:
@@ -60,8 +60,10 @@ def progress(sessions: DataFrame, user: str, at: str, score: str, now: Column, l
 
 
 def quantiles(df: DataFrame, column: str, at: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """AGG8, AGG10: one row of quantiles of a column."""
-    return df.agg(*(quantile(column, q).alias(f"p{round(100 * q)}") for q in at), F.count(column).alias("n"))
+    """AGG8, AGG10: one row of exact quantiles of a column's known values, selected in rounds."""
+    found = exact_quantiles(df, column, list(at))
+    n = df.agg(F.count(F.when(~F.isnan(F.col(column).cast("double")), F.col(column))).alias("n"))
+    return n.select(*(F.lit(v).cast("double").alias(f"p{round(100 * q)}") for q, v in zip(at, found, strict=True)), "n")
 
 
 def diagnostics(frames: DataFrame, keys: list[str], time: str, reason: str) -> DataFrame:

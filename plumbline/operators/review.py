@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.orders import exact_quantiles
+
 # Words of labels.
 SIDE, NOT_SIDE, LINE, EMPTY, MIXED = "side", "not_side", "line", "empty", "mixed"
 
@@ -205,8 +207,10 @@ def chain_snapshot(clips: DataFrame, holds: DataFrame, usable: str, frames: str,
 
 
 def cleaning_summary(reports: DataFrame) -> DataFrame:
-    """PP14: sums of samples, their valid share, and medians over clips of jitter and length."""
-    return reports.agg(F.sum("total").alias("total"), F.sum("valid").alias("valid"), (100 * F.sum("valid") / F.sum("total")).alias("valid_percent"), median_finite("jitter").alias("jitter_median"), median_finite("length").alias("length_median"), F.count_if(F.col("length").isNull()).alias("unusable"))
+    """PP14: sums of samples, their valid share, and exact medians over clips of jitter and length."""
+    jitter, length = (exact_quantiles(reports, c, [0.5])[0] for c in ("jitter", "length"))
+    sums = reports.agg(F.sum("total").alias("total"), F.sum("valid").alias("valid"), (100 * F.sum("valid") / F.sum("total")).alias("valid_percent"), F.count_if(F.col("length").isNull()).alias("unusable"))
+    return sums.withColumns({"jitter_median": F.lit(jitter).cast("double"), "length_median": F.lit(length).cast("double")})
 
 
 def holds_per_clip(holds: DataFrame, wanted: DataFrame, clip: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,39 +106,64 @@ def phases(df: DataFrame, keys: list[str], time: str, tie: str, known: str, hand
     return df.withColumn("phase", F.when(inside, "hold").when(~F.col(known), "unknown").otherwise(carried)).drop("_was", "_m", "_seen")
 
 
-def merge_short_segments(df: DataFrame, keys: list[str], time: str, label: str, min_length: float, unmeasured: str = "unmeasured") -> DataFrame:
+def merged_runs(runs: list[tuple[str, float, float]], min_length: float) -> list[tuple[str, float, float]]:
+    """(label, start, end) of neighbouring runs after the shortest under ``min_length`` has joined its longer neighbour, again and again.
+
+    The earlier run goes first of two equally short ones, and joins the one before where its neighbours are equally long. Runs are
+    linked to their neighbours and wait in a heap, so that n runs take n log n steps.
+    """
+    label, start, end = ([r[i] for r in runs] for i in range(3))
+    before, after, gone = list(range(-1, len(runs) - 1)), list(range(1, len(runs) + 1)), [False] * len(runs)
+    length = lambda i: end[i] - start[i]
+    heap = [(length(i), i) for i in range(len(runs))]
+    heapq.heapify(heap)
+    left = len(runs)
+
+    def join(i: int, j: int) -> None:
+        """j, the neighbour behind i, becomes part of i."""
+        end[i], after[i], gone[j] = end[j], after[j], True
+        if after[j] < len(runs):
+            before[after[j]] = i
+
+    while left > 1 and heap:
+        size, i = heapq.heappop(heap)
+        if gone[i] or size != length(i):
+            continue
+        if size >= min_length:
+            break
+        sides = [j for j in (before[i], after[i]) if 0 <= j < len(runs)]
+        to = max(sides, key=lambda j: (length(j), -j))
+        first = min(i, to)
+        label[first] = label[to]
+        join(first, max(i, to))
+        left -= 1
+        for one, two in ((before[first], first), (first, after[first])):
+            if 0 <= one and two < len(runs) and label[one] == label[two]:
+                join(one, two)
+                left -= 1
+                first = one if one < first else first
+        heapq.heappush(heap, (length(first), first))
+    return [(label[i], start[i], end[i]) for i in range(len(runs)) if not gone[i]]
+
+
+def merge_short_segments(df: DataFrame, keys: list[str], time: str, label: str, min_length: float, unmeasured: str = "unmeasured", tie: str | None = None) -> DataFrame:
     """SEG11, SEG12: keys, segment_id, label, start and end after short runs joined their longer neighbours.
 
-    A row without a label joins the run in progress (the first labelled run, at the start). Each
-    merge decides the next, so a key's runs are folded in one task; runs are few where rows are many.
+    A row without a label joins the run in progress (the first labelled run, at the start); rows of one time follow ``tie``, else their
+    label. Each merge decides the next, so a key's runs are folded in one task; runs are few where rows are many.
     """
-    order = [time]
-    w = in_order(keys, time)
+    order = [time, tie or label]
+    w = in_order(keys, *order)
     seen = F.when(F.col(label) != unmeasured, F.col(label))
     filled = F.coalesce(
         F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(seen, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(unmeasured)
     )
-    runs = run_lengths(df.withColumn(label, filled), keys, order, label, time)
+    runs = run_lengths(df.withColumn("_l", filled), keys, order, "_l", time)
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("run")
-        runs = [[getattr(r, label), r.start, r.end] for r in part.itertuples()]
-        while len(runs) > 1:
-            lengths = [e - s for _, s, e in runs]
-            i = lengths.index(min(lengths))
-            if lengths[i] >= min_length:
-                break
-            sides = [j for j in (i - 1, i + 1) if 0 <= j < len(runs)]
-            runs[i][0] = runs[max(sides, key=lambda j: (lengths[j], -j))][0]
-            joined = [runs[0]]
-            for r in runs[1:]:
-                if r[0] == joined[-1][0]:
-                    joined[-1][2] = r[2]
-                else:
-                    joined.append(r)
-            runs = joined
-        out = pd.DataFrame(runs, columns=[label, "start", "end"])
-        out.insert(0, "segment_id", range(len(runs)))
+        out = pd.DataFrame(merged_runs(list(part[["_l", "start", "end"]].itertuples(index=False, name=None)), min_length), columns=[label, "start", "end"])
+        out.insert(0, "segment_id", range(len(out)))
         for k in reversed(keys):
             out.insert(0, k, part[k].iloc[0])
         return out

@@ -183,3 +183,71 @@ def frame_severities(features: DataFrame, reference: dict[str, tuple[float, floa
     known = F.filter(F.array(*pairs), lambda p: measured & p["value"].isNotNull())
     out = features.withColumn("severities", F.map_from_entries(known))
     return out.withColumn("severity", F.array_max(F.map_values("severities"))).withColumn("band", band(F.col("severity")))
+
+
+def reviewed_values(holds: DataFrame, features: DataFrame, rules: Rules) -> DataFrame:
+    """SCO8: a row for every distinct reviewed hold (clip_id, hold_id) with its values, and ``note``: why it is skipped, null where it is not.
+
+    ``features`` has a row a frame. A hold is skipped when its clip has no features, when the clip has no frame of it, or when too few are valid.
+    """
+    wanted = holds.select("clip_id", F.col("hold_id").cast("long").alias("hold_id")).distinct()
+    known = features.select("clip_id").distinct().withColumn("_clip", F.lit(True))
+    frames = features.withColumn("hold_id", F.col("hold_id").cast("long")).join(wanted, ["clip_id", "hold_id"], "left_semi")
+    values = hold_values(frames, ["clip_id", "hold_id"], "t_ms", rules)
+    out = wanted.join(known, "clip_id", "left").join(values, ["clip_id", "hold_id"], "left")
+    note = F.when(F.col("_clip").isNull(), "features file missing").when(F.col("hold_frames").isNull(), "hold id not in features").when(F.col("valid_frames") < rules.least_frames, "too few valid frames")
+    return out.select("clip_id", "hold_id", *(F.when(note.isNull(), F.col(f)).alias(f) for f in rules.features), note.alias("note"))
+
+
+# What is said of a fault, the least deviation worth a sentence, and the share of a hold out of balance.
+CUE_TEXTS = {
+    "shoulder_angle": "Open your shoulders: push the floor away, arms by your ears.",
+    "hip_angle": "Hips are piked: squeeze your glutes and bring your legs in line.",
+    "knee_angle": "Straighten your knees and point your toes.",
+    "elbow_angle": "Lock your elbows.",
+    "banana_pos": "You're arching (banana): pull your ribs in and tuck the pelvis.",
+    "banana_neg": "You're hollowing at the hips: open the hips to a straight line.",
+    "head": "Keep your head neutral: eyes on the floor between your hands.",
+    "leg_separation": "Keep your legs together.",
+    "line_deviation": "Your line leans: stack hips over shoulders over hands.",
+    "body_angle": "Your line leans: stack hips over shoulders over hands.",
+    "off_shoulder": "Stack your shoulders over your hands.",
+    "off_hip": "Stack your hips over your hands.",
+    "off_knee": "Stack your knees over your hands.",
+    "off_ankle": "Stack your ankles over your hands.",
+    "balance_over": "You're tipping towards your fingers: press into your fingertips.",
+    "balance_under": "You're sitting back on your palms: shift a little over your fingers.",
+    "none": "Solid line: nothing over the limits in this hold.",
+}
+CUE_Z, CUE_BALANCE, CUE_BALANCE_SEVERITY = 1.5, 30.0, 0.4
+
+
+def _cue(feature: Column, value: Column) -> Column:
+    """The key of a fault's text: a bend has one for each direction, and none without a direction."""
+    return F.when(feature != "banana", feature).when(value > 0, "banana_pos").when(value < 0, "banana_neg")
+
+
+def session_cues(scores: DataFrame, summary: DataFrame, most: int = 3, cap: float = 4.0, tolerances: list[tuple[str, Column, Column]] | None = None) -> DataFrame:
+    """SCO20: clip_id, rank, cue, severity and text of the longest hold of each clip, the severest first: ``none`` where nothing is wrong.
+
+    ``scores`` has the holds' top_faults, ``summary`` their extent, medians and balance. Without a reference ``tolerances`` stands for the scores: (feature,
+    whether its median fails, its severity) as columns of the summary. Equal severities keep the order faults, over, under.
+    """
+    w = Window.partitionBy("clip_id").orderBy(F.desc(F.col("end_ms") - F.col("start_ms")), "hold_id")
+    longest = summary.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    entry = lambda key, size: F.struct(key.alias("cue"), size.alias("severity"))
+    if tolerances is None:
+        rows = longest.join(scores.select("clip_id", "hold_id", "top_faults"), ["clip_id", "hold_id"], "left")
+        far = F.filter(F.coalesce("top_faults", F.array().cast(scores.schema["top_faults"].dataType)), lambda f: F.abs(f["z"]) >= CUE_Z)
+        faults = F.transform(far, lambda f: entry(_cue(f["feature"], f["value"]), F.least(F.abs(f["z"]), F.lit(cap)) / cap))
+    else:
+        rows = longest
+        faults = F.array(*(entry(F.when(F.coalesce(fails, F.lit(False)), _cue(F.lit(name), F.col(f"{name}_median"))), size.cast("double")) for name, fails, size in tolerances))
+    balance = [entry(F.when(F.col(f"pct_{k}") > CUE_BALANCE, F.lit(f"balance_{k}")), F.lit(CUE_BALANCE_SEVERITY)) for k in ("over", "under")]
+    texts = F.create_map(*(F.lit(x) for pair in CUE_TEXTS.items() for x in pair))
+    said = F.filter(F.concat(faults, F.array(*balance)), lambda c: c["cue"].isNotNull() & F.array_contains(F.map_keys(texts), c["cue"]))
+    placed = F.transform(said, lambda c, i: F.struct((-c["severity"]).alias("s"), i.alias("i"), c["cue"].alias("cue")))
+    none = F.array(F.struct(F.lit(-0.0).alias("s"), F.lit(0).alias("i"), F.lit("none").alias("cue")))
+    ranked = F.when(F.size(said) == 0, none).otherwise(F.slice(F.array_sort(placed), 1, most))
+    out = rows.select("clip_id", F.posexplode(ranked).alias("p", "c"))
+    return out.select("clip_id", (F.col("p") + 1).alias("rank"), F.col("c.cue").alias("cue"), F.abs("c.s").alias("severity"), texts[F.col("c.cue")].alias("text"))

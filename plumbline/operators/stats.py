@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.orders import running_totals
+from plumbline.session import settled
+
 
 def quantile(x: Column | str, q: float) -> Column:
     """Linear interpolation over the known values."""
@@ -121,27 +123,33 @@ def recommended_gate(sweep: DataFrame, keys: list[str], target: float = 0.9, fal
     return sweep.groupBy(*keys).agg(F.coalesce(low, F.lit(fallback)).alias("gate"), low.isNotNull().alias("met"))
 
 
-def bootstrap_ratio(df: DataFrame, cluster: str, numerator: str, denominator: str, by: list[str], samples: int = 1000, seed: int = 16) -> DataFrame:
-    """BAK15: by, ratio, low and high (2.5 and 97.5 percent) over resampled clusters.
+def cluster_draws(clusters: DataFrame, by: list[str], cluster: str, samples: int, seed: int) -> DataFrame:
+    """BAK15: by, sample, nth and times: how often each sample draws the nth cluster of its group, with ``clusters`` (by, cluster) numbered from 0 by ``running_totals``.
 
-    Clusters are summed first. A resample of n clusters gives each a number of draws; those of
-    all clusters are one multinomial, drawn as independent Poisson counts (the Poisson bootstrap), so that
-    clusters need no common list and any number of them is resampled where they are.
+    A sample draws as many clusters as the group has, each one by a hash of its own, so the counts of a sample are an exact multinomial and sum to
+    the number of clusters. Draws are made where the clusters are and counted before they are shuffled.
     """
+    draw = F.md5(F.concat_ws(":", F.lit(seed), "sample", "nth").cast("binary"))
+    drawn = clusters.select(*by, "nth", "of", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample"))
+    to = F.conv(F.substring(draw, 1, 15), 16, 10).cast("long") % F.col("of")
+    return drawn.select(*by, "sample", to.alias("nth")).groupBy(*by, "sample", "nth").agg(F.count(F.lit(1)).alias("times"))
+
+
+def bootstrap_ratio(df: DataFrame, cluster: str, numerator: str, denominator: str, by: list[str], samples: int = 1000, seed: int = 16) -> DataFrame:
+    """BAK15: by, ratio, low and high (2.5 and 97.5 percent) over samples of whole clusters, drawn with return."""
     sums = df.groupBy(*by, cluster).agg(F.sum(numerator).alias("num"), F.sum(denominator).alias("den"))
-    u = lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.col(cluster), i), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    steps = [float(x) for x in np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(12)])]
-    drawn = sums.select(*by, "num", "den", cluster, F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("draw"))
-    # a sum of comparisons with one uniform number stays in generated code
-    times = sum(((F.col("u") > s).cast("int") for s in steps[1:]), (F.col("u") > steps[0]).cast("int"))
-    ratios = drawn.withColumn("u", u(F.col("draw"))).withColumn("k", times).groupBy(*by, "draw").agg(F.sum(F.col("k") * F.col("num")).alias("n"), F.sum(F.col("k") * F.col("den")).alias("d"))
-    ratios = ratios.withColumn("r", F.try_divide("n", "d"))
-    plain = sums.groupBy(*by).agg(F.try_divide(F.sum("num"), F.sum("den")).alias("ratio")) if by else sums.agg(F.try_divide(F.sum("num"), F.sum("den")).alias("ratio"))
-    ends = [quantile("r", 0.025).alias("low"), quantile("r", 0.975).alias("high")]
-    if not by:
-        row = ratios.agg(*ends).first()  # two numbers
-        return plain.select("ratio", F.lit(row["low"]).alias("low"), F.lit(row["high"]).alias("high"))
-    return plain.join(ratios.groupBy(*by).agg(*ends), by)
+    placed = running_totals(sums.withColumn("one", F.lit(1)), [*by, cluster], ["one"])
+    ends = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("of"), F.min("total_one").alias("_first"))
+    numbered = placed.join(ends, by) if by else placed.crossJoin(ends)  # a row a group; one row where there are none
+    numbered = settled(numbered.select(*by, "num", "den", (F.col("total_one") - F.col("_first")).alias("nth"), "of"))
+    draws = cluster_draws(numbered, by, cluster, samples, seed)
+    ratios = draws.join(numbered, [*by, "nth"]).groupBy(*by, "sample").agg(F.sum(F.col("times") * F.col("num")).alias("n"), F.sum(F.col("times") * F.col("den")).alias("d"))
+    ratios = ratios.withColumn("r", F.when(F.col("d") > 0, F.col("n") / F.col("d")))
+    total = F.sum("den")
+    plain = numbered.groupBy(*by).agg(F.when(total > 0, F.sum("num") / total).alias("ratio"))
+    # as many values a group as there are samples
+    found = ratios.groupBy(*by).agg(quantile("r", 0.025).alias("low"), quantile("r", 0.975).alias("high"))
+    return plain.join(found, by) if by else plain.crossJoin(found)
 
 
 def tally(df: DataFrame, reason: str, order: list[str]) -> DataFrame:

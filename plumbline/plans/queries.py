@@ -350,7 +350,13 @@ def grouping_sets_metrics(spark, sf_dir):
     return s.groupingSets([["event_type", "slice"], ["event_type"], []], "event_type", "slice").agg(F.round(stats.pck("x", "vis", 0.5, 50.0), 6).alias("pck"), F.round(stats.miss_rate("vis", 0.5), 6).alias("miss_rate"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    """, s AS (SELECT event_type, user_id, count(*) FILTER (coalesce(x <= 50, false)) AS num, count(*) AS den FROM e GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY user_id) - 1 AS nth, count(*) OVER (PARTITION BY event_type) AS n FROM s),
+d AS (SELECT event_type, b AS sample, ('0x' || substr(md5('16:' || b || ':' || nth), 1, 15))::BIGINT % n AS nth FROM k, range(1, 1001) r(b)),
+t AS (SELECT event_type, sample, sum(num) / sum(den) AS r FROM d JOIN k USING (event_type, nth) GROUP BY ALL)
+SELECT event_type, (SELECT round(sum(num) / sum(den), 6) FROM s WHERE s.event_type = t.event_type) AS ratio, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM t GROUP BY event_type"""
+)
 def bootstrap_ci(spark, sf_dir):
     s = series(spark, sf_dir).withColumns({"hit": F.coalesce(F.col("x") <= 50, F.lit(False)).cast("int"), "one": F.lit(1)})
     return rounded(stats.bootstrap_ratio(s, "user_id", "hit", "one", ["event_type"]), "ratio", "low", "high", digits=6)
@@ -473,10 +479,13 @@ def stratum_quota_sample(spark, sf_dir):
     return sampling.fill_quotas(d, "stratum", [F.md5(F.col("doc_id").cast("string").cast("binary"))], wanted).select("doc_id", "stratum")
 
 
-@query("""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:]+)', 1) AS host, CASE WHEN url LIKE '%/%' THEN regexp_replace(lower(trim(url)), '[\\s\\-.]+', '_', 'g') END AS joint FROM pages""")
+@query("""SELECT page_id, nullif(trim(regexp_replace(regexp_replace(lower(trim(url)), '[\\s\\-.]+', '_', 'g'), '_+', '_', 'g'), '_'), '') AS joint, list_filter(list_transform(string_split(replace(coalesce(url, ''), '/', ' ; '), ';'), lambda x: trim(x)), lambda x: x <> '') AS parts,
+  CASE WHEN contains(lower(coalesce(url, '')), 'page') THEN coalesce(url, '') WHEN trim(coalesce(url, '')) = '' THEN 'page' ELSE url || '; page' END AS notes, left(sha1(coalesce(html, '')), 12) AS content FROM pages""")
 def parse_names(spark, sf_dir):
+    """LAB3, STR9, STR13, ING5."""
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/:]+)", 1).alias("host"), F.when(F.col("url").contains("/"), F.regexp_replace(F.lower(F.trim("url")), r"[\s\-.]+", "_")).alias("joint"))
+    parts = text.split_list(F.replace("url", F.lit("/"), F.lit(" ; ")))
+    return p.select("page_id", text.normalised_joint(F.col("url")).alias("joint"), parts.alias("parts"), text.append_note(F.col("url"), "page").alias("notes"), text.content_id(F.coalesce("html", F.lit("")).cast("binary")).alias("content"))
 
 
 @query("""SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name)), '[\\s\\-.]+', '_', 'g'), '_+', '_', 'g') AS joint, p_partkey::VARCHAR || '_h' || p_size::VARCHAR || '_s1' AS segment, p_partkey::VARCHAR || '_7.jpg' AS image FROM part""")
@@ -549,7 +558,20 @@ SELECT user_id, event_id FROM s WHERE keep"""
 @query()
 def merged_segments(spark, sf_dir):
     s = series(spark, sf_dir).withColumn("event_type", F.when(F.col("event_type") == "error", F.lit("unmeasured")).otherwise(F.col("event_type")))
-    return runs.merge_short_segments(s, KEYS, "t", "event_type", 2 * DAY)
+    return rounded(runs.merge_short_segments(s, KEYS, "t", "event_type", 2 * DAY, tie="event_id"), "start", "end", digits=3)
+
+
+ORACLE_SQL["merged_segments"] = f"""{RECURSIVE}, f AS (SELECT user_id, event_id, t, coalesce(last_value(nullif(event_type, 'error') IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(nullif(event_type, 'error') IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 'unmeasured') AS l FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+c AS (SELECT *, sum(CASE WHEN l IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS run FROM (SELECT *, lag(l) OVER (PARTITION BY user_id ORDER BY t, event_id) AS p FROM f)),
+g AS (SELECT user_id, run, any_value(l) AS l, min(t) AS s, max(t) AS e FROM c GROUP BY user_id, run),
+m AS (SELECT user_id, list({{'l': l, 's': s, 'e': e}} ORDER BY run) AS r FROM g GROUP BY user_id
+  UNION ALL SELECT user_id, list_concat(list_slice(r, 1, lo - 1), [{{'l': r[j].l, 's': r[lo].s, 'e': r[hi].e}}], list_slice(r, hi + 1, len(r))) FROM (
+    SELECT *, CASE WHEN o >= 1 AND o <= len(r) AND r[o].l = r[j].l THEN least(i, j, o) ELSE least(i, j) END AS lo, CASE WHEN o >= 1 AND o <= len(r) AND r[o].l = r[j].l THEN greatest(i, j, o) ELSE greatest(i, j) END AS hi FROM (
+      SELECT *, 2 * i - j AS o FROM (SELECT *, CASE WHEN i = 1 THEN 2 WHEN i = len(r) THEN i - 1 WHEN d[i + 1] > d[i - 1] THEN i + 1 ELSE i - 1 END AS j FROM (
+        SELECT *, list_position(d, list_min(d)) AS i FROM (SELECT *, list_transform(r, lambda x: x.e - x.s) AS d FROM m WHERE len(r) > 1) WHERE list_min(d) < {2 * DAY}))))),
+z AS (SELECT user_id, arg_min(r, len(r)) AS r FROM m GROUP BY user_id)
+SELECT user_id, (i - 1)::BIGINT AS segment_id, r[i].l AS event_type, round(r[i].s, 3) AS start, round(r[i].e, 3) AS "end" FROM z, unnest(range(1, len(r) + 1)) AS x(i)"""
 
 
 @query()

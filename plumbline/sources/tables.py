@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.geometry import finite
-from plumbline.functions.text import strict_bool
+from plumbline.functions.text import display_size, parse_frame_rate, recorded_at, strict_bool, variable_frame_rate
 
 # The body's joints in order.
 JOINTS = (
@@ -126,15 +126,84 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-# The shape of a labelling tool's export.
-EXPORT = "array<struct<image:string, joint:string, x:double, y:double, visible:string, annotated_at:string>>"
+# Keys and words of the labelling tool's export.
+LABEL_KEYS, POINT_TYPES, UNCLEAR = ("label", "labels", "keypointlabels"), ("keypointlabels", "keypoints", "keypoint"), ("occluded", "unsure")
+IMAGE_KEYS, AUTHOR_KEYS, NAME_KEYS, TIME_KEYS = ("image", "image_path", "path"), ("completed_by", "created_by", "annotator"), ("email", "username", "first_name"), ("updated_at", "created_at", "completed_at")
+
+
+def _at(v: Column, path: str, kind: str) -> Column:
+    """What a VARIANT holds at a path; null where it is absent or of another kind."""
+    return F.try_variant_get(v, path, kind)
+
+
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
+def _text(v: Column, *paths: str) -> Column:
+    """The first of the paths that holds text that is not empty."""
+    words = lambda p: F.when(_kind(_at(v, p, "variant")) == "STRING", F.nullif(_at(v, p, "string"), F.lit("")))
+    return F.coalesce(*map(words, paths))
+
+
+def _list(v: Column, path: str) -> Column:
+    return F.coalesce(_at(v, path, "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _truth(v: Column, path: str) -> Column:
+    """A flag as it was meant: true, a number that is not 0, text that is not empty; null where there is none."""
+    return F.coalesce(_at(v, path, "boolean"), _at(v, path, "double") != 0, F.when(_kind(_at(v, path, "variant")) == "STRING", _at(v, path, "string") != ""))
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """SRC20: a row a label from JSON files that hold a list of tasks, or an object with such a list under ``tasks``."""
+    """SRC20, LAB5: a row for each joint label of the tool's JSON export, nested as it writes it: tasks, their annotations, their results.
+
+    A file holds a list of tasks or an object with such a list under ``tasks``; anything else ends the query. Rows have task, image, annotation
+    (its place in the task), joint (the label as written), x and y in percent, visible, labeler and labeled_at. A result counts
+    as a point by its type, or without a type by having coordinates and a label; a point whose coordinates are no numbers
+    is left out. A point is visible by its own flags, else unless the annotation says occluded or unsure anywhere.
+    """
     text = spark.read.option("wholetext", True).text(path)
-    tasks = F.from_json(F.coalesce(F.get_json_object("value", "$.tasks"), "value"), EXPORT)
-    return text.select(F.explode(tasks).alias("t")).select("t.*")
+    whole = text.select(F.try_parse_json("value").alias("v"))
+    kind = F.coalesce(_kind(F.col("v")), F.lit("no JSON"))
+    found = F.when(kind.startswith("ARRAY"), _at(F.col("v"), "$", "array<variant>")).when(_kind(_at(F.col("v"), "$.tasks", "variant")).startswith("ARRAY"), _at(F.col("v"), "$.tasks", "array<variant>"))
+    tasks = whole.select(F.posexplode(F.coalesce(found, F.raise_error(F.concat(F.lit("expected a list of tasks or an object with a list of tasks, got "), kind)).cast("array<variant>"))).alias("task", "t"))
+    tasks = tasks.where(_kind(F.col("t")).startswith("OBJECT"))
+    notes = tasks.select("task", _text(F.col("t"), *(f"$.data.{k}" for k in IMAGE_KEYS)).alias("image"), F.posexplode(_list(F.col("t"), "$.annotations")).alias("annotation", "a"))
+    author = F.coalesce(*(c for k in AUTHOR_KEYS for c in (_text(F.col("a"), f"$.{k}"), _text(F.col("a"), *(f"$.{k}.{n}" for n in NAME_KEYS)))), F.lit(""))
+    results = _list(F.col("a"), "$.result")
+    choices = F.flatten(F.transform(results, lambda r: F.concat(_list(r, "$.value.choices"), F.array(_at(r, "$.value.choices", "variant")), _list(r, "$.value"))))
+    unclear = F.exists(choices, lambda c: F.coalesce(F.lower(F.trim(F.try_variant_get(c, "$", "string"))).isin(*UNCLEAR), F.lit(False)))
+    points = notes.select("task", "image", "annotation", author.alias("labeler"), F.coalesce(_text(F.col("a"), *(f"$.{k}" for k in TIME_KEYS)), F.lit("")).alias("labeled_at"), unclear.alias("_unclear"), F.explode(results).alias("r"))
+    one = lambda k: F.when(_kind(_at(F.col("r"), f"$.value.{k}", "variant")) == "STRING", F.array(_at(F.col("r"), f"$.value.{k}", "string")))
+    many = lambda k: F.transform(_list(F.col("r"), f"$.value.{k}"), lambda v: F.try_variant_get(v, "$", "string"))
+    labels = F.concat(*(F.coalesce(one(k), many(k)) for k in LABEL_KEYS))
+    sort = F.lower(F.coalesce(_text(F.col("r"), "$.type"), F.lit("")))
+    is_point = sort.isin(*POINT_TYPES) | ((sort == "") & _at(F.col("r"), "$.value.x", "variant").isNotNull())
+    number = lambda k: finite(F.coalesce(_at(F.col("r"), f"$.value.{k}", "double"), _at(F.col("r"), f"$.value.{k}", "string").try_cast("double")))
+    flag = lambda k: _truth(F.col("r"), f"$.value.{k}")
+    visible = F.coalesce(flag("visible"), flag("visibility"), ~flag("occluded"), ~F.col("_unclear"))
+    rows = points.where(is_point).select("task", "image", "annotation", F.explode(labels).alias("joint"), number("x").alias("x"), number("y").alias("y"), visible.alias("visible"), "labeler", "labeled_at")
+    return rows.where("x is not null and y is not null")
+
+
+def probe_rows(probes: DataFrame, name: str = "filename", document: str = "probe") -> DataFrame:
+    """ING6: ``probes`` with the facts of a media probe's JSON: duration_s, fps_avg, fps_nominal, is_vfr, width, height, rotation, display_width, display_height, bitrate_kbps, codec and recorded_at.
+
+    The first video stream counts; a clip that could not be probed keeps its row, with nulls.
+    """
+    v = probes.withColumn("_v", F.try_parse_json(document))
+    video = F.get(F.filter(_list(F.col("_v"), "$.streams"), lambda s: F.coalesce(F.try_variant_get(s, "$.codec_type", "string") == "video", F.lit(False))), F.lit(0))
+    v = v.withColumn("_s", video)
+    whole = lambda p: F.coalesce(_at(F.col("_s"), p, "string").try_cast("double").cast("int"), F.when(F.col("_s").isNotNull(), 0))
+    turn = F.get(F.filter(F.transform(_list(F.col("_s"), "$.side_data_list"), lambda d: F.try_variant_get(d, "$.rotation", "string").try_cast("double").cast("int")), lambda r: r.isNotNull()), F.lit(0))
+    v = v.withColumns({"width": whole("$.width"), "height": whole("$.height"), "rotation": F.coalesce(turn, F.when(F.col("_s").isNotNull(), 0))})
+    rate = lambda k: parse_frame_rate(_at(F.col("_s"), f"$.{k}", "string"))
+    size = display_size(F.col("width"), F.col("height"), F.col("rotation"))
+    number = lambda k: finite(_at(F.col("_v"), f"$.format.{k}", "string").try_cast("double"))
+    v = v.withColumns({"fps_avg": rate("avg_frame_rate"), "fps_nominal": rate("r_frame_rate"), "display_width": size["width"], "display_height": size["height"], "duration_s": number("duration")})
+    v = v.withColumns({"is_vfr": F.when(F.col("_s").isNotNull(), variable_frame_rate(F.col("fps_avg"), F.col("fps_nominal"))), "bitrate_kbps": F.bround(number("bit_rate") / 1000).cast("long"), "codec": _at(F.col("_s"), "$.codec_name", "string"), "recorded_at": recorded_at(F.col(name))})
+    return v.drop("_v", "_s")
 
 
 def read_hold_table(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
@@ -144,14 +213,31 @@ def read_hold_table(spark: SparkSession, path: str, numbers: list[str]) -> DataF
     return typed.where(F.col("clip_id").isNotNull() & F.col("hold_id").isNotNull())
 
 
-def read_reference(spark: SparkSession, path: str, features: list[str]) -> DataFrame:
-    """SRC24: feature, mean, sd and n from a reference's JSON; a feature that is missing, not finite or without spread ends the query."""
-    stats = ", ".join(f"`{f}`: struct<mean: double, sd: double, n: bigint>" for f in features)
-    one = spark.read.option("wholetext", True).text(path).select(F.from_json("value", f"struct<features: struct<{stats}>>").alias("r"))
-    rows = one.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"r.features.`{f}`").alias("s")) for f in features))).alias("x")).select("x.feature", "x.s.*")
-    good = F.coalesce(finite(F.col("mean")).isNotNull() & (finite(F.col("sd")) > 0) & (F.col("n") > 0), F.lit(False))
-    told = F.concat(F.lit("the reference has no usable values for "), F.col("feature"))
-    return rows.withColumn("mean", F.when(good, F.col("mean")).otherwise(F.raise_error(told).cast("double")))
+# What a reference says of itself, as patterns.
+REFERENCE_MARKS = {"schema": ".*-reference", "version": "1", "signs": "athlete"}
+
+
+def read_reference(spark: SparkSession, path: str, features: list[str], marks: dict[str, str] | None = None) -> DataFrame:
+    """SRC24: feature, mean, sd and n of the features that a reference's JSON carries, which may be some of ``features`` only.
+
+    Another schema, version or sign rule (``marks``), a feature by another name, a mean or sd that is not a finite number, a negative sd
+    or a count that is no whole number of 0 or more ends the query and says which.
+    """
+    text = spark.read.option("wholetext", True).text(path)
+    whole = text.select(F.try_parse_json("value").alias("v"))
+    refuse = lambda *told: F.raise_error(F.concat(*(t if isinstance(t, Column) else F.lit(t) for t in told)))
+    wrong = F.when(~F.coalesce(_kind(F.col("v")).startswith("OBJECT"), F.lit(False)), F.lit("a reference is a JSON object"))
+    for key, value in (REFERENCE_MARKS if marks is None else marks).items():
+        said = F.coalesce(_at(F.col("v"), f"$.{key}", "string"), F.lit("nothing"))
+        wrong = wrong.when(~said.rlike(f"^{value}$"), F.concat(F.lit(f"{key} is "), said, F.lit(f", not {value}")))
+    entries = _at(F.col("v"), "$.features", "map<string,variant>")
+    wrong = wrong.when(entries.isNull(), F.lit("features is no object"))
+    rows = whole.select(F.explode(F.when(wrong.isNotNull(), refuse(wrong).cast("map<string,variant>")).otherwise(entries)).alias("feature", "s"))
+    number = lambda k: F.when(~_kind(_at(F.col("s"), f"$.{k}", "variant")).isin("STRING", "BOOLEAN"), finite(_at(F.col("s"), f"$.{k}", "double")))
+    count = F.when(_kind(_at(F.col("s"), "$.n", "variant")) == "BIGINT", _at(F.col("s"), "$.n", "bigint"))
+    rows = rows.select("feature", number("mean").alias("mean"), number("sd").alias("sd"), count.alias("n"))
+    bad = F.when(~F.col("feature").isin(*features), " is not a scored feature").when(F.col("mean").isNull(), " has no mean").when(F.col("sd").isNull(), " has no sd").when(F.col("sd") < 0, " has an sd below 0").when(F.col("n").isNull() | (F.col("n") < 0), " has no count")
+    return rows.withColumn("mean", F.when(bad.isNotNull(), refuse(F.col("feature"), bad).cast("double")).otherwise(F.col("mean")))
 
 
 def fixture_json(*columns: str) -> Column:

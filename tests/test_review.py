@@ -29,20 +29,68 @@ def test_listing_and_appending(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/rows").count() == 5
 
 
-def test_exports_of_both_shapes(spark, tmp_path):
-    label = {"image": "a_1.jpg", "joint": "nose", "x": 1.5, "y": 2.0, "visible": "true", "annotated_at": "2026"}
-    (tmp_path / "a.json").write_text(json.dumps([label]))
-    (tmp_path / "b.json").write_text(json.dumps({"tasks": [label, label]}))
-    assert [r.x for r in tables.read_export(spark, str(tmp_path)).collect()] == [1.5] * 3
+def point(label, x=50.0, y=25.0, key="keypointlabels", kind="keypointlabels", **more):
+    return {"type": kind, "value": {"x": x, "y": y, "width": 0.3, key: label, **more}} if kind else {"value": {"x": x, "y": y, key: label, **more}}
+
+
+def test_exports_are_read_as_the_tool_nests_them(spark, tmp_path):
+    choice = {"type": "choices", "from_name": "quality", "value": {"choices": ["Unsure "]}}
+    tasks = [
+        {"id": 1, "data": {"image": "/data/a_1.jpg"}, "annotations": [
+            {"completed_by": {"email": "", "username": "eva"}, "updated_at": "2026-01-02", "result": [point(["Left Wrist"]), point("nose", key="label", kind="keypoint", occluded=True), point(["a", "b"], x="12.5", visible=0), {"type": "rectanglelabels", "value": {"x": 1, "y": 1, "labels": ["box"]}}]},
+            {"completed_by": 7, "created_at": "2026-01-01", "result": [choice, point(["hip"]), point(["knee"], visibility=1), point(["toe"], x="left")]},
+        ]},
+        {"id": 2, "data": {"image": "", "path": "b_2.jpg"}, "annotations": [{"result": [point("ankle", key="labels", kind=""), {"value": {"choices": "clear"}}, None, 5]}, {"result": None}]},
+        {"id": 3}, "no task",
+    ]
+    (tmp_path / "a.json").write_text(json.dumps(tasks))
+    want = {
+        ("/data/a_1.jpg", 0, "Left Wrist", 50.0, True, "eva", "2026-01-02"), ("/data/a_1.jpg", 0, "nose", 50.0, False, "eva", "2026-01-02"),
+        ("/data/a_1.jpg", 0, "a", 12.5, False, "eva", "2026-01-02"), ("/data/a_1.jpg", 0, "b", 12.5, False, "eva", "2026-01-02"),
+        ("/data/a_1.jpg", 1, "hip", 50.0, False, "", "2026-01-01"), ("/data/a_1.jpg", 1, "knee", 50.0, True, "", "2026-01-01"), ("b_2.jpg", 0, "ankle", 50.0, True, "", ""),
+    }
+    read = lambda: {(r.image, r.annotation, r.joint, r.x, r.visible, r.labeler, r.labeled_at) for r in tables.read_export(spark, str(tmp_path)).collect()}
+    assert read() == want
+    (tmp_path / "a.json").write_text(json.dumps({"tasks": tasks, "total": 3}))
+    assert read() == want
+    for bad in ('{"items": []}', "7", "no json"):
+        (tmp_path / "a.json").write_text(bad)
+        with pytest.raises(Exception, match="expected a list of tasks"):
+            tables.read_export(spark, str(tmp_path)).collect()
+
+
+def test_probes_become_metadata(spark):
+    stream = {"codec_type": "video", "codec_name": "hevc", "width": 1920, "height": "1080", "avg_frame_rate": "30000/1001", "r_frame_rate": "60/1", "side_data_list": [{"type": "x"}, {"rotation": -90}]}
+    good = {"streams": [{"codec_type": "audio"}, stream, {"codec_type": "video", "width": 1}], "format": {"duration": "12.5", "bit_rate": "2500499"}}
+    rows = [("WhatsApp Video 2026-07-22 at 9.09.23 PM.mp4", json.dumps(good)), ("b.mov", json.dumps({"streams": []})), ("c.mov", "not json"), ("d.mov", None)]
+    got = {r.filename: r for r in tables.probe_rows(spark.createDataFrame(rows, "filename string, probe string")).collect()}
+    a = got[rows[0][0]]
+    assert (a.width, a.height, a.rotation, a.display_width, a.display_height, a.codec, a.bitrate_kbps, a.duration_s, a.is_vfr) == (1920, 1080, -90, 1080, 1920, "hevc", 2500, 12.5, True)
+    assert a.fps_avg == pytest.approx(29.97003) and a.fps_nominal == 60.0 and a.recorded_at == "2026-07-22T21:09:23"
+    for name in ("b.mov", "c.mov", "d.mov"):
+        assert [got[name][c] for c in ("width", "codec", "fps_avg", "is_vfr", "duration_s")] == [None] * 5 and got[name].recorded_at == ""
 
 
 def test_holds_and_reference(spark, tmp_path):
     (tmp_path / "h.csv").write_text("clip_id,hold_id,score\na,1,2.5\na,x,3\nb,2,none\n")
     assert {tuple(r) for r in tables.read_hold_table(spark, f"{tmp_path}/h.csv", ["score"]).collect()} == {("a", 1, 2.5), ("b", 2, None)}
-    (tmp_path / "r.json").write_text(json.dumps({"features": {"leg": {"mean": 1.0, "sd": 0.5, "n": 7}, "knee": {"mean": 1.0, "sd": 0.0, "n": 7}}}))
-    assert [tuple(r) for r in tables.read_reference(spark, f"{tmp_path}/r.json", ["leg"]).collect()] == [("leg", 1.0, 0.5, 7)]
-    with pytest.raises(Exception, match="no usable values for knee"):
-        tables.read_reference(spark, f"{tmp_path}/r.json", ["leg", "knee"]).collect()
+    marks = {"schema": "some-reference", "version": 1, "signs": "athlete"}
+    leg = {"mean": 1.0, "sd": 0.5, "n": 7}
+
+    def read(**document):
+        (tmp_path / "r.json").write_text(json.dumps({**marks, "features": {"leg": leg}, **document}))
+        return sorted(tuple(r) for r in tables.read_reference(spark, f"{tmp_path}/r.json", ["leg", "knee", "hip"]).collect())
+
+    # a part of the features is enough, and an sd of 0 is one
+    assert read() == [("leg", 1.0, 0.5, 7)]
+    assert read(features={"leg": leg, "knee": {"mean": 1, "sd": 0, "n": 0}}) == [("knee", 1.0, 0.0, 0), ("leg", 1.0, 0.5, 7)]
+    assert read(features={}) == []
+    for told, document in {
+        "schema is other": {"schema": "other"}, "version is 2": {"version": 2}, "signs is nothing": {"signs": None}, "features is no object": {"features": [1]}, "toe is not a scored": {"features": {"toe": leg}},
+        "leg has no mean": {"features": {"leg": {**leg, "mean": "1"}}}, "leg has an sd below 0": {"features": {"leg": {**leg, "sd": -1}}}, "leg has no count": {"features": {"leg": {**leg, "n": 1.5}}}, "leg has no sd": {"features": {"leg": {"mean": 1, "n": 2}}},
+    }.items():
+        with pytest.raises(Exception, match=told):
+            read(**document)
     rows = spark.createDataFrame([(1, float("nan")), (2, 0.5)], "a long, b double")
     assert {r[0] for r in tables.known(rows).select(tables.fixture_json("a", "b")).collect()} == {'{"a":1,"b":null}', '{"a":2,"b":0.5}'}
 
