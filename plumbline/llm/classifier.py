@@ -2,11 +2,11 @@
 
 A document is the set of its word unigrams and bigrams, hashed to ``2**BITS`` ids by Spark.
 The model multiplies each indicator by the log ratio of its smoothed frequencies in the two
-classes, and fits a linear support vector machine to the products by dual coordinate descent. It
-has no bias: frequencies are taken within each class, so a text that says nothing scores 0.5 and
-short clean texts are not rejected for being short.
+classes, and fits a linear support vector machine to the products by dual coordinate descent. Frequencies
+are taken within each class. Cost and bias are chosen on an inner fold of the training sample; no held-out row takes
+part in anything.
 
-Defined results: null and empty texts have no n-grams and score 0.5; labels that
+Defined results: null and empty texts have no n-grams and score what the bias says; labels that
 are null or neither 0 nor 1 are ignored; with labels of one class or none, every score is
 the smoothed share of class 1. Repeated rows are scored each; columns of the input named score or
 predicted give way to ours. Copies of a label row count each.
@@ -34,6 +34,8 @@ PASSES = 12
 #: the middle one where a fold is too small to tell.
 COSTS = (0.125, 0.25, 0.5, 1.0, 2.0)
 INNER, LEAST_INNER = 5, 100
+#: Biases, of which the inner fold takes one, and the share of its rows of class 1 that a bias has to keep.
+BIASES, KEEP = np.round(np.arange(-0.5, 0.501, 0.02), 2), 0.99
 SMOOTHING = 1.0
 #: Log odds by margin.
 SLOPE = 2.0
@@ -80,17 +82,32 @@ def fit_weights(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, se
     return (w * ratio).astype(np.float32), 0.0
 
 
-def best_cost(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> float:
-    """The cost whose weights, fitted without the inner fold, tell its classes apart best: the mean of the shares of each class that are right; the least on a tie."""
+def margins(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    return np.array([weights[ids].sum() / np.sqrt(max(len(ids), 1)) for ids in rows])
+
+
+def best_bias(margin: np.ndarray, labels: np.ndarray) -> float:
+    """Of ``BIASES`` that keep ``KEEP`` of the rows of class 1 (or as many as any does) the one that rejects most of class 0; the nearest to 0 on a tie."""
+    kept = np.array([np.mean(margin[labels == 1] + b >= 0) for b in BIASES])
+    gone = np.array([np.mean(margin[labels == 0] + b < 0) for b in BIASES])
+    fit = kept >= min(KEEP, kept.max())
+    order = np.lexsort((np.abs(BIASES), -gone, ~fit))
+    return float(BIASES[order[0]])
+
+
+def best_settings(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> tuple[float, float]:
+    """(cost, bias): the cost whose weights, fitted without the inner fold, tell its classes apart best (the mean of the shares of each class that are
+    right without a bias; the least on a tie), and the bias that suits those weights on the inner fold."""
     inner = np.arange(len(rows)) % INNER == 0
     if inner.sum() < LEAST_INNER or len(np.unique(labels[inner])) < 2:
-        return COSTS[len(COSTS) // 2]
-    right = []
+        return COSTS[len(COSTS) // 2], 0.0
+    best = (-1.0, 0.0, 0.0)
     for cost in COSTS:
-        w, bias = fit_weights([rows[i] for i in np.flatnonzero(~inner)], labels[~inner], bits, cost=cost)
-        found = np.array([bias + w[rows[i]].sum() >= 0 for i in np.flatnonzero(inner)])
-        right.append(np.mean([(found[labels[inner] == y] == y).mean() for y in (0, 1)]))
-    return COSTS[int(np.argmax(right))]
+        margin = margins(fit_weights([rows[i] for i in np.flatnonzero(~inner)], labels[~inner], bits, cost=cost)[0], [rows[i] for i in np.flatnonzero(inner)])
+        right = float(np.mean([((margin >= 0)[labels[inner] == y] == y).mean() for y in (0, 1)]))
+        if right > best[0]:
+            best = (right, cost, best_bias(margin, labels[inner]))
+    return best[1:]
 
 
 def fit(labelled: DataFrame, bits: int = BITS) -> tuple[np.ndarray, float]:
@@ -104,7 +121,9 @@ def fit(labelled: DataFrame, bits: int = BITS) -> tuple[np.ndarray, float]:
             keys += b.column("key").to_pylist()
         at = sorted(range(len(rows)), key=lambda i: (keys[i], len(rows[i])))
         rows, truth = [rows[i] for i in at], np.array([labels[i] for i in at], np.float64)
-        w, bias = fit_weights(rows, truth, bits, cost=best_cost(rows, truth, bits))
+        cost, bias = best_settings(rows, truth, bits)
+        w, alone = fit_weights(rows, truth, bits, cost=cost)
+        bias += alone
         yield pa.RecordBatch.from_pydict({"w": pa.array([w.tobytes()], pa.binary()), "bias": [bias]})
 
     got = labelled.repartition(1).mapInArrow(run, "w binary, bias double").first()

@@ -8,7 +8,7 @@ blocks, shards and what they exchange grow with the input, while one block or on
 
 A block then lays the part of the model that its texts can meet in a trie: each level keeps the words of
 its nodes and its pointers as Elias-Fano sequences and smoothed probabilities and back-off weights as
-one-byte codes, all of them views of one memory map. Words are monotone by adding the last value of the range
+two-byte codes of one grid, all of them views of one memory map. Words are monotone by adding the last value of the range
 before; a lookup takes a context's range from the pointers and searches it for the word's successor.
 
 Probabilities are interpolated by Dirichlet priors: of a triple (c + S p2) / (c_context + S), of a pair
@@ -50,7 +50,8 @@ STRENGTHS = 2.0 ** np.arange(-4, 21)
 ADDED = 0.5
 #: The end token as a word; no word is empty.
 END = ""
-CODES = 256
+#: Codes of log10 values: a grid from ``LOWEST`` on, each value within half a step of its code.
+CODES, LOWEST, STEP = 65_536, -24.0, 2.0**-11
 
 _EACH, _TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 #: The places of the set bits of each byte, in order.
@@ -138,16 +139,9 @@ class EliasFano:
         return i
 
 
-def _coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One-byte codes and their values: means of equally filled bins."""
-    book = np.zeros(CODES, np.float32)
-    if not len(x):
-        return np.zeros(0, np.uint8), book
-    cuts = np.unique(np.sort(x)[np.arange(1, CODES) * len(x) // CODES])
-    code = np.searchsorted(cuts, x, "left").astype(np.uint8)
-    filled = np.bincount(code, minlength=CODES)
-    book[:] = np.bincount(code, weights=x, minlength=CODES) / np.maximum(filled, 1)
-    return code, book
+def _coded(x: np.ndarray) -> np.ndarray:
+    """Two-byte codes of log10 values on a grid that every trie shares, so that a value reads the same whatever lies beside it."""
+    return np.clip(np.rint((x - LOWEST) / STEP), 0, CODES - 1).astype(np.uint16)
 
 
 class Trie:
@@ -174,7 +168,7 @@ class Trie:
                 arrays[f"{kind}{k}.meta"] = np.array([ef.n, ef.width, ef.top])
                 arrays |= {f"{kind}{k}.{f}": getattr(ef, f) for f in EliasFano.FIELDS}
         for name, x in values.items():
-            arrays[name], arrays[f"{name}.book"] = _coded(x)
+            arrays[name] = _coded(x)
         return cls.to_bytes(arrays)
 
     @staticmethod
@@ -222,7 +216,7 @@ class Trie:
         return out
 
     def value(self, name: str, node: np.ndarray) -> np.ndarray:
-        return self.a[f"{name}.book"][self.a[name][node]].astype(np.float64)
+        return LOWEST + STEP * self.a[name][node]
 
 
 def token_hashes(text: Column) -> Column:

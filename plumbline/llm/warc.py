@@ -19,6 +19,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,8 @@ ARCHIVE_BYTES = 8 << 20
 DICT_BYTES = 32 << 10
 #: Record bytes that the dictionary is trained on, spread over the archive.
 TRAIN_BYTES = 1 << 20
+PIECE = 4 << 10
+VERSION = b"WARC/1.1\r\n"
 LEVEL = 3
 #: Archives carry this date in every record, so that reruns write the same bytes.
 DATE = "1970-01-01T00:00:00Z"
@@ -70,26 +73,37 @@ def record(page_id: int | None, url: str, payload: bytes | None, size: int, sha1
     if refers is not None:
         fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{ID_PREFIX}{refers}>")]
     head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", len(block))])
-    return b"WARC/1.1\r\n" + head.encode() + CRLF + block + CRLF + CRLF
+    return VERSION + head.encode() + CRLF + block + CRLF + CRLF
 
 
 def archive(records: list[bytes]) -> bytes:
     """The bytes of one archive: dictionary frame, then a frame for each record."""
     import zstandard
 
-    step = max(1, sum(map(len, records)) // TRAIN_BYTES)
-    frames, dictionary = [], None
+    raw = _dictionary(records)
+    dictionary = zstandard.ZstdCompressionDict(raw)
+    packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
+    return b"".join([struct.pack("<II", SKIPPABLE, len(raw)) + raw, *(packer.compress(r) for r in records)])
+
+
+def _dictionary(records: list[bytes]) -> bytes:
+    """A dictionary trained on pieces spread evenly over all bytes of the records; where these are too few or too uniform to train on, the dictionary is the records' heads themselves."""
+    import zstandard
+
+    ends = list(accumulate(map(len, records)))
+    every = max(PIECE, ends[-1] * PIECE // TRAIN_BYTES) if ends else PIECE
+    samples, next_at = [], 0
+    for r, end in zip(records, ends, strict=True):
+        while next_at < end:
+            at = next_at - (end - len(r))
+            samples.append(r[at : at + PIECE])
+            next_at += every
     try:
-        # of long records the start: headers and markup, what records share
-        samples = [r[: TRAIN_BYTES // 16] for r in records[::step]]
-        dictionary = zstandard.train_dictionary(min(DICT_BYTES, max(256, sum(map(len, samples)) // 8)), samples, k=512, d=8)
+        return zstandard.train_dictionary(min(DICT_BYTES, max(256, sum(map(len, samples)) // 8)), samples, k=512, d=8).as_bytes()
     except zstandard.ZstdError:
-        pass  # too few or too uniform records to train on: an archive without a dictionary
-    if dictionary is not None:
-        raw = dictionary.as_bytes()
-        frames.append(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
-    packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
-    return b"".join(frames + [packer.compress(r) for r in records])
+        share = max(64, DICT_BYTES // max(len(records), 1))
+        # what every record begins with stands first: no head is taken for a trained dictionary's mark, and none is too short
+        return VERSION + b"".join(dict.fromkeys(r[:share] for r in records))[:DICT_BYTES]
 
 
 def records_of(data: bytes) -> Iterator[bytes]:
