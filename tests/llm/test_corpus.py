@@ -610,6 +610,23 @@ def test_whole_licences_and_wrapped_headers_are_recognised(spark):
     assert got[5] == ("GPL-3.0", "header") and got[6] == (None, "none")
 
 
+def test_licences_that_look_alike_are_told_apart(spark):
+    text = {}
+    for name, words in licenses.TEMPLATES:
+        text.setdefault(name, []).append(words)
+    bsd = [w for w in text["BSD-2-Clause"] if w.startswith(("Redistribution", "THIS SOFTWARE")) and not w.endswith("permitted")]
+    third = next(w for w in text["BSD-3-Clause"] if w.startswith("Neither"))
+    lgpl = next(w for w in text["LGPL-2.1"] if "version 2.1 of" in w)
+    cases = {
+        "LGPL-2.1": wrapped(lgpl, 70), "LGPL-3.0": wrapped(lgpl.replace("2.1", "3"), 70), "BSD-2-Clause": "\n\n".join(wrapped(w, 76) for w in bsd), "BSD-3-Clause": "\n\n".join(wrapped(w, 76) for w in [*bsd[:3], third, *bsd[3:]]),
+        "CC0-1.0": "Creative Commons Legal Code\n\n" + wrapped(next(w for w in text["CC0-1.0"] if w.startswith("To the extent")), 72), "Unlicense": "\n\n".join(wrapped(w, 72) for w in text["Unlicense"][:2]),
+        None: "Licensed under the Imaginary General Public License, version 9, of which nobody has heard in any jurisdiction",
+    }
+    rows = [(i, t, f"dir{i}/LICENSE") for i, t in enumerate(cases.values())]
+    got = {x.doc_id: x.license for x in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    assert [got[i] for i in range(len(rows))] == list(cases)
+
+
 def test_host_verdicts_shrink_small_hosts(spark):
     r = random.Random(5)
     texts, hosts = [], []
