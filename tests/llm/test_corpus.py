@@ -173,6 +173,14 @@ def test_base_spans_equal_plain_regexes(spark):
             assert [(s.start, s.end) for s in got[i][kind]] == want, (kind, t)
 
 
+def test_texts_of_many_spans(spark):
+    mails = " ".join(f"user{i}@mail{i % 50}.example.org" for i in range(3_000))
+    got = pii.personal_data(documents(spark, [mails, "none", "a@b.co"])).collect()
+    assert sorted(len(x.base.email) for x in got) == [0, 1, 3_000]
+    spans = max((x.base.email for x in got), key=len)
+    assert all(mails[s.start : s.end] == s.value for s in spans)
+
+
 def test_terms_that_go_with_an_entity_disclose_it(spark):
     r = random.Random(5)
     texts = [f"{prose(r, 20)} ask Zorblatt at zor@mail.com {prose(r, 20)}" for _ in range(8)] + [prose(r, 40) for _ in range(200)]
