@@ -147,7 +147,7 @@ def budgeted_picks(pool: DataFrame, wanted: dict[str, int], seed: int = 0, per_c
         if edge is None:
             out = offered if out is None else out.unionByName(offered)
             break
-        here = F.struct(*(F.lit(edge[c]) for c in order))
+        here = F.struct(*(F.lit(edge[c]).cast(rows.schema[c].dataType).alias(c) for c in order))
         again = behind.where(F.col("clip_id") == edge["clip_id"])
         before = {s: left[s] - (edge[f"total_n_{s}"] - edge[f"n_{s}"]) if s in open_strata else 0 for s in STRATA}
         last = settled(again.groupBy("clip_id").applyInPandas(choose(before), schema))

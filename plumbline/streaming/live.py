@@ -152,36 +152,51 @@ def cue_step(s: CueState, t: float, kinds: list[str]) -> str | None:
 
 
 def events(
-    frames: DataFrame, session: str, time: str, inputs: list[str], new_state: type, step: Callable, delay: str = "10 minutes", event_time: str | None = None
+    frames: DataFrame, session: str, time: str, inputs: list[str], new_state: type, step: Callable, delay: str = "10 minutes", event_time: str | None = None, idle: str = "1 hour"
 ) -> DataFrame:
     """LIV1, LIV9: session, t, event and value as the step function says, on a stream or a batch.
 
-    ``time`` is in seconds; ``event_time``, a timestamp column of a stream, bounds how late rows may come.
+    ``time`` is in seconds; ``event_time``, a timestamp column of a stream, bounds how late rows may come and lets go of sessions that were
+    silent for ``idle``. A row behind its session's last one is given out as ``late`` and changes nothing.
     """
-    if frames.isStreaming and event_time:
+    timed = frames.isStreaming and event_time is not None
+    if timed:
         frames = frames.withWatermark(event_time, delay)
     schema = f"{session} {frames.schema[session].dataType.simpleString()}, t double, event string, value double"
 
-    def of_rows(state, rows: pd.DataFrame) -> list[tuple[float, str, float]]:
+    def of_rows(state, last: float, rows: pd.DataFrame) -> tuple[float, list[tuple[float, str, float]]]:
         out = []
         for r in rows.sort_values(time)[[time, *inputs]].itertuples(index=False):
+            if r[0] < last:
+                out.append((r[0], "late", r[0]))
+                continue
+            last = r[0]
             out += [(r[0], e, v) for e, v in step(state, *r)]
-        return out
+        return last, out
 
     def table(key: tuple, found: list) -> pd.DataFrame:
         return pd.DataFrame([(key[0], *x) for x in found], columns=[session, "t", "event", "value"]).astype({"t": float, "value": float})
 
     if not frames.isStreaming:
-        return frames.groupBy(session).applyInPandas(lambda key, rows: table(key, of_rows(new_state(), rows)), schema)
+        return frames.groupBy(session).applyInPandas(lambda key, rows: table(key, of_rows(new_state(), float("-inf"), rows)[1]), schema)
+    idle_ms = int(pd.Timedelta(idle) / pd.Timedelta(milliseconds=1))
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = new_state(**json.loads(state.get[0])) if state.exists else new_state()
-        found = of_rows(s, pd.concat(list(batches)))
-        state.update((json.dumps(asdict(s)),))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, held = json.loads(state.get[0]) if state.exists else (float("-inf"), None)
+        s = new_state() if held is None else new_state(**held)
+        rows = pd.concat(list(batches))
+        last, found = of_rows(s, last, rows)
+        state.update((json.dumps([last, asdict(s)]),))
+        if timed:
+            latest = int(pd.Timestamp(rows[event_time].max()).timestamp() * 1000)
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
         if found:
             yield table(key, found)
 
-    return frames.groupBy(session).applyInPandasWithState(update, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy(session).applyInPandasWithState(update, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout)
 
 
 @dataclass

@@ -63,3 +63,28 @@ def test_hints_are_spaced_and_ready_is_an_edge():
     live.hint_step(s, 30.0, "tooSmall", [], True, False)
     assert live.hint_step(s, 31.0, "tooSmall", [], False, False) == [] and live.hint_step(s, 33.0, "tooSmall", [], False, False)
     assert [live.framing_hint("partlyOutOfFrame", e, True) for e in (["left"], ["top"], ["top", "bottom"], [])] == ["move_to_middle", "raise_phone", "step_back", "step_back"]
+
+
+def test_late_rows_change_nothing_and_silent_sessions_go(spark, tmp_path):
+    import datetime as dt
+
+    stamp = lambda t: dt.datetime.fromtimestamp(1_000_000 + t, dt.timezone.utc)
+    schema = "session string, t double, at timestamp, up boolean, line boolean"
+    parts = [
+        [("a", i / 10, stamp(i / 10), True, True) for i in range(30)],
+        [("a", 1.05, stamp(1.05), False, False), ("a", 3.0, stamp(3.0), True, True)],
+        [("b", 9_000.0, stamp(9_000.0), True, True)],
+        [("b", 9_001.0, stamp(9_001.0), True, True)],
+        [("a", 9_002.0, stamp(9_002.0), True, True), ("a", 9_002.6, stamp(9_002.6), True, True)],
+    ]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = live.events(stream, "session", "t", ["up", "line"], live.LineState, live.line_step, delay="10 seconds", event_time="at", idle="1 minute")
+    q = out.writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+    q.stop()
+    got = [(r.session, round(r.t, 2), r.event) for r in spark.sql("select * from late order by t, event").collect()]
+    # the last stretch of a begins anew: nothing is known of the first
+    assert got == [("a", 0.5, "line_achieved"), ("a", 0.5, "up"), ("a", 1.05, "late"), ("b", 9_001.0, "line_achieved"), ("b", 9_001.0, "up"), ("a", 9_002.6, "line_achieved"), ("a", 9_002.6, "up")]

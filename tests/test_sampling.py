@@ -69,6 +69,8 @@ def test_budgeted_picks_equal_the_loop(spark, seed, n):
     wanted = dict(zip(sampling.STRATA, sampling.quotas(n), strict=True))
     got = sampling.budgeted_picks(spark.createDataFrame(rows, POOL).repartition(5), wanted, seed)
     want = loop_picks(rows, wanted, seed)
+    numbered = spark.createDataFrame([(int(x[0][1:]), *x[1:]) for x in rows], POOL.replace("clip_id string", "clip_id long"))
+    assert sampling.budgeted_picks(numbered, wanted, seed).count() == len(sampling.budgeted_picks(numbered, wanted, seed).dropDuplicates(["clip_id", "frame_idx"]).collect())
     ordered = [(r.clip_id, r.frame_idx) for r in got.orderBy("_turn", "_day", "_session", "nth").collect()]
     assert ordered == [x[:2] for x in want]
     for s in sampling.STRATA:
