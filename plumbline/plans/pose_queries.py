@@ -223,7 +223,7 @@ STAGES = [CLIPS, CLEAN, PHASES, FEATURES, HOLDS, SCORES]
 
 
 def checked(stages: int, sql: str):
-    """Registers a query of the chain with SQL that follows the first stages."""
+    """Registers a query of the chain with SQL that follows the first stages; ``+ 0`` there makes a rounded -0 the 0 that it is here."""
 
     def register(f):
         QUERIES[f.__name__] = f
@@ -257,7 +257,7 @@ def pose_losses(spark, sf_dir):
     return pose.clean_counts(pose.clean(keypoints(spark, sf_dir)))
 
 
-@checked(3, "SELECT clip AS clip_id, frame AS frame_idx, phase, hold_id, known, why AS unknown_reason, round(v_ankle, 4) AS v_ankle, round(legs, 3) AS velocity, down AS hands_down, hand_step FROM ph")
+@checked(3, "SELECT clip AS clip_id, frame AS frame_idx, phase, hold_id, known, why AS unknown_reason, round(v_ankle, 4) + 0 AS v_ankle, round(legs, 3) + 0 AS velocity, down AS hands_down, hand_step FROM ph")
 def pose_phases(spark, sf_dir):
     """SIG1-6, SEG1-3."""
     frames = pose.classify(pose.signals(pose.clean(keypoints(spark, sf_dir))))
@@ -271,7 +271,7 @@ def pose_phase_counts(spark, sf_dir):
     return pose.phase_counts(pose.classify(pose.signals(pose.clean(keypoints(spark, sf_dir)))))
 
 
-@checked(4, "SELECT clip AS clip_id, frame AS frame_idx, hold_id, valid, " + ", ".join(f"round({f}, 3) AS {f}" for f in NAMED) + ", facing::INT AS facing_sign, round(com_forward, 4) AS com_forward, zone AS balance_zone FROM ft")
+@checked(4, "SELECT clip AS clip_id, frame AS frame_idx, hold_id, valid, " + ", ".join(f"round({f}, 3) + 0 AS {f}" for f in NAMED) + ", facing::INT AS facing_sign, round(com_forward, 4) + 0 AS com_forward, zone AS balance_zone FROM ft")
 def pose_features(spark, sf_dir):
     """GEO1-21."""
     rows = rounded(measured(spark, sf_dir), *NAMED, digits=3)
@@ -282,7 +282,7 @@ BALANCE = ["forward_median", "sway_sd", "sway_range", "speed_rms"]
 SUMMED = [*(f"{f}_{k}" for f in NAMED for k in ("median", "iqr")), "hip_angle_sd", "shoulder_angle_sd", "pct_over", "pct_under"]
 
 
-@checked(5, "SELECT clip AS clip_id, hold_id, start_ms, end_ms, frames, valid_frames, shape, " + ", ".join(f"round({c}, 4) AS {c}" for c in (*SUMMED, *BALANCE)) + " FROM hs")
+@checked(5, "SELECT clip AS clip_id, hold_id, start_ms, end_ms, frames, valid_frames, shape, " + ", ".join(f"round({c}, 4) + 0 AS {c}" for c in (*SUMMED, *BALANCE)) + " FROM hs")
 def pose_holds(spark, sf_dir):
     """AGG1-4, SHP1."""
     out = pose.hold_summary(measured(spark, sf_dir))

@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 def rows(names, table):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    show = lambda v: "null" if v is None or v != v else f"{v:.5g}" if isinstance(v, float) else str(v)
+    show = lambda v: "null" if v is None or v != v else f"{v + 0.0:.5g}" if isinstance(v, float) else str(v)
     return sorted(tuple(show(r[i]) for i in order) for r in table)
 
 
@@ -30,6 +30,24 @@ def db():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def stages_once(spark):
+    """The stages of the pose chain are computed once for all queries that end in different ones."""
+    from plumbline.plans import pose, pose_queries
+
+    with pytest.MonkeyPatch.context() as patch:
+        drawn = pose_queries.keypoints(spark, SF).cache()
+        cleaned = pose.clean(drawn).cache()
+        clean = pose.clean
+        patch.setattr(pose_queries, "keypoints", lambda spark, sf_dir: drawn)
+        patch.setattr(pose, "clean", lambda rows: cleaned if rows is drawn else clean(rows))
+        measured = pose_queries.measured(spark, SF).cache()
+        patch.setattr(pose_queries, "measured", lambda spark, sf_dir: measured)
+        yield
+        for df in (measured, cleaned, drawn):
+            df.unpersist()
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).limit(5).collect()
 
