@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as geo
+from plumbline.operators import kernels, timeops
 
 # The largest gap to a reference in body lengths, the least box overlap of the fallback, the opening in seconds.
 MAX_GAP, MIN_FALLBACK_IOU, OPENING_S = 0.35, 0.1, 0.5
+# The smoothing window in milliseconds, the margin that speaks against an orientation and for how long it must.
+ORIENT_WINDOW_MS, ORIENT_MARGIN, ORIENT_SWITCH_MS = 500.0, 0.05, 300.0
 
 
 def both_mean(left: Column, right: Column) -> Column:
@@ -26,13 +29,28 @@ def frame_margin(upright: Column, rotated: Column) -> Column:
     return rotated - upright
 
 
-def opening_orientation(frames: DataFrame, keys: list[str], time: str, margin: str) -> DataFrame:
-    """ORI7: keys and opens_rotated: the sign of the mean margin of a clip's first half second; upright if there is none."""
+def opening_orientation(frames: DataFrame, keys: list[str], time: str, margin: str, span: float = OPENING_S) -> DataFrame:
+    """ORI7: keys and opens_rotated: the sign of the mean margin of a clip's first half second (``span`` in the unit of time); upright if there is none."""
     first = F.min(time).over(Window.partitionBy(*keys))
-    opening = frames.withColumn("_m", F.when(F.col(time) <= first + OPENING_S, F.col(margin)))
+    opening = frames.withColumn("_m", F.when(F.col(time) <= first + span, F.col(margin)))
     return opening.groupBy(*keys).agg(F.coalesce(F.avg("_m") > 0, F.lit(False)).alias("opens_rotated"))
 
 
+def choose_orientations(frames: DataFrame, keys: list[str], t_ms: str, tie: str, upright: str, rotated: str) -> DataFrame:
+    """ORI5-8 in a chain: ``frames`` with margin, smoothed and rotated: one orientation a frame, decided over the whole clip.
+
+    A score that is null or NaN is no evidence. One shuffle by ``keys`` serves the windows and the fold.
+    """
+    margin = F.nanvl(frame_margin(F.col(upright).cast("double"), F.col(rotated).cast("double")), F.lit(None).cast("double"))
+    rows = frames.withColumns({"margin": margin, "_t": F.col(t_ms).cast("double")})
+    smooth = timeops.centred_mean(rows, keys, "_t", "margin", ORIENT_WINDOW_MS)
+    w = Window.partitionBy(*keys)
+    opening = F.when(F.col("_t") <= F.min("_t").over(w) + 1000 * OPENING_S, F.col("smoothed"))
+    smooth = smooth.withColumn("_m", opening).withColumn("_opens", F.coalesce(F.avg("_m").over(w) > 0, F.lit(False)))
+    out = kernels.switch_with_hysteresis(smooth, keys, "_t", tie, "smoothed", "_opens", ORIENT_MARGIN, ORIENT_SWITCH_MS)
+    return out.drop("_t", "_m", "_opens")
+
+
 def rotate_next(frames: DataFrame, keys: list[str], order: list[str], inverted: str, detected: str) -> DataFrame:
     """ORI9: ``frames`` with rotate: whether the last detected frame before this one was inverted."""
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -50,13 +50,13 @@ class Rules:
         return self.floor_limb if name in self.one_sided else self.floor_angle if name in self.angles else self.floor_length
 
 
-def hold_values(frames: DataFrame, keys: list[str], time: str, rules: Rules, valid: str = "valid", facing: str | None = "facing_sign") -> DataFrame:
-    """SCO1: keys, extent, frames and valid frames, and a value of each feature over the valid frames."""
+def hold_values(frames: DataFrame, keys: list[str], time: str, rules: Rules, valid: str = "valid", facing: str | None = "facing_sign", also: tuple[Column, ...] = ()) -> DataFrame:
+    """SCO1: keys, extent, frames and valid frames, and a value of each feature over the valid frames; ``also`` are more aggregates."""
     use = lambda c: F.when(F.col(valid), c)
     turned = lambda f: F.col(f) * F.col(facing) if facing and f in rules.signed else F.col(f)
     values = [population_sd(use(F.col(rules.spreads[f]))).alias(f) if f in rules.spreads else F.median(use(turned(f))).alias(f) for f in rules.features]
     return frames.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("hold_frames"), F.count(use(F.lit(1))).alias("valid_frames"), F.min(time).alias("start"), F.max(time).alias("end"), *values
+        F.count(F.lit(1)).alias("hold_frames"), F.count(use(F.lit(1))).alias("valid_frames"), F.min(time).alias("start"), F.max(time).alias("end"), *values, *also
     )
 
 
@@ -110,8 +110,14 @@ def faults_text(faults: str) -> Column:
     return F.array_join(F.transform(faults, lambda s: F.concat(s["feature"], F.lit(" z="), F.format_number(s["z"], 2))), "; ")
 
 
+def clip_hold(scores: DataFrame, clip: list[str], hold: str, start: str = "start", end: str = "end") -> DataFrame:
+    """SCO5: the hold that stands for a clip: its longest scored one, the earlier on a tie."""
+    w = Window.partitionBy(*clip).orderBy(F.desc(F.col(end) - F.col(start)), hold)
+    return scores.where("score is not null").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
 def best_hold(scores: DataFrame, clip: list[str], hold: str) -> DataFrame:
-    """SCO5: the best scored hold of each clip, the earlier on a tie."""
+    """The best scored hold of each clip, the earlier on a tie."""
     w = Window.partitionBy(*clip).orderBy(F.desc("score"), hold)
     return scores.where("score is not null").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
@@ -139,6 +145,42 @@ def severity(value: Column, mean: Column, sd: Column, cap: float = 4.0) -> Colum
     return F.least(F.lit(1.0), F.abs(value - mean) / sd / cap)
 
 
+# Targets that stand in for a reference (a side and a limit in degrees or body lengths), and how far beyond one is as bad as can be.
+TOLERANCES = {
+    "line_deviation": ("either", 0.1),
+    "body_angle": ("either", 10.0),
+    "shoulder_angle": ("below", 160.0),
+    "hip_angle": ("below", 165.0),
+    "knee_angle": ("below", 165.0),
+    "elbow_angle": ("below", 160.0),
+    "banana": ("either", 0.1),
+    "head": ("either", 60.0),
+    "leg_separation": ("above", 30.0),
+}
+FAILED_FROM, BAND_DEG, BAND_LENGTH = 0.3, 20.0, 0.2
+# The features that a joint, and the line over the wrists, are judged by.
+JOINT_FEATURES = {
+    "nose": ("head",),
+    "shoulder": ("shoulder_angle", "off_shoulder"),
+    "elbow": ("elbow_angle",),
+    "wrist": (),
+    "hip": ("hip_angle", "off_hip", "banana"),
+    "knee": ("knee_angle", "off_knee"),
+    "ankle": ("off_ankle", "leg_separation"),
+    "foot_index": ("off_ankle", "leg_separation"),
+}
+STACK_FEATURES = ("line_deviation", "body_angle")
+JUDGED = (*dict.fromkeys(f for members in JOINT_FEATURES.values() for f in members), *STACK_FEATURES)
+
+
+def tolerance_severity(feature: str, value: Column) -> Column:
+    """SCO13 without a reference: 0 within the feature's target, from 0.3 to 1 beyond it; null for what is not measured."""
+    side, limit = TOLERANCES[feature]
+    past = {"either": F.abs(value) - limit, "below": limit - value, "above": value - limit}[side]
+    width = BAND_LENGTH if feature in ("line_deviation", "banana") else BAND_DEG
+    return F.when(past > 0, F.least(F.lit(1.0), FAILED_FROM + past / width)).when(value.isNotNull(), 0.0)
+
+
 def band(severity: Column) -> Column:
     """SCO16."""
     return F.when(severity < 0.25, "ok").when(severity < 0.5, "warn").when(severity.isNotNull(), "bad")
@@ -167,18 +209,26 @@ def window_cut(frames: DataFrame, hold: str, wanted: int | Column, time: str, st
     return frames.withColumn(hold, F.when(F.coalesce(inside, F.lit(False)), F.col(hold)).otherwise(-1))
 
 
-def frame_severities(features: DataFrame, reference: dict[str, tuple[float, float]], rules: Rules, facing: str = "facing_sign") -> DataFrame:
+def frame_severities(features: DataFrame, reference: dict[str, tuple[float, float]] | None, rules: Rules, facing: str = "facing_sign") -> DataFrame:
     """SCO14, SCO15: ``features`` with severities (map by feature), severity (their greatest) and its band.
 
-    Only frames of a hold that are valid are measured; values along the picture are turned first.
+    Only frames of a hold that are valid are measured, by the features of a joint or of the line over the wrists (``JUDGED``). Values along the
+    picture are turned first. Without a reference the targets of ``TOLERANCES`` judge, whatever the facing.
     """
     pairs = []
-    for f in rules.features:
-        if f in rules.spreads or f not in reference:
-            continue
-        mean, sd = reference[f]
-        value = F.col(f) * F.col(facing) if f in rules.signed else F.col(f)
-        pairs.append(F.struct(F.lit(f).alias("key"), severity(value, F.lit(mean), F.lit(max(sd, rules.floor(f))), rules.cap).alias("value")))
+    for f in JUDGED:
+        if reference is None:
+            size = tolerance_severity(f, F.col(f)) if f in TOLERANCES else None
+        elif f in reference:
+            mean, sd = reference[f]
+            value = F.col(f) * F.col(facing) if f in rules.signed else F.col(f)
+            size = severity(value, F.lit(mean), F.lit(max(sd, rules.floor(f))), rules.cap)
+        else:
+            size = None
+        if size is not None:
+            pairs.append(F.struct(F.lit(f).alias("key"), size.cast("double").alias("value")))
+    if not pairs:
+        pairs = [F.struct(F.lit("").alias("key"), F.lit(None).cast("double").alias("value"))]
     measured = F.coalesce((F.col("hold_id") >= 0) & F.col("valid"), F.lit(False))
     known = F.filter(F.array(*pairs), lambda p: measured & p["value"].isNotNull())
     out = features.withColumn("severities", F.map_from_entries(known))

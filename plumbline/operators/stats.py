@@ -162,6 +162,16 @@ def tally(df: DataFrame, reason: str, order: list[str]) -> DataFrame:
 
 def view_class(df: DataFrame, keys: list[str], width: str, side: float = 0.03, not_side: float = 0.036, least: int = 15) -> DataFrame:
     """SHP4-6: keys, view_frames, view_width and view."""
-    agg = df.groupBy(*keys).agg(F.count(width).alias("view_frames"), F.median(width).alias("view_width"))
+    agg = df.groupBy(*keys).agg(*view_columns(F.col(width)))
+    return with_view(agg, side, not_side, least)
+
+
+def view_columns(width: Column) -> list[Column]:
+    """SHP4, SHP5: aggregates view_frames and view_width."""
+    return [F.count(width).alias("view_frames"), F.median(width).alias("view_width")]
+
+
+def with_view(df: DataFrame, side: float = 0.03, not_side: float = 0.036, least: int = 15) -> DataFrame:
+    """SHP6: ``df`` with view: side, not_side or, between them or from too few frames, unsure."""
     view = F.when(F.col("view_frames") < least, "unsure").when(F.col("view_width") < side, "side").when(F.col("view_width") >= not_side, "not_side").otherwise("unsure")
-    return agg.withColumn("view", view)
+    return df.withColumn("view", view)

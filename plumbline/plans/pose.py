@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as geo
-from plumbline.operators import kernels, runs, scoring, stats, timeops
+from plumbline.operators import kernels, review, runs, scoring, stats, timeops
 
 CLIP = ["clip_id"]
 PARTS = ("wrist", "elbow", "shoulder", "hip", "knee", "ankle")
@@ -127,10 +127,15 @@ def classify(frames: DataFrame) -> DataFrame:
     return runs.phases(held, CLIP, "t", "frame_idx", "known", "hands_down", "rising", "hands_low")
 
 
-def body_features(frames: DataFrame) -> DataFrame:
-    """GEO20, GEO21: clip, frame, t_ms, hold_id, phase, the features of each frame and ``valid``; facing is the hold's majority."""
+def pictured(frames: DataFrame) -> DataFrame:
+    """``signals`` with picture: the joints, wrist_mid and body_length as they are in the picture, to be kept by ``body_features``."""
+    return frames.withColumn("picture", F.struct(*BODY, "wrist_mid", "body_length"))
+
+
+def body_features(frames: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """GEO20, GEO21: clip, frame, t_ms, hold_id, phase, the features of each frame and ``valid``; facing is the hold's majority. ``keep`` are columns to carry along."""
     at = lambda c: geo.to_body_frame(c, F.col("wrist_mid"), F.col("body_length"))
-    placed = frames.select("clip_id", "frame_idx", "t_ms", "hold_id", "phase", *(at(F.col(j)).alias(j) for j in BODY), *(at(F.col(f"{p}_mid")).alias(p) for p in PARTS))
+    placed = frames.select("clip_id", "frame_idx", "t_ms", "hold_id", "phase", *keep, *(at(F.col(j)).alias(j) for j in BODY), *(at(F.col(f"{p}_mid")).alias(p) for p in PARTS))
     p = {j: F.col(j) for j in (*BODY, *PARTS)}
     both = lambda a, b, c: geo.side_mean(*(geo.angle_at(p[f"{s}_{a}"], p[f"{s}_{b}"], p[f"{s}_{c}"]) for s in ("left", "right")))
     offsets = {f"off_{q}": p[q]["x"] for q in ("shoulder", "hip", "knee", "ankle")}
@@ -188,3 +193,29 @@ def line_windows(summary: DataFrame, least_s: float = 2.0) -> DataFrame:
     """SEG14, SHP2: holds in line that last long enough, the longest of each clip first."""
     w = Window.partitionBy("clip_id").orderBy(F.desc(F.col("end_ms") - F.col("start_ms")), "hold_id")
     return summary.where((F.col("shape") == "line") & (F.col("end_ms") - F.col("start_ms") >= 1000 * least_s)).withColumn("rank", F.row_number().over(w))
+
+
+def hold_measures(features: DataFrame, rules: scoring.Rules | None = None) -> DataFrame:
+    """SCO1, SHP4-6: a row a hold of ``features`` (with ``picture``): extent, values and view, from one aggregation."""
+    at = lambda j: F.col(f"picture.{j}")
+    width = geo.view_width(at("left_shoulder"), at("right_shoulder"), at("left_hip"), at("right_hip"), at("body_length"))
+    seen = tuple(stats.view_columns(F.when(F.col("valid"), width)))
+    return stats.with_view(scoring.hold_values(features.where("hold_id >= 0"), ["clip_id", "hold_id"], "t_ms", rules or scoring.Rules(), also=seen))
+
+
+def analysed_holds(measures: DataFrame, reference: dict[str, tuple[float, float]] | None, rules: scoring.Rules | None = None) -> DataFrame:
+    """SCO21: ``hold_measures`` with score, reason and top_faults; without a reference there is no score, and the reason says so."""
+    scored = scoring.score_holds(measures, reference or {}, rules or scoring.Rules())
+    if reference is None:
+        scored = scored.withColumns({"score": F.lit(None).cast("double"), "reason": F.lit("no reference")})
+    return scored
+
+
+def analysed_clips(clips: DataFrame, holds: DataFrame) -> DataFrame:
+    """SCO21: a row for each clip of ``clips`` (distinct ids): holds, scored, the hold that stands for it and its score, the same among holds not of another view, and whether all scored ones are."""
+    counts = holds.groupBy("clip_id").agg(F.count(F.lit(1)).alias("holds"), F.count("score").alias("scored"))
+    chosen = scoring.clip_hold(holds, CLIP, "hold_id").select("clip_id", F.col("hold_id").alias("clip_hold"), F.col("score").alias("clip_score"))
+    timed = holds.withColumn("_span", F.col("end") - F.col("start"))
+    sides = review.side_scores(timed.select("clip_id", "hold_id", "score", "_span"), holds.select("clip_id", "hold_id", "view"), "clip_id", "hold_id", "_span", "score")
+    out = clips.join(counts, CLIP, "left").join(chosen, CLIP, "left").join(sides, CLIP, "left")
+    return out.na.fill(0, ["holds", "scored"]).withColumn("not_side_only", F.coalesce("not_side_only", F.lit(False)))

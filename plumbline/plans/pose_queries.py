@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as geo
-from plumbline.operators import scoring, stats
+from plumbline.operators import diagram, matching, scoring, stats
 from plumbline.plans import pose
 from plumbline.plans.queries import ORACLE_SQL, QUERIES, rounded, table
 from plumbline.session import settled
@@ -314,7 +314,7 @@ def pose_scores(spark, sf_dir):
     return out.select("clip_id", F.col("hold_id").cast("long").alias("hold_id"), "valid_frames", "score", "reason", F.round("deviation", 4).alias("deviation"), F.round("penalty", 4).alias("penalty"), F.get("top_faults", F.lit(0))["feature"].alias("worst"))
 
 
-_MEASURED = [f for f in RULES.features if f not in RULES.spreads]
+_MEASURED = list(scoring.JUDGED)
 
 
 @checked(
@@ -329,3 +329,79 @@ def pose_severity(spark, sf_dir):
     values = scoring.hold_values(frames.where("hold_id >= 0"), ["clip_id", "hold_id"], "t_ms", RULES)
     marked = scoring.frame_severities(frames, own_reference(values), RULES).where("severity is not null")
     return marked.groupBy("clip_id", "band").agg(F.count(F.lit(1)).alias("frames"), F.round(F.max("severity"), 4).alias("worst"))
+
+
+@checked(
+    1,
+    f""", oc AS (SELECT name AS cs, n AS frame, CASE WHEN name = 'vfr_timestamps' THEN coalesce(sum(60 + 37 * n % 101) OVER (PARTITION BY name ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE 100 * n END::BIGINT AS t_ms,
+  CASE name WHEN 'steady_inverted' THEN 0.6 WHEN 'nan_gaps' THEN CASE WHEN n BETWEEN 20 AND 23 OR n BETWEEN 40 AND 49 THEN NULL WHEN n < 50 THEN 0.6 ELSE 0.99 END ELSE 0.9 END::DOUBLE AS u,
+  CASE name WHEN 'steady_inverted' THEN 0.9 WHEN 'one_frame_misread' THEN CASE n WHEN 12 THEN 0.99 ELSE 0.6 END WHEN 'sustained_switch' THEN CASE WHEN n < 10 THEN 0.6 ELSE 0.99 END WHEN 'vfr_timestamps' THEN CASE WHEN n < 15 THEN 0.6 ELSE 0.99 END
+    WHEN 'nan_gaps' THEN CASE WHEN n BETWEEN 20 AND 23 OR n BETWEEN 40 AND 49 THEN NULL WHEN n < 50 THEN 0.9 ELSE 0.6 END ELSE 0.6 END::DOUBLE AS r FROM unnest({list(clips.ORIENTATION_STORIES)}) q(name), range(70) p(n) WHERE n < CASE name WHEN 'nan_gaps' THEN 70 ELSE 40 END),
+os AS (SELECT s_suppkey::BIGINT AS clip, {list(clips.ORIENTATION_STORIES)}[s_suppkey % 6 + 1] AS cs, s_nationkey AS seed FROM supplier),
+od AS (SELECT clip, cs, frame, t_ms, u, r, sqrt(-2 * ln((('0x' || substr(h, 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)) AS size, 2 * pi() * ((('0x' || substr(h, 9, 8))::BIGINT + 0.5::DOUBLE) / 4294967296) AS turn FROM (SELECT *, md5(seed || ':' || clip || ':' || frame || ':score') AS h FROM os JOIN oc USING (cs))),
+om AS (SELECT clip, cs, frame, t_ms, round(u + 0.004 * (size * cos(turn)), 6) AS u, round(r + 0.004 * (size * sin(turn)), 6) AS r FROM od),
+sm AS (SELECT *, avg(r - u) OVER (PARTITION BY clip ORDER BY t_ms RANGE BETWEEN 250 PRECEDING AND 250 FOLLOWING) AS m, row_number() OVER (PARTITION BY clip ORDER BY t_ms, frame) AS n FROM om),
+op AS (SELECT clip, coalesce(avg(m) FILTER (t_ms <= 500) > 0, false) AS opens FROM sm GROUP BY clip),
+sw2 AS (SELECT clip, 0::BIGINT AS n, NULL::VARCHAR AS cs, NULL::BIGINT AS frame, NULL::DOUBLE AS m, opens AS rotated, NULL::BIGINT AS since FROM op
+  UNION ALL SELECT clip, n, cs, frame, m, CASE WHEN a AND t_ms - since >= 300 THEN NOT rotated ELSE rotated END, CASE WHEN NOT a THEN NULL WHEN since IS NULL THEN t_ms WHEN t_ms - since >= 300 THEN NULL ELSE since END FROM (
+    SELECT sm.*, sw2.rotated, sw2.since, coalesce(abs(sm.m) > 0.05 AND (sm.m > 0) <> sw2.rotated, false) AS a FROM sw2 JOIN sm ON sm.clip = sw2.clip AND sm.n = sw2.n + 1))
+SELECT clip AS clip_id, cs AS case_name, frame AS frame_idx, round(m, 5) + 0 AS smoothed, rotated FROM sw2 WHERE n > 0""",
+)
+def orientation_cases(spark, sf_dir):
+    """ORC9, ORI5-8: the six stories of an orientation chooser, one for each supplier."""
+    key = F.col("s_suppkey").cast("long")
+    case = F.element_at(F.array(*map(F.lit, clips.ORIENTATION_STORIES)), (key % len(clips.ORIENTATION_STORIES) + 1).cast("int"))
+    drawn = clips.orientation_clips(table(spark, sf_dir, "supplier").select(key.alias("clip_id"), case.alias("case"), F.col("s_nationkey").alias("seed")))
+    chosen = matching.choose_orientations(drawn, ["clip_id"], "t_ms", "frame_idx", "score_upright", "score_rotated")
+    return chosen.select("clip_id", F.col("case").alias("case_name"), "frame_idx", F.round("smoothed", 5).alias("smoothed"), "rotated")
+
+
+def pictured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``measured`` with the places in the picture."""
+    return pose.body_features(pose.pictured(pose.classify(pose.signals(pose.clean(keypoints(spark, sf_dir))))), keep=("picture",))
+
+
+_PART = lambda f: "max(s) FILTER (feature IN (" + ", ".join(f"'{x}'" for x in f) + "))" if f else "NULL::DOUBLE"
+_COLOUR = lambda s: f"CASE WHEN NOT measured THEN 'neutral' WHEN ({s}) IS NULL THEN 'ok' WHEN ({s}) < 0.25 THEN 'ok' WHEN ({s}) < 0.5 THEN 'warn' ELSE 'bad' END"
+_BONE = lambda a, b, also="true": f"CASE WHEN {a}_x IS NOT NULL AND {b}_x IS NOT NULL AND {also} THEN '{a}-{b}:' || {_COLOUR('list_max([s_' + a.split('_', 1)[-1] + ', s_' + b.split('_', 1)[-1] + '])')} END"
+_NEAR = "coalesce(sqrt((nose_x - left_shoulder_x) ** 2 + (nose_y - left_shoulder_y) ** 2) <= sqrt((nose_x - right_shoulder_x) ** 2 + (nose_y - right_shoulder_y) ** 2), left_shoulder_x IS NOT NULL)"
+
+
+@checked(
+    6,
+    f""", fv AS (UNPIVOT (SELECT clip, frame, {', '.join(f'{_SIGNED(f)} AS {f}' for f in _MEASURED)} FROM ft WHERE hold_id >= 0 AND valid) ON {', '.join(_MEASURED)} INTO NAME feature VALUE v),
+fz AS (SELECT clip, frame, feature, least(1.0, abs(v - mean) / greatest(sd, floor_) / 4) AS s FROM fv JOIN rf USING (feature) JOIN pl USING (feature)),
+pv AS (SELECT clip, frame, {', '.join(f'{_PART(f)} AS s_{p}' for p, f in scoring.JOINT_FEATURES.items())}, {_PART(scoring.STACK_FEATURES)} AS s_stack FROM fz GROUP BY clip, frame),
+cv AS (SELECT clip, frame, ({' + '.join(f'coalesce(({v}) * {m}, 0)' for u, v, m in _mass())}) / nullif({' + '.join(f'CASE WHEN ({v}) IS NULL THEN 0 ELSE {m}::DOUBLE END' for u, v, m in _mass())}, 0) AS com_v FROM bf),
+dg AS (SELECT ph.*, ft.hold_id >= 0 AND coalesce(ft.valid, false) AS measured, com_u, com_v, zone, pv.* EXCLUDE (clip, frame) FROM ph JOIN ft USING (clip, frame) JOIN cv USING (clip, frame) LEFT JOIN pv USING (clip, frame))
+SELECT clip AS clip_id, frame AS frame_idx, t_ms, hold_id >= 0 AS in_hold, {' + '.join(f'({j}_x IS NOT NULL)::INT' for j in JOINTS)} AS n_joints,
+  concat_ws(' ', {', '.join(_BONE(a, b) for a, b in diagram.BONES)}, {_BONE('nose', 'left_shoulder', _NEAR)}, {_BONE('nose', 'right_shoulder', f'NOT {_NEAR}')}) AS bones,
+  round(wrist_x, 3) + 0 AS stack_x, {_COLOUR('s_stack')} AS stack_band, round(wrist_x + com_u * len, 3) + 0 AS com_x, round(wrist_y - com_v * len, 3) + 0 AS com_y, zone AS balance_zone FROM dg""",
+)
+def pose_diagram(spark, sf_dir):
+    """SCO14, SCO17."""
+    frames = settled(pictured(spark, sf_dir))
+    values = scoring.hold_values(frames.where("hold_id >= 0"), ["clip_id", "hold_id"], "t_ms", RULES)
+    drawn = diagram.diagram_frames(scoring.frame_severities(frames, own_reference(values), RULES), F.lit(1920.0))
+    bones = F.array_join(F.transform("bones", lambda b: F.concat(b["start"], F.lit("-"), b["end"], F.lit(":"), b["band"])), " ")
+    places = {"stack_x": F.col("stack.x"), "com_x": F.col("com.x"), "com_y": F.col("com.y")}
+    return drawn.select("clip_id", "frame_idx", "t_ms", "in_hold", F.size("joints").alias("n_joints"), bones.alias("bones"), "stack_band", "balance_zone", *(F.round(c, 3).alias(n) for n, c in places.items()))
+
+
+_ACROSS_T = lambda p: f"abs((left_{p}_x - right_{p}_x) * ty - (left_{p}_y - right_{p}_y) * tx)"
+
+
+@checked(
+    6,
+    f""", vt AS (SELECT ph.*, ft.valid AS seen, {', '.join(f'(left_hip_{c} + right_hip_{c}) / 2 - (left_shoulder_{c} + right_shoulder_{c}) / 2 AS t{c}' for c in 'xy')} FROM ph JOIN ft USING (clip, frame) WHERE ph.hold_id >= 0),
+vw AS (SELECT clip, hold_id, min(t_ms) AS a, max(t_ms) AS b, count(w) FILTER (seen) AS many, median(w) FILTER (seen) AS w FROM (SELECT *, ({_ACROSS_T('shoulder')} + {_ACROSS_T('hip')}) / sqrt(tx ** 2 + ty ** 2) / 2 / len AS w FROM vt) GROUP BY ALL),
+an AS (SELECT vw.*, score, b - a AS span, many >= 15 AND w >= 0.036 AS other FROM vw JOIN sc USING (clip, hold_id))
+SELECT sup.clip AS clip_id, count(an.clip) AS holds, count(score) AS scored, arg_min(hold_id, (-span, hold_id)) FILTER (score IS NOT NULL) AS clip_hold, arg_min(score, (-span, hold_id)) FILTER (score IS NOT NULL) AS clip_score,
+  arg_min(score, (-span, hold_id)) FILTER (score IS NOT NULL AND NOT other) AS side_score, coalesce(bool_and(other) FILTER (score IS NOT NULL), false) AS not_side_only FROM sup LEFT JOIN an ON an.clip = sup.clip GROUP BY sup.clip""",
+)
+def pose_analysis(spark, sf_dir):
+    """SCO5, SCO21-23, SHP4-6."""
+    measures = settled(pose.hold_measures(pictured(spark, sf_dir), RULES))
+    holds = pose.analysed_holds(measures, own_reference(measures), RULES)
+    out = pose.analysed_clips(seeds(spark, sf_dir).select("clip_id"), holds)
+    return out.withColumn("clip_hold", F.col("clip_hold").cast("long"))

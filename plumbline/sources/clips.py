@@ -230,6 +230,47 @@ def clips(seeds: DataFrame) -> DataFrame:
     )
 
 
+# The stories of an orientation chooser and how surely a reading right or wrong, or mistaken with certainty, is scored.
+ORIENTATION_STORIES = ("steady_upright", "steady_inverted", "one_frame_misread", "sustained_switch", "nan_gaps", "vfr_timestamps")
+RIGHT, WRONG, SURE = 0.9, 0.6, 0.99
+STEP_MS, SCORE_NOISE = 100, 0.004
+
+
+def uneven_ms(n: int) -> int:
+    """The gap after the n-th frame of a clip whose frame rate varies: 60 to 160."""
+    return 60 + 37 * n % 101
+
+
+def orientation_story(name: str) -> list[tuple[int, int, float | None, float | None]]:
+    """Frames (index, t_ms, upright score, rotated score) of a story without noise."""
+    many = 70 if name == "nan_gaps" else 40
+    gaps = (uneven_ms(n) if name == "vfr_timestamps" else STEP_MS for n in range(many - 1))
+    turned = {"sustained_switch": 10, "vfr_timestamps": 15}.get(name, many)
+    rows = []
+    for n, t in enumerate(accumulate(gaps, initial=0)):
+        upright, rotated = (RIGHT, WRONG) if n < turned else (RIGHT, SURE)
+        if name in ("steady_inverted", "nan_gaps"):
+            upright, rotated = WRONG, RIGHT
+        if name == "one_frame_misread" and n == 12:
+            rotated = SURE
+        if name == "nan_gaps" and n >= 50:
+            upright, rotated = SURE, WRONG
+        if name == "nan_gaps" and (20 <= n < 24 or 40 <= n < 50):
+            upright = rotated = None
+        rows.append((n, t, upright, rotated))
+    return rows
+
+
+def orientation_clips(seeds: DataFrame, noise: float = SCORE_NOISE) -> DataFrame:
+    """ORC9: clip_id, case, frame_idx, t_ms, score_upright, score_rotated of ``seeds`` (clip_id, case, seed); a frame where nobody was found has no scores."""
+    rows = [(name, *r) for name in ORIENTATION_STORIES for r in orientation_story(name)]
+    # 270 rows whatever the number of clips
+    frames = F.broadcast(seeds.sparkSession.createDataFrame(rows, "case string, frame_idx long, t_ms long, upright double, rotated double"))
+    one, two = deviates(F.col("seed"), F.col("clip_id"), F.col("frame_idx"), F.lit("score"))
+    scores = {"score_upright": F.round(F.col("upright") + noise * one, DIGITS), "score_rotated": F.round(F.col("rotated") + noise * two, DIGITS)}
+    return seeds.join(frames, "case").withColumns(scores).select("clip_id", "case", "frame_idx", "t_ms", *scores)
+
+
 def drawn_clip(clip_id: int, seed: int, size: float = 1.0) -> dict[str, np.ndarray]:
     """One clip's columns as arrays, frame by frame and joint by joint; the story follows from the id."""
     nth = clip_id % len(NAMES)
