@@ -98,3 +98,41 @@ def unusable_clips(frames: DataFrame, spans: list[str], score: str, gates: list[
     short = lambda i: sum((F.col(f"q_{i}_{j}") for j in range(1, len(spans))), F.col(f"q_{i}_0")) < least
     counts = clips.agg(*(F.count_if(few(i) | F.coalesce(short(i), F.lit(True))).alias(f"u_{i}") for i in range(len(gates))))
     return counts.select(F.inline(F.array(*(F.struct(F.lit(g).alias("gate"), F.col(f"u_{i}").alias("unusable")) for i, g in enumerate(gates)))))
+
+
+# The least share within reach that needs no further training.
+TRAIN_BELOW = 0.6
+HEADLINE = ("rate", "low", "high")
+
+
+def decision(headline: DataFrame, groups: DataFrame, first: str, preferred: str, bound: str) -> DataFrame:
+    """BAK17: one row of figures by which a model is chosen: the preferred one wherever the intervals of the two meet, else the one of higher rate.
+
+    ``headline`` has a row for each model and setting (``recommended``, ``common``) with rate, low and high; ``groups`` model, group and rate of the groups
+    that decide about training. ``bound`` is the model that tells how much could be gained; it takes no part in the choice. ``choice`` is null where a rate
+    is missing, and ``robust`` (same winner, meeting intervals or another winner at the common gate) where either has no row there.
+    The lower rate of a tie goes to ``first``. Both inputs are folded in one aggregation each; a model that repeats counts by its greatest values.
+    """
+    at = lambda m, s: (F.col("model") == m) & (F.col("setting") == s)
+    finite = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    wanted = [(k, m, s) for s in ("recommended", "common") for k, m in (("first", first), ("preferred", preferred), ("bound", bound)) if (k, s) != ("bound", "common")]
+    figures = headline.agg(*(F.max(F.when(at(m, s), finite(c))).alias(f"{k}_{s}_{c}") for k, m, s in wanted for c in HEADLINE), *(F.count_if(at(m, s)).alias(f"_{k}_{s}") for k, m, s in wanted))
+    v = lambda k, s, c="rate": F.col(f"{k}_{s}_{c}")
+    apart = lambda s: F.coalesce((v("first", s, "high") < v("preferred", s, "low")) | (v("preferred", s, "high") < v("first", s, "low")), F.lit(False))
+    known = v("first", "recommended").isNotNull() & v("preferred", "recommended").isNotNull()
+    meet = v("first", "recommended", "low").isNotNull() & v("preferred", "recommended", "low").isNotNull() & ~apart("recommended")
+    ahead = lambda s: v("preferred", s) > v("first", s)
+    same = ahead("common").eqNullSafe(ahead("recommended"))
+    out = figures.withColumns(
+        {
+            "overlap": meet,
+            "choice": F.when(known, F.when(meet | ahead("recommended"), preferred).otherwise(first)),
+            "decisive": known & ~meet,
+            "robust": F.when((F.col("_first_common") > 0) & (F.col("_preferred_common") > 0), F.when(~same, "differs").when(apart("common"), "same").otherwise("same, intervals meet")),
+            "headroom": v("bound", "recommended") - F.coalesce(F.greatest(v("first", "recommended"), v("preferred", "recommended")), F.lit(0.0)),
+        }
+    )
+    worst = groups.agg(*(F.min(F.when(F.col("model") == m, finite("rate"))).alias(f"{k}_worst") for k, m in (("first", first), ("preferred", preferred))))
+    low = [F.coalesce(F.col(f"{k}_worst") < TRAIN_BELOW, F.lit(False)) for k in ("first", "preferred")]
+    # one row by one row
+    return out.drop(*(f"_{k}_{s}" for k, _, s in wanted)).crossJoin(worst.withColumn("train", low[0] & low[1]))

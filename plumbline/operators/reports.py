@@ -73,3 +73,28 @@ def diagnostics(frames: DataFrame, keys: list[str], time: str, reason: str) -> D
         F.sum("n").alias("frames"), (F.max("b") - F.min("a")).alias("span"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(reason, F.lit("")), "n")))).alias("reasons")
     )
     return docs.select(*keys, F.to_json(F.struct("frames", "span", "reasons")).alias("document"))
+
+
+def dataset_report(clips: DataFrame, reasons: tuple[str, ...] = ()) -> DataFrame:
+    """AGG17: one row of figures over ``clip_report`` rows (with seconds, dropped_frames, scorable_frames, error and a count for each reason): clips, frames and what becomes of them.
+
+    A clip with an error carries no numbers: it is counted and takes part in no share. Shares are percents, and 0 of nothing.
+    """
+    fine = F.coalesce(F.col("error"), F.lit("")) == ""
+    of = lambda c: F.coalesce(F.sum(F.when(fine, F.col(c))), F.lit(0))
+    counts = ("frames", "second_person_frames", "contact_frames", "dropped_frames", "scorable_frames", "seconds", *reasons)
+    trainer = F.coalesce(F.col("trainer_present"), F.lit(False))
+    out = clips.agg(F.count(F.lit(1)).alias("clips"), F.count_if(fine).alias("measured"), F.count_if(~fine).alias("failed"), F.count_if(fine & trainer).alias("with_trainer"), *(of(c).alias(c) for c in counts))
+    share = lambda n, d: F.when(F.col(d) > 0, 100.0 * F.col(n) / F.col(d)).otherwise(0.0)
+    shares = {"pct_with_trainer": share("with_trainer", "measured"), "pct_clean": share("clean", "measured")}
+    shares |= {f"pct_{c}": share(f"{c}_frames", "frames") for c in ("second_person", "contact", "dropped", "scorable")}
+    return out.withColumn("clean", F.col("measured") - F.col("with_trainer")).withColumns(shares)
+
+
+def report_clips(clips: DataFrame, most: int = 10) -> DataFrame:
+    """AGG17: the clips a report names: the failed ones with their error, and the ``most`` measured ones of the greatest share of contact; ties go to the longest run of it, then to the lesser id."""
+    fine = F.coalesce(F.col("error"), F.lit("")) == ""
+    share = F.when(F.col("frames") > 0, 100.0 * F.col("contact_frames") / F.col("frames")).otherwise(0.0)
+    worst = clips.where(fine).select("clip_id", F.lit("affected").alias("why"), share.alias("pct_contact"), F.lit(None).cast("string").alias("error"), "longest_contact").orderBy(F.desc("pct_contact"), F.desc("longest_contact"), "clip_id").limit(most)
+    failed = clips.where(~fine).select("clip_id", F.lit("failed").alias("why"), F.lit(None).cast("double").alias("pct_contact"), F.col("error").cast("string").alias("error"))
+    return worst.drop("longest_contact").unionByName(failed)

@@ -362,6 +362,31 @@ def bootstrap_ci(spark, sf_dir):
     return rounded(stats.bootstrap_ratio(s, "user_id", "hit", "one", ["event_type"]), "ratio", "low", "high", digits=6)
 
 
+MODELS = {"first": "view", "preferred": "click", "bound": "purchase"}
+SETTINGS = {"recommended": 50, "common": 40}
+
+
+def model_decision(spark, sf_dir):
+    """Kinds of events stand for models, and a limit of the value for a setting."""
+    s = series(spark, sf_dir).withColumns({"one": F.lit(1), "part": F.col("user_id") % 4})
+    hit = lambda limit: F.coalesce(F.col("x") <= limit, F.lit(False)).cast("int")
+    found = [rounded(stats.bootstrap_ratio(s.withColumn("hit", hit(v)), "user_id", "hit", "one", ["event_type"]), "ratio", "low", "high", digits=6).withColumn("setting", F.lit(k)) for k, v in SETTINGS.items()]
+    headline = found[0].unionByName(found[1]).withColumnsRenamed({"event_type": "model", "ratio": "rate"})
+    groups = s.groupBy(F.col("event_type").alias("model"), "part").agg(F.avg(hit(40)).alias("rate"))
+    return rounded(comparison.decision(headline, groups, *MODELS.values()), "headroom", "first_worst", "preferred_worst", digits=6)
+
+
+QUERIES["model_decision"] = model_decision
+_RATE = lambda k, s, c: f"max({c}) FILTER (model = '{MODELS[k]}' AND setting = '{s}') AS {k}_{s}_{c}"
+ORACLE_SQL["model_decision"] = f"""WITH hl AS ({' UNION ALL '.join(f"SELECT '{k}' AS setting, event_type AS model, ratio AS rate, low, high FROM ({ORACLE_SQL['bootstrap_ci'].replace('x <= 50', f'x <= {v}')})" for k, v in SETTINGS.items())}),
+fg AS (SELECT {', '.join(_RATE(k, s, c) for k in MODELS for s in SETTINGS if (k, s) != ('bound', 'common') for c in ('rate', 'low', 'high'))} FROM hl),
+wg AS (SELECT min(r) FILTER (event_type = 'view') AS first_worst, min(r) FILTER (event_type = 'click') AS preferred_worst FROM (SELECT event_type, avg(coalesce(value <= 40, false)::INT) AS r FROM events GROUP BY event_type, user_id % 4)),
+dc AS (SELECT *, first_recommended_high >= preferred_recommended_low AND preferred_recommended_high >= first_recommended_low AS overlap, first_common_high >= preferred_common_low AND preferred_common_high >= first_common_low AS meets FROM fg, wg)
+SELECT * EXCLUDE (meets, first_worst, preferred_worst), round(first_worst, 6) AS first_worst, round(preferred_worst, 6) AS preferred_worst, CASE WHEN overlap OR preferred_recommended_rate > first_recommended_rate THEN 'click' ELSE 'view' END AS choice, NOT overlap AS decisive,
+  CASE WHEN (preferred_common_rate > first_common_rate) <> (preferred_recommended_rate > first_recommended_rate) THEN 'differs' WHEN meets THEN 'same, intervals meet' ELSE 'same' END AS robust,
+  round(bound_recommended_rate - greatest(first_recommended_rate, preferred_recommended_rate), 6) AS headroom, first_worst < 0.6 AND preferred_worst < 0.6 AS train FROM dc"""
+
+
 @query("""SELECT b::INT AS bucket, count(x) AS n FROM range(10) AS r(b) LEFT JOIN e ON x BETWEEN 0 AND 100 AND least(floor(x / 10), 9) = b GROUP BY b""")
 def contact_histogram(spark, sf_dir):
     return stats.histogram(series(spark, sf_dir), "x")
@@ -636,6 +661,33 @@ def clip_report(spark, sf_dir):
     return rounded(reports.clip_report(s, KEYS, "t", "event_id", "second", "touch", "ok", DAY), "second_person_time", "longest_contact", digits=3)
 
 
+REPORTED = f"""WITH c AS ({ORACLE_SQL['clip_report']}), m AS (SELECT *, user_id AS clip_id, CASE WHEN user_id % 7 = 3 THEN 'no pose' END AS error, frames - athlete_frames AS dropped_frames, greatest(athlete_frames - contact_frames, 0) AS scorable_frames FROM c),
+f AS (SELECT *, 100.0 * contact_frames / frames AS share FROM m WHERE error IS NULL)"""
+
+
+def reported(spark, sf_dir):
+    """Every seventh user's clip could not be read."""
+    scorable = F.greatest(F.col("athlete_frames") - F.col("contact_frames"), F.lit(0))
+    error = F.when(F.col("user_id") % 7 == 3, "no pose")
+    return clip_report(spark, sf_dir).withColumns({"clip_id": F.col("user_id"), "error": error, "dropped_frames": F.col("frames") - F.col("athlete_frames"), "scorable_frames": scorable, "seconds": F.col("second_person_time")})
+
+
+def dataset_report(spark, sf_dir):
+    return rounded(reports.dataset_report(reported(spark, sf_dir)), "seconds", *(f"pct_{c}" for c in ("with_trainer", "clean", "second_person", "contact", "dropped", "scorable")), digits=3)
+
+
+def report_clips(spark, sf_dir):
+    return rounded(reports.report_clips(reported(spark, sf_dir)), "pct_contact")
+
+
+QUERIES |= {"dataset_report": dataset_report, "report_clips": report_clips}
+_PCT = lambda n, d: f"round(CASE WHEN {d} > 0 THEN 100.0 * {n} / {d} ELSE 0 END, 3)"
+ORACLE_SQL["dataset_report"] = f"""{REPORTED}, t AS (SELECT (SELECT count(*) FROM m) AS clips, count(*) AS measured, (SELECT count(*) FROM m WHERE error IS NOT NULL) AS failed, count(*) FILTER (trainer_present) AS with_trainer, count(*) FILTER (NOT trainer_present) AS clean,
+  coalesce(sum(second_person_time), 0) AS seconds, {', '.join(f'coalesce(sum({c}), 0)::BIGINT AS {c}' for c in ('frames', 'second_person_frames', 'contact_frames', 'dropped_frames', 'scorable_frames'))} FROM f)
+SELECT * EXCLUDE (seconds), round(seconds, 3) AS seconds, {_PCT('with_trainer', 'measured')} AS pct_with_trainer, {_PCT('clean', 'measured')} AS pct_clean, {', '.join(f"{_PCT(f'{c}_frames', 'frames')} AS pct_{c}" for c in ('second_person', 'contact', 'dropped', 'scorable'))} FROM t"""
+ORACLE_SQL["report_clips"] = f"""{REPORTED} SELECT * FROM (SELECT clip_id, 'affected' AS why, round(share, 4) AS pct_contact, NULL::VARCHAR AS error FROM f ORDER BY share DESC, longest_contact DESC, clip_id LIMIT 10) UNION ALL SELECT clip_id, 'failed', NULL, error FROM m WHERE error IS NOT NULL"""
+
+
 @query("""SELECT user_id, count(*) AS compared, count(*) FILTER ((vis > 0.5) <> (y > 25) AND (x > 50) = (y > 25)) AS fixed, count(*) FILTER ((vis > 0.5) = (y > 25) AND (x > 50) <> (y > 25)) AS broken FROM e WHERE x IS NOT NULL AND vis IS NOT NULL GROUP BY user_id""")
 def compare_readings(spark, sf_dir):
     s = series(spark, sf_dir)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as geo
-from plumbline.operators import diagram, matching, scoring
+from plumbline.operators import comparison, diagram, matching, reports, scoring
 from plumbline.plans import pose
 from plumbline.sources import clips
 
@@ -104,3 +104,33 @@ def test_clip_stands_by_its_longest_scored_hold(spark):
     ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "clip_id long")
     got = {r.clip_id: tuple(r)[1:] for r in pose.analysed_clips(ids, holds).select("clip_id", "holds", "scored", "clip_hold", "clip_score", "side_score", "not_side_only").collect()}
     assert got == {1: (3, 2, 0, 50.0, 50.0, False), 2: (1, 1, 0, 70.0, None, True), 3: (1, 0, None, None, None, False), 4: (0, 0, None, None, None, False)}
+
+
+def decided(spark, rows, groups=()):
+    headline = spark.createDataFrame([(m, s, float(r), float(a), float(b)) for m, s, r, a, b in rows], "model string, setting string, rate double, low double, high double")
+    parts = spark.createDataFrame([(m, g, float(r)) for m, g, r in groups], "model string, group string, rate double")
+    return comparison.decision(headline, parts, "a", "b", "c").first()
+
+
+def test_decision_between_models(spark):
+    got = decided(spark, [("a", "recommended", 0.9, 0.85, 0.95), ("b", "recommended", 0.7, 0.6, 0.8), ("c", "recommended", 0.97, 0.9, 0.99), ("a", "common", 0.8, 0.7, 0.9), ("b", "common", 0.75, 0.65, 0.85)], [("a", "wrists", 0.5), ("a", "ankles", 0.9), ("b", "wrists", 0.59)])
+    assert (got.choice, got.decisive, got.robust, got.train) == ("a", True, "same, intervals meet", True) and got.headroom == pytest.approx(0.07) and got.first_worst == 0.5
+    got = decided(spark, [("a", "recommended", 0.9, 0.8, 0.95), ("b", "recommended", 0.85, 0.8, 0.9), ("a", "common", 0.5, 0.4, 0.55), ("b", "common", 0.8, 0.7, 0.9)], [("a", "wrists", 0.6)])
+    assert (got.choice, got.overlap, got.decisive, got.robust, got.train, got.headroom) == ("b", True, False, "differs", False, None)
+    got = decided(spark, [("a", "recommended", 0.6, 0.5, 0.65), ("b", "recommended", 0.9, 0.8, 1.0)])
+    assert (got.choice, got.decisive, got.robust) == ("b", True, None)
+    for rows in ([], [("a", "recommended", math.nan, math.nan, math.nan), ("b", "recommended", 0.5, 0.4, 0.6)]):
+        got = decided(spark, rows)
+        assert (got.choice, got.decisive, got.overlap) == (None, False, False)
+
+
+def test_dataset_report(spark):
+    schema = "clip_id long, error string, frames long, second_person_frames long, contact_frames long, dropped_frames long, scorable_frames long, seconds double, trainer_present boolean, longest_contact double, grip long"
+    rows = [(1, None, 100, 50, 25, 10, 65, 4.0, True, 1.0, 7), (2, "", 100, 0, 25, 0, 75, 5.0, False, 2.0, 1), (3, "no file", 999, 999, 999, 999, 999, 9.0, True, 9.0, 9), (4, None, 0, 0, 0, 0, 0, 0.0, None, 0.0, 0)]
+    clips_ = spark.createDataFrame(rows, schema)
+    got = reports.dataset_report(clips_, ("grip",)).first()
+    assert (got.clips, got.measured, got.failed, got.with_trainer, got.clean, got.frames, got.contact_frames, got.grip, got.seconds) == (4, 3, 1, 1, 2, 200, 50, 8, 9.0)
+    assert got.pct_contact == 25.0 and got.pct_scorable == 70.0 and got.pct_clean == pytest.approx(200 / 3)
+    assert [tuple(r) for r in reports.report_clips(clips_, 2).collect()] == [(2, "affected", 25.0, None), (1, "affected", 25.0, None), (3, "failed", None, "no file")]
+    empty = reports.dataset_report(clips_.limit(0)).first()
+    assert (empty.clips, empty.frames, empty.pct_contact, empty.pct_clean) == (0, 0, 0.0, 0.0) and reports.report_clips(clips_.limit(0)).collect() == []
