@@ -345,7 +345,7 @@ op AS (SELECT clip, coalesce(avg(m) FILTER (t_ms <= 500) > 0, false) AS opens FR
 sw2 AS (SELECT clip, 0::BIGINT AS n, NULL::VARCHAR AS cs, NULL::BIGINT AS frame, NULL::DOUBLE AS m, opens AS rotated, NULL::BIGINT AS since FROM op
   UNION ALL SELECT clip, n, cs, frame, m, CASE WHEN a AND t_ms - since >= 300 THEN NOT rotated ELSE rotated END, CASE WHEN NOT a THEN NULL WHEN since IS NULL THEN t_ms WHEN t_ms - since >= 300 THEN NULL ELSE since END FROM (
     SELECT sm.*, sw2.rotated, sw2.since, coalesce(abs(sm.m) > 0.05 AND (sm.m > 0) <> sw2.rotated, false) AS a FROM sw2 JOIN sm ON sm.clip = sw2.clip AND sm.n = sw2.n + 1))
-SELECT clip AS clip_id, cs AS case_name, frame AS frame_idx, round(m, 5) + 0 AS smoothed, rotated FROM sw2 WHERE n > 0""",
+SELECT clip AS clip_id, cs AS case_name, frame AS frame_idx, round(m, 9) + 0 AS smoothed, rotated FROM sw2 WHERE n > 0""",
 )
 def orientation_cases(spark, sf_dir):
     """ORC9, ORI5-8: the six stories of an orientation chooser, one for each supplier."""
@@ -353,7 +353,7 @@ def orientation_cases(spark, sf_dir):
     case = F.element_at(F.array(*map(F.lit, clips.ORIENTATION_STORIES)), (key % len(clips.ORIENTATION_STORIES) + 1).cast("int"))
     drawn = clips.orientation_clips(table(spark, sf_dir, "supplier").select(key.alias("clip_id"), case.alias("case"), F.col("s_nationkey").alias("seed")))
     chosen = matching.choose_orientations(drawn, ["clip_id"], "t_ms", "frame_idx", "score_upright", "score_rotated")
-    return chosen.select("clip_id", F.col("case").alias("case_name"), "frame_idx", F.round("smoothed", 5).alias("smoothed"), "rotated")
+    return chosen.select("clip_id", F.col("case").alias("case_name"), "frame_idx", F.round("smoothed", 9).alias("smoothed"), "rotated")
 
 
 def pictured(spark: SparkSession, sf_dir: str) -> DataFrame:
