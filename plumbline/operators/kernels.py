@@ -1,27 +1,134 @@
-"""Folds in which every row depends on the result of the one before: grouped pandas.
+"""Folds in which every row depends on the result of the one before.
 
-Each takes one series (a clip and joint, or a clip) in memory; everything that can be a
+A series (a clip and joint, or a clip) is one row with an array while it is folded, so that its rows stay where the
+series' keys put them; a step of the fold is made for all series of an Arrow batch at once. Everything that can be a
 window expression is one elsewhere.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-
-
-def _schema(df: DataFrame, extra: str) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + extra
-
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def in_series(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
+    """A row a series: keys and ``_s``, its rows in order of time, unknown times last."""
+    first = {"_1": F.col(time).isNull(), "_2": F.col(time), "_3": F.col(tie).isNull(), "_4": F.col(tie)}
+    row = F.struct(*(c.alias(n) for n, c in first.items()), F.struct(*(c for c in df.columns if c not in keys)).alias("row"))
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_s"))
+
+
+def values_of(column: str) -> Column:
+    """A column of the rows of a series."""
+    return F.col(f"_s.row.{column}")
+
+
+def folded(series: DataFrame, fold: Callable[..., dict[str, np.ndarray]], inputs: list[Column], returns: str, *scalars: Column) -> DataFrame:
+    """``series`` with ``_f``, an array of structs ``returns``: what ``fold`` makes of lengths, inputs and scalars (doubles) of many series, which lie behind one another."""
+    kinds, many = [f.split() for f in returns.split(", ")], len(inputs)
+
+    @F.arrow_udf(f"array<struct<{', '.join(f'{n}: {k}' for n, k in kinds)}>>")
+    def run(*columns: pa.Array) -> pa.Array:
+        lists, single = columns[:many], columns[many:]
+        lengths = pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = fold(lengths, *(_numbers(c.flatten()) for c in lists), *map(_numbers, single))
+        fields = [pa.array(found[n], pa.bool_() if k == "boolean" else pa.float64(), from_pandas=True) for n, k in kinds]
+        rows = pa.StructArray.from_arrays(fields, [n for n, _ in kinds])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), rows)
+
+    return series.withColumn("_f", run(*inputs, *(s.cast("double") for s in scalars)))
+
+
+def out_of_series(series: DataFrame, keys: list[str], columns: list[str], new: list[str], also: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``folded`` series: ``columns`` (keys and those of the rows), columns of the series ``also``, and ``new``."""
+    pairs = series.select(*keys, *also, F.explode(F.arrays_zip("_s", "_f")).alias("_p"))
+    return pairs.select(*(F.col(c) if c in keys else F.col(f"_p._s.row.{c}").alias(c) for c in columns), *also, *(F.col(f"_p._f.{c}").alias(c) for c in new))
+
+
+def _numbers(values: pa.Array) -> np.ndarray:
+    """Doubles, NaN where a value is not known; truth values, false where not known."""
+    if pa.types.is_boolean(values.type):
+        return values.fill_null(False).to_numpy(zero_copy_only=False)
+    return values.cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)
+
+
+def _steps(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Step by step, the series that have a row there and the places of these rows."""
+    starts = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    shorter = -lengths[order]
+    for i in range(int(lengths.max(initial=0))):
+        which = order[: np.searchsorted(shorter, -i)]
+        yield which, starts[which] + i
+
+
+def slow_enough(lengths: np.ndarray, t: np.ndarray, x: np.ndarray, y: np.ndarray, ok: np.ndarray, size: np.ndarray, max_speed: float) -> np.ndarray:
+    """The valid rows that are not faster than max_speed from the last one of these."""
+    kept = np.zeros(len(t), bool)
+    last = np.full((3, len(lengths)), np.nan)
+    with np.errstate(all="ignore"):
+        for s, r in _steps(lengths):
+            lt, lx, ly = last[:, s]
+            # nothing is later, or faster, than what there is not
+            fast = (t[r] > lt) & (np.hypot(x[r] - lx, y[r] - ly) / (size[s] * (t[r] - lt)) > max_speed)
+            keep = ok[r] & ~fast
+            kept[r] = keep
+            on, at = s[keep], r[keep]
+            last[0, on], last[1, on], last[2, on] = t[at], x[at], y[at]
+    return kept
+
+
+def between(lengths: np.ndarray, t: np.ndarray, values: list[np.ndarray], ok: np.ndarray, max_gap: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which rows lie between valid neighbours at most a gap apart, and the values with linear ones there."""
+    n, ends = len(t), np.cumsum(lengths)
+    place = np.arange(n)
+    start, end = np.repeat(ends - lengths, lengths), np.repeat(ends, lengths)
+    before = np.maximum.accumulate(np.where(ok, place, -1)) if n else place
+    after = np.minimum.accumulate(np.where(ok, place, n)[::-1])[::-1] if n else place
+    open_ = ~ok & (before >= start) & (after < end)
+    before, after = np.where(open_, before, place), np.where(open_, after, place)
+    with np.errstate(all="ignore"):
+        gap = t[after] - t[before]
+        filled = open_ & (gap > 0) & (gap <= max_gap)
+        share = (t - t[before]) / gap
+        return filled, [np.where(filled, v[before] + (v[after] - v[before]) * share, v) for v in values]
+
+
+def smoothed(lengths: np.ndarray, t: np.ndarray, values: np.ndarray, ok: np.ndarray, size: np.ndarray, min_cutoff: float = 1.0, beta: float = 0.3, d_cutoff: float = 1.0, least_dt: float = 1e-3) -> np.ndarray:
+    """The valid values after an adaptive low-pass, begun anew after every invalid row."""
+
+    def alpha(cutoff: float | np.ndarray, dt: np.ndarray) -> np.ndarray:
+        return 1 / (1 + 1 / (2 * math.pi * cutoff * dt))
 
-def _scale(part: pd.DataFrame, scale: float | str) -> float:
-    if isinstance(scale, str):
-        value = part[scale].iloc[0]
-        return math.nan if value is None else float(value)
-    return scale
+    wide = np.repeat(size, lengths)
+    speed, fresh = np.zeros(len(lengths)), np.ones(len(lengths), bool)
+    with np.errstate(all="ignore"):
+        raw = values / wide
+        out = raw.copy()
+        for s, r in _steps(lengths):
+            good = ok[r]
+            begun = fresh[s]
+            speed[s[good & begun]] = 0.0
+            go = good & ~begun
+            on, at = s[go], r[go]
+            dt = np.maximum(t[at] - t[at - 1], least_dt)
+            a = alpha(d_cutoff, dt)
+            speed[on] = a * (raw[at] - out[at - 1]) / dt + (1 - a) * speed[on]
+            a = alpha(min_cutoff + beta * np.abs(speed[on]), dt)
+            out[at] = a * raw[at] + (1 - a) * out[at - 1]
+            fresh[s] = ~good
+        return out * wide
+
+
+def _scale(scale: float | str) -> Column:
+    """A number, or the value of a column in the first row of a series."""
+    return F.get(values_of(scale), F.lit(0)) if isinstance(scale, str) else F.lit(float(scale))
 
 
 def remove_speed_outliers(df: DataFrame, keys: list[str], time: str, tie: str, x: str, y: str, valid: str, scale: float | str, max_speed: float) -> DataFrame:
@@ -30,86 +137,53 @@ def remove_speed_outliers(df: DataFrame, keys: list[str], time: str, tie: str, x
     ``scale`` is a number, or a column that holds one value for each series.
     """
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([time, tie])
-        kept = np.zeros(len(part), bool)
-        size = _scale(part, scale)
-        last = None
-        for i, (t, px, py, ok) in enumerate(part[[time, x, y, valid]].itertuples(index=False)):
-            if not ok:
-                continue
-            if last is not None and t > last[0] and math.hypot(px - last[1], py - last[2]) / (size * (t - last[0])) > max_speed:
-                continue
-            kept[i] = True
-            last = (t, px, py)
-        return part.assign(kept=kept)
+    def fold(lengths, t, px, py, ok, size):
+        return {"kept": slow_enough(lengths, t, px, py, ok, size, max_speed)}
 
-    return df.groupBy(*keys).applyInPandas(fold, _schema(df, "kept boolean"))
+    series = folded(in_series(df, keys, time, tie), fold, [values_of(c) for c in (time, x, y, valid)], "kept boolean", _scale(scale))
+    return out_of_series(series, keys, df.columns, ["kept"])
 
 
 def one_euro(df: DataFrame, keys: list[str], time: str, tie: str, values: list[str], valid: str, scale: float | str, min_cutoff: float = 1.0, beta: float = 0.3, d_cutoff: float = 1.0, least_dt: float = 1e-3) -> DataFrame:
     """PP7, PP8: ``df`` with the valid values smoothed by an adaptive low-pass, begun anew after every invalid row."""
+    names = [f"{c}_smooth" for c in values]
 
-    def alpha(cutoff: float, dt: float) -> float:
-        return 1 / (1 + 1 / (2 * math.pi * cutoff * dt))
+    def fold(lengths, t, ok, *rest):
+        return {n: smoothed(lengths, t, v, ok, rest[-1], min_cutoff, beta, d_cutoff, least_dt) for n, v in zip(names, rest[:-1], strict=True)}
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([time, tie])
-        times, ok = part[time].to_numpy(float), part[valid].to_numpy(bool)
-        size = _scale(part, scale)
-        smooth = {}
-        for c in values:
-            raw = part[c].to_numpy(float) / size
-            out = raw.copy()
-            speed, fresh = 0.0, True
-            for i in range(len(raw)):
-                if not ok[i]:
-                    fresh = True
-                    continue
-                if fresh:
-                    speed, fresh = 0.0, False
-                    continue
-                dt = max(times[i] - times[i - 1], least_dt)
-                a = alpha(d_cutoff, dt)
-                speed = a * (raw[i] - out[i - 1]) / dt + (1 - a) * speed
-                a = alpha(min_cutoff + beta * abs(speed), dt)
-                out[i] = a * raw[i] + (1 - a) * out[i - 1]
-            smooth[f"{c}_smooth"] = out * size
-        return part.assign(**smooth)
-
-    return df.groupBy(*keys).applyInPandas(fold, _schema(df, ", ".join(f"`{c}_smooth` double" for c in values)))
+    series = folded(in_series(df, keys, time, tie), fold, [values_of(c) for c in (time, valid, *values)], ", ".join(f"{n} double" for n in names), _scale(scale))
+    return out_of_series(series, keys, df.columns, names)
 
 
 def switch_with_hysteresis(df: DataFrame, keys: list[str], time: str, tie: str, margin: str, start: str, threshold: float, hold: float) -> DataFrame:
     """ORI8: ``df`` with ``rotated``, which changes once the margin has spoken against it, beyond the threshold, for ``hold``."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([time, tie])
-        state, since = bool(part[start].iloc[0]), None
-        out = []
-        for t, m in part[[time, margin]].itertuples(index=False):
-            against = m is not None and math.isfinite(m) and abs(m) > threshold and (m > 0) != state
-            if not against:
-                since = None
-            elif since is None:
-                since = t
-            elif t - since >= hold:
-                state, since = not state, None
-            out.append(state)
-        return part.assign(rotated=out)
+    def fold(lengths, t, m, begins):
+        firsts = np.cumsum(lengths) - lengths
+        state, since = begins[firsts], np.full(len(lengths), np.nan)
+        out = np.zeros(len(t), bool)
+        for s, r in _steps(lengths):
+            against = np.isfinite(m[r]) & (np.abs(m[r]) > threshold) & ((m[r] > 0) != state[s])
+            turn = against & (t[r] - since[s] >= hold)
+            since[s] = np.where(against & ~turn, np.where(np.isnan(since[s]), t[r], since[s]), np.nan)
+            state[s] ^= turn
+            out[r] = state[s]
+        return {"rotated": out}
 
-    return df.groupBy(*keys).applyInPandas(fold, _schema(df, "rotated boolean"))
+    series = folded(in_series(df, keys, time, tie), fold, [values_of(time), values_of(margin), values_of(start)], "rotated boolean")
+    return out_of_series(series, keys, df.columns, ["rotated"])
 
 
 def thin(df: DataFrame, keys: list[str], time: str, tie: str, spacing: float) -> DataFrame:
     """SRC30, SMP6: the first row and every row at least ``spacing`` after the last one kept."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([time, tie])
-        keep, last = [], -math.inf
-        for t in part[time]:
-            keep.append(t - last >= spacing)
-            last = t if keep[-1] else last
-        return part[keep]
+    def fold(lengths, t):
+        kept, last = np.zeros(len(t), bool), np.full(len(lengths), -math.inf)
+        for s, r in _steps(lengths):
+            keep = t[r] - last[s] >= spacing
+            kept[r] = keep
+            last[s[keep]] = t[r[keep]]
+        return {"_kept": kept}
 
-    return df.groupBy(*keys).applyInPandas(fold, df.schema)
+    series = folded(in_series(df, keys, time, tie), fold, [values_of(time)], "_kept boolean")
+    return out_of_series(series, keys, df.columns, ["_kept"]).where("_kept").drop("_kept")

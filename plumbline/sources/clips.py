@@ -30,6 +30,8 @@ SWAY_DEG, SWAY_PERIOD_S, SWAY_RAMP_S = 2.0, 1.7, 0.3
 STEP_PX, STEP_S = 45.0, 0.15
 CYCLE_MS = (33, 36, 31, 34, 30, 37, 33, 32)
 LOW_VISIBILITY, DIGITS = 0.1, 6
+#: Clips of a partition: half a million samples.
+CLIPS_A_PART = 250
 #: Jitter in pixels where a story asks for none of its own.
 JITTER_PX = 0.3
 JOINTS = ("nose", *(f"{side}_{part}" for part in OFFSETS for side in ("left", "right")))
@@ -195,8 +197,9 @@ def _figure() -> dict[str, tuple[Column, Column]]:
 
 def deviates(*key: Column) -> tuple[Column, Column]:
     """Two independent standard normal deviates of a key."""
-    digest = F.md5(F.concat_ws(":", *key).cast("binary"))
-    one, two = ((F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0 for at in (1, 9))
+    # sixteen digits as one signed number: the first eight are its upper half
+    both = F.conv(F.substring(F.md5(F.concat_ws(":", *key).cast("binary")), 1, 16), 16, -10).cast("long")
+    one, two = ((n.cast("double") + 0.5) / 4294967296.0 for n in (F.shiftrightunsigned(both, 32), both.bitwiseAND(F.lit(0xFFFFFFFF))))
     size = F.sqrt(-2.0 * F.log(one))
     return size * F.cos(2.0 * np.pi * two), size * F.sin(2.0 * np.pi * two)
 
@@ -214,22 +217,29 @@ def clips(seeds: DataFrame) -> DataFrame:
     rows = drawn.select("*", F.explode("body").alias("p")).select("*", "p.*").drop("p", "body")
     cos, sin = F.cos(F.radians("sway")), F.sin(F.radians("sway"))
     dx, dy = F.col("x") - F.col("_ox"), F.col("y") - F.col("_oy")
-    rows = rows.withColumns({"x": F.col("_ox") + cos * dx - sin * dy, "y": F.col("_oy") + sin * dx + cos * dy}).drop("_ox", "_oy", "sway")
+    hit = lambda kind: F.filter("failing", lambda m: (m["kind"] == kind) & (F.col("frame_idx") >= m["first"]) & (F.col("frame_idx") < m["after"]))
+    seen = F.when(F.col("joint") == "nose", SEEN["nose"]).when(F.col("joint").startswith("left"), SEEN["left"]).otherwise(SEEN["right"])
+    rows = rows.select(
+        "case", "jitter", F.col("frame_idx").cast("long").alias("frame_idx"), F.col("t_ms").cast("long").alias("t_ms"), "joint", (F.col("_ox") + cos * dx - sin * dy).alias("x"), (F.col("_oy") + sin * dx + cos * dy).alias("y"),
+        F.coalesce(F.get(F.filter(hit("outlier"), lambda m: m["joint"] == F.col("joint")), 0)["delta"], F.lit(0.0)).alias("spike"), (F.size(hit("undetected")) > 0).alias("gone"),
+        F.when(F.size(hit("low_visibility")) > 0, LOW_VISIBILITY).otherwise(seen).alias("visibility"), (F.size(hit("contact")) > 0).alias("trainer_contact"),
+    )
     # the stories' samples: some twelve thousand rows whatever the number of clips
-    rows = seeds.join(F.broadcast(rows), "case")
+    rows = dealt(seeds).join(F.broadcast(rows), "case")
     gx, gy = deviates(F.col("seed"), F.col("clip_id"), F.col("frame_idx"), F.col("joint"))
     rows = rows.withColumns({"x": F.col("size") * (F.col("x") + F.col("jitter") * gx), "y": F.col("size") * (F.col("y") + F.col("jitter") * gy)})
-    hit = lambda kind: F.filter("failing", lambda m: (m["kind"] == kind) & (F.col("frame_idx") >= m["first"]) & (F.col("frame_idx") < m["after"]))
-    spike = F.coalesce(F.get(F.filter(hit("outlier"), lambda m: m["joint"] == F.col("joint")), 0)["delta"], F.lit(0.0))
-    gone = F.size(hit("undetected")) > 0
-    seen = F.when(F.col("joint") == "nose", SEEN["nose"]).when(F.col("joint").startswith("left"), SEEN["left"]).otherwise(SEEN["right"])
     return rows.select(
-        "clip_id", "case", F.col("frame_idx").cast("long").alias("frame_idx"), F.col("t_ms").cast("long").alias("t_ms"), "joint",
-        F.when(~gone, F.round(F.col("x") + spike * F.col("size"), DIGITS)).alias("x"), F.when(~gone, F.round("y", DIGITS)).alias("y"),
-        F.when(~gone, F.when(F.size(hit("low_visibility")) > 0, LOW_VISIBILITY).otherwise(seen)).alias("visibility"), (F.size(hit("contact")) > 0).alias("trainer_contact"),
+        "clip_id", "case", "frame_idx", "t_ms", "joint", F.when(~F.col("gone"), F.round(F.col("x") + F.col("spike") * F.col("size"), DIGITS)).alias("x"),
+        F.when(~F.col("gone"), F.round("y", DIGITS)).alias("y"), F.when(~F.col("gone"), F.col("visibility")).alias("visibility"), "trainer_contact",
     )
 
 
+def dealt(seeds: DataFrame) -> DataFrame:
+    """``seeds`` by clip_id over partitions of at most some ``CLIPS_A_PART`` clips: a short table lies in one file, and what is drawn from it stays where its clip is."""
+    n, cores = seeds.count(), seeds.sparkSession.sparkContext.defaultParallelism
+    return seeds.repartition(max(1, -(-n // CLIPS_A_PART), min(2 * cores, n // 10)), "clip_id")
+
+
 # The stories of an orientation chooser and how surely a reading right or wrong, or mistaken with certainty, is scored.
 ORIENTATION_STORIES = ("steady_upright", "steady_inverted", "one_frame_misread", "sustained_switch", "nan_gaps", "vfr_timestamps")
 RIGHT, WRONG, SURE = 0.9, 0.6, 0.99
