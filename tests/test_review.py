@@ -109,3 +109,17 @@ def test_order_of_a_catalogue(spark):
     rows = spark.createDataFrame([("2", "b"), ("1", "z"), ("2", "a")], "at string, name string")
     assert [r.name for r in review.catalogue_order(rows, "at", "name").collect()] == ["z", "a", "b"]
     assert rows.agg(review.median_finite(F.lit(float("nan")))).first()[0] is None
+
+
+def test_errors_over_short_lengths_and_rounding_as_sql(spark):
+    from plumbline.operators import matching
+    from plumbline.plans.review_queries import binary_rounded
+
+    at = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    row = spark.range(1).select(
+        matching.normalised_error(at(0.0, 0.0), at(3.0, 4.0), F.lit(1e-12)).alias("short"), matching.normalised_error(at(0.0, 0.0), at(3.0, 4.0), F.lit(0.0)).alias("none"),
+        F.lit(28.172349999999998).alias("half"), F.lit(-28.172349999999998).alias("below"), F.lit(1e15).alias("large"), F.lit(None).cast("double").alias("unknown"),
+    )
+    r = binary_rounded(row, "half", "below", "large", "unknown").first()
+    assert r.short == 5.0 / 1e-12 and r.none is None
+    assert (r.half, r.below, r.large, r.unknown) == (round(28.172349999999998 * 1e4) / 1e4, round(-28.172349999999998 * 1e4) / 1e4, 1e15, None)
