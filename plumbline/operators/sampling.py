@@ -9,6 +9,7 @@ import bisect
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,21 +125,27 @@ def budgeted_picks(pool: DataFrame, wanted: dict[str, int], seed: int = 0, per_c
     bins = pool.withColumn("bin", F.least(F.floor((F.col("t_ms") - F.col("start_ms")) * per_clip / span), F.lit(per_clip - 1)))
     bins = bins.withColumn("_away", F.abs(F.col("t_ms") - (F.col("start_ms") + span * (F.col("bin") + 0.5) / per_clip)))
     rows = settled(bins.join(clip_order(pool, seed), "clip_id"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", nth int"
 
-    def choose(left: dict[str, int]):
-        def fold(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values(["bin", "_away", "frame_idx"], kind="stable")
-            taken = clip_picks(list(part[["t_ms", "frame_idx", "stratum"]].itertuples(index=False, name=None)), left, per_clip, spacing)
-            return part.iloc[taken].assign(nth=range(len(taken)))
-
-        return fold
+    def choose(rows: DataFrame, left: dict[str, int]) -> DataFrame:
+        @F.arrow_udf("array<int>")
+        def picked(times: pa.Array, frames: pa.Array, strata: pa.Array) -> pa.Array:
+            # a clip at a time
+            clips = (clip_picks(list(zip(*(c.as_py() for c in one), strict=True)), left, per_clip, spacing) for one in zip(times, frames, strata, strict=True))
+            return pa.array(list(clips), pa.list_(pa.int32()))
+
+        place = [c for k in ("bin", "_away", "frame_idx") for c in (F.col(k).isNull().alias(f"_n{k}"), F.col(k).alias(f"_k{k}"))]
+        row = F.struct(*place, F.struct(*(c for c in rows.columns if c != "clip_id")).alias("row"))
+        clips = rows.groupBy("clip_id").agg(F.sort_array(F.collect_list(row)).alias("_s"))
+        clips = clips.withColumn("_p", picked(F.transform("_s.row.t_ms", lambda t: F.coalesce(t.cast("double"), F.lit(math.nan))), F.col("_s.row.frame_idx"), F.col("_s.row.stratum")))
+        taken = clips.select("clip_id", "_s", F.posexplode("_p").alias("nth", "_i")).select("clip_id", "nth", F.get("_s", F.col("_i"))["row"].alias("_r"))
+        # the id is a column of its own, so that picks can meet their pool
+        return taken.select(*(F.col(c if c == "clip_id" else f"_r.{c}").alias(c) for c in rows.columns), "nth")
 
     left = {s: int(wanted.get(s, 0)) for s in STRATA}
     behind, out = rows, None
     while any(n > 0 for n in left.values()):
         open_strata = [s for s, n in left.items() if n > 0]
-        offered = settled(behind.groupBy("clip_id").applyInPandas(choose({s: per_clip if s in open_strata else 0 for s in STRATA}), schema))
+        offered = settled(choose(behind, {s: per_clip if s in open_strata else 0 for s in STRATA}))
         counts = offered.groupBy(*order).agg(*(F.count(F.when(F.col("stratum") == s, 1)).alias(f"n_{s}") for s in open_strata))
         totals = settled(running_totals(counts, order, [f"n_{s}" for s in open_strata]))
         spent = totals.where(" or ".join(f"total_n_{s} >= {left[s]}" for s in open_strata))
@@ -150,7 +157,7 @@ def budgeted_picks(pool: DataFrame, wanted: dict[str, int], seed: int = 0, per_c
         here = F.struct(*(F.lit(edge[c]).cast(rows.schema[c].dataType).alias(c) for c in order))
         again = behind.where(F.col("clip_id") == edge["clip_id"])
         before = {s: left[s] - (edge[f"total_n_{s}"] - edge[f"n_{s}"]) if s in open_strata else 0 for s in STRATA}
-        last = settled(again.groupBy("clip_id").applyInPandas(choose(before), schema))
+        last = settled(choose(again, before))
         got = {r["stratum"]: r["n"] for r in last.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a stratum
         stand = offered.where(place < here).unionByName(last)
         out = stand if out is None else out.unionByName(stand)

@@ -80,3 +80,15 @@ def test_hysteresis_of_many_series_equals_a_loop(spark):
             elif t - since >= 0.1:
                 state, since = not state, None
             assert found[k, i] == state
+
+
+def test_picks_take_no_pandas_group_a_clip(spark, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    from plumbline.operators import sampling
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", None)
+    rows = [(c, i, i * 100, sampling.STRATA[i % 2], 0, 3900, "d", True) for c in range(5) for i in range(40)]
+    pool = spark.createDataFrame(rows, "clip_id long, frame_idx long, t_ms long, stratum string, start_ms long, end_ms long, session_date string, inverted boolean")
+    picks = sampling.budgeted_picks(pool, {sampling.STRATA[0]: 7, sampling.STRATA[1]: 6}, seed=1, spacing=500).collect()
+    assert [sum(r.stratum == s for r in picks) for s in sampling.STRATA[:2]] == [7, 6]
