@@ -1,8 +1,7 @@
 """Folds in which every row depends on the result of the one before.
 
-A series (a clip and joint, or a clip) is one row with an array while it is folded, so that its rows stay where the
-series' keys put them; a step of the fold is made for all series of an Arrow batch at once. Everything that can be a
-window expression is one elsewhere.
+The rows of a series (a clip and joint, or a clip) lie behind one another in Arrow batches; a step of the fold is made
+for all series of some batches at once. Everything that can be a window expression is one elsewhere.
 """
 
 from __future__ import annotations
@@ -12,43 +11,56 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
+#: Rows whose series are folded in one go.
+FOLDED = 200_000
 
-def in_series(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
-    """A row a series: keys and ``_s``, its rows in order of time, unknown times last."""
-    first = {"_1": F.col(time).isNull(), "_2": F.col(time), "_3": F.col(tie).isNull(), "_4": F.col(tie)}
-    row = F.struct(*(c.alias(n) for n, c in first.items()), F.struct(*(c for c in df.columns if c not in keys)).alias("row"))
-    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_s"))
 
+def folded(df: DataFrame, keys: list[str], time: str, tie: str, fold: Callable[..., dict[str, np.ndarray]], inputs: list[str], returns: str, *scalars: float | str) -> DataFrame:
+    """``df`` with the columns ``returns`` (in place of any of these names): what ``fold`` makes of lengths, inputs and scalars (doubles) of many series, which lie behind one another.
 
-def values_of(column: str) -> Column:
-    """A column of the rows of a series."""
-    return F.col(f"_s.row.{column}")
-
-
-def folded(series: DataFrame, fold: Callable[..., dict[str, np.ndarray]], inputs: list[Column], returns: str, *scalars: Column) -> DataFrame:
-    """``series`` with ``_f``, an array of structs ``returns``: what ``fold`` makes of lengths, inputs and scalars (doubles) of many series, which lie behind one another."""
-    kinds, many = [f.split() for f in returns.split(", ")], len(inputs)
-
-    @F.arrow_udf(f"array<struct<{', '.join(f'{n}: {k}' for n, k in kinds)}>>")
-    def run(*columns: pa.Array) -> pa.Array:
-        lists, single = columns[:many], columns[many:]
-        lengths = pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False).astype(np.int64)
-        found = fold(lengths, *(_numbers(c.flatten()) for c in lists), *map(_numbers, single))
-        fields = [pa.array(found[n], pa.bool_() if k == "boolean" else pa.float64(), from_pandas=True) for n, k in kinds]
-        rows = pa.StructArray.from_arrays(fields, [n for n, _ in kinds])
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), rows)
-
-    return series.withColumn("_f", run(*inputs, *(s.cast("double") for s in scalars)))
-
-
-def out_of_series(series: DataFrame, keys: list[str], columns: list[str], new: list[str], also: tuple[str, ...] = ()) -> DataFrame:
-    """The rows of ``folded`` series: ``columns`` (keys and those of the rows), columns of the series ``also``, and ``new``."""
-    pairs = series.select(*keys, *also, F.explode(F.arrays_zip("_s", "_f")).alias("_p"))
-    return pairs.select(*(F.col(c) if c in keys else F.col(f"_p._s.row.{c}").alias(c) for c in columns), *also, *(F.col(f"_p._f.{c}").alias(c) for c in new))
+    A series' rows are in order of time, unknown times last. A scalar is a number, or a column of which the series' first row counts.
+    """
+    kinds = [f.split() for f in returns.split(", ")]
+    new = [n for n, _ in kinds]
+    sent = [f for f in df.schema.fields if f.name not in new or f.name in inputs]
+    kept = [f.name for f in sent if f.name not in new]
+    columns = {*inputs, *(s for s in scalars if isinstance(s, str))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_series(batches):
+            values = {c: _numbers(rows.column(c).chunk(0)) for c in columns}
+            firsts = np.flatnonzero(rows.column("_begins").to_numpy())
+            single = (values[s][firsts] if isinstance(s, str) else np.full(len(firsts), float(s)) for s in scalars)
+            found = fold(np.diff(firsts, append=rows.num_rows), *(values[c] for c in inputs), *single)
+            fields = [pa.array(found[n], pa.bool_() if k == "boolean" else pa.float64(), from_pandas=True) for n, k in kinds]
+            yield from pa.Table.from_arrays([*(rows.column(c) for c in kept), *fields], names=[*kept, *new]).to_batches()
+
+    # the window puts a series' rows behind one another where its keys put them already, and marks its first
+    w = Window.partitionBy(*keys).orderBy(F.col(time).asc_nulls_last(), F.col(tie).asc_nulls_last())
+    rows = df.select(*(f.name for f in sent), (F.row_number().over(w) == 1).alias("_begins"))
+    fields = [StructField(f.name, f.dataType) for f in sent if f.name in kept] + [StructField(n, BooleanType() if k == "boolean" else DoubleType()) for n, k in kinds]
+    return rows.mapInArrow(run, StructType(fields))
+
+
+def _whole_series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of batches as tables of one chunk, cut where a series begins; a series that is longer waits until it is whole."""
+    held, n, due = [], 0, FOLDED
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= due:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            cut = int(np.flatnonzero(rows.column("_begins").to_numpy())[-1])
+            if cut:
+                yield rows.slice(0, cut)
+            held, n = rows.slice(cut).to_batches(), rows.num_rows - cut
+            due = max(FOLDED, 2 * n)
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _numbers(values: pa.Array) -> np.ndarray:
@@ -126,11 +138,6 @@ def smoothed(lengths: np.ndarray, t: np.ndarray, values: np.ndarray, ok: np.ndar
         return out * wide
 
 
-def _scale(scale: float | str) -> Column:
-    """A number, or the value of a column in the first row of a series."""
-    return F.get(values_of(scale), F.lit(0)) if isinstance(scale, str) else F.lit(float(scale))
-
-
 def remove_speed_outliers(df: DataFrame, keys: list[str], time: str, tie: str, x: str, y: str, valid: str, scale: float | str, max_speed: float) -> DataFrame:
     """PP5: ``df`` with ``kept``: samples not faster than max_speed from the last kept one.
 
@@ -140,8 +147,7 @@ def remove_speed_outliers(df: DataFrame, keys: list[str], time: str, tie: str, x
     def fold(lengths, t, px, py, ok, size):
         return {"kept": slow_enough(lengths, t, px, py, ok, size, max_speed)}
 
-    series = folded(in_series(df, keys, time, tie), fold, [values_of(c) for c in (time, x, y, valid)], "kept boolean", _scale(scale))
-    return out_of_series(series, keys, df.columns, ["kept"])
+    return folded(df, keys, time, tie, fold, [time, x, y, valid], "kept boolean", scale)
 
 
 def one_euro(df: DataFrame, keys: list[str], time: str, tie: str, values: list[str], valid: str, scale: float | str, min_cutoff: float = 1.0, beta: float = 0.3, d_cutoff: float = 1.0, least_dt: float = 1e-3) -> DataFrame:
@@ -151,8 +157,7 @@ def one_euro(df: DataFrame, keys: list[str], time: str, tie: str, values: list[s
     def fold(lengths, t, ok, *rest):
         return {n: smoothed(lengths, t, v, ok, rest[-1], min_cutoff, beta, d_cutoff, least_dt) for n, v in zip(names, rest[:-1], strict=True)}
 
-    series = folded(in_series(df, keys, time, tie), fold, [values_of(c) for c in (time, valid, *values)], ", ".join(f"{n} double" for n in names), _scale(scale))
-    return out_of_series(series, keys, df.columns, names)
+    return folded(df, keys, time, tie, fold, [time, valid, *values], ", ".join(f"{n} double" for n in names), scale)
 
 
 def switch_with_hysteresis(df: DataFrame, keys: list[str], time: str, tie: str, margin: str, start: str, threshold: float, hold: float) -> DataFrame:
@@ -170,8 +175,7 @@ def switch_with_hysteresis(df: DataFrame, keys: list[str], time: str, tie: str,
             out[r] = state[s]
         return {"rotated": out}
 
-    series = folded(in_series(df, keys, time, tie), fold, [values_of(time), values_of(margin), values_of(start)], "rotated boolean")
-    return out_of_series(series, keys, df.columns, ["rotated"])
+    return folded(df, keys, time, tie, fold, [time, margin, start], "rotated boolean")
 
 
 def thin(df: DataFrame, keys: list[str], time: str, tie: str, spacing: float) -> DataFrame:
@@ -185,5 +189,4 @@ def thin(df: DataFrame, keys: list[str], time: str, tie: str, spacing: float) ->
             last[s[keep]] = t[r[keep]]
         return {"_kept": kept}
 
-    series = folded(in_series(df, keys, time, tie), fold, [values_of(time)], "_kept boolean")
-    return out_of_series(series, keys, df.columns, ["_kept"]).where("_kept").drop("_kept")
+    return folded(df, keys, time, tie, fold, [time], "_kept boolean").where("_kept").drop("_kept")

@@ -195,13 +195,21 @@ def _figure() -> dict[str, tuple[Column, Column]]:
     return points
 
 
-def deviates(*key: Column) -> tuple[Column, Column]:
-    """Two independent standard normal deviates of a key."""
+def with_deviates(df: DataFrame, one: str, two: str, *key: Column) -> DataFrame:
+    """``df`` with two independent standard normal deviates of a key.
+
+    The digest, its size and its turn are columns of their own: in one expression each use would work the digest out again.
+    """
     # sixteen digits as one signed number: the first eight are its upper half
-    both = F.conv(F.substring(F.md5(F.concat_ws(":", *key).cast("binary")), 1, 16), 16, -10).cast("long")
-    one, two = ((n.cast("double") + 0.5) / 4294967296.0 for n in (F.shiftrightunsigned(both, 32), both.bitwiseAND(F.lit(0xFFFFFFFF))))
-    size = F.sqrt(-2.0 * F.log(one))
-    return size * F.cos(2.0 * np.pi * two), size * F.sin(2.0 * np.pi * two)
+    df = df.withColumn("_both", F.conv(F.substring(F.md5(F.concat_ws(":", *key).cast("binary")), 1, 16), 16, -10).cast("long"))
+    first, second = ((n.cast("double") + 0.5) / 4294967296.0 for n in (F.shiftrightunsigned("_both", 32), F.col("_both").bitwiseAND(F.lit(0xFFFFFFFF))))
+    df = df.withColumns({"_far": F.sqrt(-2.0 * F.log(first)), "_turn": 2.0 * np.pi * second}).drop("_both")
+    return df.withColumns({one: F.col("_far") * F.cos("_turn"), two: F.col("_far") * F.sin("_turn")}).drop("_far", "_turn")
+
+
+def to_digits(x: Column) -> Column:
+    """x to ``DIGITS`` places, a half upwards, in doubles (``round`` takes every number through a decimal)."""
+    return F.floor(x * 10.0**DIGITS + 0.5) / 10.0**DIGITS
 
 
 def clips(seeds: DataFrame) -> DataFrame:
@@ -214,7 +222,8 @@ def clips(seeds: DataFrame) -> DataFrame:
     at = {j: i for i, j in enumerate(points)}
     wrists = [F.element_at("body", at[f"{s}_wrist"] + 1) for s in ("left", "right")]
     drawn = drawn.withColumns({"_ox": (wrists[0]["x"] + wrists[1]["x"]) / 2, "_oy": (wrists[0]["y"] + wrists[1]["y"]) / 2})
-    rows = drawn.select("*", F.explode("body").alias("p")).select("*", "p.*").drop("p", "body")
+    # outer: of a plain explode Spark infers a filter that repeats the body's expressions, and works on it for seconds
+    rows = drawn.select("*", F.explode_outer("body").alias("p")).select("*", "p.*").drop("p", "body")
     cos, sin = F.cos(F.radians("sway")), F.sin(F.radians("sway"))
     dx, dy = F.col("x") - F.col("_ox"), F.col("y") - F.col("_oy")
     hit = lambda kind: F.filter("failing", lambda m: (m["kind"] == kind) & (F.col("frame_idx") >= m["first"]) & (F.col("frame_idx") < m["after"]))
@@ -226,11 +235,11 @@ def clips(seeds: DataFrame) -> DataFrame:
     )
     # the stories' samples: some twelve thousand rows whatever the number of clips
     rows = dealt(seeds).join(F.broadcast(rows), "case")
-    gx, gy = deviates(F.col("seed"), F.col("clip_id"), F.col("frame_idx"), F.col("joint"))
-    rows = rows.withColumns({"x": F.col("size") * (F.col("x") + F.col("jitter") * gx), "y": F.col("size") * (F.col("y") + F.col("jitter") * gy)})
+    rows = with_deviates(rows, "_gx", "_gy", F.col("seed"), F.col("clip_id"), F.col("frame_idx"), F.col("joint"))
+    rows = rows.withColumns({c: F.col("size") * (F.col(c) + F.col("jitter") * F.col(f"_g{c}")) for c in ("x", "y")})
     return rows.select(
-        "clip_id", "case", "frame_idx", "t_ms", "joint", F.when(~F.col("gone"), F.round(F.col("x") + F.col("spike") * F.col("size"), DIGITS)).alias("x"),
-        F.when(~F.col("gone"), F.round("y", DIGITS)).alias("y"), F.when(~F.col("gone"), F.col("visibility")).alias("visibility"), "trainer_contact",
+        "clip_id", "case", "frame_idx", "t_ms", "joint", F.when(~F.col("gone"), to_digits(F.col("x") + F.col("spike") * F.col("size"))).alias("x"),
+        F.when(~F.col("gone"), to_digits(F.col("y"))).alias("y"), F.when(~F.col("gone"), F.col("visibility")).alias("visibility"), "trainer_contact",
     )
 
 
@@ -276,9 +285,9 @@ def orientation_clips(seeds: DataFrame, noise: float = SCORE_NOISE) -> DataFrame
     rows = [(name, *r) for name in ORIENTATION_STORIES for r in orientation_story(name)]
     # 270 rows whatever the number of clips
     frames = F.broadcast(seeds.sparkSession.createDataFrame(rows, "case string, frame_idx long, t_ms long, upright double, rotated double"))
-    one, two = deviates(F.col("seed"), F.col("clip_id"), F.col("frame_idx"), F.lit("score"))
-    scores = {"score_upright": F.round(F.col("upright") + noise * one, DIGITS), "score_rotated": F.round(F.col("rotated") + noise * two, DIGITS)}
-    return seeds.join(frames, "case").withColumns(scores).select("clip_id", "case", "frame_idx", "t_ms", *scores)
+    rows = with_deviates(seeds.join(frames, "case"), "_one", "_two", F.col("seed"), F.col("clip_id"), F.col("frame_idx"), F.lit("score"))
+    scores = {"score_upright": F.round(F.col("upright") + noise * F.col("_one"), DIGITS), "score_rotated": F.round(F.col("rotated") + noise * F.col("_two"), DIGITS)}
+    return rows.withColumns(scores).select("clip_id", "case", "frame_idx", "t_ms", *scores)
 
 
 def drawn_clip(clip_id: int, seed: int, size: float = 1.0) -> dict[str, np.ndarray]:

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from plumbline.operators import kernels, runs
@@ -92,3 +93,24 @@ def test_picks_take_no_pandas_group_a_clip(spark, monkeypatch):
     pool = spark.createDataFrame(rows, "clip_id long, frame_idx long, t_ms long, stratum string, start_ms long, end_ms long, session_date string, inverted boolean")
     picks = sampling.budgeted_picks(pool, {sampling.STRATA[0]: 7, sampling.STRATA[1]: 6}, seed=1, spacing=500).collect()
     assert [sum(r.stratum == s for r in picks) for s in sampling.STRATA[:2]] == [7, 6]
+
+
+def test_a_sample_is_digested_once_and_no_filter_is_inferred(spark):
+    text = plan(drawn(spark, 40))
+    assert text.count("md5(") == 1 and "Filter (size(array(" not in text
+
+
+def test_series_are_whole_however_batches_cut_them(monkeypatch):
+    monkeypatch.setattr(kernels, "FOLDED", 5)
+    lengths = [1, 3, 12, 2, 2, 1, 7, 1]
+    begins = [i == 0 for n in lengths for i in range(n)]
+    rows = pa.table({"_begins": begins, "i": list(range(len(begins)))})
+    for size in (1, 2, 5, 100):
+        parts = list(kernels._whole_series(iter(rows.to_batches(max_chunksize=size))))
+        assert all(p["_begins"][0].as_py() for p in parts) and pa.concat_tables(parts).equals(rows)
+        assert size > 5 or len(parts) > 2
+
+
+def test_frames_are_hashed_not_sorted_together(spark):
+    text = plan(pose.signals(pose.clean(drawn(spark, 40))))
+    assert "SortAggregate" not in text and "collect_list" not in text
