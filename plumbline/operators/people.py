@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as geo
+from plumbline.operators import kernels
 from plumbline.operators.matching import without_twins
 
 # Weights of a person's score, and the limits of the choice.
@@ -58,56 +60,65 @@ def same_body_pairs(joints: DataFrame, persons: DataFrame, frame: list[str], per
     return both.where(close & (F.col("n") >= SHARED_JOINTS)).select(*frame, "a", "b")
 
 
+def _swept(batches: Iterator[pa.RecordBatch], clip: list[str], frame: str, person: str) -> Iterator[pa.RecordBatch]:
+    """ATH14-18: a row a frame with the person chosen; the rows of a frame lie behind one another in order of person, and so do a clip's frames."""
+    hip = last = None
+    for rows in kernels._whole_series(batches):
+        begins = np.flatnonzero(rows.column("_begins").to_numpy())
+        x, y, length, still = (kernels._numbers(rows.column(c).chunk(0)) for c in ("hip_x", "hip_y", "length", "still"))
+        known = np.isfinite(x) & np.isfinite(y)
+        frames = rows.select([*clip, frame]).take(pa.array(begins))
+        clips = list(zip(*(frames.column(k).to_pylist() for k in clip), strict=True))
+        picked, best_scores = np.full(len(begins), -1), np.empty(len(begins))
+        for i, (a, b) in enumerate(zip(begins, np.append(begins[1:], rows.num_rows), strict=True)):
+            hip, last = hip if clips[i] == last else None, clips[i]
+            near = np.ones(b - a)
+            if hip is not None:
+                with np.errstate(all="ignore"):
+                    near = np.where(known[a:b], np.clip(1 - np.hypot(x[a:b] - hip[0], y[a:b] - hip[1]) / length[a:b], 0.0, 1.0), 1.0)
+            scores = still[a:b] + CONTINUITY * near
+            # a frame's rows are in order of person, who decides a tie
+            order = np.argsort(-scores, kind="stable")
+            best, second = order[0], scores[order[1]] if len(order) > 1 else -math.inf
+            best_scores[i] = scores[best]
+            if scores[best] < LEAST_SCORE or scores[best] - second <= MARGIN:
+                continue
+            picked[i] = a + best
+            if known[a + best]:
+                hip = (x[a + best], y[a + best])
+        chosen = rows.column(person).take(pa.array(picked, mask=picked < 0))
+        yield from frames.append_column(person, chosen).append_column("score", pa.array(best_scores, from_pandas=True)).to_batches()
+
+
 def choose_athlete(persons: DataFrame, clip: list[str], frame: str, person: str, joints: DataFrame | None = None) -> DataFrame:
     """ATH14-18: clip, frame, the chosen person (null for nobody) and its score.
 
-    With the persons' ``joints``, detections of one body are collapsed first (ATH9, ATH10). The choice depends on where the athlete was, so a clip is swept forwards and
-    backwards in one task; per frame the better of the two counts.
+    With the persons' ``joints``, detections of one body are collapsed first (ATH9, ATH10). The choice depends on where the athlete was, so a clip is swept
+    frame by frame, forwards in one task and backwards in another, which hold some frames at a time; per frame the better of the two counts.
     """
     if joints is not None:
         pairs = same_body_pairs(joints, persons, [*clip, frame], person)
         persons = without_twins(persons, pairs, [*clip, frame], person)
-    lines = persons.withColumn("line", F.max("wrist_y").over(Window.partitionBy(*clip, frame)))
-    lines = lines.withColumn("still", INVERSION * F.col("inverted").cast("double") + SUPPORT * support_score(F.col("wrist_y"), F.col("line"), F.col("length")) + VISIBILITY * F.coalesce("visibility", F.lit(0.0)))
-
-    def sweep(frames: list[tuple[int, dict[str, np.ndarray]]]) -> dict[int, tuple[float | None, float]]:
-        hip, out = None, {}
-        for number, group in frames:
-            near = np.ones(len(group["who"]))
-            x, y = group["x"], group["y"]
-            known = np.isfinite(x) & np.isfinite(y)
-            if hip is not None:
-                near[known] = np.clip(1 - np.hypot(x[known] - hip[0], y[known] - hip[1]) / group["length"][known], 0.0, 1.0)
-            scores = group["still"] + CONTINUITY * near
-            order = np.lexsort((group["who"], -scores))
-            best = order[0]
-            second = scores[order[1]] if len(order) > 1 else -math.inf
-            if scores[best] < LEAST_SCORE or scores[best] - second <= MARGIN:
-                out[number] = (None, float(scores[best]))
-                continue
-            out[number] = (int(group["who"][best]), float(scores[best]))
-            if known[best]:
-                hip = (x[best], y[best])
-        return out
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([frame, person])
-        columns = {"who": part[person].to_numpy(), **{k: part[c].to_numpy(float) for k, c in (("x", "hip_x"), ("y", "hip_y"), ("length", "length"), ("still", "still"))}}
-        numbers, starts = np.unique(part[frame].to_numpy(), return_index=True)
-        ends = np.append(starts[1:], len(part))
-        frames = [(n, {k: c[a:b] for k, c in columns.items()}) for n, a, b in zip(numbers, starts, ends, strict=True)]
-        there, back = sweep(frames), sweep(frames[::-1])
-        rows = []
-        for n, _ in frames:
-            front, rear = there[n], back[n]
-            pick = front if front[1] > rear[1] else rear if rear[1] > front[1] or rear[0] is not None else front
-            rows.append((*(part[k].iloc[0] for k in clip), n, pick[0], pick[1]))
-        out = pd.DataFrame(rows, columns=[*clip, frame, person, "score"])
-        return out.astype({person: "Int64"})
+    who = F.col(person).asc_nulls_last()
+    w = Window.partitionBy(*clip, frame).orderBy(who)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lines = persons.withColumns({"line": F.max("wrist_y").over(whole), "_begins": F.row_number().over(w) == 1})
+    still = INVERSION * F.col("inverted").cast("double") + SUPPORT * support_score(F.col("wrist_y"), F.col("line"), F.col("length")) + VISIBILITY * F.coalesce("visibility", F.lit(0.0))
+    # both sweeps read one exchange
+    dealt = lines.select(*clip, frame, F.col(person).cast("long").alias(person), "hip_x", "hip_y", "length", still.alias("still"), "_begins").repartition(*clip)
 
     types = {f.name: f.dataType.simpleString() for f in persons.schema.fields}
     schema = ", ".join(f"`{k}` {types[k]}" for k in [*clip, frame]) + f", `{person}` bigint, score double"
-    return lines.groupBy(*clip).applyInPandas(fold, schema)
+
+    def sweep(at: Column, name: str) -> DataFrame:
+        found = dealt.sortWithinPartitions(*clip, at, F.col("_begins").desc(), who).mapInArrow(lambda batches: _swept(batches, clip, frame, person), schema)
+        return found.select(*clip, frame, F.struct(person, "score").alias("_pick"), F.lit(name).alias("_way"))
+
+    ways = sweep(F.col(frame).asc_nulls_last(), "there").unionByName(sweep(F.col(frame).desc_nulls_first(), "back"))
+    both = ways.groupBy(*clip, frame).agg(*(F.max(F.when(F.col("_way") == n, F.col("_pick"))).alias(n) for n in ("there", "back")))
+    above = lambda a, b: F.coalesce(F.col(f"{a}.score") > F.col(f"{b}.score"), F.lit(False))
+    back = ~above("there", "back") & (above("back", "there") | F.col(f"back.{person}").isNotNull())
+    return both.select(*clip, frame, F.when(back, F.col("back")).otherwise(F.col("there")).alias("_pick")).select(*clip, frame, "_pick.*")
 
 
 def lowest_wrists(persons: DataFrame, frame: list[str], person: str) -> DataFrame:

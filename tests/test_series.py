@@ -6,7 +6,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from plumbline.operators import kernels, runs
+from plumbline.operators import kernels, people, runs
 from plumbline.plans import pose
 from plumbline.sources import clips
 
@@ -114,3 +114,62 @@ def test_series_are_whole_however_batches_cut_them(monkeypatch):
 def test_frames_are_hashed_not_sorted_together(spark):
     text = plan(pose.signals(pose.clean(drawn(spark, 40))))
     assert "SortAggregate" not in text and "collect_list" not in text
+
+
+def one_way(frames):
+    """Number, person and score of each frame of (number, people) by a plain loop; people are (person, x, y, still) in order."""
+    hip, out = None, {}
+    for n, group in frames:
+        found = []
+        for p, x, y, still in group:
+            near = 1.0 if hip is None or x is None else max(0.0, min(1.0, 1 - math.hypot(x - hip[0], y - hip[1]) / 50.0))
+            found.append((still + people.CONTINUITY * near, p, x, y))
+        found.sort(key=lambda r: (-r[0], r[1]))
+        (score, p, x, y), second = found[0], found[1][0] if len(found) > 1 else -math.inf
+        out[n] = (None, score)
+        if score >= people.LEAST_SCORE and score - second > people.MARGIN:
+            out[n] = (p, score)
+            hip = hip if x is None else (x, y)
+    return out
+
+
+def crowds(seed=2):
+    draw = random.Random(seed)
+    return [
+        (c, n, p, None if draw.random() < 0.1 else draw.uniform(0, 100), draw.uniform(0, 100), draw.uniform(0, 50), 50.0, draw.choice((None, 0.1, 0.9)), draw.random() < 0.4)
+        for c in range(6) for n in range(draw.choice((1, 5, 40))) for p in range(draw.choice((1, 2, 6)))
+    ]
+
+
+def test_the_athlete_is_swept_without_a_pandas_group_a_clip(spark, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", None)
+    rows = crowds()
+    df = spark.createDataFrame(rows, "clip int, frame long, person int, hip_x double, hip_y double, wrist_y double, length double, visibility double, inverted boolean").repartition(3)
+    chosen = people.choose_athlete(df, ["clip"], "frame", "person")
+    found = {(r.clip, r.frame): (r.person, r.score) for r in chosen.collect()}
+    frames = {}
+    for c, n, p, x, y, wrist, length, vis, up in rows:
+        frames.setdefault(c, {}).setdefault(n, []).append((p, x, y, wrist, vis, up))
+    for c, of in frames.items():
+        still = lambda g: [(p, x, y, people.INVERSION * up + people.SUPPORT * max(0.0, min(1.0, 1 - (max(q[3] for q in g) - w) / 50.0)) + people.VISIBILITY * (v or 0.0)) for p, x, y, w, v, up in g]
+        ready = [(n, still(g)) for n, g in sorted(of.items())]
+        there, back = one_way(ready), one_way(ready[::-1])
+        for n in of:
+            a, b = there[n], back[n]
+            want = a if a[1] > b[1] else b if b[1] > a[1] or b[0] is not None else a
+            assert found[c, n][0] == want[0] and abs(found[c, n][1] - want[1]) < 1e-12
+    assert len(found) == sum(map(len, frames.values())) and any(p is None for p, _ in found.values()) and any(p for p, _ in found.values())
+
+
+def test_a_clip_is_swept_in_parts(monkeypatch):
+    draw = random.Random(4)
+    rows = [(c, n, p, draw.uniform(0, 100), draw.uniform(0, 100), 50.0, draw.uniform(0, 0.7), p == 0) for c in (1, None, 2) for n in range(30) for p in range(draw.choice((1, 3)))]
+    table = pa.table(dict(zip(("clip", "frame", "person", "hip_x", "hip_y", "length", "still", "_begins"), zip(*rows, strict=True), strict=True)))
+    sweep = lambda size: [b for b in people._swept(iter(table.to_batches(max_chunksize=size)), ["clip"], "frame", "person")]
+    whole = sweep(1000)
+    monkeypatch.setattr(kernels, "FOLDED", 5)
+    parts = sweep(2)
+    assert len(parts) > 20 > len(whole)
+    assert pa.Table.from_batches(parts).combine_chunks().equals(pa.Table.from_batches(whole).combine_chunks())
