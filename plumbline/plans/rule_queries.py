@@ -109,10 +109,10 @@ def live_cues(spark, sf_dir):
     at = F.timestamp_millis((F.col("t") / DAY * 1000).cast("long"))
     x = F.col("x")
     frames = s.select(
-        "user_id", at.alias("at"), (x > 30).alias("up"), (x > 60).alias("line"), F.when(x.between(40, 55), "bent").alias("fault"), F.when(x < 10, "tooSmall").when(x < 30, "ok").alias("framing"),
+        "user_id", "event_id", at.alias("at"), (x > 30).alias("up"), (x > 60).alias("line"), F.when(x.between(40, 55), "bent").alias("fault"), F.when(x < 10, "tooSmall").when(x < 30, "ok").alias("framing"),
         F.array().cast("array<string>").alias("edges"), (x > 30).alias("inverted"), F.lit(False).alias("recording"), (F.col("vis") * 100).alias("inference_ms"),
     )
-    return rounded(cues.session_events(frames, "user_id", "at", idle_s=20.0), "t", "value", digits=3)
+    return rounded(cues.session_events(frames, "user_id", "at", idle_s=20.0, tie="event_id"), "t", "value", digits=3)
 
 
 @query("SELECT round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.75), 6) AS p75, count(x) AS n FROM e")

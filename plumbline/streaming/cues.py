@@ -9,13 +9,18 @@ and changes nothing; a session that stays silent is given out as ``closed`` and
 from __future__ import annotations
 
 import dataclasses
+import re
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from plumbline.streaming import live
 
@@ -248,8 +253,8 @@ def _closed(at: int, idle_ms: int) -> tuple[float, str, float]:
     return at / 1000.0, "closed", (at + idle_ms) / 1000.0
 
 
-def _ordered(rows: pd.DataFrame) -> list:
-    return list(rows.sort_values("frame_ms", kind="stable").itertuples(index=False, name="Frame"))
+def _ordered(rows: pd.DataFrame, order: list[str]) -> list:
+    return list(rows.sort_values(order, kind="stable").itertuples(index=False, name="Frame"))
 
 
 def _plain(v: object) -> object:
@@ -262,8 +267,8 @@ def _plain(v: object) -> object:
 class Session(StatefulProcessor):
     """A session's frames in order of time, through a chain."""
 
-    def __init__(self, session: str, columns: list[str], shape: str, chain: tuple[Link, ...], idle_ms: int):
-        self.session, self.columns, self.shape, self.chain, self.idle_ms = session, columns, shape, chain, idle_ms
+    def __init__(self, session: str, columns: list[str], shape: str, chain: tuple[Link, ...], idle_ms: int, order: list[str]):
+        self.session, self.columns, self.shape, self.chain, self.idle_ms, self.order = session, columns, shape, chain, idle_ms, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -292,7 +297,7 @@ class Session(StatefulProcessor):
         at = self.clock.get()[0] if self.clock.exists() else None
         if ready:
             states = {x.name: x.state(*(list(v) if isinstance(v, tuple) else v for v in self.links[x.name].get())) if self.links[x.name].exists() else x.state() for x in self.chain}
-            frames = _ordered(pd.DataFrame(ready, columns=["frame_ms", *self.columns]).astype({"frame_ms": "int64"}))
+            frames = _ordered(pd.DataFrame(ready, columns=["frame_ms", *self.columns]).astype({"frame_ms": "int64"}), self.order)
             states, at, said = walk(self.chain, states, at, frames, self.idle_ms)
             out = out + said
             for x in self.chain:
@@ -325,11 +330,12 @@ def _table(session: str, key: object, out: list[tuple[float, str, float]]) -> pd
     return found
 
 
-def session_events(frames: DataFrame, session: str, event_time: str, chain: tuple[Link, ...] = CHAIN, columns: tuple[str, ...] = FRAME, delay: str = "10 seconds", idle_s: float = 60.0) -> DataFrame:
+def session_events(frames: DataFrame, session: str, event_time: str, chain: tuple[Link, ...] = CHAIN, columns: tuple[str, ...] = FRAME, delay: str = "10 seconds", idle_s: float = 60.0, tie: str | None = None) -> DataFrame:
     """LIV13-15, LIV18, LIV19: session, t, event and value of a chain over frames with a timestamp.
 
     A stream (which needs the RocksDB state store) waits ``delay`` for frames; a session closes ``idle_s`` after its last
-    frame. A batch gives the same events, and ``closed`` at the end of each stretch without a longer silence.
+    frame. A batch gives the same events, and ``closed`` at the end of each stretch without a longer silence. Frames of one millisecond
+    go in order of ``tie``, else as they come on a stream and in order of their columns in a batch.
     """
     if frames.isStreaming:
         frames = frames.withWatermark(event_time, delay)
@@ -337,14 +343,44 @@ def session_events(frames: DataFrame, session: str, event_time: str, chain: tupl
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     out = f"`{session}` {kinds[session]}, t double, event string, value double"
     idle_ms = int(idle_s * 1000)
+    order = ["frame_ms", *([tie] if tie else [])]
+    columns = (*columns, *(c for c in order[1:] if c not in columns))
     if frames.isStreaming:
         shape = ", ".join(f"`{c}` {kinds[c]}" for c in ("frame_ms", *columns))
-        return rows.select(session, event_time, "frame_ms", *columns).groupBy(session).transformWithStateInPandas(Session(session, list(columns), shape, chain, idle_ms), out, "append", "eventTime")
-
-    def fold(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        _, at, found = walk(chain, fresh(chain), None, _ordered(part[["frame_ms", *columns]]), idle_ms)
-        if at is not None:
-            found = found + [_closed(at, idle_ms)]
-        return _table(session, key[0], found)
-
-    return rows.select(session, "frame_ms", *columns).groupBy(session).applyInPandas(fold, out)
+        return rows.select(session, event_time, "frame_ms", *columns).groupBy(session).transformWithStateInPandas(Session(session, list(columns), shape, chain, idle_ms, order), out, "append", "eventTime")
+
+    schema = StructType([StructField(session, rows.schema[session].dataType)] + [StructField(n, t()) for n, t in (("t", DoubleType), ("event", StringType), ("value", DoubleType))])
+    ties = [c for c in columns if not re.search(r"\b(map|variant)\b", kinds[c])]
+    dealt = rows.select(session, "frame_ms", *columns).repartition(session).sortWithinPartitions(session, *order, *(c for c in ties if c not in order))
+    return dealt.mapInArrow(lambda batches: _walked(batches, chain, idle_ms), schema)
+
+
+def _walked(batches: Iterator[pa.RecordBatch], chain: tuple[Link, ...], idle_ms: int) -> Iterator[pa.RecordBatch]:
+    """Session, t, event and value of rows (session, frame_ms and more) that lie in order of session and time; a session may go on in the next batch."""
+    states, at, key, frame, said = fresh(chain), None, None, None, []
+    alike = lambda a, b: a == b or (a != a and b != b)
+
+    def table(like: pa.Schema) -> pa.RecordBatch:
+        keys, t, event, value = zip(*said, strict=True)
+        said.clear()
+        return pa.record_batch([pa.array(keys, like.field(0).type), pa.array(t, pa.float64()), pa.array(event, pa.string()), pa.array(value, pa.float64())], names=[like.field(0).name, "t", "event", "value"])
+
+    like = None
+    for batch in batches:
+        like = batch.schema
+        frame = frame or namedtuple("Frame", like.names[1:], rename=True)
+        keys, *values = (c.to_pylist() for c in batch.columns)
+        frames = list(map(frame._make, zip(*values, strict=True)))
+        ends = [i for i in range(1, len(keys)) if not alike(keys[i - 1], keys[i])]
+        for a, b in pairwise([0, *ends, len(keys)] if keys else []):
+            if at is not None and not alike(key, keys[a]):
+                said.append((key, *_closed(at, idle_ms)))
+                states, at = fresh(chain), None
+            key = keys[a]
+            states, at, found = walk(chain, states, at, frames[a:b], idle_ms)
+            said += [(key, *x) for x in found]
+        if said:
+            yield table(like)
+    if at is not None:
+        said.append((key, *_closed(at, idle_ms)))
+        yield table(like)

@@ -104,3 +104,34 @@ def test_stream_equals_batch_in_any_order(spark, tmp_path, shuffled):
         spark.conf.unset(provider)
     got = sorted(tuple(x) for x in spark.sql(f"select * from cues_{shuffled} where session <> 'z'").collect())
     assert got == batch
+
+
+def test_a_batch_is_walked_without_a_pandas_group_a_session(spark, monkeypatch):
+    import datetime as dt
+
+    from pyspark.sql import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", None)
+    r = random.Random(2)
+    # neighbours have one time; the number says which goes first
+    rows = [(n, dt.datetime.fromtimestamp(int(t / 0.4) * 0.4, dt.timezone.utc), *rest, i) for i, (n, t, *rest) in enumerate(frames(7))]
+    rows += [(None, *x[1:-1], len(rows) + i) for i, x in enumerate(rows[:50])] + [("s3", None, *rows[0][2:])]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), f"{SCHEMA}, i long").repartition(3)
+    found = sorted(map(tuple, cues.session_events(df, "session", "at", idle_s=60.0, tie="i").collect()), key=str)
+    frame = type("Frame", (tuple,), {c: property(lambda f, k=k: f[k]) for k, c in enumerate(("frame_ms", *cues.FRAME))})
+    want = []
+    for s in ("s1", "s2", None):
+        own = [frame((round(x[1].timestamp() * 1000), *x[2:])) for x in sorted((x for x in rows if x[0] == s and x[1]), key=lambda x: (x[1], x[-1]))]
+        _, at, said = cues.walk(cues.CHAIN, cues.fresh(cues.CHAIN), None, own, 60_000)
+        want += [(s, *x) for x in (*said, cues._closed(at, 60_000))]
+    assert found == sorted(want, key=str) and sum(x[2] == "closed" for x in found) == 4
+
+
+@pytest.mark.parametrize("size", [1, 3, 70])
+def test_sessions_go_on_from_batch_to_batch(size):
+    import pyarrow as pa
+
+    rows = sorted(((n, int(t * 1000), *rest) for n, t, *rest in frames(5)), key=lambda x: x[:2])
+    table = pa.table(dict(zip(("session", "frame_ms", *cues.FRAME), zip(*rows, strict=True), strict=True)))
+    walked = lambda n: pa.Table.from_batches(cues._walked(iter(table.to_batches(max_chunksize=n)), cues.CHAIN, 60_000)).combine_chunks()
+    assert walked(size).equals(walked(10_000)) and walked(size)["event"].to_pylist().count("closed") == 3
