@@ -13,16 +13,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 #: Rows whose series are folded in one go.
 FOLDED = 200_000
+#: What a fold returns.
+TYPES = {"boolean": BooleanType, "int": IntegerType, "double": DoubleType, "string": StringType}
 
 
-def folded(df: DataFrame, keys: list[str], time: str, tie: str, fold: Callable[..., dict[str, np.ndarray]], inputs: list[str], returns: str, *scalars: float | str) -> DataFrame:
+def folded(df: DataFrame, keys: list[str], time: str, tie: str, fold: Callable[..., dict[str, np.ndarray]], inputs: list[str], returns: str, *scalars: float | str, most: int | None = None) -> DataFrame:
     """``df`` with the columns ``returns`` (in place of any of these names): what ``fold`` makes of lengths, inputs and scalars (doubles) of many series, which lie behind one another.
 
     A series' rows are in order of time, unknown times last. A scalar is a number, or a column of which the series' first row counts.
+    ``most``: rows whose series are folded in one go, where it is not ``FOLDED``.
     """
     kinds = [f.split() for f in returns.split(", ")]
     new = [n for n, _ in kinds]
@@ -31,24 +34,25 @@ def folded(df: DataFrame, keys: list[str], time: str, tie: str, fold: Callable[.
     columns = {*inputs, *(s for s in scalars if isinstance(s, str))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_series(batches):
+        for rows in _whole_series(batches, most):
             values = {c: _numbers(rows.column(c).chunk(0)) for c in columns}
             firsts = np.flatnonzero(rows.column("_begins").to_numpy())
             single = (values[s][firsts] if isinstance(s, str) else np.full(len(firsts), float(s)) for s in scalars)
             found = fold(np.diff(firsts, append=rows.num_rows), *(values[c] for c in inputs), *single)
-            fields = [pa.array(found[n], pa.bool_() if k == "boolean" else pa.float64(), from_pandas=True) for n, k in kinds]
+            fields = [_column(found[n], k) for n, k in kinds]
             yield from pa.Table.from_arrays([*(rows.column(c) for c in kept), *fields], names=[*kept, *new]).to_batches()
 
     # the window puts a series' rows behind one another where its keys put them already, and marks its first
     w = Window.partitionBy(*keys).orderBy(F.col(time).asc_nulls_last(), F.col(tie).asc_nulls_last())
     rows = df.select(*(f.name for f in sent), (F.row_number().over(w) == 1).alias("_begins"))
-    fields = [StructField(f.name, f.dataType) for f in sent if f.name in kept] + [StructField(n, BooleanType() if k == "boolean" else DoubleType()) for n, k in kinds]
+    fields = [StructField(f.name, f.dataType) for f in sent if f.name in kept] + [StructField(n, TYPES[k]()) for n, k in kinds]
     return rows.mapInArrow(run, StructType(fields))
 
 
-def _whole_series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _whole_series(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.Table]:
     """The rows of batches as tables of one chunk, cut where a series begins; a series that is longer waits until it is whole."""
-    held, n, due = [], 0, FOLDED
+    most = most or FOLDED
+    held, n, due = [], 0, most
     for batch in batches:
         held.append(batch)
         n += batch.num_rows
@@ -58,11 +62,35 @@ def _whole_series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             if cut:
                 yield rows.slice(0, cut)
             held, n = rows.slice(cut).to_batches(), rows.num_rows - cut
-            due = max(FOLDED, 2 * n)
+            due = max(most, 2 * n)
     if n:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def computed(df: DataFrame, keep: list[str], compute: Callable[..., dict[str, np.ndarray]], inputs: list[str], returns: str) -> DataFrame:
+    """The columns ``keep`` of ``df`` and ``returns``: what ``compute`` makes of the inputs, each row by itself, of an Arrow batch at once. An input that is a struct of numbers comes as a dict."""
+    kinds = [f.split() for f in returns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            found = compute(*(_fields(rows.column(c)) if pa.types.is_struct(rows.column(c).type) else _numbers(rows.column(c)) for c in inputs))
+            fields = [_column(found[n], k) for n, k in kinds]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), *fields], names=[*keep, *(n for n, _ in kinds)])
+
+    types = {f.name: f.dataType for f in df.schema.fields}
+    fields = [StructField(c, types[c]) for c in keep] + [StructField(n, TYPES[k]()) for n, k in kinds]
+    return df.select(*dict.fromkeys([*keep, *inputs])).mapInArrow(run, StructType(fields))
+
+
+def _column(values: np.ndarray | pa.Array, kind: str) -> pa.Array:
+    """NaN is null; strings come as an Arrow array."""
+    return values if kind == "string" else pa.array(values, {"boolean": pa.bool_(), "int": pa.int32(), "double": pa.float64()}[kind], from_pandas=True)
+
+
+def _fields(values: pa.StructArray) -> dict[str, np.ndarray]:
+    return {f.name: _numbers(v) for f, v in zip(values.type, values.flatten(), strict=True)}
+
+
 def _numbers(values: pa.Array) -> np.ndarray:
     """Doubles, NaN where a value is not known; truth values, false where not known."""
     if pa.types.is_boolean(values.type):
@@ -138,6 +166,67 @@ def smoothed(lengths: np.ndarray, t: np.ndarray, values: np.ndarray, ok: np.ndar
         return out * wide
 
 
+def quantiles(lengths: np.ndarray, values: np.ndarray, q: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each series, the quantile of the known values by linear interpolation, and how many these are."""
+    known = ~np.isnan(values)
+    series, v = np.repeat(np.arange(len(lengths)), lengths)[known], values[known]
+    v = np.append(v[np.lexsort((v, series))], np.nan)
+    n = np.bincount(series, minlength=len(lengths))
+    start, place = np.cumsum(n) - n, np.maximum(n - 1, 0) * q
+    low = np.floor(place).astype(np.int64)
+    below, above = v[start + low], v[np.minimum(start + low + 1, start + np.maximum(n - 1, 0))]
+    return np.where(n > 0, (low + 1 - place) * below + (place - low) * above, np.nan), n
+
+
+def hold_ids(lengths: np.ndarray, t: np.ndarray, holding: np.ndarray, event: np.ndarray, min_hold: float, max_break: float) -> np.ndarray:
+    """SEG1, as ``runs.hold_runs`` says it in windows: the number of each row's hold, -1 for none."""
+    starts = np.cumsum(lengths) - lengths
+    begun, other = np.full(len(lengths), -1), np.full(len(lengths), -1)
+    first, last = [], []
+    for s, r in _steps(lengths):
+        on, since, gap = holding[r], begun[s], other[s]
+        late = (gap >= 0) & (t[r] - t[gap] > max_break)
+        broke = ~on & (since >= 0) & (event[r] | late)
+        if broke.any():
+            first.append(since[broke])
+            last.append((np.where(event[r], r, gap) - 1)[broke])
+        begun[s] = np.where(on, np.where(since >= 0, since, r), np.where(broke, -1, since))
+        other[s] = np.where(on | broke | (since < 0), -1, np.where(gap >= 0, gap, r))
+    held = begun >= 0
+    first = np.concatenate([*first, begun[held]]).astype(np.int64)
+    last = np.concatenate([*last, np.where(other >= 0, other - 1, starts + lengths - 1)[held]]).astype(np.int64)
+    order = np.argsort(first)
+    order = order[t[last[order]] - t[first[order]] >= min_hold]
+    first, size = first[order], (last - first + 1)[order] if len(order) else np.zeros(0, np.int64)
+    series = np.searchsorted(starts, first, "right") - 1
+    nth = np.arange(len(first)) - np.searchsorted(series, series)
+    out = np.full(len(t), -1)
+    out[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())] = np.repeat(nth, size)
+    return out
+
+
+#: The phases by their number in ``phase_states``, and that of rows which are not known.
+PHASES = ("pre", "kickup", "hold", "exit", "post", "unknown")
+
+
+def phase_states(lengths: np.ndarray, hold: np.ndarray, known: np.ndarray, kicks: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """SEG2, as ``runs.phases`` says it in windows: each row's place in ``PHASES``. ``hold``: whether a row is in one, ``kicks``: whether its hands are down and its legs rise."""
+    state, out = np.zeros(len(lengths), np.int64), np.zeros(len(hold), np.int64)
+    for s, r in _steps(lengths):
+        was = state[s]
+        now = np.where(hold[r], 2, np.where(was == 2, 3, np.where(kicks[r], 1, np.where(low[r], was, np.where(was == 0, 0, 4)))))
+        state[s] = out[r] = np.where(known[r], now, was)
+    return np.where(hold, 2, np.where(known, out, 5))
+
+
+def majority(group: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """GEO19: the sign that most rows of the group have, its own where they tie; a row whose group is below 0 has its own."""
+    inside = group >= 0
+    count = lambda which: np.bincount(group[inside & which], minlength=group.max(initial=0) + 1)
+    most = np.sign(count(sign > 0) - count(sign < 0))[np.maximum(group, 0)]
+    return np.where(inside & (most != 0), most, sign)
+
+
 def remove_speed_outliers(df: DataFrame, keys: list[str], time: str, tie: str, x: str, y: str, valid: str, scale: float | str, max_speed: float) -> DataFrame:
     """PP5: ``df`` with ``kept``: samples not faster than max_speed from the last kept one.
 

@@ -215,7 +215,18 @@ def frame_severities(features: DataFrame, reference: dict[str, tuple[float, floa
     Only frames of a hold that are valid are measured, by the features of a joint or of the line over the wrists (``JUDGED``). Values along the
     picture are turned first. Without a reference the targets of ``TOLERANCES`` judge, whatever the facing.
     """
-    pairs = []
+    pairs = [F.struct(F.lit(f).alias("key"), size.alias("value")) for f, size in severities(reference, rules, facing).items()]
+    if not pairs:
+        pairs = [F.struct(F.lit("").alias("key"), F.lit(None).cast("double").alias("value"))]
+    measured = F.coalesce((F.col("hold_id") >= 0) & F.col("valid"), F.lit(False))
+    known = F.filter(F.array(*pairs), lambda p: measured & p["value"].isNotNull())
+    out = features.withColumn("severities", F.map_from_entries(known))
+    return out.withColumn("severity", F.array_max(F.map_values("severities"))).withColumn("band", band(F.col("severity")))
+
+
+def severities(reference: dict[str, tuple[float, float]] | None, rules: Rules, facing: str = "facing_sign") -> dict[str, Column]:
+    """SCO13: the severity of a frame by each of the features (``JUDGED``) that can be judged."""
+    sizes = {}
     for f in JUDGED:
         if reference is None:
             size = tolerance_severity(f, F.col(f)) if f in TOLERANCES else None
@@ -226,13 +237,8 @@ def frame_severities(features: DataFrame, reference: dict[str, tuple[float, floa
         else:
             size = None
         if size is not None:
-            pairs.append(F.struct(F.lit(f).alias("key"), size.cast("double").alias("value")))
-    if not pairs:
-        pairs = [F.struct(F.lit("").alias("key"), F.lit(None).cast("double").alias("value"))]
-    measured = F.coalesce((F.col("hold_id") >= 0) & F.col("valid"), F.lit(False))
-    known = F.filter(F.array(*pairs), lambda p: measured & p["value"].isNotNull())
-    out = features.withColumn("severities", F.map_from_entries(known))
-    return out.withColumn("severity", F.array_max(F.map_values("severities"))).withColumn("band", band(F.col("severity")))
+            sizes[f] = size.cast("double")
+    return sizes
 
 
 def reviewed_values(holds: DataFrame, features: DataFrame, rules: Rules) -> DataFrame:

@@ -6,7 +6,7 @@ clips and walks them frame by frame: the folds and automata are recursive querie
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as geo
@@ -31,9 +31,17 @@ def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.clips(seeds(spark, sf_dir))
 
 
-def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames with phase, hold and body features."""
-    return pose.body_features(pose.classify(pose.signals(pose.clean(keypoints(spark, sf_dir)))))
+def classified(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
+    """Frames with phase and hold; of the clips that ``only`` chooses, where it is given."""
+    # suppliers of one key are one clip with several samples at a time
+    told = seeds(spark, sf_dir).withColumn("copy", F.row_number().over(Window.partitionBy("clip_id").orderBy("seed")))
+    told = told if only is None else told.where(only)
+    return pose.classify(pose.motion(pose.clean_frames(clips.clips(told, ("copy",)), ("copy",))))
+
+
+def measured(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
+    """``classified`` with body features."""
+    return pose.body_features(classified(spark, sf_dir, only))
 
 
 # --- SQL: the clips -----------------------------------------------------------------------------------
@@ -260,7 +268,7 @@ def pose_losses(spark, sf_dir):
 @checked(3, "SELECT clip AS clip_id, frame AS frame_idx, phase, hold_id, known, why AS unknown_reason, round(v_ankle, 4) + 0 AS v_ankle, round(legs, 3) + 0 AS velocity, down AS hands_down, hand_step FROM ph")
 def pose_phases(spark, sf_dir):
     """SIG1-6, SEG1-3."""
-    frames = pose.classify(pose.signals(pose.clean(keypoints(spark, sf_dir))))
+    frames = classified(spark, sf_dir)
     out = frames.select("clip_id", "frame_idx", "phase", F.col("hold_id").cast("long").alias("hold_id"), "known", "unknown_reason", F.round("v_ankle", 4).alias("v_ankle"), F.round("velocity", 3).alias("velocity"), "hands_down", "hand_step")
     return out
 
@@ -268,7 +276,7 @@ def pose_phases(spark, sf_dir):
 @checked(3, "SELECT clip AS clip_id, " + ", ".join(f"count(*) FILTER (phase = '{p}') AS {p}" for p in ("pre", "kickup", "hold", "exit", "post", "unknown")) + " FROM ph GROUP BY clip")
 def pose_phase_counts(spark, sf_dir):
     """AGG9."""
-    return pose.phase_counts(pose.classify(pose.signals(pose.clean(keypoints(spark, sf_dir)))))
+    return pose.phase_counts(classified(spark, sf_dir))
 
 
 @checked(4, "SELECT clip AS clip_id, frame AS frame_idx, hold_id, valid, " + ", ".join(f"round({f}, 3) + 0 AS {f}" for f in NAMED) + ", facing::INT AS facing_sign, round(com_forward, 4) + 0 AS com_forward, zone AS balance_zone FROM ft")
@@ -296,9 +304,14 @@ def pose_line_windows(spark, sf_dir):
     return out.select("clip_id", F.col("hold_id").cast("long").alias("hold_id"), F.col("rank").cast("long").alias("rank"))
 
 
+def straight() -> Column:
+    """Whether a clip tells the story that the reference is made of."""
+    return F.col("clip_id") % len(NAMES) == 0
+
+
 def own_reference(values: DataFrame) -> dict[str, tuple[float, float]]:
     """ORC7: mean and population SD of every feature over the scored holds of the straight story."""
-    good = values.where((F.col("clip_id") % len(NAMES) == 0) & (F.col("valid_frames") >= RULES.least_frames))
+    good = values.where(straight() & (F.col("valid_frames") >= RULES.least_frames))
     return scoring.reference_columns(stats.reference_stats(good, RULES.features, least=1, population=True), RULES)
 
 
@@ -358,7 +371,7 @@ def orientation_cases(spark, sf_dir):
 
 def pictured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``measured`` with the places in the picture."""
-    return pose.body_features(pose.pictured(pose.classify(pose.signals(pose.clean(keypoints(spark, sf_dir))))), keep=("picture",))
+    return pose.pictured(pose.body_features(classified(spark, sf_dir), keep=("body", "body_length")))
 
 
 _PART = lambda f: "max(s) FILTER (feature IN (" + ", ".join(f"'{x}'" for x in f) + "))" if f else "NULL::DOUBLE"
@@ -380,12 +393,11 @@ SELECT clip AS clip_id, frame AS frame_idx, t_ms, hold_id >= 0 AS in_hold, {' +
 )
 def pose_diagram(spark, sf_dir):
     """SCO14, SCO17."""
-    frames = settled(pictured(spark, sf_dir))
-    values = scoring.hold_values(frames.where("hold_id >= 0"), ["clip_id", "hold_id"], "t_ms", RULES)
-    drawn = diagram.diagram_frames(scoring.frame_severities(frames, own_reference(values), RULES), F.lit(1920.0))
-    bones = F.array_join(F.transform("bones", lambda b: F.concat(b["start"], F.lit("-"), b["end"], F.lit(":"), b["band"])), " ")
-    places = {"stack_x": F.col("stack.x"), "com_x": F.col("com.x"), "com_y": F.col("com.y")}
-    return drawn.select("clip_id", "frame_idx", "t_ms", "in_hold", F.size("joints").alias("n_joints"), bones.alias("bones"), "stack_band", "balance_zone", *(F.round(c, 3).alias(n) for n, c in places.items()))
+    # the reference needs a fifth of the clips: to make these twice takes less than to store all frames and read them again
+    good = scoring.hold_values(measured(spark, sf_dir, straight()).where("hold_id >= 0"), ["clip_id", "hold_id"], "t_ms", RULES)
+    sizes = scoring.severities(own_reference(good), RULES)
+    frames = pose.body_features(classified(spark, sf_dir), keep=("body", "body_length"))
+    return rounded(diagram.diagram_words(frames, sizes), "stack_x", "com_x", "com_y", digits=3)
 
 
 _ACROSS_T = lambda p: f"abs((left_{p}_x - right_{p}_x) * ty - (left_{p}_y - right_{p}_y) * tx)"

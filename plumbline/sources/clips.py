@@ -212,8 +212,8 @@ def to_digits(x: Column) -> Column:
     return F.floor(x * 10.0**DIGITS + 0.5) / 10.0**DIGITS
 
 
-def clips(seeds: DataFrame) -> DataFrame:
-    """ORC6: keypoints (``SCHEMA``) of ``seeds`` (clip_id, case, seed, size: pixels of a pixel of the figure)."""
+def clips(seeds: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """ORC6: keypoints (``SCHEMA``) of ``seeds`` (clip_id, case, seed, size: pixels of a pixel of the figure). ``keep`` are columns of the seeds to carry along."""
     points = _figure()
     drawn = frames(seeds.sparkSession).select(
         "case", "jitter", "failing", "frame_idx", "t_ms", "sway",
@@ -239,7 +239,7 @@ def clips(seeds: DataFrame) -> DataFrame:
     rows = rows.withColumns({c: F.col("size") * (F.col(c) + F.col("jitter") * F.col(f"_g{c}")) for c in ("x", "y")})
     return rows.select(
         "clip_id", "case", "frame_idx", "t_ms", "joint", F.when(~F.col("gone"), to_digits(F.col("x") + F.col("spike") * F.col("size"))).alias("x"),
-        F.when(~F.col("gone"), to_digits(F.col("y"))).alias("y"), F.when(~F.col("gone"), F.col("visibility")).alias("visibility"), "trainer_contact",
+        F.when(~F.col("gone"), to_digits(F.col("y"))).alias("y"), F.when(~F.col("gone"), F.col("visibility")).alias("visibility"), "trainer_contact", *keep,
     )
 
 
