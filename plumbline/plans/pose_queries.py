@@ -33,10 +33,10 @@ def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classified(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
     """Frames with phase and hold; of the clips that ``only`` chooses, where it is given."""
-    # suppliers of one key are one clip with several samples at a time
-    told = seeds(spark, sf_dir).withColumn("copy", F.row_number().over(Window.partitionBy("clip_id").orderBy("seed")))
+    # suppliers of one key are one clip with several samples at a time; by clip alone the window would take the place of the dealing, which keeps every core busy
+    told = seeds(spark, sf_dir).withColumn("copy", F.row_number().over(Window.partitionBy("clip_id", "seed").orderBy("size")))
     told = told if only is None else told.where(only)
-    return pose.classify(pose.motion(pose.clean_frames(clips.clips(told, ("copy",)), ("copy",))))
+    return pose.classify(pose.motion(pose.clean_frames(clips.clips(told, ("seed", "copy")), ("seed", "copy"))))
 
 
 def measured(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:

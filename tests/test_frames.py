@@ -71,6 +71,18 @@ def test_no_sample_is_drawn_twice_and_all_methods_are_compiled(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_clips_are_dealt_however_many_partitions_a_shuffle_has(spark):
+    drawn = pose_queries.classified(spark, SF)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        # as many as the clips are dealt to, here one
+        assert pose_queries.classified(spark, SF)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert drawn._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
+
+
 def test_pose_diagram_stores_no_frames(spark, monkeypatch):
     monkeypatch.setattr(pose_queries, "settled", None)
     assert pose_queries.pose_diagram(spark, SF).where("bones like '%:bad%'").count() > 0
