@@ -39,9 +39,9 @@ def classified(spark: SparkSession, sf_dir: str, only: Column | None = None) ->
     return pose.classify(pose.motion(pose.clean_frames(clips.clips(told, ("seed", "copy")), ("seed", "copy"))))
 
 
-def measured(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``classified`` with body features."""
-    return pose.body_features(classified(spark, sf_dir, only))
+    return pose.body_features(classified(spark, sf_dir))
 
 
 # --- SQL: the clips -----------------------------------------------------------------------------------
@@ -394,7 +394,7 @@ SELECT clip AS clip_id, frame AS frame_idx, t_ms, hold_id >= 0 AS in_hold, {' +
 def pose_diagram(spark, sf_dir):
     """SCO14, SCO17."""
     # the reference needs a fifth of the clips: to make these twice takes less than to store all frames and read them again
-    good = scoring.hold_values(measured(spark, sf_dir, straight()).where("hold_id >= 0"), ["clip_id", "hold_id"], "t_ms", RULES)
+    good = scoring.hold_values(pose.body_features(classified(spark, sf_dir, straight())).where("hold_id >= 0"), ["clip_id", "hold_id"], "t_ms", RULES)
     sizes = scoring.severities(own_reference(good), RULES)
     frames = pose.body_features(classified(spark, sf_dir), keep=("body", "body_length"))
     return rounded(diagram.diagram_words(frames, sizes), "stack_x", "com_x", "com_y", digits=3)
